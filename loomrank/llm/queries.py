@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import exact_dedup, quality_rules
+from loomrank.llm import exact_dedup, line_dedup, mixing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
 
@@ -20,4 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
+        "op8_mixing": mixing.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
     }
