@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import exact_dedup, line_dedup, mixing, quality_rules
+from loomrank.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
