@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import exact_dedup, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
+from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
