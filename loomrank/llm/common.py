@@ -48,17 +48,21 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def without(text: Column, chars: str) -> Column:
+    """text without these characters: replace() looks for bytes, several times faster than translate()."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def words_of(text: Column) -> Column:
     """Array of the runs of characters other than ASCII white space; empty for null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
+    flat = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(flat, " "), "")
 
 
-def n_words_of(text: Column) -> Column:
-    """Number of those runs, without building the array: starts of words are counted by regexp_count."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): one row (id, comp) per endpoint, comp being the smallest id.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import SPACES, park, table
+from loomrank.llm.common import SPACES, park, table, without
 
 #: Boilerplate lines are broadcast, gathered by host, up to this many rows (16 bytes a line); beyond it hits are joined by document.
 BROADCAST_ROWS = 100_000
@@ -26,7 +26,7 @@ def _lines(text: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return F.length(without(line, SPACES)) > 0
 
 
 def _host(host: Column) -> Column:

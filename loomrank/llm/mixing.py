@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomrank.llm.common import SPACES, park, table, words_of
+from loomrank.llm.common import SPACES, park, table, without, words_of
 
 MAX_EPOCHS = 3
 
@@ -31,8 +31,8 @@ BROADCAST_ROWS = 100_000
 def quality(text: Column) -> Column:
     """Weight in [0.05, 1]: what five times the share of symbols among the text's word characters leaves."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.length(F.translate(text, SPACES, ""))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    chars = F.length(without(text, SPACES))
+    symbols = F.length(text) - F.length(without(text, "#*$%&|<>"))
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(5.0) * symbols / F.greatest(chars, F.lit(1)))
 
 
@@ -62,18 +62,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
         F.col("cap").cast("double"), F.coalesce(final * F.col("w"), F.lit(0.0))), 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with size, source_size, target, epochs (whole ones), taken (words, repeats counted).
+ORDER = ["_key", "doc_id", "size"]
 
-    Only ids, keys and sizes are sorted. What is decided is one edge per source, the last (key, id, size) that is
-    taken once more; it is laid against the documents where they lie, so texts are never shuffled.
-    """
-    spark = docs.sparkSession
-    drawn = docs.withColumns({
-        "size": F.size(words_of(F.col("text"))).cast("long"), "_key": -F.log(unit(F.col("doc_id"))) / quality(F.col("text"))})
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["_key", "doc_id", "size"]
-    ranged = park(drawn.select("source", *order).repartitionByRange(n, "source", *order).withColumn("_part", F.spark_partition_id()))
+
+def _draw(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "_key": -F.log(unit(F.col("doc_id"))) / quality(F.col("text"))})
+
+
+def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(drawn rows sorted into parked partitions, one row per source with its target, whole epochs and edge)."""
+    n = max(2, int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = park(drawn.select("source", *ORDER).repartitionByRange(n, "source", *ORDER).withColumn("_part", F.spark_partition_id()))
     parts = ranged.groupBy("source", "_part").agg(F.sum("size").alias("part_size"))
     goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights)
     goal = park(goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
@@ -82,25 +81,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: i
                .join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
                .select("_s", F.col("_part").alias("_p"), "before_part", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
                .where(F.col("before_part") <= F.col("rest")))
-    inside = Window.partitionBy("source", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     edge = (ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
             .join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
             .where((F.col("rest") > 0) & (F.col("before_part") + F.col("before") + F.col("size") / 2 <= F.col("rest")))
-            .groupBy(F.col("source").alias("_e")).agg(F.max(F.struct(*order)).alias("_edge")))
+            .groupBy(F.col("source").alias("_e")).agg(F.max(F.struct(*ORDER)).alias("_edge")))
     plan = park(goal.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
                 .select(F.col("source").alias("_s"), "source_size", "target", "whole", "_edge"))
+    return ranged.drop("_part"), plan
+
+
+def _apply(drawn: DataFrame, plan: DataFrame, broadcast_rows: int) -> DataFrame:
     if plan.count() <= broadcast_rows:
         plan = F.broadcast(plan)
-    once_more = F.when(F.struct(*order) <= F.col("_edge"), 1).otherwise(0)
+    once_more = F.when(F.struct(*ORDER) <= F.col("_edge"), 1).otherwise(0)
     return (drawn.join(plan, F.col("source").eqNullSafe(F.col("_s")))
             .withColumn("epochs", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + once_more).cast("long"))
             .withColumn("taken", F.col("size") * F.col("epochs"))
             .drop("_s", "_edge", "_key", "whole"))
 
 
+def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (whole ones), taken (words, repeats counted); texts are read once."""
+    return _apply(*_plan(_draw(docs), weights), broadcast_rows)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with the columns of shares(). Only ids, keys and sizes are sorted; a source's edge, the last (key, id, size)
+    that is taken once more, is laid against the documents where they lie, so texts are never shuffled."""
+    drawn = _draw(docs)
+    return _apply(drawn, _plan(drawn, weights)[1], broadcast_rows)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _SQL = r"""

@@ -18,13 +18,13 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import SPACES, bind, table, words_of
+from loomrank.llm.common import SPACES, bind, table, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(without(x, SPACES)) > 0)
     return bind(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
 
 
@@ -51,10 +51,10 @@ def _repeat_words(words: Column) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of the whole text."""
     text = F.coalesce("text", F.lit(""))
-    n = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    n = lambda chars: F.length(text) - F.length(without(text, chars))
     return docs.withColumns({
         "n_words": bind(words_of(text), lambda w: F.size(w).cast("long")),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+        "word_chars": F.length(without(text, SPACES)).cast("long"),
         "n_symbols": n(SYMBOLS).cast("long"),
         "n_dup_lines": _dup_lines(text),
         "n_repeat_words": _repeat_words(words_of(text)),
@@ -71,7 +71,7 @@ def rules() -> dict[str, Column]:
     share = lambda x, most: 1000 * x > most * F.col("word_chars")  # noqa: E731  thousandths of the word characters
     return {
         "symbols": share(F.col("n_symbols"), 80),
-        "exclamations": share(F.length(text) - F.length(F.translate(text, "!?", "")), 80),
+        "exclamations": share(F.length(text) - F.length(without(text, "!?")), 80),
         "no_letters": share(F.regexp_count(text, F.lit(r"[^\p{L}\s]")), 350),
         "capitals": share(F.regexp_count(text, F.lit(r"\p{Lu}")), 400),
         "word_length": (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
