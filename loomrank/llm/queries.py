@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality_rules, toxicity, url_filter
+from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
