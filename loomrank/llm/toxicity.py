@@ -6,11 +6,11 @@ group, sentences with the term swapped for others of its kind are made, and the
 logit is penalised while fitting: neutral mentions of a group can't move the score.
 
 The model is fitted on the driver from a bounded sample of labelled rows (max_train_rows of the smallest id
-hash, word sets of at most max_words words each; documented bounds). Only the weighted words go to the
-executors, which score every whole text.
+hash; at most `vocabulary` features and max_pairs swapped sentences; documented bounds). Only the weighted
+marks go to the executors, which score every whole text.
 
-Defined results: null and empty texts score the intercept alone; without labelled rows every score is 0;
-without rows of one label every score is 0 or 1 accordingly; repeated rows get equal scores; an empty table
+Defined results: null and empty texts score the intercept alone; without labelled rows, or with
+one label only, every score is next to 0, or to 1 where that label is 1; repeated rows get equal scores; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import small_batches, table
+from loomrank.llm.common import park, small_batches, table
 from loomrank.llm.language_id import held_out
 
 #: Identity terms by kind; a term may be swapped for any other of its kind.
@@ -58,36 +58,21 @@ def sentences(text: str, at_most: int = 20) -> list[set[str]]:
     return [x for x in found if x & known][:at_most]
 
 
-def fit(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]], vocabulary: int = 2000, least_chi2: float = 25.0,
-        l2: float = 1e-3, swap: float = 5.0, steps: int = 400, rate: float = 0.5) -> tuple[dict[str, float], float]:
-    """(weight by word, intercept) from (words, label) rows and (sentence, swapped sentence) pairs, by full-batch Adam.
-
-    Words and stems count from three rows and a chi-squared of presence against the label of least_chi2 on; the best `vocabulary` are used.
-    """
+def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], size: int,
+        l2: float = 1e-3, swap: float = 5.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """(weights, intercept) from (marks present, label) rows and (sentence, swapped sentence) pairs, by full-batch Adam."""
     y = np.array([label for _, label in rows], float)
+    w = np.zeros(size, np.float32)
     if not len(y) or y.min() == y.max():
-        return {}, 0.0 if not len(y) else (40.0 if y[0] else -40.0)
-    rows = [(marks(ws), label) for ws, label in rows]
-    pairs = [(marks(one), marks(other)) for one, other in pairs]
+        return w, 40.0 if len(y) and y[0] else -40.0
     n, pos = len(y), y.sum()
-    seen, hits = Counter(w for ws, _ in rows for w in ws), Counter(w for ws, label in rows if label for w in ws)
-
-    def chi2(w):
-        a, m = hits[w], seen[w]
-        return (a * n - m * pos) ** 2 / (m * (n - m) + 1e-9) / (pos * (n - pos)) * n
-
-    named = {t for kind in IDENTITY for t in kind}
-    usable = [w for w in seen if seen[w] >= 3 and chi2(w) >= least_chi2 or w in named]
-    index = {w: i for i, w in enumerate(sorted(sorted(usable, key=lambda w: (-chi2(w), w))[:vocabulary]))}
-    x = np.zeros((n, len(index)), np.float32)
-    for i, (ws, _) in enumerate(rows):
-        x[i, [index[w] for w in ws if w in index]] = 1
-    d = np.zeros((len(pairs), len(index)), np.float32)
+    x, d = np.zeros((n, size), np.float32), np.zeros((len(pairs), size), np.float32)
+    for i, (at, _) in enumerate(rows):
+        x[i, at] = 1
     for i, (one, other) in enumerate(pairs):
-        for sign, ws in ((1, one), (-1, other)):
-            for w in ws & index.keys():
-                d[i, index[w]] += sign
-    w, b = np.zeros(len(index), np.float32), float(np.log(pos / (n - pos)))
+        d[i, one] += 1
+        d[i, other] -= 1
+    b = float(np.log(pos / (n - pos)))
     balance = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -97,32 +82,64 @@ def fit(rows: list[tuple[set[str], int]], pairs: list[tuple[set[str], set[str]]]
         if len(pairs):
             gw += (2 * swap / len(pairs)) * (d.T @ (d @ w))
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        r = rate * 0.2 * (1 - t / (steps + 1))
+        r = rate * (1 - t / (steps + 1))
         w -= (r * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
         b -= r * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, b
+    return w, b
 
 
-def training_rows(labelled: DataFrame, max_train_rows: int = 8000, max_words: int = 20_000):
-    """((words, label) rows, counterfactual pairs) of the labelled(doc_id, text, toxic) rows with the smallest id hashes."""
-    def gather(batches):
+def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 1500, least_chi2: float = 25.0,
+          max_pairs: int = 5000) -> tuple[dict[str, float], float]:
+    """(weight by mark, intercept) from the max_train_rows rows of labelled(doc_id, text, toxic) with the smallest id hashes.
+
+    Spark counts the marks of those rows by label; marks of three rows or more with a chi-squared of least_chi2 or more, the
+    best `vocabulary` of them, and the identity terms are the features. The driver gets feature numbers only.
+    """
+    spark = labelled.sparkSession
+    small_batches(spark)
+    hashed = labelled.where("toxic is not null").withColumn("_h", F.xxhash64("doc_id"))
+    # only hashes are sorted: the sample's texts never meet in one task
+    last = hashed.select("_h").orderBy("_h").limit(max_train_rows).agg(F.max("_h")).first()[0]
+    few = park(hashed.where(F.col("_h") <= F.lit(last).cast("long")).select("text", (F.col("toxic") > 0).cast("int").alias("label"), "doc_id")
+               .repartition(12, "doc_id"))
+
+    def tally(batches):
         for pdf in batches:
-            texts = pdf["text"].fillna("")
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sorted(words(t))[:max_words] for t in texts],
-                                "named": [[sorted(s) for s in sentences(t)] for t in texts]})
-
-    few = (labelled.where("toxic is not null").select("doc_id", "text", "toxic")
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).drop("doc_id").repartition(8))
-    got = few.mapInPandas(gather, "toxic long, words array<string>, named array<array<string>>").collect()
-    rows = [(set(r["words"]), int(r["toxic"] > 0)) for r in got]
-    pairs = []
-    for r in sorted(got, key=lambda r: r["words"]):
-        for s in map(set, r["named"]):
+            seen, hits = Counter(), Counter()
+            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+                found = marks(words(text))
+                seen.update(found)
+                if label:
+                    hits.update(found)
+            yield pd.DataFrame({"mark": list(seen), "m": list(seen.values()), "a": [hits[k] for k in seen]})
+
+    n, pos = few.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    named = sorted({t for kind in IDENTITY for t in kind})
+    m, a = F.col("m").cast("double"), F.col("a").cast("double")
+    chi2 = F.pow(a * n - m * pos, 2) / (m * (n - m) + 1e-9) / (pos * (n - pos) + 1e-9) * n
+    best = (few.select("text", "label").mapInPandas(tally, "mark string, m long, a long").groupBy("mark").agg(F.sum("m").alias("m"), F.sum("a").alias("a"))
+            .where(F.col("m") >= 3).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
+            .orderBy(F.desc("chi2"), "mark").limit(vocabulary))
+    index = {k: i for i, k in enumerate(sorted({r["mark"] for r in best.select("mark").collect()} | set(named)))}
+
+    def numbered(found: set[str]) -> list[int]:
+        return sorted(index[k] for k in marks(found) & index.keys())
+
+    def swaps(text):
+        for s in sentences(text) if isinstance(text, str) else ():
             for kind in IDENTITY:
                 for term in sorted(s & set(kind)):
-                    other = kind[(kind.index(term) + 1) % len(kind)]
-                    pairs += [(s, s - {term} | {other})]
-    return sorted(rows, key=lambda r: (sorted(r[0]), r[1])), pairs[:20_000]
+                    yield s, s - {term} | {kind[(kind.index(term) + 1) % len(kind)]}
+
+    def gather(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [numbered(words(t)) for t in pdf["text"]],
+                                "swaps": [[[numbered(one), numbered(other)] for one, other in swaps(t)] for t in pdf["text"]]})
+
+    got = few.mapInPandas(gather, "doc_id long, label int, at array<int>, swaps array<array<array<int>>>").collect()
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"]))
+    w, b = fit([(r["at"], r["label"]) for r in got], [tuple(p) for r in got for p in r["swaps"]][:max_pairs], len(index))
+    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, b
 
 
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
@@ -138,11 +155,8 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
-    rows, pairs = training_rows(labelled, **bounds)
-    weights, intercept = fit(rows, pairs)
-    if not rows:
-        intercept = -40.0
-    return (score(docs, weights, intercept)
+    """doc_id, held_out, score, predicted for docs(doc_id, text), learned from labelled(doc_id, text, toxic)."""
+    return (score(docs, *learn(labelled, **bounds))
             .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int")))
 
 
