@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, toxicity, url_filter
+from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
