@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomrank.plans import relational
+from loomrank.sources import adapters
+
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLE: dict[str, str] = {}
+
+
+def _relational(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        adapters.register(spark, sf_dir)
+        return spark.sql(relational.text(name))
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _relational(name) for name in relational.SQL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return {name: relational.text(name) for name in relational.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = next(iter(_QUERIES))
-    return _QUERIES[name](spark, sf_dir)
+    return queries()["q2_stage_funnel"](spark, sf_dir)
