@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.plans import relational
+from loomrank.plans import analytics, relational, sources_and_sinks
 from loomrank.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,11 @@ def _relational(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _relational(name) for name in relational.SQL}
+    return {name: _relational(name) for name in relational.SQL} | analytics.QUERIES | sources_and_sinks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: relational.text(name) for name in relational.SQL}
+    return {name: relational.text(name) for name in relational.SQL} | analytics.ORACLE | {k: f"{adapters.WITH}\n{v}" for k, v in sources_and_sinks.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ SQL: dict[str, str] = {
         SELECT item_id, category, free_score, (category IN ('ai_product', 'games') AND free_score >= 0.6e0 AND spent < 0.9e0) AS reserved
         FROM (SELECT i.*, item_id % 10 / 1e1 AS spent FROM items i) t""",
     "f15_interest_expiry": f"""
-        SELECT item_id, horizon, CASE horizon WHEN 'short' THEN created + 14 * {DAY} WHEN 'medium' THEN created + 60 * {DAY} WHEN 'long' THEN created + 180 * {DAY} END AS expires_at,
+        SELECT item_id, horizon, CASE horizon WHEN 'short' THEN created + 14 * {DAY} WHEN 'medium' THEN created + 60 * {DAY} WHEN 'long' THEN created + 180 * {DAY} ELSE -1 END AS expires_at,
                coalesce(CASE horizon WHEN 'short' THEN created + 14 * {DAY} WHEN 'medium' THEN created + 60 * {DAY} WHEN 'long' THEN created + 180 * {DAY} END < {NOW}, false) AS expired
         FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' WHEN 2 THEN 'long' ELSE 'forever' END AS horizon, first_seen_at - (item_id % 200) * {DAY} AS created FROM items) t""",
     "f16_exploratory": "SELECT item_id, (anchor_distance >= 0.55e0 AND novelty >= 0.55e0) OR item_id % 6 = 5 AS exploratory FROM deep",
