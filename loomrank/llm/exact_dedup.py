@@ -29,14 +29,15 @@ BROADCAST_ROWS = 200_000
 
 
 def _local(batches):
-    """Within a batch: the largest id of each content wins. Contents are compared by the dictionary's own equality."""
+    """Within a batch: the largest id of each content wins. A dictionary compares contents whole; pandas' own grouping stops at NUL characters."""
     for pdf in batches:
-        text = pdf["text"].fillna("")
+        text, ids = pdf["text"].fillna("").tolist(), pdf["doc_id"].tolist()
+        win: dict[str, int] = {}
+        for t, i in zip(text, ids, strict=True):
+            win[t] = max(i, win.get(t, i))
         yield pd.DataFrame({
-            "doc_id": pdf["doc_id"],
-            "digest": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in text],
-            "local_id": pdf["doc_id"].groupby(text, sort=False).transform("max"),
-        })
+            "doc_id": ids, "digest": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in text],
+            "local_id": [win[t] for t in text]})
 
 
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:

@@ -40,8 +40,9 @@ def word_list(text: str | None) -> list[str]:
 
 def shingles(texts: list[list[str]], n: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each word list's n-word shingles."""
-    flat = np.array([w for ws in texts for w in ws], dtype=object)
-    h = pd.util.hash_array(flat, categorize=True) if len(flat) else np.empty(0, np.uint64)
+    code: dict[str, int] = {}  # pandas' own factorizing stops at NUL characters
+    at = np.array([code.setdefault(w, len(code)) for ws in texts for w in ws], np.int64)
+    h = pd.util.hash_array(np.array(list(code), dtype=object), categorize=False)[at] if code else np.empty(0, np.uint64)
     out, at = [], 0
     for ws in texts:
         own, at = h[at:at + len(ws)], at + len(ws)

@@ -139,7 +139,7 @@ def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 150
     got = few.mapInPandas(gather, "doc_id long, label int, at array<int>, swaps array<array<array<int>>>").collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"]))
     w, b = fit([(r["at"], r["label"]) for r in got], [tuple(p) for r in got for p in r["swaps"]][:max_pairs], len(index))
-    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, b
+    return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, float(b)
 
 
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
