@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from loomrank.llm.common import small_batches, table
 
 #: Solved pieces that a Python worker remembers (about 200 bytes each); beyond it starts anew.
-MAX_KNOWN = 700_000
+MAX_KNOWN = 450_000
+#: Pieces that one recursive query solves at a time.
+CHUNK = 25_000
 _CODERS: dict = {}
 
 #: Pieces from this many bytes on go through the query that contracts several equal pairs a round.
@@ -112,7 +114,7 @@ class Coder:
         import duckdb
 
         self.ranks, self.cut, self.known = ranks, regex.compile(pattern), {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         pairs, merged = merge_table(ranks)
         self.db.register("m", pd.DataFrame({"pair": pairs, "merged": merged}))
         # a byte stands as the character of its number, so that strings can be aggregated
@@ -153,8 +155,8 @@ class Coder:
                     hard.append(p)
                 else:
                     known[p] = rank.to_bytes(4, "little")
-        if hard:
-            self.solve(hard)
+        for k in range(0, len(hard), CHUNK):
+            self.solve(hard[k:k + CHUNK])
         return [np.frombuffer(b"".join([known[p] for p in c]), "<u4") for c in cut]
 
     def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
