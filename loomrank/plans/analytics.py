@@ -254,8 +254,7 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r23_same_story")
 def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stories.prepare(_stories(spark, sf_dir).where("item_id < 150"))
-    return stories.signals(stories.windowed_pairs(p, p)).where("confidence >= 0.42").select(
+    return stories.signals(stories.candidate_pairs(stories.prepare(_stories(spark, sf_dir)))).where("confidence >= 0.42").select(
         F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), F.round("confidence", 6).alias("confidence"), F.round("perspective", 6).alias("perspective"))
 
 
