@@ -50,8 +50,8 @@ _TOK = f"list_filter(regexp_split_to_array(translate(lower(coalesce({{}}, '')),
 _cols("x3_collapse", lambda t, s, u: {"out": X.collapse(s)}, r"SELECT item_id, trim(regexp_replace(summary, '\s+', ' ', 'g')) AS out FROM items")
 _cols("x5_escape_xml", lambda t, s, u: {"out": X.escape_xml(s)}, """SELECT item_id, replace(replace(replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS out FROM items""")
 _cols("x6_tokenize", lambda t, s, u: {"out": F.array_join(X.tokenize(t), " ")}, f"SELECT item_id, array_to_string({_TOK.format('title')}, ' ') AS out FROM items")
-_cols("x9_reading_minutes", lambda t, s, u: {"minutes": X.reading_minutes(s)}, r"""
-    SELECT item_id, CASE WHEN n >= 40 THEN greatest(1, floor(n / 230.0 + 0.5))::INT END AS minutes FROM (SELECT item_id, len(regexp_extract_all(summary, '\S+')) AS n FROM items)""")
+_cols("x9_reading_minutes", lambda t, s, u: {"minutes": F.coalesce(X.reading_minutes(s), F.lit(0))}, r"""
+    SELECT item_id, CASE WHEN n >= 40 THEN greatest(1, floor(n / 230.0 + 0.5))::INT ELSE 0 END AS minutes FROM (SELECT item_id, len(regexp_extract_all(summary, '\S+')) AS n FROM items)""")
 _cols("x11_whole_word", lambda t, s, u: {"has_the": X.contains_word(F.lower(s), "the"), "has_ist": X.contains_word(F.lower(s), "ist")}, """
     SELECT item_id, regexp_matches(lower(summary), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS has_the, regexp_matches(lower(summary), '(^|[^a-z0-9])ist([^a-z0-9]|$)') AS has_ist FROM items""")
 _cols("x13_publisher", lambda t, s, u: {"out": X.publisher(t)}, "SELECT item_id, regexp_replace(regexp_replace(lower(title), '^the ', ''), '[^a-z0-9]', '', 'g') AS out FROM items")

@@ -25,7 +25,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: relational.text(name) for name in relational.SQL} | analytics.ORACLE | {k: f"{adapters.WITH}\n{v}" for k, v in sources_and_sinks.ORACLE.items()}
+    return {name: relational.oracle_text(name) for name in relational.SQL} | analytics.ORACLE | {k: f"{adapters.WITH}\n{v}" for k, v in sources_and_sinks.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

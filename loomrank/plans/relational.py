@@ -6,6 +6,8 @@ subqueries are written as pre-aggregates and joins, semi and anti joins as such,
 
 from __future__ import annotations
 
+import re
+
 from loomrank.sources.adapters import NOW
 
 HOUR, DAY = "CAST(3600000 AS BIGINT)", "CAST(86400000 AS BIGINT)"
@@ -47,7 +49,7 @@ SQL: dict[str, str] = {
     "f16_exploratory": "SELECT item_id, (anchor_distance >= 0.55e0 AND novelty >= 0.55e0) OR item_id % 6 = 5 AS exploratory FROM deep",
     "f19_discovery_domains": "SELECT source_id, count(*) AS n FROM items GROUP BY source_id HAVING count(*) >= 2 AND max(CASE WHEN item_id % 4 = 3 THEN 1 ELSE 0 END) = 1",
     # joins
-    "j1_left_join_prefiltered": "SELECT i.item_id, v.label FROM items i LEFT JOIN (SELECT item_id, label FROM vectors WHERE label < 5) v ON v.item_id = i.item_id WHERE i.status = 'triaged'",
+    "j1_left_join_prefiltered": "SELECT i.item_id, coalesce(v.label, -1) AS label FROM items i LEFT JOIN (SELECT item_id, label FROM vectors WHERE label < 5) v ON v.item_id = i.item_id WHERE i.status = 'triaged'",
     "j2_inner_chain": """
         SELECT d.item_id, i.source_id, s.feed_type, d.expected_attention_value FROM deep d JOIN items i ON i.item_id = d.item_id
         JOIN sources s ON s.source_id = i.source_id WHERE d.ragebait < 0.5e0""",
@@ -312,6 +314,62 @@ SQL: dict[str, str] = {
     "q28_learned_weights": """
         SELECT scope, k, round(v, 6) AS v FROM (SELECT 'source' AS scope, i.source_id AS k, sum(CASE kind WHEN 'excellent' THEN 1e0 ELSE -1e0 END) / count(*) AS v FROM feedback f JOIN items i ON i.item_id = f.item_id GROUP BY i.source_id) t
         ORDER BY abs(v) DESC, k""",
+    # further joins, ladders and reports
+    "a11_group_concat": "SELECT k AS item_id, listagg(feed, ', ') WITHIN GROUP (ORDER BY feed) AS feeds FROM (SELECT DISTINCT item_id % 100 AS k, feed FROM published) t GROUP BY k",
+    "f9_access_eligibility": """
+        SELECT item_id, CASE WHEN access = 'free' AND content_chars >= 600 THEN 'readable' WHEN access <> 'free' AND item_id % 2 = 0 AND content_chars >= 600 THEN 'explicit free'
+               WHEN content_chars < 600 THEN 'too short' ELSE 'not free' END AS access_state
+        FROM items i JOIN sources s ON s.source_id = i.source_id""",
+    "j12_prioritised_match": """
+        SELECT o.open_id, coalesce(a.item_id, b.item_id, -1) AS item_id, CASE WHEN a.item_id IS NOT NULL THEN 'id' WHEN b.item_id IS NOT NULL THEN 'title' END AS how
+        FROM opens o LEFT JOIN published a ON a.item_id = o.item_id LEFT JOIN items t ON t.item_id = o.item_id
+        LEFT JOIN (SELECT i.title, min(p.item_id) AS item_id FROM published p JOIN items i ON i.item_id = p.item_id WHERE length(i.title) >= 12 GROUP BY i.title) b
+          ON b.title = t.title""",
+    "j15_article_episode_window": f"""
+        SELECT e.item_id AS episode, count(*) AS articles FROM (SELECT item_id, language, first_seen_at FROM items WHERE status = 'new') e
+        JOIN (SELECT item_id, language, first_seen_at FROM items WHERE status = 'published') a ON a.language = e.language AND e.first_seen_at >= a.first_seen_at - 96 * {HOUR} GROUP BY e.item_id""",
+    "r13_audit_rate": "SELECT mode, rate, round(rate * (0.01e0 / 0.06e0), 9) AS rate_d FROM (SELECT 'lean' AS mode, 0.03e0 AS rate UNION ALL SELECT 'normal', 0.06e0 UNION ALL SELECT 'audit', 0.12e0) t",
+    "r33_serendipity_potential": """
+        SELECT d.item_id, CASE WHEN d.anchor_distance >= 0.55e0 AND d.novelty >= 0.55e0 THEN 1e0 WHEN d.anchor_distance >= 0.55e0 THEN 0.5e0 ELSE 0e0 END AS potential FROM deep d""",
+    "r34_budget_state": f"""
+        SELECT m.spent, m.frac, max_by(l.stage, l.trig) AS stage, max(l.bar) AS bar, CAST(floor(greatest(0e0, 5e0 - m.spent) / m.per_call) AS BIGINT) AS affordable FROM
+        (SELECT round(sum(cost), 9) AS spent, round(sum(cost) / 5e0, 9) AS frac, avg(cost) AS per_call FROM usage_ledger WHERE created_at >= {NOW} - 30 * {DAY}) m
+        JOIN (SELECT 'normal' AS stage, 0e0 AS trig, 0.30e0 AS bar UNION ALL SELECT 'careful', 0.70e0, 0.42e0 UNION ALL SELECT 'tight', 1.00e0, 0.55e0 UNION ALL SELECT 'minimal', 1.35e0, 0.72e0) l
+        ON l.trig <= m.frac GROUP BY m.spent, m.frac, m.per_call""",
+    "r35_path_cost": """
+        SELECT model, round(sum(input_tokens * p) / 1e6, 9) AS sync_cost, round(sum((input_tokens - cached_tokens) * p + cached_tokens * p * 0.1e0) / 1e6, 9) AS cached_cost, round(sum(input_tokens * p) / 2e6, 9) AS batch_cost
+        FROM (SELECT u.*, CASE model WHEN 'cheap' THEN 0.2e0 ELSE 2e0 END AS p FROM usage_ledger u) t GROUP BY model""",
+    "r38_signals": """
+        SELECT i.item_id, coalesce(f.v, 0e0) + CASE WHEN coalesce(d.ragebait, 0e0) > 0.35e0 THEN 0e0 ELSE coalesce(o.n, 0) * 0.15e0 END AS signal FROM items i
+        LEFT JOIN (SELECT item_id, CAST(max(CASE kind WHEN 'excellent' THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM feedback GROUP BY item_id) f ON f.item_id = i.item_id
+        LEFT JOIN (SELECT item_id, count(*) AS n FROM opens GROUP BY item_id) o ON o.item_id = i.item_id LEFT JOIN deep d ON d.item_id = i.item_id
+        WHERE f.item_id IS NOT NULL OR o.item_id IS NOT NULL""",
+    "r40_source_value": """
+        SELECT s.source_id, round((coalesce(u.raw, 1e0) * coalesce(u.n, 0) + 0.5e0 * 8) / (coalesce(u.n, 0) + 8), 6) AS uniqueness,
+               round((coalesce(p.n, 0) + 0.5e0 * 8) / (coalesce(u.n, 0) + 8), 6) AS published_value FROM sources s
+        LEFT JOIN (SELECT source_id, count(*) AS n, avg(CASE WHEN lo = hi THEN 1e0 ELSE 0e0 END) AS raw FROM (SELECT source_id, min(source_id) OVER (PARTITION BY cluster_id) AS lo,
+          max(source_id) OVER (PARTITION BY cluster_id) AS hi FROM items) t GROUP BY source_id) u ON u.source_id = s.source_id
+        LEFT JOIN (SELECT source_id, count(*) AS n FROM published p JOIN items i ON i.item_id = p.item_id GROUP BY source_id) p ON p.source_id = s.source_id""",
+    "r47_first_week": """
+        SELECT a.n AS surfaced, b.n AS opened, round(b.n / (1e0 * a.n), 6) AS open_rate, c.repeats FROM (SELECT count(DISTINCT item_id) AS n FROM published) a
+        CROSS JOIN (SELECT count(DISTINCT p.item_id) AS n FROM published p JOIN opens o ON o.item_id = p.item_id) b
+        CROSS JOIN (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS repeats FROM (SELECT i.cluster_id, count(*) AS n FROM published p JOIN items i ON i.item_id = p.item_id GROUP BY i.cluster_id) t) c""",
+    "st4_late_lookback": f"SELECT item_id FROM items WHERE coalesce(publication_time, first_seen_at) >= {NOW} - 2 * 96 * {HOUR}",
+    "st8_extraction_ttl": f"SELECT i.item_id FROM items i WHERE i.status = 'triaged' AND NOT EXISTS (SELECT 1 FROM published p WHERE p.item_id % 400 = i.item_id % 400 AND p.published_at > {NOW} - 3 * {DAY})",
+    "q9_recent_items": """
+        SELECT i.item_id, i.title, i.source_id, c.action, d.novelty, f.feeds FROM items i LEFT JOIN cheap c ON c.item_id = i.item_id LEFT JOIN deep d ON d.item_id = i.item_id
+        LEFT JOIN (SELECT item_id, listagg(feed, ', ') WITHIN GROUP (ORDER BY feed) AS feeds FROM published GROUP BY item_id) f ON f.item_id = i.item_id
+        ORDER BY i.first_seen_at DESC, i.item_id LIMIT 100""",
+    "q10_item_detail": "SELECT i.item_id, i.title, i.status, c.action, c.triage_score, d.expected_attention_value, p.feed FROM items i LEFT JOIN cheap c ON c.item_id = i.item_id LEFT JOIN deep d ON d.item_id = i.item_id LEFT JOIN published p ON p.item_id = i.item_id WHERE i.item_id = 8",
+    "q13_miss_breakdown": """
+        SELECT band, content_type, count(*) AS resolved, round(sum(CASE audit_result WHEN 'KEEP' THEN 1e0 WHEN 'UNCERTAIN' THEN 0.5e0 ELSE 0e0 END) / count(*), 6) AS miss_rate
+        FROM audits WHERE audit_result IS NOT NULL GROUP BY GROUPING SETS ((band), (content_type))""",
+    "q17_cluster_members": """
+        SELECT cluster_id, listagg(title, ' | ') WITHIN GROUP (ORDER BY item_id) AS members FROM items GROUP BY cluster_id HAVING count(*) > 2 AND min(source_id) <> max(source_id)""",
+    "q21_pair_sweep": """
+        SELECT t, CAST(sum(CASE WHEN audit_score >= t AND would_have_published THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN audit_score >= t AND NOT would_have_published THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+               CAST(sum(CASE WHEN audit_score < t AND would_have_published THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM audits CROSS JOIN (SELECT 0.3e0 AS t UNION ALL SELECT 0.42e0 UNION ALL SELECT 0.6e0) q
+        WHERE would_have_published IS NOT NULL GROUP BY t""",
 }
 
 _PAIRS = """pairs AS (SELECT a.source_id AS source_a, b.source_id AS source_b, count(DISTINCT a.cluster_id) AS shared FROM (SELECT DISTINCT cluster_id, source_id FROM items) a
@@ -323,3 +381,8 @@ def text(name: str) -> str:
     from loomrank.sources.adapters import WITH
 
     return f"{WITH},\n{_PAIRS}\n{SQL[name]}"
+
+
+def oracle_text(name: str) -> str:
+    """The same statement in the checking engine's spelling of ordered string aggregation."""
+    return re.sub(r"listagg\((.+?), ('[^']*')\) WITHIN GROUP \(ORDER BY (\w+)\)", r"string_agg(\1, \2 ORDER BY \3)", text(name))

@@ -61,7 +61,7 @@ def u4_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n12_batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model output lines: ill-formed ones are kept with their error."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(F.col("event_id") % 5 == 0, "{oops").otherwise(F.col("props")).alias("line"))
-    return e.select("event_id", F.from_json("line", "k long").getField("k").alias("k"), F.try_parse_json("line").isNull().alias("failed"))
+    return e.select("event_id", F.coalesce(F.from_json("line", "k long").getField("k"), F.lit(-1).cast("long")).alias("k"), F.try_parse_json("line").isNull().alias("failed"))
 
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ ORACLE: dict[str, str] = {
     "n2_json_object": "SELECT event_id, props FROM events",
     "n7_accessible": "SELECT page_id, page_id % 2 <> 0 AS free FROM pages",
     "u4_resolve": "SELECT page_id, 'https://example.org/c/' || page_id AS url FROM pages",
-    "n12_batch_lines": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN json_extract(props, '$.k')::BIGINT END AS k, event_id % 5 = 0 AS failed FROM events",
+    "n12_batch_lines": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN json_extract(props, '$.k')::BIGINT ELSE -1 END AS k, event_id % 5 = 0 AS failed FROM events",
     "k2_rss": f"""SELECT feed, '<rss version="2.0"><channel><title>' || feed || '</title>' || string_agg('<item><title>' || {_ESC.format('title')} || '</title><link>' || {_ESC.format('url')} || '</link><guid>' || item_id ||
         '</guid><pubDate>' || strftime(make_timestamp(published_at * 1000), '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate></item>', '' ORDER BY place) || '</channel></rss>' AS body FROM {_TOP} GROUP BY feed""",
     "k1_atom": f"""SELECT feed, '<feed xmlns="http://www.w3.org/2005/Atom"><title>' || feed || '</title>' || string_agg('<entry><title>' || {_ESC.format('title')} || '</title><link href="' || {_ESC.format('url')} || '"/><id>' || item_id ||
