@@ -2,9 +2,11 @@
 
 Both take one candidate at a time and re-score the rest, so each pick depends on all picks before it. What does not
 depend on picks (base scores, gates, admission) is computed by Spark beforehand; multipliers never exceed 1, so candidates
-under the bar without picks can never be taken and are cut. Of the rest, no source can place more than `source_cap` and no
-category more than `category_cap` items, so only the best of each (source, category) are kept: the group that a task
-receives is bounded by sources x categories x cap, not by the number of items.
+under the bar without picks can never be taken and are cut. Of the rest only the best of each (source, category) go to
+the one task that picks, so its group is bounded by sources x categories, not by the number of items.
+For allocation this bound loses nothing: within a source and category the order never changes, and no more than the affordable
+calls can be bought. For editions the best 3 x SOURCE_CAP are kept, of which a source can place SOURCE_CAP; the result could differ
+from an unbounded search only if a dozen better ones of the same source and category were all shut out by their story, their minutes or a slot kept for exploration.
 """
 
 from __future__ import annotations
