@@ -37,21 +37,23 @@ _CODERS: dict = {}
 #: Pieces from this many bytes on go through the query that contracts several equal pairs a round.
 LONG = 48
 
-#: run: a token's piece, position, token and the token after it. One pair a piece and round: code orders pairs by rank, then position.
+#: run: a token's piece, place in the chunk, itself and the token after it. One pair a piece and round: code orders pairs by rank, then place, and is unique in
+#: the chunk, so that one sort by place serves all pieces.
 _CONTRACT = """
 WITH RECURSIVE run AS (
-  SELECT 0 AS round, piece, pos, tok, ntok FROM bytes WHERE NOT long
+  SELECT 0 AS round, piece, place, tok, ntok FROM bytes WHERE NOT long
   UNION ALL
-  SELECT round + 1, piece, pos, CASE WHEN code = best THEN best >> 24 ELSE tok END::INT,
-         CASE WHEN code = best THEN after WHEN next_code = best THEN best >> 24 ELSE ntok END::INT
+  SELECT round + 1, piece, place, CASE WHEN code = best THEN best >> 32 ELSE tok END::INT,
+         CASE WHEN code = best THEN after WHEN next_code = best THEN best >> 32 ELSE ntok END::INT
   FROM (
-    SELECT round, piece, pos, tok, ntok, code, min(code) OVER w AS best, lag(code) OVER w AS before_code,
-           lead(code) OVER w AS next_code, lead(ntok) OVER w AS after
-    FROM (SELECT run.*, (m.merged::BIGINT << 24) | pos AS code FROM run LEFT JOIN merges m ON m.pair = run.tok::BIGINT * 65536 + run.ntok)
-    WINDOW w AS (PARTITION BY piece ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-  WHERE best IS NOT NULL AND before_code IS DISTINCT FROM best)
-SELECT piece, list(tok ORDER BY pos) AS ids
-FROM (SELECT run.piece, pos, tok FROM run JOIN (SELECT piece, max(round) AS last FROM run GROUP BY piece) e ON e.piece = run.piece AND run.round = e.last)
+    WITH ranked AS MATERIALIZED (
+      SELECT run.*, (m.merged::BIGINT << 32) | place AS code FROM run LEFT JOIN merges m ON m.pair = run.tok::BIGINT * 65536 + run.ntok)
+    SELECT ranked.*, best, lag(code) OVER w AS before_code, lead(code) OVER w AS next_code, lead(ntok) OVER w AS after
+    FROM ranked JOIN (SELECT piece, min(code) AS best FROM ranked WHERE code IS NOT NULL GROUP BY piece) USING (piece)
+    WINDOW w AS (ORDER BY place))
+  WHERE before_code IS DISTINCT FROM best)
+SELECT piece, list(tok ORDER BY place) AS ids
+FROM (SELECT run.piece, place, tok FROM run JOIN (SELECT piece, max(round) AS last FROM run GROUP BY piece) e ON e.piece = run.piece AND run.round = e.last)
 GROUP BY piece
 """
 
@@ -132,7 +134,7 @@ class Coder:
         after = np.append(tok[1:], 0).astype(np.float64)
         after[ends - 1] = np.nan
         self.db.register("b", pd.DataFrame({
-            "piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "pos": (np.arange(len(tok)) - np.repeat(ends - n, n)).astype(np.int32),
+            "piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": np.arange(len(tok)), "pos": (np.arange(len(tok)) - np.repeat(ends - n, n)).astype(np.int32),
             "tok": tok, "ntok": pd.array(after, "Int32"), "long": np.repeat(n >= LONG, n)}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE bytes AS SELECT * FROM b")
         for query, needed in ((_CONTRACT, (n < LONG).any()), (_CONTRACT_LONG, (n >= LONG).any())):
