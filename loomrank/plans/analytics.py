@@ -327,3 +327,35 @@ def r39(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = j.groupBy("source_id").agg(F.count("*").alias("n"), (F.sum(F.when(F.col("kind") == "excellent", 5.0).otherwise(-5.0)) / (F.count("*") + 12)).alias("mean")).where("n >= 8")
     step = 0.04 * F.col("mean")
     return m.select("source_id", F.round(N.clamp(F.when(F.abs(step) < .0005, 0.0).otherwise(step), -.25, .40), 6).alias("learned"))
+
+
+_SIMS = "SELECT v.item_id, a.anchor_id, a.avoid, list_cosine_similarity(v.embedding::DOUBLE[], a.anchor::DOUBLE[]) AS c FROM vectors v, anchors a"
+
+
+def _anchor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, wanted (array of c, anchor_id): every vector against the profile's anchors; these are one row per interest, so they are broadcast."""
+    anchors = adapters.view(spark, sf_dir, "anchors").where("NOT avoid").select("anchor_id", "anchor")
+    v = adapters.view(spark, sf_dir, "vectors").crossJoin(F.broadcast(anchors))
+    return v.select("item_id", "anchor_id", N.cosine(F.col("embedding"), F.col("anchor")).alias("c"))
+
+
+@query("j16_item_anchors", f"SELECT item_id, anchor_id, round(c, 6) AS c FROM ({_SIMS}) WHERE NOT avoid")
+def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchor_scores(spark, sf_dir).select("item_id", "anchor_id", F.round("c", 6).alias("c"))
+
+
+@query("s6_top_mean", f"SELECT item_id, round(avg(c), 6) AS top FROM (SELECT item_id, c, row_number() OVER (PARTITION BY item_id ORDER BY c DESC) AS r FROM ({_SIMS}) WHERE NOT avoid) WHERE r <= 2 GROUP BY item_id")
+def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _anchor_scores(spark, sf_dir).groupBy("item_id").agg(F.collect_list("c").alias("cs"))
+    return g.select("item_id", F.round(N.top_mean(F.col("cs"), 2), 6).alias("top"))
+
+
+@query("r11_category", f"""
+    SELECT item_id, CASE WHEN source_id = 'src3' THEN 'games' WHEN b.anchor_id IS NOT NULL THEN CASE b.anchor_id WHEN 0 THEN 'ai_product' WHEN 1 THEN 'ideas_science' ELSE 'culture' END ELSE 'other' END AS category
+    FROM items LEFT JOIN (SELECT item_id, arg_max(anchor_id, c) AS anchor_id FROM ({_SIMS}) WHERE NOT avoid GROUP BY item_id) b USING (item_id)""")
+def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's forced category, else that of the best anchor, else other."""
+    best = _anchor_scores(spark, sf_dir).groupBy("item_id").agg(F.max_by("anchor_id", "c").alias("anchor_id"))
+    of_anchor = F.when(F.col("anchor_id") == 0, "ai_product").when(F.col("anchor_id") == 1, "ideas_science").when(F.col("anchor_id").isNotNull(), "culture")
+    forced = F.when(F.col("source_id") == "src3", "games")
+    return _items(spark, sf_dir).drop("category").join(best, "item_id", "left").select("item_id", F.coalesce(forced, of_anchor, F.lit("other")).alias("category"))
