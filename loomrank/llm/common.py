@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """docs with 0 for a null doc_id and a flag no_id: beside a null, pandas would hold the ids of a batch as floating point numbers."""
+    return docs.withColumn("no_id", F.isnull("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+
+
+def ids_of(pdf: pd.DataFrame) -> pd.Series:
+    """The ids of a batch of whole_ids(), integral and null where they were."""
+    return pdf["doc_id"].astype("Int64").mask(pdf["no_id"])
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

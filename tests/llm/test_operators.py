@@ -52,6 +52,20 @@ def test_exact_dedup_many_batches(spark):
     assert all((r["keep_id"], r["group_size"]) == ((2999, 2000) if r["doc_id"] % 3 else (r["doc_id"], 1)) for r in got)
 
 
+def test_exact_dedup_null_ids(spark, odd):
+    big = 2**53
+    rows = [(None, "a"), (big + 1, "a"), (big, "a"), (None, "a"), (None, "b"), (None, "c"), (7, "d"), (None, "d"), (None, None), (None, "")] + [(None, "b")] * 9
+    for d in (odd, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)):
+        groups = defaultdict(list)
+        for r in d.collect():
+            groups[r["text"] or ""].append(r["doc_id"])
+        want = []
+        for text, ids in groups.items():
+            top = max((i for i in ids if i is not None), default=None)
+            want += [(i, top, len(ids), None if i is None else i == top, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        assert sorted(map(repr, map(tuple, exact_dedup.exact_dedup(d, salts=3).collect()))) == sorted(map(repr, want))
+
+
 def brute_suffix(rows, width):
     seen, out = {}, {}
     for i in sorted({r[0] for r in rows}):
@@ -94,6 +108,21 @@ def test_suffix_dedup_odd(spark):
     check_suffix(spark, rows, docs_per_bucket=40)
 
 
+@pytest.mark.parametrize("top", [7, 2**53 + 1, 2**63 - 1])
+def test_suffix_dedup_null_ids(spark, odd, top):
+    line = "this very same passage of more than fifty bytes stands in many documents"
+    rows = [(None, "start " + line), (top, line), (top - 1, line + " end"), (None, line * 2), (None, "only rows without an id have this passage, and it is long enough"),
+            (None, "only rows without an id have this passage, and it is long enough"), (None, None)]
+    for own in (rows, [(r["doc_id"], r["text"]) for r in odd.collect()]):
+        # ranks stand for ids in the plain version, null's being the largest
+        ids = sorted({i for i, _ in own if i is not None}) + [None]
+        want = {ids[k]: v for k, v in brute_suffix([(ids.index(i), t) for i, t in own], 50).items()}
+        got = defaultdict(list)
+        for r in suffix_dedup.suffix_dedup(spark.createDataFrame(own, "doc_id long, text string").coalesce(1), digest=True).collect():
+            got[r["doc_id"]].append(tuple(r)[1:])
+        assert {i: sorted(v) for i, v in got.items()} == want
+
+
 def test_suffix_dedup_tiles(spark, monkeypatch):
     rng = random.Random(8)
     a = "".join(rng.choice("abcdefgh ") for _ in range(suffix_dedup.TILE + 5000))
