@@ -13,10 +13,10 @@ from loomrank.llm.byte_bpe import digests, public_vocabulary
 from loomrank.llm.common import DOC_COLUMNS, park, table
 from loomrank.llm.line_dedup import line_dedup
 from loomrank.llm.mixing import mix
-from loomrank.llm.ngram_join import ngram_join
+from loomrank.llm.ngram_join import classes_of, tag_of
 from loomrank.llm.quality_rules import quality_rules
 
-#: Ids of dropped near-duplicates are broadcast up to this many rows (8 bytes each); beyond it Spark joins by id.
+#: Ids of dropped near-duplicates are broadcast up to this many rows (16 bytes each); beyond it Spark joins by id.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -31,9 +31,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    gone = park(ngram_join(docs).where("doc_id <> class_id").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*DOC_COLUMNS)
+    """Of each class of near-duplicates one row stays: that of the smallest id (a null id is the largest), and of the smallest tag where an id has several texts."""
+    rows = park(classes_of(docs).select("comp", "doc_id", "tag"))
+    place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("tag"))
+    first = rows.groupBy("comp").agg(F.min(place).alias("first"))
+    texts = rows.groupBy("comp", "doc_id", "tag").agg(F.count("*").alias("n"))
+    marked = park(texts.join(first, "comp").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "n", (place == F.col("first")).alias("stays")))
+    gone, again = marked.where("not stays").select("_id", "_tag"), marked.where("stays and n > 1").select("_id", "_tag")
+    tagged = docs.select(*DOC_COLUMNS, tag_of().alias("tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    left = tagged.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    if again.isEmpty():
+        return left.select(*DOC_COLUMNS)
+    # rows of equal id and text: the one with the smallest other columns
+    rest = [c for c in DOC_COLUMNS if c != "doc_id"]
+    one = left.join(again, same, "left_semi").groupBy("doc_id", "tag").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return left.join(again, same, "left_anti").select(*DOC_COLUMNS).unionByName(one.select(*DOC_COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

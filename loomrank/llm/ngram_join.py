@@ -14,7 +14,7 @@ texts is spread over block pairs, and no link between different texts inside a c
 
 Defined results: texts with equal word sequences are copies: one class, not counted as links; texts of fewer than
 five words have one shingle, all their words; null, empty and blank texts are copies of each other; repeated rows
-are copies; an empty table gives no rows; other columns are ignored.
+are copies; rows that share an id are told apart by their text; null ids are larger than every other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import SPACES, components, park, small_batches, table
+from loomrank.llm.common import SPACES, components, ids_of, park, small_batches, table, whole_ids
 
 #: Candidates' ids are broadcast up to this many rows (40 bytes each); beyond it their texts are joined by id.
 BROADCAST_ROWS = 500_000
@@ -146,40 +146,52 @@ def _verify(threshold: float):
     return run
 
 
+def tag_of(text: str = "text") -> Column:
+    """A number that tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, digest of the word sequence, keys (a prefix hash per tree; empty without words)."""
+    """doc_id, tag, digest of the word sequence, keys (a prefix hash per tree; empty without words)."""
     def run(batches):
         for pdf in batches:
             lists = [word_list(t) for t in pdf["text"]]
             keys = prefixes(shingles(lists), trees, depth).view(np.int64)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "keys": [k if ws else k[:0] for k, ws in zip(keys, lists, strict=True)],
+                "doc_id": ids_of(pdf), "tag": pdf["tag"], "keys": [k if ws else k[:0] for k, ws in zip(keys, lists, strict=True)],
                 "digest": [hashlib.blake2b(" ".join(ws).encode("utf-8"), digest_size=16).digest() for ws in lists]})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, keys array<long>, digest binary")
+    return whole_ids(docs.select("doc_id", "text", tag_of().alias("tag"))).mapInPandas(run, "doc_id long, tag long, keys array<long>, digest binary")
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 6, recall: float = 0.9999,
+def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 6, recall: float = 0.9999,
                block: int = 512, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, class_id (smallest id of the class), rep_id (smallest id of equal word sequences), n_copies, n_links (to different texts)."""
-    spark = docs.sparkSession
+    """doc_id, tag, comp (a number of the class, also where ids are repeated or null) and the columns of ngram_join(), a row for each of docs."""
     signed = park(signatures(docs, trees, search_depth(trees, max_depth, threshold, recall)))
-    reps = park(signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.min_by("keys", "doc_id").alias("keys")))
-    nodes = reps.select("rep_id", F.explode("keys").alias("key"))
-    leads = nodes.groupBy("key").agg(F.min("rep_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    candidates = nodes.join(leads, "key").where("rep_id <> lead").select(F.col("rep_id").alias("a"), F.col("lead").alias("b")).distinct()
+    # the first row of a word sequence stands for it; ids may be shared by different texts, so sequences have numbers of their own
+    place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("tag"))
+    reps = park(signed.groupBy("digest").agg(F.min(place).alias("rep"), F.count("*").alias("n_copies"), F.min_by("keys", place).alias("keys"))
+                .select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"), "n_copies", "keys"))
+    nodes = reps.select("node", F.explode("keys").alias("key"))
+    leads = nodes.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    candidates = nodes.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     label = components(candidates)
     sizes = label.groupBy("comp").agg(F.count("*").alias("m"))
     members = park(label.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-                   .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+                   .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                   .join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag"), "id"))
     n = members.count()
     parts = max(1, -(-n // 400))
     # a block meets itself and every other block of its component
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
-    slim = members.select("id", "comp", "block", "blocks")
-    texts = docs.select("doc_id", "text").join(F.broadcast(slim) if n <= broadcast_rows else slim, F.col("doc_id") == F.col("id"))
+    slim = members.select("id", "comp", "block", "blocks", "rep_id", "rep_tag")
+    texts = (docs.select("doc_id", "text").join(F.broadcast(slim) if n <= broadcast_rows else slim,
+                                                F.col("doc_id").eqNullSafe(F.col("rep_id")) & (tag_of() == F.col("rep_tag")))
+             .select("id", "comp", "block", "blocks", "text"))
+    if not signed.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
     tasks = (texts.withColumn("meet", meets).select("id", "comp", "block", "blocks", "text", "meet.i", "meet.j")
              .withColumn("task", F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(parts))))
                          .otherwise(F.concat_ws("/", "comp", "i", "j"))))
@@ -187,11 +199,18 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
                  .applyInPandas(_verify(threshold), "id long, n_links long, peer long"))
     links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     classes = components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
-    table_of = (reps.select("digest", "rep_id", "n_copies")
-                .join(links.withColumnRenamed("id", "rep_id"), "rep_id", "left")
-                .join(classes.select(F.col("id").alias("rep_id"), F.col("comp").alias("class_id")), "rep_id", "left")
-                .select("digest", "rep_id", "n_copies", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return signed.select("doc_id", "digest").join(table_of, "digest").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
+    first = (classes.join(reps.select(F.col("node").alias("id"), "rep_id"), "id").groupBy("comp").agg(F.min("rep_id").alias("class_id")))
+    classes = classes.join(first, "comp").select(F.col("id").alias("node"), "comp", "class_id")
+    table_of = (reps.select("digest", "node", "rep_id", "n_copies")
+                .join(links.withColumnRenamed("id", "node"), "node", "left")
+                .join(classes, "node", "left")
+                .select("digest", "rep_id", "n_copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return signed.select("doc_id", "tag", "digest").join(table_of, "digest").select("doc_id", "tag", "comp", "class_id", "rep_id", "n_copies", "n_links")
+
+
+def ngram_join(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, class_id (smallest id of the class), rep_id (smallest id of equal word sequences), n_copies, n_links (to different texts); params as in classes_of()."""
+    return classes_of(docs, **params).select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

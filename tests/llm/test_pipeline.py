@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as p
 from loomrank.llm import byte_bpe, common, line_dedup, mixing, quality_rules
 
-from .test_operators import brute_join
+from .test_operators import brute_join, odd  # noqa: F401
 
 
 def test_run_equals_plain_version(spark, sf_dir):
@@ -35,3 +35,26 @@ def test_stages_of_empty_and_odd_tables(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_duplicates_keep_one_row_of_a_class(spark, odd, sf_dir):  # noqa: F811
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (None, c), (None, a + " tail"), (None, "alone"), (None, "alone"), (9, "x y"), (9, "x  y")]
+    d = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, d, sf_dir).collect()), key=repr)
+    assert [g for g in got if g[0] != 9] == sorted([(3, b), (5, a), (7, c), (None, "alone")], key=repr)
+    assert len([g for g in got if g[0] == 9]) == 1
+    # base (3, 4, 3 and null) and its longer version, blanks (0, 1, 2 and 0), and the rest each once
+    kept = [r["doc_id"] for r in p.near_duplicates(spark, odd, sf_dir).collect()]
+    want = {v[0] for v in brute_join([(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()]).values()}
+    assert sorted(kept) == sorted(want)
+
+
+def test_stages_of_odd_table(spark, odd, sf_dir):  # noqa: F811
+    docs, n = odd.select(*common.DOC_COLUMNS), odd.count()
+    want = {"line_dedup": n, "byte_bpe": n}
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, sf_dir)
+        assert name not in want or got.count() == want[name]
+        assert name == "byte_bpe" or got.columns == list(common.DOC_COLUMNS)
+        got.collect()
