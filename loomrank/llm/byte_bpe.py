@@ -1,18 +1,19 @@
 """Operator 6: byte-level BPE encoding and decoding by recursive DuckDB queries inside each partition.
 
 A text is cut by the vocabulary's pattern; pieces that are tokens already take their rank. All other new
-pieces of an Arrow batch become rows (piece, position, token), one per byte, and one recursive query per batch
+pieces of an Arrow batch become rows (piece, place, token), one per byte, and one recursive query per chunk
 joins neighbouring rows to the merge table (left token, right token, merged token), finds each piece's
-smallest merged rank and contracts it, leftmost first, until no pair is left. In long pieces equal pairs
-that don't overlap are contracted in one round, as far as no merge with the new token comes first. Ids are
+smallest merged rank and contracts its leftmost pair, until no pair is left. Ids are
 decoded by an ordered aggregation over (document, position, token) rows joined to the vocabulary.
 
+Pieces wider than two of the longest tokens are contracted in many places a round, where this can't change the result: see _WIDE.
+
 Pieces already solved by a Python worker are kept in a bounded dictionary. Vocabulary and merge table are
 fixed by the rank file (50,256 tokens), read by the driver and sent with the task, never read from
-executors' disks.
+executors' disks. DuckDB has no folder to spill to.
 
 Defined results: null text counts as empty; empty text has no ids (hash of the empty string); repeated rows get
-equal answers; very long texts are encoded whole; an empty table gives no rows; other columns are ignored.
+equal answers; a null id stays null; very long texts are encoded whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,75 +23,112 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import small_batches, table
+from loomrank.llm.common import ids_of, small_batches, table, whole_ids
 
-#: Solved pieces that a Python worker remembers (about 200 bytes each); beyond it starts anew.
+#: Solved pieces that a Python worker remembers, in two halves (about 200 bytes each): when the younger half is full, the older is dropped.
 MAX_KNOWN = 450_000
-#: Pieces that one recursive query solves at a time.
-CHUNK = 25_000
+#: Pieces that one recursive query solves at a time, and their bytes (unless a single one has more).
+CHUNK, CHUNK_BYTES = 25_000, 1 << 19
 _CODERS: dict = {}
 
-#: Pieces from this many bytes on go through the query that contracts several equal pairs a round.
-LONG = 48
-
-#: run: a token's piece, place in the chunk, itself and the token after it. One pair a piece and round: code orders pairs by rank, then place, and is unique in
-#: the chunk, so that one sort by place serves all pieces.
-_CONTRACT = """
-WITH RECURSIVE run AS (
-  SELECT 0 AS round, piece, place, tok, ntok FROM bytes WHERE NOT long
-  UNION ALL
-  SELECT round + 1, piece, place, CASE WHEN code = best THEN best >> 32 ELSE tok END::INT,
-         CASE WHEN code = best THEN after WHEN next_code = best THEN best >> 32 ELSE ntok END::INT
-  FROM (
-    WITH ranked AS MATERIALIZED (
-      SELECT run.*, (m.merged::BIGINT << 32) | place AS code FROM run LEFT JOIN merges m ON m.pair = run.tok::BIGINT * 65536 + run.ntok)
-    SELECT ranked.*, best, lag(code) OVER w AS before_code, lead(code) OVER w AS next_code, lead(ntok) OVER w AS after
-    FROM ranked JOIN (SELECT piece, min(code) AS best FROM ranked WHERE code IS NOT NULL GROUP BY piece) USING (piece)
-    WINDOW w AS (ORDER BY place))
-  WHERE before_code IS DISTINCT FROM best)
-SELECT piece, list(tok ORDER BY place) AS ids
-FROM (SELECT run.piece, place, tok FROM run JOIN (SELECT piece, max(round) AS last FROM run GROUP BY piece) e ON e.piece = run.piece AND run.round = e.last)
-GROUP BY piece
-"""
-
-#: The same for long pieces. All equal pairs that don't overlap go in one round, from the left, up to the first whose new token could merge earlier than the next of them.
-_CONTRACT_LONG = """
+#: run: a token's piece, place in the chunk, itself and the token after it. code orders a piece's pairs by rank, then place; best is the smallest of
+#: the piece. Codes are unique in the chunk, so that one sort by place serves all pieces. A finished piece (no best) stands in one round only.
+_NARROW = """
 WITH RECURSIVE run AS (
-  SELECT 0 AS round, piece, pos, tok FROM bytes WHERE long
+  WITH ranked AS MATERIALIZED (
+    SELECT b.place, b.piece, b.tok, b.ntok, (m.merged::BIGINT << 32) | b.place AS code FROM bytes b LEFT JOIN merges m ON m.pair = b.tok::BIGINT * 65536 + b.ntok WHERE NOT wide)
+  SELECT ranked.*, best FROM ranked LEFT JOIN (SELECT piece, min(code) AS best FROM ranked WHERE code IS NOT NULL GROUP BY piece) USING (piece)
   UNION ALL
-  SELECT round + 1, piece, pos, tok FROM (
-    SELECT round, piece, pos, CASE WHEN take THEN merged ELSE tok END AS tok,
-           bool_or(take) OVER (PARTITION BY piece) AS alive,
-           coalesce(lag(take) OVER (PARTITION BY piece ORDER BY pos), false) AS eaten
+  (WITH ranked AS MATERIALIZED (
+    SELECT x.*, (m.merged::BIGINT << 32) | x.place AS code
     FROM (
-      SELECT *, hit AND pos <= coalesce(stop, pos)
-                AND (row_number() OVER (PARTITION BY piece, hit, island ORDER BY pos)) % 2 = 1 AS take
-      FROM (
-        SELECT q.*, place - row_number() OVER (PARTITION BY q.piece, hit ORDER BY pos) AS island,
-               min(CASE WHEN hit AND (least(a.merged, b.merged, c.merged) < q.merged) THEN pos END) OVER (PARTITION BY q.piece) AS stop
-        FROM (SELECT *, merged IS NOT NULL AND merged = lowest AS hit FROM (
-          SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY piece) AS lowest
-          FROM (SELECT *, lag(tok) OVER w AS ptok, lead(tok) OVER w AS ntok, lead(tok, 2) OVER w AS nntok, row_number() OVER w AS place
-                FROM run WINDOW w AS (PARTITION BY piece ORDER BY pos)) p
-          LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 65536 + p.ntok)) q
-        LEFT JOIN merges a ON hit AND a.pair = q.ptok::BIGINT * 65536 + q.merged
-        LEFT JOIN merges b ON hit AND b.pair = q.merged::BIGINT * 65536 + q.nntok
-        LEFT JOIN merges c ON hit AND c.pair = q.merged::BIGINT * 65536 + q.merged)))
-  WHERE alive AND NOT eaten)
-SELECT piece, list(tok ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY piece) AS last FROM run) WHERE round = last GROUP BY piece
+      SELECT place, piece, CASE WHEN code = best THEN best >> 32 ELSE tok END::INT AS tok,
+             CASE WHEN code = best THEN after WHEN next_code = best THEN best >> 32 ELSE ntok END::INT AS ntok
+      FROM (SELECT *, lag(code) OVER w AS before_code, lead(code) OVER w AS next_code, lead(ntok) OVER w AS after
+            FROM run WHERE best IS NOT NULL WINDOW w AS (ORDER BY place))
+      WHERE before_code IS DISTINCT FROM best) x
+    LEFT JOIN merges m ON m.pair = x.tok::BIGINT * 65536 + x.ntok)
+  SELECT ranked.*, best FROM ranked LEFT JOIN (SELECT piece, min(code) AS best FROM ranked WHERE code IS NOT NULL GROUP BY piece) USING (piece)))
+SELECT piece, list(tok ORDER BY place) AS ids FROM run WHERE best IS NULL GROUP BY piece
 """
 
-_DECODE = """
-SELECT doc, string_agg(chars, '' ORDER BY pos) AS chars
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) JOIN vocabulary USING (id) GROUP BY doc
+
+def _wide_query(rank_bits: int) -> str:
+    """The recursive query for pieces wider than a cell. Cells are spans of two of the longest tokens; piece, cell and place rise together.
+
+    A merge is due at the largest rank on the way to it: time = max(own rank, times of both tokens), since a pair that has a
+    smaller rank than a token just made is merged at once. Pairs are therefore ordered by time, by the place of the token that set it,
+    by rank, and by place (key). All that could take a token away from a pair before its turn begins within its own
+    cell or the next to either side, so the smallest key of three cells is merged in any case, whatever else is (best).
+    Equal pairs that follow each other (chains: aaaa) are merged two by two from the left, in one round, if nothing smaller stands in
+    the cells around them and the new token has no earlier merge with what will stand beside it (mixing).
+    Rows are kept by place: a token that has been merged into the one before it is -1.
+    """
+    at = 62 - 2 * rank_bits
+    shift = at + rank_bits + 1
+    due = "greatest(m.merged, x.time, x.ntime)"
+    late = f"(m.merged < {due} AND x.ntime = {due})"
+
+    def keyed(x: str) -> str:
+        return f"""k AS MATERIALIZED (
+    SELECT x.*, m.merged, CASE WHEN m.merged IS NOT NULL THEN ((({due}::BIGINT << {at}) | (x.place::BIGINT + CASE WHEN {late} THEN x.len ELSE 0 END)) << {rank_bits + 1})
+      | (m.merged::BIGINT << 1) | (CASE WHEN {late} THEN 0 ELSE 1 END) END AS key
+    FROM ({x}) x LEFT JOIN merges m ON m.pair = x.tok::BIGINT * 65536 + x.ntok),
+  near AS (
+    SELECT cell, min(low) OVER (ORDER BY cell RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS best, min(low) OVER (ORDER BY cell RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around
+    FROM (SELECT cell, min(key) AS low FROM k GROUP BY cell))
+  SELECT place, piece, k.cell, len, tok, time, ntok, ntime, merged, key, best, around FROM k JOIN near USING (cell)"""
+
+    return f"""
+WITH RECURSIVE run USING KEY (place) AS (
+  WITH {keyed("SELECT place, piece, cell, 1 AS len, tok, 0 AS time, ntok, 0 AS ntime FROM bytes WHERE wide")}
+ UNION ALL
+  (WITH live AS MATERIALIZED (
+    SELECT *, lag(tok) OVER w AS ptok, lead(ntok) OVER w AS nntok, lead(len) OVER w AS nlen
+    FROM run WHERE tok >= 0 AND piece IN (SELECT piece FROM run WHERE best IS NOT NULL) WINDOW w AS (ORDER BY place)),
+  ties AS (
+    SELECT *, sum(CASE WHEN chained THEN 0 ELSE 1 END) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS chain
+    FROM (SELECT place, piece, cell, place + len + nlen AS upto, merged, ptok, nntok, around >> {shift} = merged AS clear,
+                 coalesce(lag(place + len) OVER w = place AND lag(merged) OVER w = merged, false) AS chained
+          FROM live WHERE key >> {shift} = merged AND best >> {shift} = merged WINDOW w AS (ORDER BY place))),
+  odds AS MATERIALIZED (
+    SELECT *, row_number() OVER c % 2 = 1 AS odd, first_value(clear) OVER c AS sound FROM ties WINDOW c AS (PARTITION BY chain ORDER BY place)),
+  mixing AS (
+    SELECT cell FROM (SELECT *, CASE WHEN lag(upto) OVER (ORDER BY place) = place THEN merged ELSE ptok END AS before FROM odds WHERE odd) o
+    LEFT JOIN merges a ON a.pair = o.before::BIGINT * 65536 + o.merged
+    LEFT JOIN merges b ON b.pair = o.merged::BIGINT * 65536 + o.nntok
+    LEFT JOIN merges c ON c.pair = o.merged::BIGINT * 65536 + o.merged
+    WHERE least(a.merged, b.merged, c.merged) < o.merged),
+  chosen AS (
+    SELECT place FROM (
+      SELECT place, odd, bool_and(sound AND cell NOT IN (SELECT unnest([cell - 1, cell, cell + 1]) FROM mixing)) OVER (PARTITION BY chain ORDER BY place) AS fine FROM odds)
+    WHERE odd AND fine
+    UNION SELECT place FROM live WHERE key = best),
+  taken AS (
+    SELECT *, coalesce(lag(take) OVER (ORDER BY place), false) AS eaten
+    FROM (SELECT live.*, c.place IS NOT NULL AS take FROM live LEFT JOIN chosen c USING (place))),
+  now AS (
+    SELECT place, piece, cell, CASE WHEN take THEN len + nlen ELSE len END AS len, CASE WHEN eaten THEN -1 WHEN take THEN merged ELSE tok END AS tok,
+           CASE WHEN take THEN greatest(merged, time, ntime) ELSE time END AS time, eaten FROM taken),
+  paired AS (
+    SELECT place, piece, cell, len, tok, time, CASE WHEN NOT eaten AND lead(piece) OVER w = piece THEN lead(tok) OVER w END AS ntok, lead(time) OVER w AS ntime
+    FROM now WINDOW w AS (PARTITION BY eaten ORDER BY place)),
+  {keyed("SELECT * FROM paired")})
+)
+SELECT piece, list(tok ORDER BY place) AS ids FROM run WHERE tok >= 0 GROUP BY piece
 """
 
 
+#: The connection has one thread, which keeps the order of the sorted rows for the aggregation.
+_DECODE = "SELECT doc, string_agg(chars, '') AS chars FROM (SELECT doc, chars FROM encoded JOIN vocabulary USING (id) ORDER BY pos) GROUP BY doc"
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a rank file."""
     with open(path, "rb") as lines:
@@ -109,64 +147,86 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return pairs, merged
 
 
+def _chunks(pieces: list[str]):
+    """Groups of at most CHUNK pieces and about CHUNK_BYTES; alike lengths together, so that long ones don't keep short ones waiting."""
+    group, held = [], 0
+    for p in sorted(pieces, key=len):
+        if group and (len(group) >= CHUNK or held + len(p) > CHUNK_BYTES):
+            yield group
+            group, held = [], 0
+        group.append(p)
+        held += len(p)
+    if group:
+        yield group
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*parts, np.empty(0)]).astype(np.int32))
+
+
 class Coder:
-    """Encodes and decodes in one DuckDB connection; one per task."""
+    """Encodes and decodes in one DuckDB connection; one per Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
 
-        self.ranks, self.cut, self.known = ranks, regex.compile(pattern), {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.ranks, self.cut, self.young, self.old = ranks, regex.compile(pattern), {}, {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         pairs, merged = merge_table(ranks)
-        self.db.register("m", pd.DataFrame({"pair": pairs, "merged": merged}))
+        self.db.register("m", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         # a byte stands as the character of its number, so that strings can be aggregated
-        self.db.register("v", pd.DataFrame({"id": list(ranks.values()), "chars": [t.decode("latin-1") for t in ranks]}))
-        self.db.execute("CREATE TABLE merges AS SELECT pair::BIGINT AS pair, merged::INT AS merged FROM m")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id::INT AS id, chars FROM v")
+        self.db.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]}))
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
+        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v ORDER BY id")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.cell = 2 * max(map(len, ranks))
+        self.wide = _wide_query(max(1, max(ranks.values()).bit_length()))
 
     def solve(self, pieces: list[str]) -> None:
-        """Ids of pieces that aren't tokens, into self.known."""
+        """Ids of pieces that aren't tokens, into self.young."""
         raw = [p.encode("utf-8") for p in pieces]
         n = np.array([len(p) for p in raw])
         tok = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
-        ends = np.cumsum(n)
-        after = np.append(tok[1:], 0).astype(np.float64)
-        after[ends - 1] = np.nan
-        self.db.register("b", pd.DataFrame({
-            "piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": np.arange(len(tok)), "pos": (np.arange(len(tok)) - np.repeat(ends - n, n)).astype(np.int32),
-            "tok": tok, "ntok": pd.array(after, "Int32"), "long": np.repeat(n >= LONG, n)}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE bytes AS SELECT * FROM b")
-        for query, needed in ((_CONTRACT, (n < LONG).any()), (_CONTRACT_LONG, (n >= LONG).any())):
+        ends, place = np.cumsum(n), np.arange(len(tok), dtype=np.int32)
+        last = np.zeros(len(tok), bool)
+        last[ends - 1] = True
+        cells = -(-n // self.cell)
+        # two cells stay empty between pieces, so that none sees its neighbours
+        first = np.cumsum(cells + 2) - cells - 2
+        self.db.register("bytes", pa.table({
+            "piece": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": place, "tok": tok,
+            "ntok": pa.array(np.append(tok[1:], np.int32(0)), mask=last), "wide": np.repeat(cells > 1, n),
+            "cell": (np.repeat(first, n) + (place - np.repeat(ends - n, n)) // self.cell).astype(np.int32)}))
+        for query, needed in ((_NARROW, (cells == 1).any()), (self.wide, (cells > 1).any())):
             if needed:
                 found = self.db.sql(query).to_arrow_table()
                 ids = found["ids"].combine_chunks()
                 flat, bounds = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
                 for k, start, end in zip(found["piece"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    self.known[pieces[k]] = flat[start:end]
+                    self.young[pieces[k]] = flat[start:end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut.findall(t) for t in texts]
-        if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-        known, hard = self.known, []
-        for p in set().union(*cut):
-            if p not in known:
-                rank = self.ranks.get(p.encode("utf-8"))
-                if rank is None:
-                    hard.append(p)
-                else:
-                    known[p] = rank.to_bytes(4, "little")
-        for k in range(0, len(hard), CHUNK):
-            self.solve(hard[k:k + CHUNK])
-        return [np.frombuffer(b"".join([known[p] for p in c]), "<u4") for c in cut]
+        if len(self.young) > MAX_KNOWN // 2:
+            self.young, self.old = {}, self.young
+        known, hard = self.young, []
+        for p in set().union(*cut).difference(known):
+            rank = self.ranks.get(p.encode("utf-8"))
+            if rank is not None:
+                known[p] = rank.to_bytes(4, "little")
+            elif p in self.old:
+                known[p] = self.old[p]
+            else:
+                hard.append(p)
+        for chunk in _chunks(hard):
+            self.solve(chunk)
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u4") for c in cut]
 
     def decode(self, encoded: list[np.ndarray]) -> list[bytes]:
-        import pyarrow as pa
-
-        ends = np.cumsum([0] + [len(e) for e in encoded]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(ends, np.concatenate([*encoded, np.empty(0)]).astype(np.int32))
-        self.db.register("encoded", pa.table({"doc": np.arange(len(encoded)), "ids": ids}))
+        n = np.array([len(e) for e in encoded], np.int64)
+        ids = np.concatenate([*encoded, np.empty(0)]).astype(np.int32)
+        self.db.register("encoded", pa.table({"doc": np.repeat(np.arange(len(n)), n), "pos": np.arange(len(ids)), "id": ids}))
         found = dict(self.db.sql(_DECODE).fetchall())
         return [found.get(k, "").encode("latin-1") for k in range(len(encoded))]
 
@@ -186,27 +246,26 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
         own = coder(ranks, pattern)
         for pdf in batches:
             ids = own.encode(pdf["text"].fillna("").tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.astype(np.int32) for i in ids], "decoded": own.decode(ids)})
+            yield pd.DataFrame({"doc_id": ids_of(pdf), "ids": [i.astype(np.int32) for i in ids], "decoded": own.decode(ids)})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """encode_decode() summed up: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    def sha(raw: bytes) -> str:
-        return hashlib.sha256(raw).hexdigest()
-
     def run(batches):
         own = coder(ranks, pattern)
         for pdf in batches:
             ids = own.encode(pdf["text"].fillna("").tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(i) for i in ids],
-                                "ids_sha256": [sha(",".join(map(str, i.tolist())).encode()) for i in ids],
-                                "decoded_sha256": [sha(b) for b in own.decode(ids)]})
+            lists = _lists(ids)
+            written = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), ",")
+            yield pd.DataFrame({"doc_id": ids_of(pdf), "n_tokens": [len(i) for i in ids],
+                                "ids_sha256": [hashlib.sha256(w.as_buffer()).hexdigest() for w in written],
+                                "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in own.decode(ids)]})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -38,10 +38,13 @@ def park(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts don't fill a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, so that very long texts don't fill a Python worker; bounds that are already smaller stay."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    held = str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def whole_ids(docs: DataFrame) -> DataFrame:

@@ -280,6 +280,20 @@ def test_bpe_equals_library(tokenizer):
     assert own.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_wide_pieces(tokenizer):
+    """Pieces of many cells, with chains, periods and pairs of smaller rank than their parts, come out as one pair at a time would make them."""
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = tokenizer
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, rng = byte_bpe.Coder(ranks, pattern), random.Random(5)
+    kinds = ["ab", "abn", "abc", "the", "aeiouhtns", "abcdefghijklmnopqrstuvwxyz", "éàü", "дежа", "日本語", "=-_.", "01"]
+    pieces = ["".join(rng.choice(rng.choice(kinds[:6])) for _ in range(rng.randint(0, 3))) + k * rng.randint(40, 120) for k in kinds]
+    pieces += ["".join(rng.choice(k) for _ in range(rng.randint(67, 400))) for k in kinds for _ in range(12)] + ["q" * 30_000, "aab" * 9_000]
+    pieces = sorted({p for p in pieces if len(p.encode()) > own.cell})
+    own.solve(pieces)
+    assert {p: np.frombuffer(own.young[p], "<u4").tolist() for p in pieces} == {p: enc._encode_single_piece(p.encode()) for p in pieces}
+
+
 def test_bpe_odd(odd, empty, tokenizer):
     got = byte_bpe.encode_decode(odd, *tokenizer).collect()
     want = sorted((str(r["doc_id"]), (r["text"] or "").encode()) for r in odd.collect())
