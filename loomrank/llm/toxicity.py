@@ -5,9 +5,10 @@ stand for stems, which inflecting languages need). For each labelled sentence th
 group, sentences with the term swapped for others of its kind are made, and the squared change of the
 logit is penalised while fitting: neutral mentions of a group can't move the score.
 
-The model is fitted on the driver from a bounded sample of labelled rows (max_train_rows of the smallest id
-hash; at most `vocabulary` features and max_pairs swapped sentences; documented bounds). Only the weighted
-marks go to the executors, which score every whole text.
+The model is fitted on the driver from a bounded sample of labelled rows (the max_train_rows different rows of the smallest
+hash; at most `vocabulary` features; documented bounds). All their sentences and all swaps within a kind count: what the
+driver gets of them is each different change of features with its number, which the executors add up. Only the weighted
+marks go back to the executors, which score every whole text.
 
 Defined results: null and empty texts score the intercept alone; without labelled rows, or with
 one label only, every score is next to 0, or to 1 where that label is 1; repeated rows get equal scores; an empty table
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import park, small_batches, table
+from loomrank.llm.common import ids_of, park, small_batches, table, whole_ids
 from loomrank.llm.language_id import held_out
 
 #: Identity terms by kind; a term may be swapped for any other of its kind.
@@ -51,36 +52,37 @@ def marks(found: set[str]) -> set[str]:
     return found.union(*({w[:k] + "-" for w in found if len(w) > k} for k in STEMS))
 
 
-def sentences(text: str, at_most: int = 20) -> list[set[str]]:
+def sentences(text: str) -> list[set[str]]:
     """Word sets of sentences that name an identity group."""
     known = {t for kind in IDENTITY for t in kind}
     found = (words(x) for x in re.split(r"[.!?\n]+", text))
-    return [x for x in found if x & known][:at_most]
+    return [x for x in found if x & known]
 
 
-def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], size: int,
+def fit(rows: list[tuple[list[int], int]], swaps: list[tuple[list[int], list[int], int]], size: int,
         l2: float = 1e-3, swap: float = 5.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """(weights, intercept) from (marks present, label) rows and (sentence, swapped sentence) pairs, by full-batch Adam."""
+    """(weights, intercept) from (marks present, label) rows and (marks gone, marks come, number) of swaps, by full-batch Adam."""
     y = np.array([label for _, label in rows], float)
     w = np.zeros(size, np.float32)
     if not len(y) or y.min() == y.max():
         return w, 40.0 if len(y) and y[0] else -40.0
     n, pos = len(y), y.sum()
-    x, d = np.zeros((n, size), np.float32), np.zeros((len(pairs), size), np.float32)
+    x = np.zeros((n, size), np.float32)
     for i, (at, _) in enumerate(rows):
         x[i, at] = 1
-    for i, (one, other) in enumerate(pairs):
-        d[i, one] += 1
-        d[i, other] -= 1
+    # mean square of the changes in the logit, as a matrix of the features' changes
+    gram = np.zeros((size, size), np.float32)
+    for gone, come, times in swaps:
+        at, sign = np.array(gone + come, int), np.array([1] * len(gone) + [-1] * len(come), np.float32)
+        gram[np.ix_(at, at)] += times * np.outer(sign, sign)
+    gram /= max(1, sum(times for _, _, times in swaps))
     b = float(np.log(pos / (n - pos)))
     balance = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
         e = (balance * (p - y) / n).astype(np.float32)
-        gw, gb = x.T @ e + l2 * w, float(e.sum())
-        if len(pairs):
-            gw += (2 * swap / len(pairs)) * (d.T @ (d @ w))
+        gw, gb = x.T @ e + l2 * w + 2 * swap * (gram @ w), float(e.sum())
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         r = rate * (1 - t / (steps + 1))
         w -= (r * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
@@ -88,20 +90,19 @@ def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int
     return w, b
 
 
-def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 1500, least_chi2: float = 25.0,
-          max_pairs: int = 5000) -> tuple[dict[str, float], float]:
-    """(weight by mark, intercept) from the max_train_rows rows of labelled(doc_id, text, toxic) with the smallest id hashes.
+def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 1500, least_chi2: float = 25.0) -> tuple[dict[str, float], float]:
+    """(weight by mark, intercept) from the max_train_rows rows of labelled(doc_id, text, toxic) with the smallest hashes; equal rows count once.
 
     Spark counts the marks of those rows by label; marks of three rows or more with a chi-squared of least_chi2 or more, the
     best `vocabulary` of them, and the identity terms are the features. The driver gets feature numbers only.
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    hashed = labelled.where("toxic is not null").withColumn("_h", F.xxhash64("doc_id"))
+    label = (F.col("toxic") > 0).cast("int")
+    hashed = labelled.where("toxic is not null").select("text", label.alias("label"), F.xxhash64("doc_id", "text", label).alias("_h"))
     # only hashes are sorted: the sample's texts never meet in one task
-    last = hashed.select("_h").orderBy("_h").limit(max_train_rows).agg(F.max("_h")).first()[0]
-    few = park(hashed.where(F.col("_h") <= F.lit(last).cast("long")).select("text", (F.col("toxic") > 0).cast("int").alias("label"), "doc_id")
-               .repartition(12, "doc_id"))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(max_train_rows).agg(F.max("_h")).first()[0]
+    few = park(hashed.where(F.col("_h") <= F.lit(last).cast("long")).repartition(12, "_h").dropDuplicates(["_h"]))
 
     def tally(batches):
         for pdf in batches:
@@ -129,16 +130,27 @@ def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 150
         for s in sentences(text) if isinstance(text, str) else ():
             for kind in IDENTITY:
                 for term in sorted(s & set(kind)):
-                    yield s, s - {term} | {kind[(kind.index(term) + 1) % len(kind)]}
+                    had = marks(s) & index.keys()
+                    for other in kind:
+                        if other != term:
+                            has = marks(s - {term} | {other}) & index.keys()
+                            yield tuple(sorted(index[k] for k in had - has)), tuple(sorted(index[k] for k in has - had))
 
     def gather(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [numbered(words(t)) for t in pdf["text"]],
-                                "swaps": [[[numbered(one), numbered(other)] for one, other in swaps(t)] for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["_h"], "label": pdf["label"], "at": [numbered(words(t)) for t in pdf["text"]]})
 
-    got = few.mapInPandas(gather, "doc_id long, label int, at array<int>, swaps array<array<array<int>>>").collect()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["at"]))
-    w, b = fit([(r["at"], r["label"]) for r in got], [tuple(p) for r in got for p in r["swaps"]][:max_pairs], len(index))
+    def changes(batches):
+        for pdf in batches:
+            seen = Counter(c for t in pdf["text"] for c in swaps(t))
+            if seen:
+                yield pd.DataFrame({"gone": [list(g) for g, _ in seen], "come": [list(c) for _, c in seen], "times": list(seen.values())})
+
+    got = few.select("_h", "label", "text").mapInPandas(gather, "h long, label int, at array<int>").collect()
+    got.sort(key=lambda r: r["h"])
+    swapped = (few.select("text").mapInPandas(changes, "gone array<int>, come array<int>, times long")
+               .groupBy("gone", "come").agg(F.sum("times").alias("times")).collect())
+    w, b = fit([(r["at"], r["label"]) for r in got], sorted((list(r["gone"]), list(r["come"]), r["times"]) for r in swapped), len(index))
     return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, float(b)
 
 
@@ -148,10 +160,10 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
         for pdf in batches:
             z = [intercept + sum(weights[w] for w in sorted(marks(words(t)) & weights.keys())) for t in pdf["text"]]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s})
+            yield pd.DataFrame({"doc_id": ids_of(pdf), "held_out": pdf["held_out"], "score": s})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    return whole_ids(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInPandas(run, "doc_id long, held_out boolean, score double")
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
