@@ -4,8 +4,8 @@ For each language some labelled texts, lower-cased, become a raw-content diction
 every block of the whole text is compressed with every dictionary, and the language with the smallest sum
 wins. The margin to the runner-up is the score; a margin under `min_margin` sets `rejected`.
 
-Dictionaries come from a bounded sample of labelled rows: docs_per_lang texts of the smallest id hash for
-each language, dict_bytes bytes in all (documented bounds; nothing else is sampled).
+Dictionaries come from a bounded sample of labelled rows: docs_per_lang different texts of the smallest hash for
+each language, cut whole into passages, of which those of the smallest hash fill dict_bytes bytes (documented bounds; nothing else is sampled).
 
 Defined results: null text and text without a letter are `und` with score 0; ties go to the language that
 sorts first; repeated rows get equal answers; without any labelled text everything is `und`; an empty
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomrank.llm.common import small_batches, table
+from loomrank.llm.common import ids_of, small_batches, table, whole_ids
 
 BLOCK = 8192
 #: Matches from four bytes on, found by lazy search: short words count, which the stock levels skip.
@@ -33,19 +33,20 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def dictionaries(train: DataFrame, docs_per_lang: int = 96, dict_bytes: int = 48_000) -> dict[str, bytes]:
-    """Raw dictionary content by language, from train(doc_id, text, lang)."""
-    few = (train.where("lang is not null and text is not null")
-           .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-           .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_lang))
-    picked = [r["doc_id"] for r in few.select("doc_id").collect()]
-    rows = (train.where(F.col("doc_id").isin(picked)).select("lang", "doc_id", F.substring("text", 1, dict_bytes).alias("text"))
-            .where("lang is not null and text is not null").collect())
+def dictionaries(train: DataFrame, docs_per_lang: int = 96, dict_bytes: int = 48_000, passage: int = 400) -> dict[str, bytes]:
+    """Raw dictionary content by language, from train(doc_id, text, lang). The driver gets at most 4 * dict_bytes / passage passages a language."""
+    known = train.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    first = lambda by: F.row_number().over(Window.partitionBy("lang").orderBy(by))
+    picked = known.select("lang", "h").distinct().withColumn("r", first("h")).where(F.col("r") <= docs_per_lang).drop("r")
+    few = known.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    cut = few.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{passage}}}"), F.lit(0))).alias("part"))
+    rows = (cut.select("lang", "part", F.xxhash64("part").alias("h")).dropDuplicates(["lang", "h"])
+            .withColumn("r", first("h")).where(F.col("r") <= 4 * dict_bytes // passage).collect())
     content: dict[str, bytes] = {}
-    share = max(64, dict_bytes // docs_per_lang)
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
-        whole = r["text"].lower().encode("utf-8")
-        content[r["lang"]] = (content.get(r["lang"], b"") + whole[:3 * share] + b"\n")[:dict_bytes]
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
+        had = content.get(r["lang"], b"")
+        if len(had) < dict_bytes:
+            content[r["lang"]] = (had + r["part"].lower().encode("utf-8", "replace") + b"\n")[:dict_bytes]
     return {k: v for k, v in content.items() if len(v) > 8}
 
 
@@ -75,11 +76,11 @@ def predict(docs: DataFrame, content: dict[str, bytes], min_margin: float = 0.00
 
         for pdf in batches:
             out = [judged(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": [o[0] for o in out],
+            yield pd.DataFrame({"doc_id": ids_of(pdf), "held_out": pdf["held_out"], "lang_pred": [o[0] for o in out],
                                 "score": [o[1] for o in out], "rejected": [o[2] for o in out]})
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
+    return whole_ids(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInPandas(
         run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
