@@ -11,7 +11,9 @@ is spread like any other. Targets are computed on one row per source.
 
 Defined results: sources go by code point, null last; null or empty text has size 0 and is taken 0 times;
 the document on which the budget ends is taken if that brings the total nearer; equal keys go by id, then
-size; a null id draws one fixed key; an empty table gives no rows; other columns are carried.
+size, then a hash of the row; rows equal in all of these are counted as one before sorting, and as many of them
+are taken as the budget holds; a null id draws one fixed key; an empty table gives no rows; other columns are carried,
+those named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -62,18 +64,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
         F.col("cap").cast("double"), F.coalesce(final * F.col("w"), F.lit(0.0))), 6).alias("target"))
 
 
-ORDER = ["_key", "doc_id", "size"]
+ORDER = ["_key", "doc_id", "size", "_row"]
 
 
 def _draw(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "_key": -F.log(unit(F.col("doc_id"))) / quality(F.col("text"))})
+    return docs.withColumns({"_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]),
+                             "size": F.size(words_of(F.col("text"))).cast("long"), "_key": -F.log(unit(F.col("doc_id"))) / quality(F.col("text"))})
 
 
-def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """(drawn rows sorted into parked partitions, one row per source with its target, whole epochs and edge)."""
+def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """One row per source with its target, whole epochs, edge (the last rows taken once more), how many rows the edge has and how many of them are taken."""
     n = max(2, int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = park(drawn.select("source", *ORDER).repartitionByRange(n, "source", *ORDER).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy("source", "_part").agg(F.sum("size").alias("part_size"))
+    counted = drawn.groupBy("source", *ORDER).agg(F.count("*").alias("_n"))
+    ranged = park(counted.repartitionByRange(n, "source", *ORDER).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("source", "_part").agg(F.sum(F.col("size") * F.col("_n")).alias("part_size"))
     goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights)
     goal = park(goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")))
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,35 +86,48 @@ def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, DataFr
                .select("_s", F.col("_part").alias("_p"), "before_part", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
                .where(F.col("before_part") <= F.col("rest")))
     inside = Window.partitionBy("source", "_part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    left = F.col("rest") - F.col("before_part") - F.col("before") - F.col("size") / 2
+    most = F.when(F.col("size") > 0, F.least(F.col("_n"), F.floor(left / F.col("size")) + 1)).otherwise(F.col("_n"))
+    edge = (ranged.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("_n")).over(inside), F.lit(0)))
             .join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
-            .where((F.col("rest") > 0) & (F.col("before_part") + F.col("before") + F.col("size") / 2 <= F.col("rest")))
-            .groupBy(F.col("source").alias("_e")).agg(F.max(F.struct(*ORDER)).alias("_edge")))
-    plan = park(goal.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
-                .select(F.col("source").alias("_s"), "source_size", "target", "whole", "_edge"))
-    return ranged.drop("_part"), plan
+            .where((F.col("rest") > 0) & (left >= 0)).withColumn("_most", most)
+            .groupBy(F.col("source").alias("_e")).agg(F.max(F.struct(*ORDER, "_n", "_most")).alias("_last")))
+    return park(goal.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
+                .select(F.col("source").alias("_s"), "source_size", "target", "whole",
+                        F.when(F.col("_last").isNotNull(), F.struct(*[F.col(f"_last.{c}") for c in ORDER])).alias("_edge"), "_last._n", "_last._most"))
 
 
-def _apply(drawn: DataFrame, plan: DataFrame, broadcast_rows: int) -> DataFrame:
+def _apply(drawn: DataFrame, plan: DataFrame, broadcast_rows: int, lot: int = 4096) -> DataFrame:
+    split = not plan.where("_most < _n").isEmpty()
     if plan.count() <= broadcast_rows:
         plan = F.broadcast(plan)
-    once_more = F.when(F.struct(*ORDER) <= F.col("_edge"), 1).otherwise(0)
-    return (drawn.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-            .withColumn("epochs", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + once_more).cast("long"))
+    met = drawn.drop("source_size", "target", "epochs", "taken", "whole").join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    place = F.struct(*ORDER)
+    met = met.withColumn("_more", F.when(place <= F.col("_edge"), 1).otherwise(0))
+    if split:
+        # equal rows, of which some are taken once more: counted, then dealt out in lots, so that none meets all of them
+        shared = F.coalesce((place == F.col("_edge")) & (F.col("_most") < F.col("_n")), F.lit(False))
+        names = met.columns
+        equal = met.where(shared).groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count("*").alias("_copies"))
+        equal = equal.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / lot)))).repartition("_row", "_lot")
+        equal = equal.withColumn("_i", F.explode(F.sequence(F.col("_lot") * lot, F.least(F.col("_copies"), (F.col("_lot") + 1) * lot) - 1)))
+        met = met.where(~shared).unionByName(equal.withColumn("_more", F.when(F.col("_i") < F.col("_most"), 1).otherwise(0)).select(*[F.col(f"`{c}`") for c in names]))
+    return (met.withColumn("epochs", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("_more")).cast("long"))
             .withColumn("taken", F.col("size") * F.col("epochs"))
-            .drop("_s", "_edge", "_key", "whole"))
+            .drop("_s", "_edge", "_n", "_most", "_more", "_key", "_row", "whole"))
 
 
 def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole ones), taken (words, repeats counted); texts are read once."""
-    return _apply(*_plan(_draw(docs), weights), broadcast_rows)
+    drawn = park(_draw(docs.select("doc_id", "source", "text")).select("source", *ORDER))
+    return _apply(drawn, _plan(drawn, weights), broadcast_rows)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with the columns of shares(). Only ids, keys and sizes are sorted; a source's edge, the last (key, id, size)
-    that is taken once more, is laid against the documents where they lie, so texts are never shuffled."""
+    """docs with the columns of shares(). Only ids, keys and sizes are sorted; a source's edge, the last (key, id, size, row hash)
+    that is taken once more, is laid against the documents where they lie, so texts are never shuffled (but for equal rows on an edge)."""
     drawn = _draw(docs)
-    return _apply(drawn, _plan(drawn, weights)[1], broadcast_rows)
+    return _apply(drawn, _plan(drawn, weights), broadcast_rows)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
