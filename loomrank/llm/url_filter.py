@@ -46,16 +46,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character, from the counts of the distinct characters."""
+    """Bits per character of the whole text: its characters are sorted and the lengths of equal runs added up."""
     def of(chars):
-        n = F.greatest(F.size(chars), F.lit(1))
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - bind(
-            F.size(F.filter(chars, lambda x: x == c)) / n, lambda p: p * F.log2(p)))
-    return bind(F.filter(F.split(F.substring(text, 1, 4096), ""), lambda c: c != ""), of)
+        start = F.struct(F.lit("").alias("c"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+        closed = lambda a: a["sum"] + F.when(a["run"] > 1, a["run"] * F.log2(a["run"].cast("double"))).otherwise(0.0)
+        runs = F.aggregate(F.array_sort(chars), start, lambda a, x: F.when(a["c"] == x, F.struct(
+            a["c"].alias("c"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("c"), F.lit(1).alias("run"), closed(a).alias("sum"))), closed)
+        return F.when(F.size(chars) > 0, F.log2(F.size(chars).cast("double")) - runs / F.size(chars)).otherwise(0.0)
+    return bind(F.filter(F.split(text, ""), lambda c: c != ""), of)
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """urls(url, host, path) with the features that need no other row. Entropy is of the first 4096 characters of the host and path."""
+    """urls(url, host, path) with the features that need no other row."""
     url = F.coalesce("url", F.lit(""))
     n = F.length(url)
     return urls.withColumns({
@@ -89,7 +91,7 @@ def url_filter(urls: DataFrame, labelled: DataFrame, trees: int = 10, depth: int
         stats = F.broadcast(stats)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     share = max_train_rows / totals["rows"]
-    train = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("url"), F.lit(10**6)) < int(share * 10**6))
+    train = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("url"), F.lit(2**52)) < int(share * 2**52))
     train = park(lexical(train).join(stats, "suffix", "left").fillna(0.0, list(FEATURES)).select(*FEATURES, "blocked"))
     model = GBTClassifier(featuresCol="_features", labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(assemble.transform(train))
     scored = model.transform(assemble.transform(ready.join(stats, "suffix", "left").fillna(0.0, list(FEATURES))))
