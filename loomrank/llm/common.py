@@ -77,22 +77,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, broadcast_rows: int = 100_000) -> DataFrame:
     """Connected components of edges(a, b): one row (id, comp) per endpoint, comp being the smallest id.
 
     Each round gives every vertex the smallest label among itself and its neighbours and then follows
     the label of that label (pointer jumping), so stars end in two rounds and chains in about
-    log(length). Vertices are spread by id; a hub's neighbours are pre-aggregated before the shuffle.
+    log(length). Vertices are spread by id. Many vertices follow few labels: those labels' own labels are broadcast up to
+    broadcast_rows of them, so that a large component doesn't gather in one task; beyond it no label can be hot for long, and they are joined.
     """
     both = park(edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
                 .union(edges.select("b", "a")).where("x <> y").distinct())
     label = park(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("comp")))
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("comp").alias("m"))
-        step = (label.join(near, label.id == near.x)
-                .select("id", "comp", F.least("comp", "m").alias("new")))
-        jump = step.select(F.col("id").alias("via"), F.col("new").alias("far"))
-        done = park(step.join(jump, step.new == jump.via, "left")
+        step = park(label.join(near, label.id == near.x).select("id", "comp", F.least("comp", "m").alias("new")))
+        used = step.select(F.col("new").alias("via")).distinct()
+        jump = park(step.join(used, step.id == used.via).select("via", F.col("new").alias("far")))
+        follow = F.broadcast(jump) if jump.count() <= broadcast_rows else jump
+        done = park(step.join(follow, step.new == F.col("via"), "left")
                     .select("id", F.least("new", F.coalesce("far", "new")).alias("comp"), F.col("comp").alias("was")))
         label = done.select("id", "comp")
         if done.where("comp <> was").isEmpty():

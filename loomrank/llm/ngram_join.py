@@ -1,14 +1,18 @@
 """Operator 3: n-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 Texts are sets of shingles of five words. Every distinct word sequence gets one MinHash signature, read as
-`trees` paths of at most `max_depth` values. Two texts are candidates if they share a prefix in some tree's
-trie; prefixes start at full depth and are shortened, all trees alike, until the expected recall at
-the threshold reaches `recall`, so only the levels that the search ends at are hashed.
-
-Candidates are never listed pair by pair. Trie nodes link their members to their smallest id, the links'
-connected components are cut into blocks of at most about `block` texts, and every pair of blocks of a
-component is verified in one task: exact intersections of whole shingle sets, pairs within it counted,
-not emitted. A task returns one row per text: its number of links there and a smaller id of its linked
+`trees` paths of `max_depth` values. A tree's trie is its sorted paths: rows are range-partitioned and sorted by (tree, path),
+and what two neighbours' paths share is the length of the prefix at which the trie parts them. So one sort gives the candidates of
+every prefix length, and neighbours suffice: all texts below a trie node stand in a row. Hot prefixes are cut by the ranges like any others.
+
+Prefixes are matched at full depth first and shortened, all trees alike, until the target recall: the pairs met, with their
+similarity as the whole signatures estimate it, say how many such pairs prefixes of that length miss
+(the chance of meeting at depth d is 1 - (1 - s^d)^trees), and the worst band of similarities decides. They are never shortened below the
+length at which even pairs at the threshold reach the target.
+
+Candidates are never listed pair by pair. The links' connected components are cut into blocks of at most about `block` texts, and every pair of blocks of a
+component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
+not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
 group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
 texts is spread over block pairs, and no link between different texts inside a component is lost.
 
@@ -30,6 +34,8 @@ from loomrank.llm.common import SPACES, components, ids_of, park, small_batches,
 
 #: Candidates' ids are broadcast up to this many rows (40 bytes each); beyond it their texts are joined by id.
 BROADCAST_ROWS = 500_000
+#: At most this many word sequences count as hot, with so many copies that their rows are not gathered by digest but meet a broadcast.
+HOT_DIGESTS = 100_000
 _BLANK = str.maketrans(dict.fromkeys(SPACES, " "))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,31 +68,45 @@ def expected_recall(depth: int, trees: int, threshold: float) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
-def search_depth(trees: int, max_depth: int, threshold: float, recall: float) -> int:
-    """Prefix length after shortening: the longest whose expected recall at the threshold reaches the target."""
+def least_depth(trees: int, max_depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix at which pairs at the threshold reach the target: shortening goes no further."""
     depth = max_depth
     while depth > 1 and expected_recall(depth, trees, threshold) < recall:
         depth -= 1
     return depth
 
 
-def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """(text, tree) hashes of the signature's prefixes; rows of empty sets are 0."""
+def search_depth(met: list[tuple[int, int, int]], values: int, trees: int, least: int, max_depth: int, threshold: float, recall: float) -> int:
+    """Prefix length after shortening, from (equal values of the signatures, shared prefix, number) of the pairs met."""
+    bands: dict[int, list[tuple[float, int, int]]] = {}
+    for same, lcp, n in met:
+        likely = same / values
+        if likely >= threshold - 0.02:
+            bands.setdefault(int(likely * 20), []).append((max(likely, threshold), lcp, n))
+    for depth in range(max_depth, least, -1):
+        worst = 1.0
+        for pairs in bands.values():
+            found = sum(n for _, lcp, n in pairs if lcp >= depth)
+            every = sum(n / expected_recall(depth, trees, s) for s, lcp, n in pairs if lcp >= depth)
+            worst = min(worst, found / every if every else 0.0)
+        if worst >= recall:
+            return depth
+    return least
+
+
+def minhashes(sets: list[np.ndarray], values: int) -> np.ndarray:
+    """(text, value) 32-bit MinHash signatures; rows of empty sets are 0."""
     rng = np.random.default_rng(20)
-    a = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) | np.uint64(1)
-    out = np.zeros((len(sets), trees), np.uint64)
+    a = rng.integers(1, 2**63, values, dtype=np.uint64) | np.uint64(1)
+    out = np.zeros((len(sets), values), ">u4")
     full = [i for i, s in enumerate(sets) if len(s)]
     if not full:
         return out
     flat = np.concatenate([sets[i] for i in full])
     starts = np.cumsum([0] + [len(sets[i]) for i in full[:-1]])
-    for t in range(trees):
-        key = np.full(len(full), t + 1, np.uint64)
-        for k in range(depth):
-            low = np.minimum.reduceat((flat * a[t * depth + k]) ^ (flat >> np.uint64(17)) * a[t * depth - k - 1], starts)
-            key = (key ^ low) * _MIX
-            key ^= key >> np.uint64(31)
-        out[full, t] = key
+    turned = flat ^ (flat >> np.uint64(17))
+    for k in range(values):
+        out[full, k] = np.minimum.reduceat((turned * a[k]) >> np.uint64(32), starts)
     return out
 
 
@@ -116,6 +136,15 @@ def linked(sets: list[np.ndarray], threshold: float, split: int | None = None) -
     return yes
 
 
+def _chain(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each row the next smaller id of its group, or its own where it is the smallest: chains instead of stars, so that no id meets all others."""
+    order = np.lexsort((ids, low))
+    out = ids.copy()
+    inner = np.nonzero(low[order][1:] == low[order][:-1])[0] + 1
+    out[order[inner]] = ids[order[inner - 1]]
+    return out
+
+
 def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest id of each row's group under the links a[i]-b[i] (row numbers)."""
     low = ids.copy()
@@ -140,7 +169,7 @@ def _verify(threshold: float):
             a, b = np.nonzero(yes)
             count = yes.sum(1) if split is None else np.concatenate([yes.sum(1), yes.sum(0)])
             low = _roots(ids, a, b + (split or 0))
-            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": low})[count > 0])
+            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": _chain(ids, low)})[count > 0])
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_links": [], "peer": []}, dtype="int64")
 
     return run
@@ -151,32 +180,79 @@ def tag_of(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """doc_id, tag, digest of the word sequence, keys (a prefix hash per tree; empty without words)."""
+def signatures(docs: DataFrame, values: int) -> DataFrame:
+    """doc_id, tag, digest of the word sequence, sig (4 bytes a value; null without words)."""
     def run(batches):
         for pdf in batches:
             lists = [word_list(t) for t in pdf["text"]]
-            keys = prefixes(shingles(lists), trees, depth).view(np.int64)
+            sig = minhashes(shingles(lists), values)
             yield pd.DataFrame({
-                "doc_id": ids_of(pdf), "tag": pdf["tag"], "keys": [k if ws else k[:0] for k, ws in zip(keys, lists, strict=True)],
+                "doc_id": ids_of(pdf), "tag": pdf["tag"], "sig": [k.tobytes() if ws else None for k, ws in zip(sig, lists, strict=True)],
                 "digest": [hashlib.blake2b(" ".join(ws).encode("utf-8"), digest_size=16).digest() for ws in lists]})
 
     small_batches(docs.sparkSession)
-    return whole_ids(docs.select("doc_id", "text", tag_of().alias("tag"))).mapInPandas(run, "doc_id long, tag long, keys array<long>, digest binary")
+    return whole_ids(docs.select("doc_id", "text", tag_of().alias("tag"))).mapInPandas(run, "doc_id long, tag long, sig binary, digest binary")
+
+
+def _neighbours(least: int):
+    """(a, b, lcp) of rows (tree, path, node) that follow each other in a tree and share `least` values or more; the partition's first and last row with lcp -1."""
+    def run(batches):
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            tree, node = pdf["tree"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+            path = np.frombuffer(b"".join(pdf["path"]), ">u4").reshape(len(pdf), -1)
+            if last is None:
+                yield pd.DataFrame({"a": [node[0]], "b": [node[0]], "lcp": [-1], "tree": [tree[0]], "path": [path[0].tobytes()]})
+            else:
+                tree, node, path = np.append(last[0], tree), np.append(last[1], node), np.vstack([last[2], path])
+            last = tree[-1:], node[-1:], path[-1:]
+            lcp = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
+            lcp[tree[1:] != tree[:-1]] = 0
+            k = np.nonzero(lcp >= least)[0]
+            yield pd.DataFrame({"a": node[k], "b": node[k + 1], "lcp": lcp[k], "tree": tree[k], "path": [None] * len(k)})
+        if last is not None:
+            yield pd.DataFrame({"a": last[1], "b": last[1], "lcp": [-1], "tree": last[0], "path": [last[2][0].tobytes()]})
+
+    return run
+
+
+def candidates(reps: DataFrame, trees: int, max_depth: int, least: int) -> DataFrame:
+    """Parked (a, b, lcp) of neighbours in the sorted tries of reps(node, sig), lcp being the longest shared prefix of the pair."""
+    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = (reps.where("sig is not null").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+            .select("tree", F.substring("sig", F.col("tree") * (4 * max_depth) + 1, F.lit(4 * max_depth)).alias("path"), "node"))
+    near = park(rows.repartitionByRange(parts, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+                .mapInPandas(_neighbours(least), "a long, b long, lcp int, tree int, path binary"))
+    # the ends of the ranges, two a partition, meet each other as neighbours too
+    ends = near.where("lcp = -1").select("tree", "path", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "path", "node")
+    between = ends.mapInPandas(_neighbours(least), "a long, b long, lcp int, tree int, path binary")
+    return park(near.unionByName(between).where("lcp >= 0 and a <> b").groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
+
+
+def _equal_values(batches):
+    for pdf in batches:
+        if len(pdf):
+            x, y = (np.frombuffer(b"".join(pdf[c]), ">u4").reshape(len(pdf), -1) for c in ("x", "y"))
+            yield pd.DataFrame({"same": (x == y).sum(1), "lcp": pdf["lcp"]})
 
 
-def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 6, recall: float = 0.9999,
+def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, recall: float = 0.9999,
                block: int = 512, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, tag, comp (a number of the class, also where ids are repeated or null) and the columns of ngram_join(), a row for each of docs."""
-    signed = park(signatures(docs, trees, search_depth(trees, max_depth, threshold, recall)))
+    signed = park(signatures(docs, trees * max_depth))
     # the first row of a word sequence stands for it; ids may be shared by different texts, so sequences have numbers of their own
     place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("tag"))
-    reps = park(signed.groupBy("digest").agg(F.min(place).alias("rep"), F.count("*").alias("n_copies"), F.min_by("keys", place).alias("keys"))
-                .select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"), "n_copies", "keys"))
-    nodes = reps.select("node", F.explode("keys").alias("key"))
-    leads = nodes.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    candidates = nodes.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    label = components(candidates)
+    reps = park(signed.groupBy("digest").agg(F.min(place).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+                .select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"), "n_copies", "sig"))
+    least = least_depth(trees, max_depth, threshold, recall)
+    pairs = candidates(reps, trees, max_depth, least)
+    known = reps.select("node", "sig")
+    met = (pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+           .select("x", "y", "lcp").mapInPandas(_equal_values, "same int, lcp int").groupBy("same", "lcp").agg(F.count("*").alias("n")).collect())
+    depth = search_depth([tuple(r) for r in met], trees * max_depth, trees, least, max_depth, threshold, recall)
+    label = components(pairs.where(F.col("lcp") >= depth).select("a", "b"))
     sizes = label.groupBy("comp").agg(F.count("*").alias("m"))
     members = park(label.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
                    .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -205,7 +281,12 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
                 .join(links.withColumnRenamed("id", "node"), "node", "left")
                 .join(classes, "node", "left")
                 .select("digest", "rep_id", "n_copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return signed.select("doc_id", "tag", "digest").join(table_of, "digest").select("doc_id", "tag", "comp", "class_id", "rep_id", "n_copies", "n_links")
+    rows = signed.select("doc_id", "tag", "digest")
+    many = max(1000, -(-rows.count() // HOT_DIGESTS))
+    hot, rest = table_of.where(F.col("n_copies") >= many), table_of.where(F.col("n_copies") < many)
+    names = reps.where(F.col("n_copies") >= many).select("digest")
+    met = rows.join(F.broadcast(hot), "digest").unionByName(rows.join(F.broadcast(names), "digest", "left_anti").join(rest, "digest"))
+    return met.select("doc_id", "tag", "comp", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def ngram_join(docs: DataFrame, **params) -> DataFrame:

@@ -188,11 +188,31 @@ def test_ngram_join_equals_brute_force(spark):
 
 
 def test_ngram_join_depth_and_empty(empty):
-    d = ngram_join.search_depth(20, 6, .8, .9999)
-    assert ngram_join.expected_recall(d, 20, .8) >= .9999 > ngram_join.expected_recall(d + 1, 20, .8)
+    least = ngram_join.least_depth(20, 8, .8, .9999)
+    assert ngram_join.expected_recall(least, 20, .8) >= .9999 > ngram_join.expected_recall(least + 1, 20, .8)
+    near, far = [(158, 8, 100)], [(158, 8, 100), (130, 8, 3), (130, 5, 2)]
+    assert ngram_join.search_depth(near, 160, 20, least, 8, .8, .9999) == 8
+    assert ngram_join.search_depth(far, 160, 20, least, 8, .8, .9999) == least
+    assert ngram_join.search_depth(far, 160, 20, least, 8, .8, .97) > least
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_recall_near_the_threshold(spark):
+    """Pairs at 0.80 to 0.90 and nothing closer: at least nine in ten of the links are found (all of them, as a rule)."""
+    rng, rows = random.Random(3), []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(rng.randint(60, 120))]
+        own = list(base)
+        own[rng.randrange(5, len(own) - 5)] = "edit"
+        if rng.random() < .5:
+            own = own[rng.randint(1, 3):]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(own))]
+    want = brute_join(rows)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = sum(v[3] for v in want.values())
+    assert wanted > 150 and sum(got.values()) >= .99 * wanted and all(got[i] <= want[i][3] for i in got)
+
+
 def test_quality_rules_odd(odd, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(odd).collect()}
     assert len(got) == 13 and got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[0]["kept"]
@@ -224,6 +244,18 @@ def test_mixing_odd(odd, empty):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.drop("size"), broadcast_rows=0).collect()))
 
 
+def test_mixing_equal_rows(spark):
+    """40 equal rows on the edge: as many are taken as bring the total nearest to the target."""
+    rows = [(7, "a", "w " * 100)] * 40 + [(None, "b", "w " * 50)] * 30 + [(1, "c", "w " * 10)]
+    d = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, source string, text string, extra string, target int").repartition(5)
+    for got in (mixing.shares(d).collect(), mixing.mix(d).collect()):
+        assert len(got) == len(rows) and {r["taken"] % r["size"] for r in got} == {0}
+        for source in "abc":
+            own = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= own[0]["size"] / 2
+            assert max(r["epochs"] for r in own) - min(r["epochs"] for r in own) <= 1
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1), ("c", 1), (None, 88)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -238,7 +270,7 @@ def test_toxicity_swaps_and_odd(spark, odd):
     logit = lambda s: b + sum(weights.get(w, 0) for w in toxicity.marks(toxicity.words(s)))
     assert logit("moron scum") > 1 > -1 > logit("nice soup at home")
     plain, _ = toxicity.fit([([0, 1], 1), ([0], 1), ([2], 0)] * 50, [], 4)
-    swapped, _ = toxicity.fit([([0, 1], 1), ([0], 1), ([2], 0)] * 50, [([1], [3])] * 50, 4)
+    swapped, _ = toxicity.fit([([0, 1], 1), ([0], 1), ([2], 0)] * 50, [([1], [3], 50)], 4)
     assert abs(swapped[1] - swapped[3]) < .2 * abs(plain[1] - plain[3])
     assert toxicity.score(odd, weights, b).count() == 15
     none = toxicity.toxicity(odd, odd.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")))
@@ -312,6 +344,13 @@ def test_url_rules_and_trees(spark):
     assert url_filter.judge(d.limit(0)).count() == 0
 
 
+def test_url_entropy_of_whole_text(spark):
+    texts = ["", "a", "aab", "abcd" * 3000 + "e", "\U0001F600é\U0001F600"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(url_filter._entropy(F.col("t"))).collect()]
+    want = [sum(-n / len(t) * np.log2(n / len(t)) for n in Counter(t).values()) for t in texts]
+    assert np.allclose(got, want)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["comp"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
