@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HOUR, DAY = 3_600_000, 86_400_000
 
@@ -125,3 +126,12 @@ def repair_json(s: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, "[“”]", '"'), r",\s*([}\]])", "$1")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\b(NaN|None|Infinity)\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     return F.try_parse_json(s)
+
+
+def hash_embedding(tokens: DataFrame, key: str, token: str, size: int = 256) -> DataFrame:
+    """key, bucket, weight of the entries other than 0 of each key's vector, which has length 1; tokens that repeat count each time."""
+    h = F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295).cast("long")))
+    hashed = tokens.select(key, h.alias("_h"))
+    adds = F.explode(F.array(F.struct((F.col("_h") % size).alias("bucket"), F.lit(1.0).alias("w")), F.struct((F.shiftright("_h", 7) % size).alias("bucket"), F.lit(0.5).alias("w"))))
+    sums = hashed.select(key, adds.alias("add")).groupBy(key, "add.bucket").agg(F.sum("add.w").alias("w"))
+    return sums.select(key, "bucket", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))

@@ -15,9 +15,16 @@ STOP_WORDS = (
     "the a an and or but of to in on for with at by from is are was were be been it its this that these those as how why what when who "
     "we you i not can will has have had de het een van en op te is met voor naar over"
 ).split()
-# Function words that tell English, Dutch and other languages apart (the first list is this project's own choice of common words).
-ENGLISH = "the of and to in is that it for was on are as with they at be this from have or by one had not but what all were when we there can an your which their if will".split()
-DUTCH = "de het een en van ik te dat die in is niet zijn op aan met als voor er maar om dan zou wat mijn men dit zo door over ze zich bij ook tot je uit der daar haar naar heb hoe heeft hebben deze nog wel geen".split()
+# Function words that tell English, Dutch and other languages apart.
+ENGLISH = (
+    "the a an and or but if then than this that these those to of in on for from with without by as at is are was were be been being it its they their them we our "
+    "you your he she his her not no do does did can could will would should may might about into over under after before why how what when where who new says said "
+    "more most some any all one two first last has have had"
+).split()
+DUTCH = (
+    "de het een en of maar als dan dit dat deze die naar van in op voor met zonder bij is zijn was waren wordt worden niet geen ook om uit over onder na vóór waarom hoe "
+    "wat wanneer waar wie nieuwe zegt meer meeste sommige alle eerste laatste heeft hebben had"
+).split()
 OTHER = "le la les un une et ou mais dans des du pour avec sans est sont pas que qui sur en el los las una y o pero del por con sin es son no der die das ein eine und oder aber von zu mit ist sind nicht im auf für".split()
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -33,10 +40,24 @@ def collapse(s: Column) -> Column:
 
 
 def decode_entities(s: Column) -> Column:
-    """Named entities, and numeric ones up to what a text of its own can hold: `&` last, so nothing decodes twice."""
-    for name, char in ENTITIES.items():
+    """Numeric entities (decimal and hexadecimal; those outside Unicode stay as they are) and named ones; `&amp;` last, so nothing decodes twice."""
+    def char(code: Column, raw: Column) -> Column:
+        # code points beyond 255 are spelled in UTF-16, whose two halves make one character above 65535
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        wide = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
+        return (F.when(code == 38, "&amp;").when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(wide), "UTF-16BE"))
+                .otherwise(F.concat(F.lit("&#"), raw, F.lit(";"))))
+
+    def decoded(part: Column) -> Column:
+        code = F.when(part.rlike("^[xX]"), F.conv(F.substring(part, 2, 12), 16, 10)).otherwise(part).cast("decimal(20,0)")
+        return char(F.least(code, F.lit(0x110000)).cast("int"), part)
+
+    parts = F.split(s, r"&#(?=(?:[0-9]{1,18}|[xX][0-9a-fA-F]{1,12});)")
+    tail = lambda p: F.concat(decoded(F.regexp_extract(p, "^([0-9a-fA-FxX]+);", 1)), F.regexp_replace(p, "^[0-9a-fA-FxX]+;", ""))
+    s = F.when(s.contains("&#"), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), tail), ""))).otherwise(s)
+    for name, c in ENTITIES.items():
         if name != "amp":
-            s = F.regexp_replace(s, f"(?i)&{name};", F.lit(char.replace("\\", "\\\\").replace("$", "\\$")))
+            s = F.regexp_replace(s, f"(?i)&{name};", F.lit(c.replace("\\", "\\\\").replace("$", "\\$")))
     return F.regexp_replace(s, "(?i)&amp;", "&")
 
 
@@ -136,7 +157,8 @@ def language_verdict(text: Column, declared: Column) -> Column:
     words = F.slice(F.filter(F.transform(
         F.regexp_extract_all(F.lower(collapse(text)), F.lit(r"(\p{L}[\p{L}'’.-]*)"), F.lit(1)),
         lambda w: F.regexp_replace(w, r"[^\p{L}]+$", "")), lambda w: F.length(w) >= 2), 1, 1200)
-    count = lambda known: F.size(F.filter(words, lambda w: F.array_contains(strings(known), w)))
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    count = lambda known: F.regexp_count(line, F.lit(f"(?<= )(?:{'|'.join(known)})(?= )"))
     en, nl, other, code = count(ENGLISH), count(DUTCH), count(OTHER), language_code(declared)
     verdict = lambda v, lang: F.struct(F.lit(v).alias("verdict"), lang.cast("string").alias("language"))
     return (F.when(code.isNotNull() & (code != "en"), verdict("non_english", code))

@@ -28,7 +28,9 @@ def canonical(url: Column) -> Column:
     key = lambda p: F.lower(F.element_at(F.split(p, "="), 1))
     tracked = lambda p: key(p).isin(*TRACKING) | F.exists(F.array(*map(F.lit, TRACKING_PREFIX)), lambda t: key(p).startswith(t))
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~tracked(p))
-    kept = F.array_join(F.array_sort(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
+    # by key alone; parameters of one key keep their order
+    placed = F.transform(kept, lambda p, i: F.struct(F.element_at(F.split(p, "="), 1).alias("key"), i.alias("at"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("pair")))
+    kept = F.array_join(F.transform(F.array_sort(placed), lambda x: x["pair"]), "&")
     path = F.regexp_replace(F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path), "/{2,}", "/")
     return F.when((scheme != "") & (host != ""), F.concat(
         F.lit("https://"), host, F.when((port != "") & (port != "443"), F.concat(F.lit(":"), port)).otherwise(""),

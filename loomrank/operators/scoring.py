@@ -9,48 +9,49 @@ from pyspark.sql.window import Window
 from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 
-# Patterns, weights and curves of the shipped configuration. Word boundaries are spelled out, as
-# \b means different things to different engines.
-_W, _E = r"(^|[^A-Za-z0-9_])", r"([^A-Za-z0-9_]|$)"
-
-
-def _word(body: str) -> str:
-    return f"(?i){_W}({body}){_E}"
-
-
-TITLE_PATTERNS = [r"(?i)^sponsored[: ]", r"(?i)^\[sponsored\]", r"(?i)^ad[: ]", r"(?i)^advertisement([^A-Za-z0-9_]|$)", _word("paid partnership"),
-                  r"(?i)^hiring[: ]", r"(?i)^now hiring([^A-Za-z0-9_]|$)", _word("giveaway"), r"(?i)^open thread([^A-Za-z0-9_]|$)"]
+# Patterns, weights and curves of the shipped configuration, matched without regard to case.
+TITLE_PATTERNS = [
+    r"^sponsored[:\s]", r"^\[sponsored\]", r"^ad[:\s]", r"^advertisement\b", r"\bpaid partnership\b", r"^job[s]? (board|listing|alert)", r"^hiring[:\s]",
+    r"^we['’]re hiring\b", r"^now hiring\b", r"^(weekly|daily|monthly) (deals|discounts|sale)\b", r"^deals?[:\s].*\b(off|discount|sale)\b", r"\bgiveaway\b",
+    r"^open thread\b", r"^comments? of the (week|day)\b",
+]
 URL_PATTERNS = ["/sponsored/", "/advertorial/", "/jobs?/", "/careers?/", "/deals?/", "utm_medium=paid"]
 CATEGORY_BLOCKLIST = ["sponsored", "advertisement", "jobs", "careers", "deals", "press release", "press releases", "promotions"]
 PAYWALL_HOSTS = ["bloomberg.com", "wsj.com", "ft.com", "nytimes.com", "washingtonpost.com", "economist.com", "theinformation.com", "theatlantic.com", "newyorker.com"]
 TYPE_PATTERNS = {
-    "listicle": [r"(?i)^[0-9]+ +(best|worst|things|ways|tips|reasons)", _word("(top|best) +[0-9]+")],
-    "announcement": [_word("announce[sd]?"), _word("unveils?"), _word("now available"), _word("introducing"), _word("appoints?")],
-    "news": [_word("report(s|ed)?"), _word("says"), _word("according to"), _word("breaking")],
-    "interview": [_word("interview"), _word("in conversation with")],
-    "review": [_word("review"), _word("hands[- ]on"), _word("first impressions")],
-    "criticism": [_word("criticism"), _word("close reading")],
-    "history": [_word("history of"), _word("in [0-9]{4}"), _word("archive"), _word("part [0-9]+")],
-    "explainer": [_word("how (does|do|to)"), _word("why (does|do|is|are)"), _word("explained"), _word("what is")],
-    "essay": [_word("essay"), _word("notes on"), _word("against"), _word("in praise of")],
-    "analysis": [_word("analysis"), _word("implications"), _word("lessons"), _word("deep dive")],
+    "listicle": [r"^\d+\s+(best|worst|things|ways|tips|reasons)", r"\b(top|best)\s+\d+\b"],
+    "announcement": [r"\bannounce[sd]?\b", r"\bunveil(s|ed)?\b", r"\blaunche[sd]\b", r"\bnow available\b", r"\bintroducing\b", r"\bpartners? with\b", r"\braises? \$",
+                     r"\bfunding round\b", r"\bappoints?\b"],
+    "news": [r"\breport(s|ed)?\b", r"\bsays\b", r"\baccording to\b", r"\bconfirm(s|ed)\b", r"\bbreaking\b"],
+    "interview": [r"\binterview\b", r"\bin conversation with\b", r"\ba conversation with\b", r"\bQ&A\b"],
+    "review": [r"\breview\b", r"\bhands[- ]on\b", r"\bfirst impressions\b"],
+    "criticism": [r"\bcriticism\b", r"\bclose reading\b", r"\bon the design of\b", r"\bwhat .* gets (right|wrong)\b"],
+    "history": [r"\bhistory of\b", r"\bin \d{4}\b", r"\barchive\b", r"\boral history\b", r"\bthe making of\b", r"\bpart \d+\b"],
+    "explainer": [r"\bhow (does|do|to)\b", r"\bwhy (does|do|is|are)\b", r"\bexplained\b", r"\bwhat is\b", r"\ba guide to\b"],
+    "essay": [r"\bessay\b", r"\bnotes on\b", r"\bagainst\b", r"\bin praise of\b", r"\bon being\b"],
+    "analysis": [r"\banalysis\b", r"\bwhat it means\b", r"\bimplications\b", r"\blessons\b", r"\bteardown\b", r"\bdeep dive\b"],
 }
 TYPE_SCORES = {"analysis": .90, "essay": .90, "criticism": .88, "explainer": .85, "interview": .70, "history": .85, "review": .65,
                "linkblog": .60, "news": .40, "announcement": .30, "listicle": .20, "unknown": .55}
 CURVES = {"news": (1.0, 5, .05), "announcement": (3.0, 21, .10), "review": (14.0, None, .30), "interview": (21.0, None, .35), "analysis": (21.0, None, .40),
           "explainer": (45.0, None, .55), "essay": (90.0, None, .65), "criticism": (90.0, None, .65), "history": (365.0, None, .80),
           "listicle": (2.0, 10, .05), "linkblog": (5.0, 30, .20), "unknown": (14.0, None, .30)}
-CLICKBAIT = [_word("this is why"), _word("what happened next"), _word("goes viral"), _word("slams?"), _word("destroys?"), _word("shocking"),
-             _word("furious"), _word("everyone is"), _word("nobody is talking about"), _word("the real reason"), r"\?!+$"]
+CLICKBAIT = [r"\byou won['’]t believe\b", r"\bthis is why\b", r"\bwhat happened next\b", r"\bgoes viral\b", r"\bslams?\b", r"\bdestroys?\b", r"\bshocking\b", r"\bfurious\b",
+             r"\beveryone is\b", r"\bnobody is talking about\b", r"\bthe real reason\b", r"\?!+$"]
 WEIGHTS = {"quality": .12, "category": .06, "keyword": .09, "semantic": .38, "freshness": .13, "type": .17, "discovery": .05}
 PENALTIES = {"volume": .15, "redundancy": .20, "clickbait": .20, "negative": .25}
 VOLUME_DECAY, VOLUME_TAIL = [1.0, .92, .82, .68, .50, .36, .25], .18
 BANDS = ((.396, "A"), (.299, "B"), (.242, "C"))
 
 
+def matches(s: Column, patterns: list[str]) -> Column:
+    """Whether any pattern matches, without regard to case; one pass over s."""
+    return s.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def first_match(s: Column, patterns: list[str]) -> Column:
-    """The first pattern, in list order, that s matches; else null."""
-    return F.coalesce(*[F.when(s.rlike(p), F.lit(p)) for p in patterns])
+    """The first pattern, in list order, that s matches without regard to case; else null. Most texts match none, which one pass tells."""
+    return F.when(matches(s, patterns), F.coalesce(*[F.when(s.rlike("(?i)" + p), F.lit(p)) for p in patterns]))
 
 
 def host_in(host: Column, hosts: list[str]) -> Column:
@@ -71,7 +72,7 @@ def lookup(key: Column, table: dict, default) -> Column:
 def editorial_type(title: Column, summary: Column, feed_type: Column) -> Column:
     """The first type, in order, with a matching pattern; a link blog's items are linkblog; else unknown."""
     hay = F.concat_ws(" ", title, F.lit(""), F.substring(F.coalesce(summary, F.lit("")), 1, 400))
-    typed = [F.when(F.coalesce(*[F.when(hay.rlike(p), F.lit(True)) for p in ps], F.lit(False)), F.lit(t)) for t, ps in TYPE_PATTERNS.items()]
+    typed = [F.when(matches(hay, ps), F.lit(t)) for t, ps in TYPE_PATTERNS.items()]
     return F.coalesce(*typed, F.when(feed_type == "linkblog", F.lit("linkblog")), F.lit("unknown"))
 
 
@@ -87,21 +88,22 @@ def rule_filter(items: DataFrame, now: int, allowed: tuple[str, ...] = ("en",),
     """
     title = F.trim(F.coalesce("title", F.lit("")))
     words = X.language_verdict(F.concat_ws(" ", "title", "summary"), F.col("language"))
-    ranked = items.withColumn("_lang", words).withColumn("_type", editorial_type(F.col("title"), F.col("summary"), F.col("feed_type")))
+    ranked = items.withColumns({"_lang": words, "_type": editorial_type(F.col("title"), F.col("summary"), F.col("feed_type")),
+                                "_title": first_match(title, TITLE_PATTERNS), "_url": first_match(F.col("url"), URL_PATTERNS)})
     rule = (F.when(F.col("access") != "free", F.concat(F.lit("access:"), F.col("access")))
             .when(F.col("is_podcast"), "drop_podcast_items")
             .when((title == "") & F.col("url").isNull(), "malformed")
             .when((F.length(title) < 8) & (title != "") & F.col("url").isNull(), "min_title_length")
-            .when(first_match(title, TITLE_PATTERNS).isNotNull(), first_match(title, TITLE_PATTERNS))
+            .when(F.col("_title").isNotNull(), F.col("_title"))
             .when(host_in(F.col("host"), PAYWALL_HOSTS), "paywall_host")
             .when(~F.coalesce(F.col("_lang.language").isin(*allowed) & (F.col("_lang.verdict") != "uncertain"), F.lit(False)),
                   F.when(F.col("_lang.language").isNotNull(), "allowed_languages").otherwise("allowed_languages_uncertain"))
-            .when(first_match(F.col("url"), URL_PATTERNS).isNotNull(), first_match(F.col("url"), URL_PATTERNS))
+            .when(F.col("_url").isNotNull(), F.col("_url"))
             .when(blocked_category(F.col("categories"), CATEGORY_BLOCKLIST), "feed_category")
             .when(F.col("publication_time") < F.lit(now) - F.lit(max_age_days).cast("long") * N.DAY, "max_item_age_days")
             .when(expired(F.col("publication_time"), F.col("_type"), now), F.concat(F.lit("expires_after_days:"), F.col("_type"))))
     return (ranked.withColumn("thin", F.length(F.coalesce("summary", F.lit(""))) < 120)
-            .withColumn("matched_rule", rule).withColumn("keep", F.col("matched_rule").isNull()).drop("_lang", "_type"))
+            .withColumn("matched_rule", rule).withColumn("keep", F.col("matched_rule").isNull()).drop("_lang", "_type", "_title", "_url"))
 
 
 def keyword_interest(title: Column, body: Column, interests: list[str], saturation: int = 3, title_weight: float = 2.0,
@@ -120,8 +122,8 @@ def keyword_interest(title: Column, body: Column, interests: list[str], saturati
 
 
 def clickbait(title: Column) -> Column:
-    hits = sum((F.when(title.rlike(p), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
-    return F.least(F.lit(1.0), hits * F.lit(0.35))
+    hits = sum((F.when(title.rlike("(?i)" + p), 1).otherwise(0) for p in CLICKBAIT), F.lit(0))
+    return F.when(matches(title, CLICKBAIT), F.least(F.lit(1.0), hits * F.lit(0.35))).otherwise(0.0)
 
 
 def volume_penalty(rank: Column, budget: Column) -> Column:
@@ -217,3 +219,39 @@ def opportunity(d: DataFrame) -> DataFrame:
            + .10 * F.col("quality_prior") + .10 * F.col("differentiation") + .08 * F.col("feed_need") + .04 * F.col("serendipity_potential")
            - .5 * F.col("junk_probability") + F.when(F.col("action") == "UNCERTAIN", .10).otherwise(0.0))
     return d.withColumn("opportunity", N.clamp(raw * F.when(F.col("feed_need") <= 0.01, .55).otherwise(1.0)))
+
+
+def quality_mean(dims: tuple[str, ...]) -> Column:
+    """Mean over the dimensions a feed declares; those that an item lacks count as 0."""
+    return sum((F.coalesce(F.col(k), F.lit(0.0)) for k in dims), F.lit(0.0)) / len(dims)
+
+
+def feed_verdict(weights: dict[str, float], limits: dict[str, float], least: float, serendipity_of: tuple[str, ...] | None = None) -> dict[str, Column]:
+    """Columns v (the feed's score: weighted, or quality x novelty x distance in serendipity mode), admitted and reason. Gates come before the smallest score."""
+    if serendipity_of:
+        score = serendipity(quality_mean(serendipity_of), F.col("novelty"), F.lit(0.0), F.col("anchor_distance"))
+    else:
+        score = feed_score(weights)
+    score = F.round(score, 6)
+    names = {"distance": "anchor_distance"}
+    fails = [F.when(F.col(names.get(k[4:], k[4:])) > v if k.startswith("max_") else F.col(names.get(k[4:], k[4:])) < v, F.lit(k)) for k, v in limits.items()]
+    gate = F.coalesce(*fails)
+    reason = F.when(gate.isNotNull(), F.concat(F.lit("gate:"), gate)).when(score < least, "below_min_score").otherwise("ok")
+    return {"v": score, "admitted": gate.isNull() & (score >= least), "reason": reason}
+
+
+def slots_and_audits(ranked: DataFrame, slots: int, audit_cap: int, rates: tuple[tuple[str, float], ...] = (("C", .06), ("D", .01))) -> DataFrame:
+    """ranked(item_id, free_score, band) with selected, audit and reason: bands A and B take slots in score order, audits are a capped hash sample of the other bands.
+
+    Only the best `slots` of one set and `audit_cap` of the other are ever ordered (top-k, merged from each partition); nothing is windowed over the whole table.
+    """
+    order = [F.desc("free_score"), F.asc("item_id")]
+    rate = F.lit(0.0)
+    for name, share in rates:
+        rate = F.when(F.col("band") == name, share).otherwise(rate)
+    taken = ranked.where(F.col("band").isin("A", "B")).orderBy(*order).limit(slots).select(F.col("item_id").alias("_s"))
+    audits = (ranked.where(N.hash_unit(F.concat(F.lit("audit:"), F.col("item_id"))) < rate).orderBy(*order).limit(audit_cap).select(F.col("item_id").alias("_a")))
+    out = ranked.join(F.broadcast(taken), F.col("item_id") == F.col("_s"), "left").join(F.broadcast(audits), F.col("item_id") == F.col("_a"), "left")
+    reason = (F.when(F.col("_s").isNotNull(), F.concat(F.lit("band_"), F.lower("band"))).when(F.col("band").isin("A", "B"), "no_slot_left")
+              .when(F.col("_a").isNotNull(), "audit").otherwise(F.concat(F.lit("below_band:"), F.col("band"))))
+    return out.withColumns({"selected": F.col("_s").isNotNull(), "audit": F.col("_a").isNotNull(), "reason": reason}).drop("_s", "_a")

@@ -11,6 +11,7 @@ from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 from loomrank.functions import urls as U
 from loomrank.operators import scoring, selection, stories
+from loomrank.plans.shared import park
 from loomrank.sources import adapters
 from loomrank.sources.adapters import NOW, WITH
 
@@ -46,6 +47,21 @@ def _cols(name: str, cols: Callable[..., dict], sql: str | None, of: str = "item
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + "]"
 _TOK = f"list_filter(regexp_split_to_array(translate(lower(coalesce({{}}, '')), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_LIST(X.STOP_WORDS)}, t))"
 
+_Q = lambda v: "'" + v.replace("'", "''") + "'"
+_ANY = lambda s, ps: "(" + " OR ".join(f"regexp_matches({s}, {_Q('(?i)' + p)})" for p in ps) + ")"
+_FIRST = lambda s, ps: "CASE " + " ".join(f"WHEN regexp_matches({s}, {_Q('(?i)' + p)}) THEN {_Q(p)}" for p in ps) + " END"
+_TYPE = lambda feed: "CASE " + " ".join(
+    f"WHEN {_ANY('hay', ps)} THEN '{t}'" for t, ps in scoring.TYPE_PATTERNS.items()) + f" WHEN {feed} = 'linkblog' THEN 'linkblog' ELSE 'unknown' END"
+_HAY = "(SELECT *, title || '  ' || substr(summary, 1, 400) AS hay FROM items)"
+_COUNT = lambda words: f"len(list_filter(ws, lambda w: list_contains({_LIST(words)}, w)))"
+# verdict and language of {rel}, which has txt and declared
+_VERDICT = rf"""(SELECT *, CASE WHEN declared IS NOT NULL AND declared <> 'en' THEN 'non_english' WHEN nl >= 5 AND nl >= en * 1.35e0 THEN 'non_english' WHEN other >= 5 AND other >= en * 1.35e0 THEN 'non_english'
+      WHEN en >= 4 AND en >= greatest(nl, other) * 1.25e0 THEN 'english' WHEN declared = 'en' AND len(ws) >= 8 AND nl < 3 AND other < 3 THEN 'english' ELSE 'uncertain' END AS verdict,
+    CASE WHEN declared IS NOT NULL AND declared <> 'en' THEN declared WHEN nl >= 5 AND nl >= en * 1.35e0 THEN 'nl' WHEN other >= 5 AND other >= en * 1.35e0 THEN NULL
+      WHEN en >= 4 AND en >= greatest(nl, other) * 1.25e0 THEN 'en' ELSE declared END AS lang FROM (
+    SELECT *, {_COUNT(X.ENGLISH)} AS en, {_COUNT(X.DUTCH)} AS nl, {_COUNT(X.OTHER)} AS other FROM (
+      SELECT *, list_filter(list_transform(regexp_extract_all(lower(txt), '\p{{L}}[\p{{L}}''’.-]*'), lambda w: regexp_replace(w, '[^\p{{L}}]+$', '')), lambda w: length(w) >= 2)[1:1200] AS ws FROM {{rel}})))"""
+
 # text
 _cols("x3_collapse", lambda t, s, u: {"out": X.collapse(s)}, r"SELECT item_id, trim(regexp_replace(summary, '\s+', ' ', 'g')) AS out FROM items")
 _cols("x5_escape_xml", lambda t, s, u: {"out": X.escape_xml(s)}, """SELECT item_id, replace(replace(replace(replace(replace(summary, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS out FROM items""")
@@ -62,7 +78,7 @@ _cols("x19_shouting", lambda t, s, u: {"shout": X.shouting(t)}, """
 _cols("x20_human_minutes", lambda t, s, u: {"out": X.human_minutes(F.col("content_chars") / 100)}, """
     SELECT item_id, CASE WHEN m < 60 THEN m || ' min' ELSE (m // 60) || 'h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || 'm' ELSE '' END END AS out
     FROM (SELECT item_id, floor(content_chars / 100.0 + 0.5)::BIGINT AS m FROM items)""")
-_cols("x2_strip_html", lambda t, s, u: {"n": F.length(X.strip_html(F.col("html"))), "out": F.substring(X.strip_html(F.col("html")), 1, 100)}, None, "pages", "page_id")
+_cols("x2_strip_html", lambda t, s, u: {"out": X.strip_html(F.col("html"))}, None, "pages", "page_id")
 _cols("x4_truncate", lambda t, s, u: {"out": X.truncate(s, 120)}, """
     SELECT item_id, CASE WHEN length(summary) <= 120 THEN summary ELSE rtrim(CASE WHEN sp > 72 THEN substr(cut, 1, sp) ELSE cut END) || '…' END AS out FROM (
       SELECT *, CASE WHEN instr(cut, ' ') > 0 THEN 120 - instr(reverse(cut), ' ') ELSE -1 END AS sp FROM (SELECT item_id, summary, substr(summary, 1, 120) AS cut FROM items))""")
@@ -70,7 +86,10 @@ _cols("x8_named_entities", lambda t, s, u: {"n": F.size(X.named_entities(s)), "f
 _cols("x10_excerpt", lambda t, s, u: {"out": X.excerpt(s, 200)}, """
     SELECT item_id, CASE WHEN length(summary) <= 200 THEN summary ELSE rtrim(substr(summary, 1, 120)) || chr(10) || '[…]' || chr(10) || ltrim(substr(summary, length(summary) - 79, 80)) END AS out FROM items""")
 _cols("x12_clean_body", lambda t, s, u: {"n": F.length(X.clean_body(s)), "out": X.clean_body(s)}, None)
-_cols("x15_language", lambda t, s, u: {"v": X.language_verdict(F.concat_ws(" ", "title", "summary"), F.lit(None).cast("string"))["verdict"]}, None)
+_cols("x15_language", lambda t, s, u: {"v": X.language_verdict(F.concat_ws(" ", "title", "summary"), F.lit(None).cast("string"))["verdict"]},
+      "SELECT item_id, verdict AS v FROM " + _VERDICT.replace("{rel}", "(SELECT item_id, title || ' ' || summary AS txt, NULL::VARCHAR AS declared FROM items)"))
+_cols("x1_entities", lambda t, s, u: {"out": X.decode_entities(F.concat(F.lit("&#"), F.ascii(t), F.lit(";&amp;#65;&#x"), F.hex(F.ascii(t)), F.lit(";&#38;lt;&eacute;&#1114112;"), t))},
+      "SELECT item_id, left(title, 1) || '&#65;' || left(title, 1) || '&lt;é&#1114112;' || title AS out FROM items")
 _cols("x16_author", lambda t, s, u: {"author": F.trim(F.regexp_replace(F.regexp_extract(t, r"^([A-Za-z]+ [A-Za-z]+)", 1), "(?i)^by ", ""))},
       "SELECT item_id, trim(regexp_replace(regexp_extract(title, '^([A-Za-z]+ [A-Za-z]+)', 1), '(?i)^by ', '')) AS author FROM items")
 _cols("x18_template", lambda t, s, u: {"out": F.replace(F.replace(F.lit("{{title}} ({{lang}})"), F.lit("{{title}}"), t), F.lit("{{lang}}"), F.col("language"))},
@@ -141,10 +160,15 @@ _cols("f7_type_expiry", lambda t, s, u: {"gone": scoring.expired(F.col("publicat
       f"SELECT item_id, coalesce(item_id % 2 = 0 AND {NOW} - publication_time > 5 * 86400000, false) AS gone FROM items")
 _cols("f8_requeue", lambda t, s, u: {"ok": F.coalesce(F.lit(NOW) - F.col("publication_time") <= scoring.lookup(F.col("category"), {"games": 72, "culture": 1440}, 336).cast("long") * N.HOUR, F.lit(True))},
       f"SELECT item_id, coalesce({NOW} - publication_time <= (CASE category WHEN 'games' THEN 72 WHEN 'culture' THEN 1440 ELSE 336 END)::BIGINT * {N.HOUR}, true) AS ok FROM items")
-_cols("r1_editorial_type", lambda t, s, u: {"kind": scoring.editorial_type(t, s, F.lit("article"))}, None)
-_cols("r3_keyword_interest", lambda t, s, u: {"k": F.round(scoring.keyword_interest(t, s, ["the", "of", "ist", "in the"]), 6)}, None)
-_cols("r5_clickbait", lambda t, s, u: {"c": F.round(scoring.clickbait(F.concat(t, F.when(F.col("item_id") % 2 == 0, " slams shocking?!").otherwise(""))), 6)},
-      "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN least(1e0, 3 * 0.35e0) ELSE 0e0 END AS c FROM items")
+_cols("r1_editorial_type", lambda t, s, u: {"kind": scoring.editorial_type(t, s, F.lit("article"))}, f"SELECT item_id, {_TYPE(_Q('article'))} AS kind FROM {_HAY}")
+_WORD = lambda s, w: f"regexp_matches(lower({s}), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')"
+_cols("r3_keyword_interest", lambda t, s, u: {"k": F.round(scoring.keyword_interest(t, s, ["the", "of", "ist", "in the"]), 6)}, f"""
+    SELECT item_id, round(least(1e0, ({" + ".join(f"CASE WHEN {_WORD('title', w)} THEN 2e0 WHEN {_WORD('summary', w)} THEN 1e0 ELSE 0e0 END" for w in ("the", "of", "ist"))}
+      + CASE WHEN contains(lower(title), 'in the') THEN 2e0 WHEN contains(lower(summary), 'in the') THEN 1e0 WHEN {_WORD('title', 'in')} AND {_WORD('title', 'the')} THEN 1.2e0
+             WHEN {_WORD('summary', 'in')} AND {_WORD('summary', 'the')} THEN 0.6e0 ELSE 0e0 END) / 6e0), 6) AS k FROM items""")
+_cols("r5_clickbait", lambda t, s, u: {"c": F.round(scoring.clickbait(F.concat(t, F.when(F.col("category") == "games", " slams shocking?!").otherwise(""))), 6)},
+      "SELECT item_id, round(least(1e0, 0.35e0 * (" + " + ".join(f"regexp_matches(x, {_Q('(?i)' + p)})::INT" for p in scoring.CLICKBAIT)
+      + ")), 6) AS c FROM (SELECT item_id, title || CASE WHEN category = 'games' THEN ' slams shocking?!' ELSE '' END AS x FROM items)")
 _cols("r6_volume_penalty", lambda t, s, u: {"p": F.round(scoring.volume_penalty(F.col("item_id") % 12 + 1, F.lit(0.5)), 6)}, """
     SELECT item_id, CASE WHEN item_id % 12 = 0 THEN 0e0 ELSE round(1 - coalesce(([1.0, .92, .82, .68, .50, .36, .25]::DOUBLE[])[(floor((item_id % 12) / 0.5) + 1)::INT], 0.18e0), 6) END AS p FROM items""")
 _cols("r7_redundancy", lambda t, s, u: {"p": scoring.redundancy(F.col("free_score"), F.col("item_id") % 2 == 0, F.lit(0.5))},
@@ -154,8 +178,16 @@ _cols("r8_exploring_quality", lambda t, s, u: {"q": F.round(scoring.exploring_qu
 _cols("r10_bands", lambda t, s, u: {"band": scoring.band(F.col("free_score"))}, "SELECT item_id, CASE WHEN free_score >= 0.396e0 THEN 'A' WHEN free_score >= 0.299e0 THEN 'B' WHEN free_score >= 0.242e0 THEN 'C' ELSE 'D' END AS band FROM items")
 _cols("r15_serendipity", lambda t, s, u: {"v": F.round(scoring.serendipity(F.col("expected_attention_value"), F.col("novelty"), F.lit(0.2), F.col("anchor_distance"), 1.5, .5), 6)},
       "SELECT item_id, round(expected_attention_value * pow(greatest(novelty, 0.2e0), 1.5e0) * pow(anchor_distance, 0.5e0), 6) AS v FROM deep", "deep")
-_cols("r14_feed_score", lambda t, s, u: {"v": F.round(scoring.feed_score({"expected_attention_value": .5, "novelty": .3, "ragebait": -.4}), 6)},
-      "SELECT item_id, round((0.5e0 * expected_attention_value + 0.3e0 * novelty - 0.4e0 * ragebait) / 0.8e0, 6) AS v FROM deep", "deep")
+_FEED = {"expected_attention_value": .5, "novelty": .3, "ragebait": -.4}
+_GATES = {"max_ragebait": .35, "min_novelty": .4, "max_duplicate_information": .6}
+_GATESQL = "CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN novelty < 0.4e0 THEN 'min_novelty' WHEN duplicate_information > 0.6e0 THEN 'max_duplicate_information' END"
+_cols("r14_feed_score", lambda t, s, u: scoring.feed_verdict(_FEED, _GATES, .35), f"""
+    SELECT item_id, v, gate IS NULL AND v >= 0.35e0 AS admitted, CASE WHEN gate IS NOT NULL THEN 'gate:' || gate WHEN v < 0.35e0 THEN 'below_min_score' ELSE 'ok' END AS reason FROM (
+      SELECT item_id, {_GATESQL} AS gate, round((0.5e0 * expected_attention_value + 0.3e0 * novelty - 0.4e0 * ragebait) / 0.8e0, 6) AS v FROM deep)""", "deep")
+_cols("r14b_serendipity_feed", lambda t, s, u: scoring.feed_verdict(_FEED, {"max_ragebait": .35, "min_distance": .3}, .2, serendipity_of=("expected_attention_value", "novelty")), """
+    SELECT item_id, v, gate IS NULL AND v >= 0.2e0 AS admitted, CASE WHEN gate IS NOT NULL THEN 'gate:' || gate WHEN v < 0.2e0 THEN 'below_min_score' ELSE 'ok' END AS reason FROM (
+      SELECT item_id, CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN anchor_distance < 0.3e0 THEN 'min_distance' END AS gate,
+        round((expected_attention_value + novelty) / 2e0 * novelty * anchor_distance, 6) AS v FROM deep)""", "deep")
 _cols("f12_gates", lambda t, s, u: {"gate": scoring.gates({"max_ragebait": .35, "min_novelty": .4, "max_duplicate_information": .6})},
       "SELECT item_id, CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN novelty < 0.4e0 THEN 'min_novelty' WHEN duplicate_information > 0.6e0 THEN 'max_duplicate_information' END AS gate FROM deep", "deep")
 _cols("f13_admission", lambda t, s, u: {"ok": F.col("category").isin("games", "culture") | F.array_contains(F.array(F.when(F.col("item_id") % 7 == 0, "mine").otherwise("x")), "mine")},
@@ -167,13 +199,27 @@ _cols("r44_stub_models", lambda t, s, u: {"action": F.when(N.hash_unit(F.concat(
     THEN 'KEEP' ELSE 'DROP' END AS action FROM items""")
 
 
-@query("f1_rule_filter")
+_EXPIRES = " ".join(f"WHEN '{k}' THEN {c[1]}" for k, c in scoring.CURVES.items() if c[1])
+
+
+@query("f1_rule_filter", f"""
+    SELECT item_id, thin, rule IS NULL AS keep, rule AS matched_rule FROM (SELECT *, CASE
+      WHEN access <> 'free' THEN 'access:' || access WHEN item_id % 53 = 0 THEN 'drop_podcast_items'
+      WHEN trim(title) = '' AND url IS NULL THEN 'malformed' WHEN length(trim(title)) < 8 AND trim(title) <> '' AND url IS NULL THEN 'min_title_length'
+      WHEN by_title IS NOT NULL THEN by_title WHEN {" OR ".join(f"h = '{h}' OR ends_with(h, '.{h}')" for h in scoring.PAYWALL_HOSTS)} THEN 'paywall_host'
+      WHEN NOT coalesce(lang = 'en' AND verdict <> 'uncertain', false) THEN CASE WHEN lang IS NOT NULL THEN 'allowed_languages' ELSE 'allowed_languages_uncertain' END
+      WHEN by_url IS NOT NULL THEN by_url WHEN category IN ({", ".join(map(_Q, scoring.CATEGORY_BLOCKLIST))}) THEN 'feed_category'
+      WHEN publication_time < {NOW} - 14 * 86400000 THEN 'max_item_age_days'
+      WHEN {NOW} - publication_time > (CASE kind {_EXPIRES} END)::BIGINT * 86400000 THEN 'expires_after_days:' || kind END AS rule
+    FROM (SELECT *, length(summary) < 120 AS thin, {_FIRST('trim(title)', scoring.TITLE_PATTERNS)} AS by_title, {_FIRST('url', scoring.URL_PATTERNS)} AS by_url, {_TYPE('feed_type')} AS kind
+      FROM {_VERDICT.replace("{rel}", f"""(SELECT i.*, s.access, s.feed_type, p.url, p.h, title || ' ' || summary AS txt, title || '  ' || substr(summary, 1, 400) AS hay,
+        nullif(lower(split_part(language, '-', 1)), '') AS declared FROM items i LEFT JOIN sources s USING (source_id) LEFT JOIN {_URLSQL} p ON p.page_id = i.item_id)""")}))""")
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = adapters.view(spark, sf_dir, "sources").select("source_id", "access", "feed_type")
     pages = spark.table("pages").select(F.col("page_id").alias("item_id"), F.col("url"), U.host(F.col("url")).alias("host"))
     items = (_items(spark, sf_dir).join(src, "source_id", "left").join(pages, "item_id", "left")
              .withColumns({"categories": F.array("category"), "is_podcast": F.col("item_id") % 53 == 0}))
-    return scoring.rule_filter(items, NOW).groupBy("matched_rule", "keep", "thin").agg(F.count("*").alias("n"))
+    return scoring.rule_filter(items, NOW).select("item_id", "thin", "keep", "matched_rule")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +231,15 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     sims = (vec.crossJoin(F.broadcast(anchors)).groupBy("item_id").agg(F.sort_array(F.collect_list(N.cosine(F.col("embedding"), F.col("anchor")))).alias("sims"), F.first("embedding").alias("e"))
             .crossJoin(F.broadcast(avoid)).select("item_id", N.top_mean(F.col("sims")).alias("anchor_mean"), F.greatest(F.lit(0.0), N.cosine(F.col("e"), F.col("avoid_anchor"))).alias("avoid")))
     seen = items.groupBy("source_id").agg(F.count("*").alias("items_seen"))
-    return (items.drop("free_score").join(src, "source_id", "left").join(sims, "item_id", "left").join(seen, "source_id")
-            .withColumns({"category_prior": F.lit(None).cast("double"), "nearest": F.lit(0.0), "uniqueness": F.lit(0.7), "discovery": F.lit(None).cast("double")}))
+    # a source's uniqueness: the share of its items in clusters of its own, drawn to 0.5 while it has few
+    spread = items.groupBy("cluster_id").agg(F.min("source_id").alias("lo"), F.max("source_id").alias("hi"))
+    own = (items.join(spread, "cluster_id").groupBy("source_id")
+           .agg(((F.sum(F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(0.0)) + 4.0) / (F.count("*") + 8)).alias("uniqueness")))
+    nearest = park(stories.nearest(_stories(spark, sf_dir)))
+    return (items.drop("free_score").join(src, "source_id", "left").join(sims, "item_id", "left").join(seen, "source_id").join(own, "source_id")
+            .join(nearest, "item_id", "left")
+            .withColumns({"nearest": F.coalesce("nearest", F.lit(0.0)), "category_prior": F.lit(None).cast("double"),
+                          "discovery": F.when(F.col("feed_type") == "discovery", F.col("quality_prior"))}))
 
 
 @query("r9_free_score")
@@ -196,10 +249,9 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r12_free_ranker")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores, the shared slot budget of bands A and B, and the hash-sampled audits among the rest."""
-    ranked = scoring.free_score(_scored(spark, sf_dir), NOW, ["the", "of", "in the"])
-    sampled = N.hash_unit(F.concat(F.lit("audit:"), F.col("item_id"))) < F.when(F.col("band") == "C", .06).otherwise(.01)
-    return ranked.groupBy("band", sampled.alias("sampled")).agg(F.count("*").alias("n"))
+    """One row per item: bands A and B share the slots in score order; of the rest a hash sample is audited, up to a cap, in score order."""
+    ranked = park(scoring.free_score(_scored(spark, sf_dir), NOW, ["the", "of", "in the"]).select("item_id", "free_score", "band"))
+    return scoring.slots_and_audits(ranked, slots=140, audit_cap=20).select("item_id", F.round("free_score", 6).alias("free_score"), "band", "selected", "audit", "reason")
 
 
 @query("m6_cosine", "SELECT v.item_id, a.anchor_id, round(list_cosine_similarity(v.embedding::DOUBLE[], a.anchor::DOUBLE[]), 6) AS c FROM vectors v CROSS JOIN anchors a")
@@ -217,13 +269,18 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("item_id").agg(F.max_by("anchor_id", "c").alias("best"), F.round(F.max("c"), 6).alias("sim"), F.round(N.clamp(1 - F.avg("c")), 6).alias("distance"))
 
 
-@query("m7_hash_embedding", """
-    SELECT item_id, tok, list_reduce(list_transform(string_split(tok, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT) % 256 AS bucket
-    FROM (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), lambda x: x <> ''))) AS tok FROM items)""")
+_FOLD = "list_reduce(list_transform(string_split(tok, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT)"
+
+
+@query("m7_hash_embedding", f"""
+    , h AS (SELECT item_id, {_FOLD} AS h FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), lambda x: x <> '')) AS tok FROM items)),
+    b AS (SELECT item_id, h % 256 AS bucket, 1e0 AS w FROM h UNION ALL SELECT item_id, (h >> 7) % 256, 0.5e0 FROM h),
+    s AS (SELECT item_id, bucket, sum(w) AS w FROM b GROUP BY item_id, bucket)
+    SELECT item_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM s""")
 def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _items(spark, sf_dir).select("item_id", F.explode(F.array_distinct(F.array_remove(F.split(F.lower("title"), "[^a-z0-9_]+"), ""))).alias("tok"))
-    h = F.aggregate(F.filter(F.split("tok", ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295).cast("long")))
-    return toks.select("item_id", "tok", (h % 256).alias("bucket"))
+    """The vector's entries other than 0: tokens add 1 to one bucket and a half to another, and the sums are brought to length 1."""
+    toks = _items(spark, sf_dir).select("item_id", F.explode(F.array_remove(F.split(F.lower("title"), "[^a-z0-9_]+"), "")).alias("tok"))
+    return N.hash_embedding(toks, "item_id", "tok").withColumn("weight", F.round("weight", 6))
 
 
 @query("x7_title_jaccard", f"""
@@ -260,7 +317,7 @@ def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r26_clusters")
 def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.clusters(_stories(spark, sf_dir))
+    return stories.clusters(_stories(spark, sf_dir), checkpoint=park)
 
 
 FEEDS = [{"feed": "essential", "cap": 8, "minutes": 45, "category_cap": 3, "min_score": .72, "protected": 0}, {"feed": "games", "cap": 8, "minutes": 40, "category_cap": 8, "min_score": .52, "protected": 0},
@@ -351,11 +408,17 @@ def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r11_category", f"""
-    SELECT item_id, CASE WHEN source_id = 'src3' THEN 'games' WHEN b.anchor_id IS NOT NULL THEN CASE b.anchor_id WHEN 0 THEN 'ai_product' WHEN 1 THEN 'ideas_science' ELSE 'culture' END ELSE 'other' END AS category
-    FROM items LEFT JOIN (SELECT item_id, arg_max(anchor_id, c) AS anchor_id FROM ({_SIMS}) WHERE NOT avoid GROUP BY item_id) b USING (item_id)""")
+    SELECT item_id, CASE WHEN source_id = 'src3' THEN 'games' WHEN b.anchor_id IS NOT NULL THEN CASE b.anchor_id WHEN 0 THEN 'ai_product' WHEN 1 THEN 'ideas_science' ELSE 'culture' END
+      ELSE coalesce(p.category, 'other') END AS category
+    FROM items LEFT JOIN (SELECT item_id, arg_max(anchor_id, c) AS anchor_id FROM ({_SIMS}) WHERE NOT avoid GROUP BY item_id) b USING (item_id)
+    LEFT JOIN (SELECT source_id, category FROM (SELECT source_id, category, row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, category) AS rn
+      FROM items WHERE category <> 'other' GROUP BY source_id, category) WHERE rn = 1) p USING (source_id)""")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's forced category, else that of the best anchor, else other."""
+    """A source's forced category, else that of the best anchor, else the source's top prior (here: its most frequent category), else other."""
     best = _anchor_scores(spark, sf_dir).groupBy("item_id").agg(F.max_by("anchor_id", "c").alias("anchor_id"))
     of_anchor = F.when(F.col("anchor_id") == 0, "ai_product").when(F.col("anchor_id") == 1, "ideas_science").when(F.col("anchor_id").isNotNull(), "culture")
     forced = F.when(F.col("source_id") == "src3", "games")
-    return _items(spark, sf_dir).drop("category").join(best, "item_id", "left").select("item_id", F.coalesce(forced, of_anchor, F.lit("other")).alias("category"))
+    counts = _items(spark, sf_dir).where("category <> 'other'").groupBy("source_id", "category").agg(F.count("*").alias("n"))
+    top = counts.groupBy("source_id").agg(F.min(F.struct(-F.col("n"), F.col("category").alias("prior")))["prior"].alias("prior"))
+    return (_items(spark, sf_dir).drop("category").join(best, "item_id", "left").join(top, "source_id", "left")
+            .select("item_id", F.coalesce(forced, of_anchor, F.col("prior"), F.lit("other")).alias("category")))

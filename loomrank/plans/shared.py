@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
         place = tempfile.mkdtemp(prefix="loomrank-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
+
+
+def park(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/park-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

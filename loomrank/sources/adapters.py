@@ -2,6 +2,7 @@
 
 Times are epoch milliseconds as in the stored model; numbers with an exponent are doubles in both dialects.
 Every view is a projection or a left join of its input, so filters and column pruning reach the scans.
+An item's title is the first sentence of its text, its summary the whole text; operators cut it where their own rule says so.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ _VIEWS = {
              CASE WHEN n % 10 = 9 THEN 'paid' ELSE 'free' END AS access, 0.05e0 + 0.01e0 * (n % 5) AS exploration_floor
       FROM (SELECT source, CAST(substr(source, 4) AS INT) AS n FROM documents WHERE source IS NOT NULL GROUP BY source) s""",
     "items": f"""
-      SELECT doc_id AS item_id, source AS source_id, substr(split_part(text, chr(10), 1), 1, 80) AS title, substr(text, 1, 400) AS summary,
+      SELECT doc_id AS item_id, source AS source_id, split_part(split_part(text, chr(10), 1), '. ', 1) AS title, text AS summary,
              n_chars AS content_chars, lang AS language,
              CASE WHEN doc_id % 37 = 0 THEN NULL ELSE {NOW} - ((doc_id * 7919) % 480) * {HOUR} END AS publication_time,
              {NOW} - ((doc_id * 7919) % 480) * {HOUR} + {HOUR} AS first_seen_at,
