@@ -5,8 +5,9 @@ depend on picks (base scores, gates, admission) is computed by Spark beforehand;
 under the bar without picks can never be taken and are cut. Of the rest only the best of each (source, category) go to
 the one task that picks, so its group is bounded by sources x categories, not by the number of items.
 For allocation this bound loses nothing: within a source and category the order never changes, and no more than the affordable
-calls can be bought. For editions the best 3 x SOURCE_CAP are kept, of which a source can place SOURCE_CAP; the result could differ
-from an unbounded search only if a dozen better ones of the same source and category were all shut out by their story, their minutes or a slot kept for exploration.
+calls can be bought. For editions the best of each group are handed over first; wherever a row that was held back could have come before
+a pick (its score at most that of the group's last row handed over, under the multipliers of that moment), the run is repeated with four
+times as many, until no such row is left. So the result is that of all candidates, and the usual case needs the small bound only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +24,12 @@ SOURCE_DECAY, SOURCE_TAIL, SOURCE_CAP = [1, .9, .75, .55, .4, .28], .2, 6
 TOPIC_DECAY, TOPIC_TAIL = [1, .88, .72, .55, .42], .3
 CLUSTER_DECAY, CLUSTER_TAIL, MAX_DUPLICATE = [1, .55, .25], .1, .45
 CORRELATION, MAX_CORRELATION = .25, .35
+BASE = {"score": 1.00, "quality_prior": .04, "feed_weight": .16, "learned": .08}
+
+
+def base_value(score: Column, quality_prior: Column, learned: Column, feed_weight: Column) -> Column:
+    """The feed's score with its three small adjustments, before any diminishing returns."""
+    return BASE["score"] * score + BASE["quality_prior"] * (quality_prior - .5) + BASE["learned"] * learned + BASE["feed_weight"] * (feed_weight - .6)
 
 
 def _at(decay: list[float], tail: float, n: int) -> float:
@@ -38,8 +45,13 @@ def multiplier(row, sources: Counter, topics: Counter, stories: Counter, partner
     return _at(SOURCE_DECAY, SOURCE_TAIL, sources[row.source_id]) * _at(TOPIC_DECAY, TOPIC_TAIL, topics[row.category]) * story * (1 - worst)
 
 
-def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: float, protected: int, partners: dict, used: Counter, max_feeds: int = 2, overflow: float = 10) -> list[tuple]:
-    """(item_id, place, value) of the picks from rows (value order; ties to the earliest): the greedy argmax under all caps."""
+def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: float, protected: int, partners: dict, used: Counter, max_feeds: int = 2, overflow: float = 10,
+         missed: list | None = None) -> list[tuple]:
+    """(item_id, place, value) of the picks from rows (value order; ties to the earliest): the greedy argmax under all caps.
+
+    Rows with `cut` set are the last of a group that has more; missed gets those whose unseen successors could have been picked.
+    """
+    ends = [r for r in rows if getattr(r, "cut", False)]
     sources, topics, stories = Counter(), Counter(), Counter()
     spent, explored, picked, left = 0.0, 0, [], [r for r in rows if used[r.item_id] < max_feeds]
     while left and len(picked) < cap:
@@ -53,6 +65,11 @@ def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: flo
             v = r.score * multiplier(r, sources, topics, stories, partners)
             if v >= min_score and (best is None or v > value):
                 best, value = r, v
+        if missed is not None:
+            for r in ends:
+                open_ = sources[r.source_id] < SOURCE_CAP and topics[r.category] < category_cap
+                if open_ and r.score * _at(SOURCE_DECAY, SOURCE_TAIL, sources[r.source_id]) * _at(TOPIC_DECAY, TOPIC_TAIL, topics[r.category]) >= value:
+                    missed.append(r.item_id)
         if best is None:
             break
         left.remove(best)
@@ -68,24 +85,31 @@ def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: flo
     return picked
 
 
-def editions(candidates: DataFrame, feeds: list[dict], overlap: dict[str, list[tuple[str, float]]] | None = None) -> DataFrame:
-    """feed, item_id, place, value. candidates: feed, item_id, source_id, cluster_id, category, score, duplicate_information, minutes, exploratory.
+def editions(candidates: DataFrame, feeds: list[dict], overlap: dict[str, list[tuple[str, float]]] | None = None, keep=lambda df: df) -> DataFrame:
+    """feed, item_id, place, value; keep writes the few picks down so that they are not worked out twice. candidates: feed, item_id, source_id, cluster_id, category, score, duplicate_information, minutes, exploratory.
 
     feeds, in priority order: feed, cap, minutes, category_cap, min_score, protected. They share the limit of feeds per item, so one task fills all of them.
     """
     bars = F.create_map(*[F.lit(x) for f in feeds for x in (f["feed"], float(f["min_score"]))])
     able = candidates.where(F.col("score") >= bars[F.col("feed")])
-    ranked = able.withColumn("_r", F.row_number().over(Window.partitionBy("feed", "source_id", "category").orderBy(F.desc("score"), "item_id")))
-    bounded = ranked.where(F.col("_r") <= 3 * SOURCE_CAP).drop("_r")
+    group = Window.partitionBy("feed", "source_id", "category").orderBy(F.desc("score"), "item_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = Counter(), []
+        used, out, missed = Counter(), [], []
         for f in feeds:
             rows = list(pdf[pdf["feed"] == f["feed"]].sort_values(["score", "item_id"], ascending=[False, True]).itertuples(index=False))
-            out += [(f["feed"], *p) for p in fill(rows, f["cap"], f["minutes"], f["category_cap"], f["min_score"], f["protected"], overlap or {}, used)]
-        return pd.DataFrame(out, columns=["feed", "item_id", "place", "value"])
-
-    return bounded.withColumn("run", F.lit("edition")).groupBy("run").applyInPandas(run, "feed string, item_id long, place long, value double")
+            out += [(f["feed"], *p) for p in fill(rows, f["cap"], f["minutes"], f["category_cap"], f["min_score"], f["protected"], overlap or {}, used, missed=missed)]
+        return pd.DataFrame(out + [(None, i, -1, 0.0) for i in missed[:1]], columns=["feed", "item_id", "place", "value"])
+
+    bound = 3 * SOURCE_CAP
+    while True:
+        # one row more than the bound tells whether a group has more; ranks are limited before the shuffle
+        ranked = able.withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= bound + 1)
+        handed = ranked.withColumn("cut", (F.col("_r") == bound) & (F.lead("_r").over(group).isNotNull())).where(F.col("_r") <= bound).drop("_r")
+        picks = keep(handed.withColumn("run", F.lit("edition")).groupBy("run").applyInPandas(run, "feed string, item_id long, place long, value double"))
+        if picks.where("place < 0").isEmpty():
+            return picks
+        bound *= 4
 
 
 def spend(rows: list, affordable: int, bar: float, reserve: int, source_penalty: float = .08, topic_penalty: float = .06) -> list[tuple]:

@@ -327,11 +327,14 @@ FEEDS = [{"feed": "essential", "cap": 8, "minutes": 45, "category_cap": 3, "min_
 @query("r19_editions")
 def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep, items = adapters.view(spark, sf_dir, "deep"), _items(spark, sf_dir)
-    c = deep.join(items.select("item_id", "source_id", "cluster_id", "category"), "item_id").where("ragebait <= 0.35")
+    src = adapters.view(spark, sf_dir, "sources").select("source_id", "quality_prior")
+    c = (deep.join(items.select("item_id", "source_id", "cluster_id", "category"), "item_id").where("ragebait <= 0.35")
+         .join(src, "source_id", "left").join(r39(spark, sf_dir), "source_id", "left"))
+    value = selection.base_value(F.col("expected_attention_value"), F.coalesce("quality_prior", F.lit(.5)), F.coalesce("learned", F.lit(0.0)), F.lit(.6))
     per_feed = c.withColumn("feed", F.explode(F.array(*[F.lit(f["feed"]) for f in FEEDS])))
     return selection.editions(per_feed.select(
-        "feed", "item_id", "source_id", "cluster_id", "category", F.col("expected_attention_value").alias("score"), "duplicate_information",
-        (3.0 + F.col("item_id") % 12).alias("minutes"), (F.col("anchor_distance") >= .55).alias("exploratory")), FEEDS)
+        "feed", "item_id", "source_id", "cluster_id", "category", value.alias("score"), "duplicate_information",
+        (3.0 + F.col("item_id") % 12).alias("minutes"), (F.col("anchor_distance") >= .55).alias("exploratory")), FEEDS, keep=park)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +355,11 @@ def r31(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r32_allocation")
 def r32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.allocate(_candidates(spark, sf_dir), [("run", 60, .30)])
+    """One row per candidate: bought (with its place and score), expired (published too long ago for its kind), else deferred to the next run."""
+    c = _candidates(spark, sf_dir).withColumn("late", scoring.expired(F.col("publication_time"), F.when(F.col("category") == "games", "news").otherwise("essay"), NOW))
+    bought = selection.allocate(c.where(~F.col("late")), [("run", 60, .30)]).select("item_id", "place", F.round("score", 6).alias("score"))
+    return (c.select("item_id", "late").join(F.broadcast(bought), "item_id", "left")
+            .select("item_id", "place", "score", F.when(F.col("late"), "expired").when(F.col("place").isNotNull(), "bought").otherwise("deferred").alias("decision")))
 
 
 @query("r50_budget_replay")

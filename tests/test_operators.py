@@ -98,6 +98,34 @@ def test_pruned_edition_equals_whole(spark):
     assert [(r["item_id"], r["place"]) for r in selection.editions(d, [feed]).orderBy("place").collect()] == [p[:2] for p in whole]
 
 
+def test_edition_sees_beyond_a_blocked_story(spark):
+    """One source and category with 30 better rows of one story, of which only the first fits: the 31st must still be found."""
+    rows = [("f", i, "s", 1 if i < 30 else i, "c", 1 - i / 100, .9, 5.0, False) for i in range(36)]
+    d = spark.createDataFrame(rows, "feed string, item_id long, source_id string, cluster_id long, category string, score double, duplicate_information double, minutes double, exploratory boolean")
+    picks = [r["item_id"] for r in selection.editions(d, [{"feed": "f", "cap": 3, "minutes": 60, "category_cap": 9, "min_score": .3, "protected": 0}]).orderBy("place").collect()]
+    assert picks == [0, 30, 31]
+
+
+def test_slots_and_audits(spark):
+    rows = [(i, 1 - i / 100, "AABBCD"[i % 6]) for i in range(60)]
+    got = {r["item_id"]: r for r in scoring.slots_and_audits(spark.createDataFrame(rows, "item_id long, free_score double, band string"), 25, 3, (("C", 1.0),)).collect()}
+    able = [i for i, _, b in rows if b in "AB"]
+    assert [i for i in sorted(got) if got[i]["selected"]] == able[:25] and all(got[i]["reason"] == "no_slot_left" for i in able[25:])
+    assert [i for i in sorted(got) if got[i]["audit"]] == [i for i, _, b in rows if b == "C"][:3]
+
+
+def test_entities_and_parameter_order(spark):
+    row = spark.createDataFrame([("&#65;&#x41;&#38;lt; &amp;#65; &eacute; &#128512; &#1114112; &#xD800; &#0;", "http://www.e.org/a?b=2&a=1&b=1&utm_x=3&a")], "t string, u string")
+    got = row.select(X.decode_entities(F.col("t")).alias("t"), U.canonical(F.col("u")).alias("u")).first()
+    assert got["t"] == "AA&lt; &#65; é \U0001F600 &#1114112; &#xD800; &#0;" and got["u"] == "https://e.org/a?a=1&a=&b=2&b=1"
+
+
+def test_hash_embedding_has_length_one(spark):
+    toks = spark.createDataFrame([(1, "one"), (1, "two"), (1, "one"), (2, "x")], "k long, tok string")
+    got = N.hash_embedding(toks, "k", "tok").groupBy("k").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert len(got) == 2 and all(abs(r["n"] - 1) < 1e-9 for r in got)
+
+
 def test_allocation_reserves_audits():
     rows = [SimpleNamespace(item_id=i, source_id="s", category="c", opportunity=.9 - i / 100, audit=i == 30) for i in range(31)]
     out = selection.spend(rows, 10, .3, 1)
