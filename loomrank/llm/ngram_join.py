@@ -12,7 +12,7 @@ length at which even pairs at the threshold reach the target.
 
 Candidates are never listed pair by pair. The links' connected components are cut into blocks of at most about `block` texts, and every pair of blocks of a
 component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
-not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
+not emitted. A task returns one row per text: its number of links there and another id of its linked
 group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
 texts is spread over block pairs, and no link between different texts inside a component is lost.
 
@@ -136,12 +136,18 @@ def linked(sets: list[np.ndarray], threshold: float, split: int | None = None) -
     return yes
 
 
-def _chain(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each row the next smaller id of its group, or its own where it is the smallest: chains instead of stars, so that no id meets all others."""
+#: In a linked group each member points at the one at a FANOUTth of its place: no member is pointed at by many, and all are a few steps apart.
+FANOUT = 64
+
+
+def _pointers(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each row an id of its group (rows of equal low) to link it with: the smallest points at itself."""
     order = np.lexsort((ids, low))
-    out = ids.copy()
-    inner = np.nonzero(low[order][1:] == low[order][:-1])[0] + 1
-    out[order[inner]] = ids[order[inner - 1]]
+    head = np.nonzero(np.append(True, low[order][1:] != low[order][:-1]))[0]
+    start = np.repeat(head, np.diff(np.append(head, len(ids))))
+    place = np.arange(len(ids)) - start
+    out = np.empty_like(ids)
+    out[order] = ids[order[start + np.maximum(place - 1, 0) // FANOUT]]
     return out
 
 
@@ -169,7 +175,7 @@ def _verify(threshold: float):
             a, b = np.nonzero(yes)
             count = yes.sum(1) if split is None else np.concatenate([yes.sum(1), yes.sum(0)])
             low = _roots(ids, a, b + (split or 0))
-            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": _chain(ids, low)})[count > 0])
+            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": _pointers(ids, low)})[count > 0])
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n_links": [], "peer": []}, dtype="int64")
 
     return run
@@ -195,7 +201,8 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
 
 
 def _neighbours(least: int):
-    """(a, b, lcp) of rows (tree, path, node) that follow each other in a tree and share `least` values or more; the partition's first and last row with lcp -1."""
+    """(a, b, lcp) links of rows (tree, path, node) in trie order: for every prefix length from `least` on, rows in a row that share it are linked
+    (see FANOUT), each link once, with the longest such length. The partition's first and last row come with lcp -1."""
     def run(batches):
         last = None
         for pdf in batches:
@@ -208,10 +215,16 @@ def _neighbours(least: int):
             else:
                 tree, node, path = np.append(last[0], tree), np.append(last[1], node), np.vstack([last[2], path])
             last = tree[-1:], node[-1:], path[-1:]
-            lcp = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
-            lcp[tree[1:] != tree[:-1]] = 0
-            k = np.nonzero(lcp >= least)[0]
-            yield pd.DataFrame({"a": node[k], "b": node[k + 1], "lcp": lcp[k], "tree": tree[k], "path": [None] * len(k)})
+            lcp = np.append(0, np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1))
+            lcp[np.append(True, tree[1:] != tree[:-1])] = 0
+            at, had = np.arange(len(node)), np.full(len(node), -1)
+            for depth in range(path.shape[1], least - 1, -1):
+                start = np.maximum.accumulate(np.where(lcp < depth, at, 0))
+                to = np.where(at > start, start + (at - start - 1) // FANOUT, -1)
+                k = np.nonzero((to >= 0) & (to != had))[0]
+                had = np.where(to >= 0, to, had)
+                if len(k):
+                    yield pd.DataFrame({"a": node[to[k]], "b": node[k], "lcp": depth, "tree": tree[k], "path": [None] * len(k)})
         if last is not None:
             yield pd.DataFrame({"a": last[1], "b": last[1], "lcp": [-1], "tree": last[0], "path": [last[2][0].tobytes()]})
 
