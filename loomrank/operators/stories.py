@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def candidate_pairs(prepared: DataFrame) -> DataFrame:
     Only ids meet on shared tokens; the wide rows are joined to the distinct pairs afterwards.
     """
     width = WINDOW_HOURS * N.HOUR
-    vectors = prepared.where("embedding IS NOT NULL")
+    vectors = prepared.where("embedding IS NOT NULL").select("item_id", "at")
     both = windowed_pairs(vectors, vectors).select(F.col("a.item_id").alias("i"), F.col("b.item_id").alias("j"))
     slim = prepared.select("item_id", "at", F.col("embedding").isNull().alias("bare"), F.explode(F.array_union("tokens", "entities")).alias("key"))
     left = slim.select(F.col("item_id").alias("i"), F.col("at").alias("t"), F.col("bare").alias("x"), "key", F.explode(F.array(*[F.floor(F.col("at") / width) + k for k in (-1, 0, 1)])).alias("bucket"))
@@ -71,11 +73,49 @@ def signals(pairs: DataFrame) -> DataFrame:
     return s.withColumn("confidence", confidence).withColumn("perspective", apart)
 
 
-def nearest(items: DataFrame) -> DataFrame:
-    """item_id, nearest: the largest cosine to an item with a vector in the window, 0 at least."""
-    known = prepare(items.where("embedding IS NOT NULL")).select("item_id", "at", "embedding", "size")
-    return (windowed_pairs(known, known).select(F.col("a.item_id").alias("item_id"), cosine("a", "b").alias("c"))
-            .groupBy("item_id").agg(F.greatest(F.lit(0.0), F.max("c")).alias("nearest")))
+def _largest_cosines(hours: int):
+    width = hours * N.HOUR
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "item_id"], kind="stable")
+        dims = max(map(len, pdf["embedding"]))
+        e = np.zeros((len(pdf), dims))
+        for i, v in enumerate(pdf["embedding"]):
+            e[i, :len(v)] = v
+        size = np.linalg.norm(e, axis=1)
+        e /= np.where(size > 0, size, 1.0)[:, None]
+        ids, at, own = (pdf[c].to_numpy() for c in ("item_id", "at", "own"))
+        # two blocks meet crosswise, one meets itself
+        first = own == own[0]
+        left, right = (np.nonzero(first)[0], np.nonzero(~first)[0]) if not first.all() else (np.arange(len(pdf)),) * 2
+        if pdf["key"].iat[0].count(own[0]) < 2 and first.all():
+            return pd.DataFrame({"item_id": [], "nearest": []}).astype({"item_id": "int64", "nearest": "float64"})
+        c = e[left] @ e[right].T
+        c[(np.abs(at[left][:, None] - at[right][None, :]) > width) | (ids[left][:, None] == ids[right][None, :])] = -np.inf
+        found = pd.DataFrame({"item_id": np.append(ids[left], ids[right]), "nearest": np.append(c.max(1), c.max(0))})
+        return found[found["nearest"] > -np.inf]
+
+    return run
+
+
+def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = 1024) -> DataFrame:
+    """item_id, nearest: the largest cosine to an item with a vector in the window, 0 at least.
+
+    Time buckets as wide as the window are cut into blocks of about `block` items; a block meets itself and the blocks of its own and the two adjacent
+    buckets, pair by pair, as one matrix product each. So a busy week is spread over many tasks, no vector travels with a pair, and nothing is approximate.
+    """
+    known = (items.where("embedding IS NOT NULL").select("item_id", "at", "embedding")
+             .withColumn("bucket", F.floor(F.col("at") / (hours * N.HOUR)).cast("long")))
+    sizes = known.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    around = [sizes.select((F.col("bucket") - k).alias("bucket"), F.lit(k).alias("k"), F.col("blocks").alias("theirs")) for k in (-1, 0, 1)]
+    meets = around[0].unionByName(around[1]).unionByName(around[2])
+    name = lambda bucket, no: F.concat(F.lit("<"), bucket.cast("string"), F.lit(":"), no.cast("string"), F.lit(">"))
+    placed = known.join(sizes, "bucket").withColumn("own", name(F.col("bucket"), F.pmod(F.xxhash64("item_id"), F.col("blocks"))))
+    spread = (placed.join(meets, "bucket").withColumn("no", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+              .withColumn("other", name(F.col("bucket") + F.col("k"), F.col("no")))
+              .select("item_id", "at", "embedding", "own", F.concat(F.least("own", "other"), F.greatest("own", "other")).alias("key")))
+    return (spread.groupBy("key").applyInPandas(_largest_cosines(hours), "item_id long, nearest double")
+            .groupBy("item_id").agg(F.greatest(F.lit(0.0), F.max("nearest")).alias("nearest")))
 
 
 def best_earlier(items: DataFrame, cut: float = CUT) -> DataFrame:

@@ -66,6 +66,20 @@ def brute_clusters(items, cut):
     return parent
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_nearest_equals_brute_force(spark, block):
+    rng, hour = random.Random(9), 3_600_000
+    rows = [(i, rng.randrange(600) * hour, [rng.uniform(-1, 1) for _ in range(8)] if i % 9 else None) for i in range(90)] + [(900, 50_000 * hour, [1.0] * 8), (901, 0, [0.0] * 8)]
+    got = {r["item_id"]: r["nearest"] for r in stories.nearest(spark.createDataFrame(rows, "item_id long, at long, embedding array<double>"), block=block).collect()}
+    norm = lambda v: sum(x * x for x in v) ** .5
+    want = {}
+    for i, at, v in rows:
+        near = [sum(a * b for a, b in zip(v, w, strict=True)) / ((norm(v) * norm(w)) or 1) for j, bt, w in rows if v and w and i != j and abs(at - bt) <= 96 * hour]
+        if near:
+            want[i] = max(0.0, *near) if len(near) > 1 else max(0.0, near[0])
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_clusters_equal_brute_force(spark):
     rng, names = random.Random(3), ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     items = [(rng.randrange(200) * 3_600_000, i, frozenset(rng.sample(names, rng.randint(1, 4)))) for i in range(60)]
