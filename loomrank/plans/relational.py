@@ -133,10 +133,6 @@ SQL: dict[str, str] = {
     "a13_upper_median": """
         SELECT boundary, max(CASE WHEN rn = (n - n % 2) / 2 + 1 THEN audit_score END) AS median FROM
         (SELECT boundary, audit_score, row_number() OVER (PARTITION BY boundary ORDER BY audit_score, item_id) AS rn, count(*) OVER (PARTITION BY boundary) AS n FROM audits) t GROUP BY boundary""",
-    "a14_percentiles": """
-        SELECT p, max(CASE WHEN rn = least(n - 1, floor(p * n / 1e2)) + 1 THEN free_score END) AS value FROM
-        (SELECT free_score, row_number() OVER (ORDER BY free_score, item_id) AS rn, count(*) OVER () AS n FROM items) t
-        CROSS JOIN (SELECT 30 AS p UNION ALL SELECT 55 UNION ALL SELECT 85) q GROUP BY p""",
     "a15_smoothing": """
         SELECT source_id, n, round((raw * n + 0.5e0 * 8) / (n + 8), 6) AS uniqueness FROM
         (SELECT source_id, count(*) AS n, avg(CASE WHEN lo = hi THEN 1e0 ELSE 0e0 END) AS raw FROM
@@ -188,13 +184,8 @@ SQL: dict[str, str] = {
     # windows
     "w1_rank_in_source": "SELECT item_id, source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY free_score DESC, first_seen_at DESC, item_id) AS BIGINT) AS rank_in_run FROM items",
     "w2_best_in_cluster": "SELECT item_id, max(free_score) OVER (PARTITION BY cluster_id) > free_score AS redundant FROM items",
-    "w3_running_budget": """
-        SELECT item_id, band, slots <= 140 AND band IN ('A', 'B') AS sent FROM (SELECT item_id, band, sum(CASE WHEN band IN ('A', 'B') THEN 1 ELSE 0 END)
-        OVER (ORDER BY free_score DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slots FROM
-        (SELECT item_id, free_score, CASE WHEN free_score >= 0.396e0 THEN 'A' WHEN free_score >= 0.299e0 THEN 'B' WHEN free_score >= 0.242e0 THEN 'C' ELSE 'D' END AS band FROM items) b) t""",
     "w4_capped_hash_sample": """
-        SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY free_score DESC, item_id) AS rn FROM items
-        WHERE free_score < 0.299e0 AND ((item_id * 2654435761) % 100000) / 1e5 < 0.2e0) t WHERE rn <= 20""",
+        SELECT item_id FROM items WHERE free_score < 0.299e0 AND ((item_id * 2654435761) % 100000) / 1e5 < 0.2e0 ORDER BY free_score DESC, item_id LIMIT 20""",
     "w5_cluster_cap": """
         SELECT item_id, q AND base + run <= 3 AS allowed FROM (SELECT item_id, q, base, sum(CASE WHEN q THEN 1 ELSE 0 END)
           OVER (PARTITION BY cluster_id ORDER BY free_score DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (
@@ -221,7 +212,7 @@ SQL: dict[str, str] = {
     "s3_nulls_last_top_k": "SELECT item_id, would_have_published, audit_score FROM audits ORDER BY would_have_published DESC NULLS LAST, audit_score DESC, item_id LIMIT 15",
     "s4_multi_key": "SELECT item_id, feed, published_at FROM published WHERE feed = 'games' ORDER BY published_at DESC, final_score DESC, item_id LIMIT 60",
     "s5_deterministic_shuffle": "SELECT item_id FROM items ORDER BY (item_id * 2654435761) % 100000, item_id LIMIT 40",
-    "s7_share_limited_backfill": "SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY expected_attention_value DESC, item_id) AS rn FROM deep WHERE item_id % 3 = 0) t WHERE rn <= greatest(1, floor(60 * 0.25e0 + 0.5e0))",
+    "s7_share_limited_backfill": "SELECT item_id FROM deep WHERE item_id % 3 = 0 ORDER BY expected_attention_value DESC, item_id LIMIT 15",
     "s9_distinct_then_sort": "SELECT item_id, max(opened_at) AS last FROM opens GROUP BY item_id ORDER BY last DESC, item_id LIMIT 2000",
     "s10_priority_order": """
         SELECT feed, n, coalesce(CASE feed WHEN 'essential' THEN 1 WHEN 'ai_product' THEN 2 WHEN 'games' THEN 3 END, 999) AS ord FROM (SELECT feed, count(*) AS n FROM published GROUP BY feed) t ORDER BY ord, feed""",
@@ -239,7 +230,6 @@ SQL: dict[str, str] = {
     "d7_changed_keys": """
         SELECT n.k FROM (SELECT source_id AS k, md5(CAST(max(item_id) AS VARCHAR(20))) AS h FROM items GROUP BY source_id) n LEFT JOIN
         (SELECT source_id AS k, md5(CAST(max(item_id) AS VARCHAR(20))) AS h FROM items WHERE item_id < 900 GROUP BY source_id) o ON o.k = n.k WHERE o.h IS NULL OR o.h <> n.h""",
-    "d8_ordered_concat": "SELECT CAST(row_number() OVER (ORDER BY part, item_id) AS BIGINT) AS ord, item_id FROM (SELECT 0 AS part, item_id FROM deep WHERE item_id % 10 = 6 UNION ALL SELECT 1, item_id FROM items WHERE status = 'triaged') t",
     "d10_suppress": "SELECT p.item_id, p.feed FROM published p WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.item_id = p.item_id AND i.language = 'fr')",
     # domain joins over the ledger
     "r22_minutes_spent": """
@@ -288,9 +278,6 @@ SQL: dict[str, str] = {
     "q11_free_false_negatives": """
         SELECT count(*) AS samples, CAST(sum(CASE WHEN audit_result IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS resolved,
                sum(CASE audit_result WHEN 'KEEP' THEN 1e0 WHEN 'UNCERTAIN' THEN 0.5e0 ELSE 0e0 END) AS misses FROM audits WHERE boundary = 'free_to_triage'""",
-    "q12_deep_false_negatives": """
-        SELECT count(*) AS n, max(CASE WHEN rn = (n - n % 2) / 2 + 1 THEN audit_score END) AS median, CAST(sum(CASE WHEN would_have_published THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM
-        (SELECT audit_score, would_have_published, row_number() OVER (ORDER BY audit_score, item_id) AS rn, count(*) OVER () AS n FROM audits WHERE boundary = 'triage_to_deep' AND would_have_published IS NOT NULL) t""",
     "q14_readiness": "SELECT boundary, CAST(sum(CASE WHEN audit_result IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS resolved, sum(CASE WHEN audit_result IS NOT NULL THEN 1 ELSE 0 END) >= 30 AS ready FROM audits GROUP BY boundary",
     "q15_boundary_audit_top": "SELECT item_id, boundary, band, audit_score, would_have_published FROM audits WHERE audit_result = 'KEEP' ORDER BY would_have_published DESC NULLS LAST, audit_score DESC, item_id LIMIT 15",
     "q16_cluster_health": """
@@ -302,7 +289,7 @@ SQL: dict[str, str] = {
     "q19_budget_report": f"""
         SELECT stage, count(*) AS calls, round(sum(cost), 6) AS spent, round(sum(cost) / count(*), 6) AS per_call, CAST(floor(greatest(0e0, 5e0 - sum(cost)) / (sum(cost) / count(*))) AS BIGINT) AS affordable
         FROM usage_ledger WHERE created_at >= {NOW} - 30 * {DAY} GROUP BY stage""",
-    "q22_latest_allocation": "SELECT item_id, stage, created_at FROM (SELECT event_id % 1000 AS item_id, stage, created_at, max(created_at) OVER () AS last FROM usage_ledger) t WHERE created_at = last",
+    "q22_latest_allocation": "SELECT event_id % 1000 AS item_id, stage, created_at FROM usage_ledger WHERE created_at = (SELECT max(created_at) FROM usage_ledger)",
     "q23_multi_clusters": "SELECT cluster_id, count(*) AS n, max(free_score) AS best FROM items GROUP BY cluster_id HAVING count(*) > 1 ORDER BY best DESC, cluster_id LIMIT 50",
     "q24_feedback_view": "SELECT f.event_id, f.kind, i.title FROM feedback f LEFT JOIN items i ON i.item_id = f.item_id ORDER BY f.created_at DESC, f.event_id LIMIT 100",
     "q25_calibration_items": "SELECT i.item_id, i.title, max(p.final_score) AS best FROM published p JOIN items i ON i.item_id = p.item_id GROUP BY i.item_id, i.title ORDER BY best DESC, item_id LIMIT 30",
@@ -325,9 +312,6 @@ SQL: dict[str, str] = {
         FROM opens o LEFT JOIN published a ON a.item_id = o.item_id LEFT JOIN items t ON t.item_id = o.item_id
         LEFT JOIN (SELECT i.title, min(p.item_id) AS item_id FROM published p JOIN items i ON i.item_id = p.item_id WHERE length(i.title) >= 12 GROUP BY i.title) b
           ON b.title = t.title""",
-    "j15_article_episode_window": f"""
-        SELECT e.item_id AS episode, count(*) AS articles FROM (SELECT item_id, language, first_seen_at FROM items WHERE status = 'new') e
-        JOIN (SELECT item_id, language, first_seen_at FROM items WHERE status = 'published') a ON a.language = e.language AND e.first_seen_at >= a.first_seen_at - 96 * {HOUR} GROUP BY e.item_id""",
     "r13_audit_rate": "SELECT mode, rate, round(rate * (0.01e0 / 0.06e0), 9) AS rate_d FROM (SELECT 'lean' AS mode, 0.03e0 AS rate UNION ALL SELECT 'normal', 0.06e0 UNION ALL SELECT 'audit', 0.12e0) t",
     "r33_serendipity_potential": """
         SELECT d.item_id, CASE WHEN d.anchor_distance >= 0.55e0 AND d.novelty >= 0.55e0 THEN 1e0 WHEN d.anchor_distance >= 0.55e0 THEN 0.5e0 ELSE 0e0 END AS potential FROM deep d""",

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +24,14 @@ def park(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/park-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with rn, its place in the order (from 1; the order must tell all rows apart): rows are range-partitioned and ranked in their range, ranges add what lies before."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = park(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_part").withColumn("rn", F.col("_before") + inside).drop("_part", "_before")

@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 from loomrank.functions import urls as U
+from loomrank.operators import scoring
 from loomrank.plans.analytics import _TOK, _URLSQL
-from loomrank.plans.shared import shared_dir
+from loomrank.plans.shared import ranked, shared_dir
 from loomrank.sources import adapters
 from loomrank.sources.adapters import NOW, WITH
 
@@ -174,3 +175,68 @@ def r27(spark: SparkSession, sf_dir: str) -> DataFrame:
     sim = F.round(F.coalesce(N.cosine(F.col("a.embedding"), F.col("b.embedding")), F.lit(0.0)), 6)
     verdict = (F.when(F.abs(F.col("a.at") - F.col("b.at")) > 96 * N.HOUR, "apart").when(X.jaccard(F.col("a.t"), F.col("b.t")) >= .62, "title").when(sim >= .845, "vector").otherwise("none"))
     return p.select("a.item_id", F.col("b.item_id").alias("other"), verdict.alias("verdict"))
+
+
+@query("a14_percentiles", """
+    SELECT p, max(CASE WHEN rn = least(n - 1, floor(p * n / 1e2)) + 1 THEN free_score END) AS value FROM
+    (SELECT free_score, row_number() OVER (ORDER BY free_score, item_id) AS rn, count(*) OVER () AS n FROM items) t
+    CROSS JOIN (SELECT 30 AS p UNION ALL SELECT 55 UNION ALL SELECT 85) q GROUP BY p""")
+def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value at place min(n - 1, floor(p n / 100)) of the sorted scores, from 0."""
+    r = ranked(_view(spark, sf_dir, "items").select("free_score", "item_id"), "free_score", "item_id")
+    total = r.agg(F.count("*").alias("n"))
+    place = F.least(F.col("n") - 1, F.floor(F.col("p") * F.col("n") / 100)) + 1
+    wanted = spark.createDataFrame([(30,), (55,), (85,)], "p int").crossJoin(F.broadcast(total)).select("p", place.alias("rn"))
+    return r.join(F.broadcast(wanted), "rn").select("p", F.col("free_score").alias("value"))
+
+
+@query("q12_deep_false_negatives", """
+    SELECT count(*) AS n, max(CASE WHEN rn = (n - n % 2) / 2 + 1 THEN audit_score END) AS median, CAST(sum(CASE WHEN would_have_published THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM
+    (SELECT audit_score, would_have_published, row_number() OVER (ORDER BY audit_score, item_id) AS rn, count(*) OVER () AS n FROM audits WHERE boundary = 'triage_to_deep' AND would_have_published IS NOT NULL) t""")
+def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved audits of the deep boundary: how many, their upper median score, and what would have been published."""
+    a = _view(spark, sf_dir, "audits").where("boundary = 'triage_to_deep' AND would_have_published IS NOT NULL").select("audit_score", "would_have_published", "item_id")
+    r = ranked(a, "audit_score", "item_id")
+    totals = r.agg(F.count("*").alias("n"), F.coalesce(F.count_if("would_have_published"), F.lit(0)).alias("misses"))
+    middle = totals.join(r.select("rn", F.col("audit_score").alias("median")), F.floor(F.col("n") / 2) + 1 == F.col("rn"), "left")
+    return middle.select("n", "median", F.when(F.col("n") > 0, F.col("misses")).alias("misses"))
+
+
+@query("d8_ordered_concat", """
+    SELECT CAST(row_number() OVER (ORDER BY part, item_id) AS BIGINT) AS ord, item_id FROM (SELECT 0 AS part, item_id FROM deep WHERE item_id % 10 = 6 UNION ALL SELECT 1, item_id FROM items WHERE status = 'triaged') t""")
+def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists one after the other, numbered through."""
+    stale = _view(spark, sf_dir, "deep").where("item_id % 10 = 6").select(F.lit(0).alias("part"), "item_id")
+    waiting = _view(spark, sf_dir, "items").where("status = 'triaged'").select(F.lit(1).alias("part"), "item_id")
+    return ranked(stale.unionByName(waiting), "part", "item_id").select(F.col("rn").alias("ord"), "item_id")
+
+
+_BAND = "CASE WHEN free_score >= 0.396e0 THEN 'A' WHEN free_score >= 0.299e0 THEN 'B' WHEN free_score >= 0.242e0 THEN 'C' ELSE 'D' END"
+
+
+@query("w3_running_budget", f"""
+    SELECT item_id, band, slots <= 140 AND band IN ('A', 'B') AS sent FROM (SELECT item_id, band, sum(CASE WHEN band IN ('A', 'B') THEN 1 ELSE 0 END)
+    OVER (ORDER BY free_score DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS slots FROM (SELECT item_id, free_score, {_BAND} AS band FROM items) b) t""")
+def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands A and B share 140 slots in score order: the best 140 of them, found as a top-k."""
+    banded = _view(spark, sf_dir, "items").select("item_id", "free_score", scoring.band(F.col("free_score")).alias("band"))
+    return scoring.slots_and_audits(banded, 140, 1).select("item_id", "band", F.col("selected").alias("sent"))
+
+
+@query("j15_article_episode_window", f"""
+    SELECT e.item_id AS episode, count(*) AS articles FROM (SELECT item_id, language, first_seen_at FROM items WHERE status = 'new') e
+    JOIN (SELECT item_id, language, first_seen_at FROM items WHERE status = 'published') a ON a.language = e.language AND e.first_seen_at >= a.first_seen_at - 96 * {N.HOUR} GROUP BY e.item_id""")
+def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each episode the articles of its language up to 96 hours after it, counted without pairing.
+
+    Articles are counted by language and hour; hours are summed up (a row an hour), and only the episode's own hour is counted row by row.
+    """
+    items = _view(spark, sf_dir, "items").where("language IS NOT NULL").select("item_id", "language", "first_seen_at", "status")
+    at = F.when(F.col("status") == "published", F.col("first_seen_at") - 96 * N.HOUR).otherwise(F.col("first_seen_at"))
+    moments = (items.where("status IN ('new', 'published')").withColumns({"at": at, "episode": (F.col("status") == "new").cast("int")})
+               .withColumn("hour", F.floor(F.col("at") / N.HOUR)))
+    hours = moments.groupBy("language", "hour").agg(F.sum(1 - F.col("episode")).alias("n"))
+    before = hours.select("language", "hour", F.coalesce(F.sum("n").over(Window.partitionBy("language").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum(1 - F.col("episode")).over(Window.partitionBy("language", "hour").orderBy("at", "episode").rowsBetween(Window.unboundedPreceding, 0))
+    counted = moments.withColumn("inside", inside).where("episode = 1").join(before, ["language", "hour"])
+    return counted.select(F.col("item_id").alias("episode"), (F.col("before") + F.col("inside")).alias("articles")).where("articles > 0")
