@@ -285,7 +285,7 @@ SQL: dict[str, str] = {
         FROM (SELECT cluster_id, count(*) AS n, min(source_id) AS lo, max(source_id) AS hi FROM items GROUP BY cluster_id) t""",
     "q18_band_calibration": """
         SELECT band, count(*) AS n, round(count(*) / (1e0 * max(total)), 6) AS share, round(avg(free_score), 6) AS mean_score, min(free_score) AS lo, max(free_score) AS hi FROM
-        (SELECT free_score, count(*) OVER () AS total, CASE WHEN free_score >= 0.396e0 THEN 'A' WHEN free_score >= 0.299e0 THEN 'B' WHEN free_score >= 0.242e0 THEN 'C' ELSE 'D' END AS band FROM items) t GROUP BY band""",
+        (SELECT free_score, (SELECT count(*) FROM items) AS total, CASE WHEN free_score >= 0.396e0 THEN 'A' WHEN free_score >= 0.299e0 THEN 'B' WHEN free_score >= 0.242e0 THEN 'C' ELSE 'D' END AS band FROM items) t GROUP BY band""",
     "q19_budget_report": f"""
         SELECT stage, count(*) AS calls, round(sum(cost), 6) AS spent, round(sum(cost) / count(*), 6) AS per_call, CAST(floor(greatest(0e0, 5e0 - sum(cost)) / (sum(cost) / count(*))) AS BIGINT) AS affordable
         FROM usage_ledger WHERE created_at >= {NOW} - 30 * {DAY} GROUP BY stage""",
