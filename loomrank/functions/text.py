@@ -152,21 +152,31 @@ def language_code(s: Column) -> Column:
     return F.when(~code.isin("", "und", "mul"), code)
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def language_verdict(text: Column, declared: Column) -> Column:
-    """Struct (verdict, language): a declared other language wins; else function words of the first 1200 words decide."""
-    words = F.slice(F.filter(F.transform(
-        F.regexp_extract_all(F.lower(collapse(text)), F.lit(r"(\p{L}[\p{L}'’.-]*)"), F.lit(1)),
-        lambda w: F.regexp_replace(w, r"[^\p{L}]+$", "")), lambda w: F.length(w) >= 2), 1, 1200)
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    count = lambda known: F.regexp_count(line, F.lit(f"(?<= )(?:{'|'.join(known)})(?= )"))
-    en, nl, other, code = count(ENGLISH), count(DUTCH), count(OTHER), language_code(declared)
+    """Struct (verdict, language): a declared other language wins; else function words of the first 1200 words (of two letters or more) decide."""
+    words = F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}[\p{L}'’.-]*\p{L}"), F.lit(0)), 1, 1200)
+    code = language_code(declared)
     verdict = lambda v, lang: F.struct(F.lit(v).alias("verdict"), lang.cast("string").alias("language"))
-    return (F.when(code.isNotNull() & (code != "en"), verdict("non_english", code))
-            .when((nl >= 5) & (nl >= en * 1.35), verdict("non_english", F.lit("nl")))
-            .when((other >= 5) & (other >= en * 1.35), verdict("non_english", F.lit(None)))
-            .when((en >= 4) & (en >= F.greatest(nl, other) * 1.25), verdict("english", F.lit("en")))
-            .when((code == "en") & (F.size(words) >= 8) & (nl < 3) & (other < 3), verdict("english", F.lit("en")))
-            .otherwise(verdict("uncertain", code)))
+
+    def counts(w: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        count = lambda known: F.regexp_count(line, F.lit(f"(?<= )(?:{'|'.join(known)})(?= )"))
+        return F.struct(count(ENGLISH).alias("en"), count(DUTCH).alias("nl"), count(OTHER).alias("other"), F.size(w).alias("n"))
+
+    def decide(c: Column) -> Column:
+        en, nl, other = c["en"], c["nl"], c["other"]
+        return (F.when((nl >= 5) & (nl >= en * 1.35), verdict("non_english", F.lit("nl")))
+                .when((other >= 5) & (other >= en * 1.35), verdict("non_english", F.lit(None)))
+                .when((en >= 4) & (en >= F.greatest(nl, other) * 1.25), verdict("english", F.lit("en")))
+                .when((code == "en") & (c["n"] >= 8) & (nl < 3) & (other < 3), verdict("english", F.lit("en")))
+                .otherwise(verdict("uncertain", code)))
+
+    return F.when(code.isNotNull() & (code != "en"), verdict("non_english", code)).otherwise(once(once(words, counts), decide))
 
 
 def shouting(s: Column, ratio: float = 0.9, least: int = 24) -> Column:
