@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from loomrank.llm.common import ids_of, small_batches, table, whole_ids
 
 #: Solved pieces that a Python worker remembers, in two halves (about 200 bytes each): when the younger half is full, the older is dropped.
-MAX_KNOWN = 450_000
+MAX_KNOWN = 240_000
 #: Pieces that one recursive query solves at a time, and their bytes (unless a single one has more).
-CHUNK, CHUNK_BYTES = 25_000, 1 << 19
+CHUNK, CHUNK_BYTES = 8_000, 1 << 17
 _CODERS: dict = {}
 
 #: run: a token's piece, place in the chunk, itself and the token after it. code orders a piece's pairs by rank, then place; best is the smallest of
@@ -205,6 +205,7 @@ class Coder:
                 flat, bounds = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
                 for k, start, end in zip(found["piece"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     self.young[pieces[k]] = flat[start:end]
+        self.db.unregister("bytes")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut.findall(t) for t in texts]
@@ -228,6 +229,7 @@ class Coder:
         ids = np.concatenate([*encoded, np.empty(0)]).astype(np.int32)
         self.db.register("encoded", pa.table({"doc": np.repeat(np.arange(len(n)), n), "pos": np.arange(len(ids)), "id": ids}))
         found = dict(self.db.sql(_DECODE).fetchall())
+        self.db.unregister("encoded")
         return [found.get(k, "").encode("latin-1") for k in range(len(encoded))]
 
 
