@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, url_filter
+from loomrank.llm import (
+    byte_bpe, centroids, exact_dedup, language_id, lexical_search, line_dedup, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_secret_scan": secret_scan.op13_secret_scan,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
+        "op11_centroids": centroids.ORACLE,
+        "op12_lexical_search": lexical_search.ORACLE,
     }
