@@ -55,6 +55,12 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) ->
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def masked(df: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with plain names for all columns but `known`, and what each was called: helper columns can't clash with names of the input."""
+    names = {c if c in known else f"c{k}": c for k, c in enumerate(df.columns)}
+    return df.toDF(*names), names
+
+
 def whole_ids(docs: DataFrame) -> DataFrame:
     """docs with 0 for a null doc_id and a flag no_id: beside a null, pandas would hold the ids of a batch as floating point numbers."""
     return docs.withColumn("no_id", F.isnull("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))

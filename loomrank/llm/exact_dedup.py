@@ -60,8 +60,12 @@ def _meets(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Da
     return left.join(right, F.col(on).eqNullSafe(F.col("_on")) & (F.col("digest") == F.col("_digest")), how).drop("_on", "_digest")
 
 
+#: Winners of one digest that a salt takes, on average, before more salts are used.
+WINNERS_PER_SALT = 1024
+
+
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text); salts is the least number of salts."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -69,6 +73,8 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     local = ids.groupBy("local_id", "digest").agg(F.count("*").alias("n"))
     repeated = local.groupBy("digest").agg(F.count("*").alias("met")).where("met > 1").select("digest")
     winners = park(local.join(repeated, "digest", "left_semi"))
+    most = winners.groupBy("digest").count().agg(F.max("count")).first()[0] or 0
+    salts = max(salts, -(-most // WINNERS_PER_SALT))
 
     picked = winners.where("local_id is not null").select("local_id", "digest")
     if winners.count() <= BROADCAST_ROWS:
@@ -77,6 +83,8 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     met = (docs.join(picked, docs["doc_id"] == picked["local_id"])
            .select("local_id", "digest", text.alias("text"))
            .where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+           # a row that stands many times comes back as many times: once is enough
+           .distinct()
            .withColumn("salt", F.pmod(F.xxhash64("local_id"), F.lit(salts))))
     bare = (ids.where("carried is not null").join(winners.where("local_id is null").select("digest"), "digest", "left_semi")
             .select("local_id", "digest", F.col("carried").alias("text"), F.pmod(F.xxhash64("lot"), F.lit(salts)).alias("salt")))

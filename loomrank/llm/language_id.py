@@ -8,7 +8,7 @@ Dictionaries come from a bounded sample of labelled rows: docs_per_lang differen
 each language, cut whole into passages, of which those of the smallest hash fill dict_bytes bytes (documented bounds; nothing else is sampled).
 
 Defined results: null text and text without a letter are `und` with score 0; ties go to the language that
-sorts first; repeated rows get equal answers; without any labelled text everything is `und`; an empty
+sorts first; a language of a few bytes is learned like any other; repeated rows get equal answers; without any labelled text everything is `und`; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -47,7 +47,8 @@ def dictionaries(train: DataFrame, docs_per_lang: int = 96, dict_bytes: int = 48
         had = content.get(r["lang"], b"")
         if len(had) < dict_bytes:
             content[r["lang"]] = (had + r["part"].lower().encode("utf-8", "replace") + b"\n")[:dict_bytes]
-    return {k: v for k, v in content.items() if len(v) > 8}
+    # a dictionary has nine bytes at least: shorter content is repeated
+    return {k: v * -(-9 // len(v)) for k, v in content.items()}
 
 
 def predict(docs: DataFrame, content: dict[str, bytes], min_margin: float = 0.003) -> DataFrame:

@@ -7,7 +7,7 @@ shuffle; a host's boilerplate is at most (distinct lines per page) / ratio lines
 
 Defined results: a null host is a host of its own; null text stays null and has no lines; lines without
 a word are kept and not counted; a line repeated on one page counts once; repeated rows are pages each;
-an empty table gives no rows; all other columns are carried.
+an empty table gives no rows; all other columns are carried, whatever their names; columns named n_lines or n_dropped are replaced by the results.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm.common import SPACES, park, table, without
+from loomrank.llm.common import SPACES, masked, park, table, without
 
 #: Boilerplate lines are broadcast, gathered by host, up to this many rows (16 bytes a line); beyond it hits are joined by document.
 BROADCAST_ROWS = 100_000
@@ -49,6 +49,13 @@ def boilerplate(docs: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 4,
                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with its text cleaned, and n_lines, n_dropped (long)."""
+    plain, names = masked(docs)
+    inner = {outer: c for c, outer in names.items()}
+    cleaned = _cleaned(plain, inner[host], inner[text], ratio, min_pages, broadcast_rows)
+    return cleaned.select(*[F.col(c).alias(outer) for c, outer in names.items() if outer not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+
+
+def _cleaned(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, broadcast_rows: int) -> DataFrame:
     keyed = docs.withColumns({"_host": _host(F.col(host)), "_text": F.col(text)})
     drop = park(boilerplate(keyed.select("_host", "_text"), ratio, min_pages))
     if drop.count() <= broadcast_rows:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomrank.llm.common import SPACES, park, table, without, words_of
+from loomrank.llm.common import SPACES, masked, park, table, without, words_of
 
 MAX_EPOCHS = 3
 
@@ -126,8 +126,11 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with the columns of shares(). Only ids, keys and sizes are sorted; a source's edge, the last (key, id, size, row hash)
     that is taken once more, is laid against the documents where they lie, so texts are never shuffled (but for equal rows on an edge)."""
-    drawn = _draw(docs)
-    return _apply(drawn, _plan(drawn, weights), broadcast_rows)
+    made = ("size", "source_size", "target", "epochs", "taken")
+    plain, names = masked(docs.drop(*made), "doc_id", "source", "text")
+    drawn = _draw(plain)
+    mixed = _apply(drawn, _plan(drawn, weights), broadcast_rows)
+    return mixed.select(*[F.col(c).alias(outer) for c, outer in names.items()], *made)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

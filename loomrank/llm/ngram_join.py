@@ -10,7 +10,7 @@ similarity as the whole signatures estimate it, say how many such pairs prefixes
 (the chance of meeting at depth d is 1 - (1 - s^d)^trees), and the worst band of similarities decides. They are never shortened below the
 length at which even pairs at the threshold reach the target.
 
-Candidates are never listed pair by pair. The links' connected components are cut into blocks of at most about `block` texts, and every pair of blocks of a
+Candidates are never listed pair by pair. The links' connected components are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
 component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
 not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
 group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
@@ -181,17 +181,18 @@ def tag_of(text: str = "text") -> Column:
 
 
 def signatures(docs: DataFrame, values: int) -> DataFrame:
-    """doc_id, tag, digest of the word sequence, sig (4 bytes a value; null without words)."""
+    """doc_id, tag, digest of the word sequence, sig (4 bytes a value; null without words), size (number of shingles)."""
     def run(batches):
         for pdf in batches:
             lists = [word_list(t) for t in pdf["text"]]
-            sig = minhashes(shingles(lists), values)
+            sets = shingles(lists)
+            sig = minhashes(sets, values)
             yield pd.DataFrame({
                 "doc_id": ids_of(pdf), "tag": pdf["tag"], "sig": [k.tobytes() if ws else None for k, ws in zip(sig, lists, strict=True)],
-                "digest": [hashlib.blake2b(" ".join(ws).encode("utf-8"), digest_size=16).digest() for ws in lists]})
+                "digest": [hashlib.blake2b(" ".join(ws).encode("utf-8"), digest_size=16).digest() for ws in lists], "size": [len(s) for s in sets]})
 
-    small_batches(docs.sparkSession)
-    return whole_ids(docs.select("doc_id", "text", tag_of().alias("tag"))).mapInPandas(run, "doc_id long, tag long, sig binary, digest binary")
+    small_batches(docs.sparkSession, size=4 << 20)
+    return whole_ids(docs.select("doc_id", "text", tag_of().alias("tag"))).mapInPandas(run, "doc_id long, tag long, sig binary, digest binary, size long")
 
 
 def _neighbours(least: int):
@@ -239,13 +240,13 @@ def _equal_values(batches):
 
 
 def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_depth: int = 8, recall: float = 0.9999,
-               block: int = 512, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+               block: int = 512, block_shingles: int = 150_000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, tag, comp (a number of the class, also where ids are repeated or null) and the columns of ngram_join(), a row for each of docs."""
     signed = park(signatures(docs, trees * max_depth))
     # the first row of a word sequence stands for it; ids may be shared by different texts, so sequences have numbers of their own
     place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col("tag"))
-    reps = park(signed.groupBy("digest").agg(F.min(place).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
-                .select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"), "n_copies", "sig"))
+    reps = park(signed.groupBy("digest").agg(F.min(place).alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.max("size").alias("size"))
+                .select("digest", F.monotonically_increasing_id().alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"), "n_copies", "sig", "size"))
     least = least_depth(trees, max_depth, threshold, recall)
     pairs = candidates(reps, trees, max_depth, least)
     known = reps.select("node", "sig")
@@ -253,12 +254,12 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
            .select("x", "y", "lcp").mapInPandas(_equal_values, "same int, lcp int").groupBy("same", "lcp").agg(F.count("*").alias("n")).collect())
     depth = search_depth([tuple(r) for r in met], trees * max_depth, trees, least, max_depth, threshold, recall)
     label = components(pairs.where(F.col("lcp") >= depth).select("a", "b"))
-    sizes = label.groupBy("comp").agg(F.count("*").alias("m"))
-    members = park(label.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-                   .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-                   .join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag"), "id"))
-    n = members.count()
-    parts = max(1, -(-n // 400))
+    placed = label.join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag", "size"), "id")
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
+    members = park(placed.join(sizes, "comp").withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / block_shingles)).cast("int"))
+                   .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    n, weight = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(1, -(-n // 400), -(-weight // block_shingles))
     # a block meets itself and every other block of its component
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))

@@ -3,7 +3,8 @@
 A logistic model over the words of a text and their prefixes of 4 to 7 letters (present or not; prefixes
 stand for stems, which inflecting languages need). For each labelled sentence that names an identity
 group, sentences with the term swapped for others of its kind are made, and the squared change of the
-logit is penalised while fitting: neutral mentions of a group can't move the score.
+logit is penalised while fitting: neutral mentions of a group can't move the score. Beside the labelled sentences, every term stands in a few neutral
+template sentences of its language (`templates`), swapped likewise and also left out; so the penalty covers terms that no labelled text mentions.
 
 The model is fitted on the driver from a bounded sample of labelled rows (the max_train_rows different rows of the smallest
 hash; at most `vocabulary` features; documented bounds). All their sentences and all swaps within a kind count: what the
@@ -17,6 +18,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from loomrank.llm.common import ids_of, park, small_batches, table, whole_ids
 from loomrank.llm.language_id import held_out
 
-#: Identity terms by kind; a term may be swapped for any other of its kind.
+_LOG = logging.getLogger(__name__)
+
+#: Identity terms by kind, in the languages of the corpus; a term may be swapped for any other of its kind.
 IDENTITY = (
     ("women", "men", "girls", "boys", "females", "males"),
     ("woman", "man", "girl", "boy", "female", "male"),
@@ -38,7 +42,24 @@ IDENTITY = (
     ("gay", "lesbian", "straight", "bisexual", "queer", "heterosexual", "transgender", "cisgender"),
     ("immigrants", "refugees", "natives", "locals", "foreigners", "citizens"),
     ("disabled", "deaf", "blind", "autistic", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "asiáticos", "árabes", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
+#: Neutral sentences that every term is put into. All languages serve all terms: what a sentence says beside the term is the same on both sides of a swap.
+TEMPLATES = ("{} live in this town", "the talk about {} begins at noon", "we met {} at the library")
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,6 +80,17 @@ def sentences(text: str) -> list[set[str]]:
     return [x for x in found if x & known]
 
 
+def counterfactuals(found: set[str], also_without: bool = False):
+    """(words before, words after) of every swap of a term of a sentence for others of its kind, and for none."""
+    for kind in IDENTITY:
+        for term in sorted(found & set(kind)):
+            for other in kind:
+                if other != term:
+                    yield found, found - {term} | {other}
+            if also_without:
+                yield found, found - {term}
+
+
 def fit(rows: list[tuple[list[int], int]], swaps: list[tuple[list[int], list[int], int]], size: int,
         l2: float = 1e-3, swap: float = 5.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """(weights, intercept) from (marks present, label) rows and (marks gone, marks come, number) of swaps, by full-batch Adam."""
@@ -90,7 +122,8 @@ def fit(rows: list[tuple[list[int], int]], swaps: list[tuple[list[int], list[int
     return w, b
 
 
-def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 1500, least_chi2: float = 25.0) -> tuple[dict[str, float], float]:
+def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 1500, least_chi2: float = 25.0, swap: float = 5.0,
+          templates: tuple[str, ...] = TEMPLATES) -> tuple[dict[str, float], float]:
     """(weight by mark, intercept) from the max_train_rows rows of labelled(doc_id, text, toxic) with the smallest hashes; equal rows count once.
 
     Spark counts the marks of those rows by label; marks of three rows or more with a chi-squared of least_chi2 or more, the
@@ -123,18 +156,17 @@ def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 150
             .orderBy(F.desc("chi2"), "mark").limit(vocabulary))
     index = {k: i for i, k in enumerate(sorted({r["mark"] for r in best.select("mark").collect()} | set(named)))}
 
+    def change(before: set[str], after: set[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        had, has = marks(before) & index.keys(), marks(after) & index.keys()
+        return tuple(sorted(index[k] for k in had - has)), tuple(sorted(index[k] for k in has - had))
+
     def numbered(found: set[str]) -> list[int]:
         return sorted(index[k] for k in marks(found) & index.keys())
 
     def swaps(text):
         for s in sentences(text) if isinstance(text, str) else ():
-            for kind in IDENTITY:
-                for term in sorted(s & set(kind)):
-                    had = marks(s) & index.keys()
-                    for other in kind:
-                        if other != term:
-                            has = marks(s - {term} | {other}) & index.keys()
-                            yield tuple(sorted(index[k] for k in had - has)), tuple(sorted(index[k] for k in has - had))
+            for before, after in counterfactuals(s):
+                yield change(before, after)
 
     def gather(batches):
         for pdf in batches:
@@ -150,7 +182,10 @@ def learn(labelled: DataFrame, max_train_rows: int = 8000, vocabulary: int = 150
     got.sort(key=lambda r: r["h"])
     swapped = (few.select("text").mapInPandas(changes, "gone array<int>, come array<int>, times long")
                .groupBy("gone", "come").agg(F.sum("times").alias("times")).collect())
-    w, b = fit([(r["at"], r["label"]) for r in got], sorted((list(r["gone"]), list(r["come"]), r["times"]) for r in swapped), len(index))
+    made = Counter(change(*pair) for t in templates for term in named for pair in counterfactuals(words(t.format(term)), also_without=True))
+    every = sorted([(list(r["gone"]), list(r["come"]), r["times"]) for r in swapped] + [(list(g), list(c), n) for (g, c), n in made.items()])
+    _LOG.info("%d labelled rows, %d features, %d swaps in their sentences and %d in templates", len(got), len(index), sum(r["times"] for r in swapped), sum(made.values()))
+    w, b = fit([(r["at"], r["label"]) for r in got], every, len(index), swap=swap)
     return {k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-4}, float(b)
 
 

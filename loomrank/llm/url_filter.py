@@ -3,11 +3,12 @@
 The trees are trained on labelled URLs (here: those that a rule decides) by Spark ML's distributed
 gradient-boosted trees, so training rows stay in Spark. Features are length, depth, digit ratio,
 character entropy, parameter count, host labels, hyphens, and two statistics of the host's suffix among all
-URLs (its count, and its labelled block rate smoothed towards the whole rate).
+URLs (the last two labels: its count, and its labelled block rate smoothed towards the whole rate). A training row's block rate is that of
+the other folds' rows, so no row is taught by its own label.
 
 Defined results: null urls and urls without "://" have an empty host and path, match no rule and are
 judged by the trees from zero features; repeated rows get equal verdicts; without labelled URLs of both
-kinds the verdict is the only label known, or allow; an empty table gives no rows; other columns are ignored.
+kinds the verdict is the only label known, or allow; equal labelled rows are one training row with their number as weight; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffix statistics are broadcast up to this many suffixes.
 BROADCAST_ROWS = 100_000
 SMOOTHING = 50.0
+FOLDS = 5
 FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix_count", "f_suffix_rate")
 
 
@@ -68,32 +70,36 @@ def lexical(urls: DataFrame) -> DataFrame:
         "f_params": F.when(F.instr(url, "?") > 0, 1 + n - F.length(F.translate(url, "&", ""))).otherwise(0).cast("double"),
         "f_labels": F.size(F.split("host", r"\.")).cast("double"),
         "f_hyphens": (F.length("host") - F.length(F.translate("host", "-", ""))).cast("double"),
-        "suffix": F.substring_index("host", ".", -1),
+        "suffix": F.substring_index("host", ".", -2),
     })
 
 
 def url_filter(urls: DataFrame, labelled: DataFrame, trees: int = 10, depth: int = 4, max_train_rows: int = 50_000) -> DataFrame:
     """urls(url, host, path, ...) with p_block and the trees' verdict; labelled(url, host, path, blocked double).
 
-    max_train_rows bounds the labelled rows that fit the trees (a hash sample beyond it); suffix statistics use all rows.
+    max_train_rows bounds the different labelled rows that fit the trees (those of the smallest hashes); suffix statistics use all rows.
     """
     ready = lexical(urls)
     counts = ready.groupBy("suffix").agg(F.count("*").alias("n"))
-    known = lexical(labelled).groupBy("suffix").agg(F.sum("blocked").alias("hits"), F.count("*").alias("known"))
+    different = park(labelled.groupBy("url", "host", "path", "blocked").agg(F.count("*").cast("double").alias("weight"))
+                     .withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    folds = lexical(different).groupBy("suffix", "fold").agg(F.sum(F.col("blocked") * F.col("weight")).alias("hits"), F.sum("weight").alias("known"))
+    known = folds.groupBy("suffix").agg(F.sum("hits").alias("hits"), F.sum("known").alias("known"))
     totals = labelled.agg(F.avg("blocked").alias("rate"), F.count("*").alias("rows")).first()
     if totals["rows"] == 0 or totals["rate"] in (0.0, 1.0):
         verdict = "block" if totals["rate"] == 1.0 else "allow"
         return ready.withColumns({"p_block": F.lit(1.0 if verdict == "block" else 0.0), "verdict": F.lit(verdict)})
-    stats = park(counts.join(known, "suffix", "left").select(
-        "suffix", F.log1p("n").alias("f_suffix_count"),
-        ((F.coalesce("hits", F.lit(0.0)) + SMOOTHING * totals["rate"]) / (F.coalesce("known", F.lit(0)) + SMOOTHING)).alias("f_suffix_rate")))
+    rate = lambda hits, rows: ((F.coalesce(hits, F.lit(0.0)) + SMOOTHING * totals["rate"]) / (F.coalesce(rows, F.lit(0.0)) + SMOOTHING)).alias("f_suffix_rate")
+    stats = park(counts.join(known, "suffix", "left").select("suffix", F.log1p("n").alias("f_suffix_count"), rate(F.col("hits"), F.col("known"))))
+    # what the other folds say of a suffix: a row per suffix and fold
+    others = park(counts.join(folds, "suffix").join(known.select("suffix", F.col("hits").alias("all_hits"), F.col("known").alias("all_known")), "suffix").select(
+        "suffix", "fold", F.log1p("n").alias("f_suffix_count"), rate(F.col("all_hits") - F.col("hits"), F.col("all_known") - F.col("known"))))
     if stats.count() <= BROADCAST_ROWS:
-        stats = F.broadcast(stats)
+        stats, others = F.broadcast(stats), F.broadcast(others)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    share = max_train_rows / totals["rows"]
-    train = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("url"), F.lit(2**52)) < int(share * 2**52))
-    train = park(lexical(train).join(stats, "suffix", "left").fillna(0.0, list(FEATURES)).select(*FEATURES, "blocked"))
-    model = GBTClassifier(featuresCol="_features", labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(assemble.transform(train))
+    train = different.withColumn("_h", F.xxhash64("url", "blocked")).orderBy("_h", "url", "blocked").limit(max_train_rows)
+    train = park(lexical(train).join(others, ["suffix", "fold"], "left").fillna(0.0, list(FEATURES)).select(*FEATURES, "blocked", "weight"))
+    model = GBTClassifier(featuresCol="_features", labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(assemble.transform(train))
     scored = model.transform(assemble.transform(ready.join(stats, "suffix", "left").fillna(0.0, list(FEATURES))))
     p = vector_to_array("probability")[1]
     return scored.withColumn("p_block", p).withColumn("verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
