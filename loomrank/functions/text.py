@@ -147,6 +147,12 @@ def publisher(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), "^the ", ""), "[^a-z0-9]", "")
 
 
+def publisher_key(s: Column) -> Column:
+    """A publisher's name without the words that only say what it is."""
+    plain = F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"(?<![a-z0-9_])(the|podcast|show|magazine|media|daily|weekly)(?![a-z0-9_])", "")
+    return F.regexp_replace(plain, "[^a-z0-9]", "")
+
+
 def language_code(s: Column) -> Column:
     code = F.element_at(F.split(F.lower(F.trim(s)), "[-_]"), 1)
     return F.when(~code.isin("", "und", "mul"), code)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 
 from loomrank.functions import numbers as N
 from loomrank.functions import text as X
+from loomrank.operators.setjoin import different_sets, first_from, last_until, set_key, similar_sets
 
+# Window, title cut, cosine floor and confidence of one story; weights of the signals.
 WINDOW_HOURS, TITLE_CUT, FLOOR, CUT = 96, .62, .45, .42
+WEIGHT, TIME, SAME_SOURCE, ENTITY_WEIGHT, TITLE_WEIGHT = .83, .17, -.17, .55, .30
 
 
 def prepare(items: DataFrame) -> DataFrame:
@@ -62,12 +67,12 @@ def signals(pairs: DataFrame) -> DataFrame:
         "similarity": F.coalesce(cosine("a", "b"), F.lit(0.0)), "hours": hours, "entity": X.jaccard(F.col("a.entities"), F.col("b.entities"))})
     vectors = F.col("a.embedding").isNotNull() & F.col("b.embedding").isNotNull()
     near = N.proximity(F.col("hours"), WINDOW_HOURS)
-    own = F.when(F.col("a.source_id") == F.col("b.source_id"), -.17).otherwise(0.0)
+    own = F.when(F.col("a.source_id") == F.col("b.source_id"), SAME_SOURCE).otherwise(0.0)
     lift = F.greatest(F.lit(0.0), (F.col("similarity") - FLOOR) / (1 - FLOOR))
     confidence = (F.when(F.col("same_url"), 1.0).when(F.col("hours") > WINDOW_HOURS, 0.0)
                   .when(F.col("title") >= TITLE_CUT, F.greatest(F.lit(.9), F.col("title")))
-                  .when(~vectors, N.clamp(.55 * F.col("entity") + .30 * F.col("title") + .17 * near))
-                  .otherwise(N.clamp(.83 * lift + .17 * near + own)))
+                  .when(~vectors, N.clamp(ENTITY_WEIGHT * F.col("entity") + TITLE_WEIGHT * F.col("title") + TIME * near))
+                  .otherwise(N.clamp(WEIGHT * lift + TIME * near + own)))
     apart = F.when(F.col("same_url"), 0.0).otherwise(N.clamp(
         .60 * (1 - F.col("title")) + .10 * F.greatest(F.lit(0.0), F.col("similarity") - F.col("title")) - .50 * F.col("similarity")))
     return s.withColumn("confidence", confidence).withColumn("perspective", apart)
@@ -118,24 +123,179 @@ def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = 1024) -> D
             .groupBy("item_id").agg(F.greatest(F.lit(0.0), F.max("nearest")).alias("nearest")))
 
 
-def best_earlier(items: DataFrame, cut: float = CUT) -> DataFrame:
-    """item_id, parent: the earlier item (time, then id) of highest confidence at or over the cut; ties to the earliest."""
-    p = prepare(items)
-    found = signals(candidate_pairs(p)).where((F.struct("b.at", "b.item_id") < F.struct("a.at", "a.item_id")) & (F.col("confidence") >= cut))
-    best = F.struct(F.round("confidence", 9), -F.col("b.at"), -F.col("b.item_id"), F.col("b.item_id").alias("parent"))
-    return found.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(best)["parent"].alias("parent"))
+#: Decimal places at which confidences count as equal.
+_PLACES = 12
+FOUND = "item_id long, confidence double, new boolean, at long, found long"
 
 
-def clusters(items: DataFrame, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
-    """item_id, cluster_id: each item joins the cluster of its best earlier match, else seeds one.
+def keyed(prepared: DataFrame) -> DataFrame:
+    """prepare()'s rows with one string each for the title's and the entities' set."""
+    return prepared.withColumns({"title_key": set_key(F.col("tokens")), "entity_key": set_key(F.col("entities"))})
+
+
+def _earliest(sides: dict[bool, DataFrame], asks: DataFrame, width: int) -> DataFrame:
+    """For asks(item_id, at, key, confidence), the first row of either side with that title in the window around `at` that comes before it."""
+    events = [d.where("title_key IS NOT NULL").select(F.struct(F.lit(new).alias("new"), F.col("title_key").alias("key")).alias("key"), "at", F.col("item_id").alias("id")) for new, d in sides.items()]
+    asked = [asks.select(F.struct("item_id", "at", "confidence", F.lit(new).alias("new")).alias("ask"), F.struct(F.lit(new).alias("new"), "key").alias("key"), (F.col("at") - width).alias("at")) for new in sides]
+    found = first_from(reduce(DataFrame.union, asked), reduce(DataFrame.union, events)).where("found IS NOT NULL")
+    return _before(found.select(F.col("ask.item_id").alias("item_id"), F.col("ask.at").alias("own"), F.col("ask.confidence").alias("confidence"), F.col("ask.new").alias("new"), F.col("found_at").alias("at"), "found"), width)
+
+
+def _before(found: DataFrame, width: int) -> DataFrame:
+    """Of (item_id, own, confidence, new, at, found): those inside the window that come before the item; whatever is stored does."""
+    earlier = ~F.col("new") | (F.struct("at", F.col("found")) < F.struct(F.col("own"), F.col("item_id")))
+    return found.where((F.abs(F.col("at") - F.col("own")) <= width) & earlier).select("item_id", "confidence", "new", "at", "found")
+
+
+def _vector_best(width: int, cut: float):
+    """Per task: one block of items that ask against one block of candidates, as one matrix product."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["asks"]].reset_index(drop=True)
+        b = pdf[~pdf["asks"]].sort_values(["new", "at", "item_id"], kind="stable").reset_index(drop=True)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"item_id": [], "confidence": [], "new": [], "at": [], "found": []})
+        dims = max(max(map(len, a["embedding"])), max(map(len, b["embedding"])))
+
+        def unit(rows):
+            e = np.zeros((len(rows), dims))
+            for i, v in enumerate(rows):
+                e[i, :len(v)] = v
+            size = np.linalg.norm(e, axis=1)
+            return e / np.where(size > 0, size, 1.0)[:, None]
+
+        hours = np.abs(a["at"].to_numpy()[:, None] - b["at"].to_numpy()[None, :])
+        c = WEIGHT * np.maximum(0.0, (unit(a["embedding"]) @ unit(b["embedding"]).T - FLOOR) / (1 - FLOOR)) + TIME * (1 - hours / width)
+        c += np.where((a["source_id"].to_numpy()[:, None] == b["source_id"].to_numpy()[None, :]) & a["source_id"].notna().to_numpy()[:, None], SAME_SOURCE, 0.0)
+        later = (b["at"].to_numpy()[None, :] > a["at"].to_numpy()[:, None]) | ((b["at"].to_numpy()[None, :] == a["at"].to_numpy()[:, None]) & (b["item_id"].to_numpy()[None, :] >= a["item_id"].to_numpy()[:, None]))
+        c[(hours > width) | (later & b["new"].to_numpy()[None, :])] = -1.0
+        title = b["title"].to_numpy()
+        # similar titles decide by themselves, elsewhere
+        for i, skip in enumerate(a["skip"]):
+            if skip is not None and len(skip):
+                c[i, np.isin(title, skip)] = -1.0
+        c = np.round(np.clip(c, -1.0, 1.0), _PLACES)
+        best = c.argmax(1)
+        top = c[np.arange(len(a)), best]
+        k = np.nonzero(top >= cut)[0]
+        return pd.DataFrame({"item_id": a["item_id"].to_numpy()[k], "confidence": top[k], "new": b["new"].to_numpy()[best[k]], "at": b["at"].to_numpy()[best[k]], "found": b["item_id"].to_numpy()[best[k]]})
+
+    return run
+
+
+def _by_vector(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFrame, width: int, cut: float, block: int = 1024) -> DataFrame:
+    """The best candidate with a vector for each asking item with one. Blocks of a window meet; an item leaves a block with one row at most."""
+    bucket = F.floor(F.col("at") / width).cast("long").alias("bucket")
+    skip = similar.groupBy("left_key").agg(F.collect_set(F.xxhash64("right_key")).alias("skip"))
+    columns = ["item_id", "source_id", "at", "embedding", F.xxhash64("title_key").alias("title")]
+    a = asking.where("embedding IS NOT NULL").join(skip, F.col("title_key") == F.col("left_key"), "left").select(*columns, "skip", F.lit(True).alias("new"), F.lit(True).alias("asks"), bucket)
+    b = reduce(DataFrame.unionByName, [d.where("embedding IS NOT NULL").select(*columns, F.lit(None).cast("array<bigint>").alias("skip"), F.lit(new).alias("new"), F.lit(False).alias("asks"), bucket) for new, d in sides.items()])
+    blocks = lambda d: d.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    a_blocks, b_blocks = blocks(a), blocks(b)
+    around = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)]))
+
+    def placed(d, own, others, key):
+        d = d.join(own.toDF("bucket", "mine"), "bucket").withColumn("no", F.pmod(F.xxhash64("item_id"), F.col("mine"))).withColumn("there", around)
+        d = d.join(others.toDF("there", "theirs"), "there").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+        return d.select("item_id", "source_id", "at", "embedding", "title", "skip", "new", "asks", F.concat_ws("/", *key).alias("key"))
+
+    met = (placed(a, a_blocks, b_blocks, ("bucket", "no", "there", "other"))
+           .unionByName(placed(b, b_blocks, a_blocks, ("there", "other", "bucket", "no"))))
+    return met.groupBy("key").applyInPandas(_vector_best(width, cut), FOUND)
 
-    Parents point backwards in time, so roots are found by pointer doubling: about log2 of the longest chain joins.
+
+def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int, cut: float) -> DataFrame:
+    """The best candidate where either side has no vector: entities and titles decide, and of equal profiles the one nearest in time.
+
+    Profiles (title, entities, vector or not) meet, not rows, and only those of which titles or entities alone are similar enough to reach the cut.
+    """
+    floor = (cut - TIME) / (ENTITY_WEIGHT + TITLE_WEIGHT)
+    profile = [F.col("title_key"), F.col("entity_key"), F.col("embedding").isNull().alias("bare")]
+    mine = asking.select(*profile).distinct()
+    theirs = reduce(DataFrame.union, [d.select(*profile) for d in sides.values()]).distinct()
+    mine, theirs = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p, d in (("a", mine), ("b", theirs)))
+    met = []
+    for key in ("title_key", "entity_key"):
+        near = similar_sets(different_sets(mine, f"a_{key}"), different_sets(theirs, f"b_{key}"), floor)
+        if key == "title_key":
+            near = near.where(F.col("jaccard") < TITLE_CUT)
+        met.append(mine.join(near, F.col(f"a_{key}") == F.col("left_key")).join(theirs, F.col(f"b_{key}") == F.col("right_key")).where("a_bare OR b_bare").select(*mine.columns, *theirs.columns))
+    sets = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "\x1f"))
+    title, entity = X.jaccard(sets("a_title_key"), sets("b_title_key")), X.jaccard(sets("a_entity_key"), sets("b_entity_key"))
+    pairs = (met[0].union(met[1]).distinct().withColumns({"title": title, "base": ENTITY_WEIGHT * entity + TITLE_WEIGHT * title})
+             .where((F.col("title") < TITLE_CUT) & (F.col("base") + TIME >= cut - 1e-9)))
+    own = asking.select("item_id", "at", *profile)
+    asks = own.join(pairs, F.col("title_key").eqNullSafe(F.col("a_title_key")) & F.col("entity_key").eqNullSafe(F.col("a_entity_key")) & (F.col("bare") == F.col("a_bare")))
+    their = F.struct(*[F.col(f"b_{c}").alias(c) for c in ("title_key", "entity_key", "bare")])
+    asked = reduce(DataFrame.union, [asks.select(F.struct("item_id", "at", "base", F.lit(new).alias("new")).alias("ask"), F.to_json(F.struct(F.lit(new).alias("new"), their.alias("p"))).alias("key"), "at") for new in sides])
+    events = reduce(DataFrame.union, [d.select(F.to_json(F.struct(F.lit(new).alias("new"), F.struct(*profile).alias("p"))).alias("key"), "at", F.col("item_id").alias("id")) for new, d in sides.items()])
+    # the item itself may be the last at its own time: then the one before it counts
+    around = [last_until(asked, events), last_until(asked.where("ask.new").withColumn("at", F.col("at") - 1), events), first_from(asked.where("NOT ask.new"), events)]
+    found = reduce(DataFrame.unionByName, around).where("found IS NOT NULL")
+    near = N.proximity(F.abs(F.col("found_at") - F.col("ask.at")) / F.lit(float(N.HOUR)), width / N.HOUR)
+    return _before(found.select(F.col("ask.item_id").alias("item_id"), F.col("ask.at").alias("own"), F.round(N.clamp(F.col("ask.base") + TIME * near), _PLACES).alias("confidence"),
+                                F.col("ask.new").alias("new"), F.col("found_at").alias("at"), "found"), width).where(F.col("confidence") >= cut)
+
+
+def best_matches(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+    """item_id, confidence, new, at, found: for each row of `new` the row that its story follows, if any reaches the cut.
+
+    Both tables as keyed(prepare()). What is stored (`old`) comes first, then new rows by time and id; of equal confidences the first counts. An equal url
+    at any distance or an equal title in the window can't be surpassed, so those items are settled by as-of joins before anything is compared; a
+    group of copies costs one row each. For the rest, similar titles, vectors and profiles are searched by their own means, and no pairs of rows are listed.
+    """
+    width = WINDOW_HOURS * N.HOUR
+    sides = {True: new}
+    if old is not None:
+        lo, hi = new.agg(F.min("at"), F.max("at")).first()
+        sides[False] = old.where(F.col("at").between((lo or 0) - width, (hi or 0) + width))
+    # equal urls: the first of all
+    firsts = [d.where("url IS NOT NULL").groupBy(F.col("url").alias("same")).agg(F.min(F.struct("at", F.col("item_id").alias("found"))).alias("first")).select("same", F.lit(is_new).alias("new"), "first")
+              for is_new, d in ((True, new), (False, old)) if d is not None]
+    linked = (new.select("item_id", "url", F.col("at").alias("own")).join(reduce(DataFrame.union, firsts), F.col("url") == F.col("same"))
+              .select("item_id", "own", F.lit(1.0).alias("confidence"), "new", F.col("first.at").alias("at"), F.col("first.found").alias("found"))
+              .where(~F.col("new") | (F.struct("at", "found") < F.struct("own", "item_id"))).drop("own"))
+    twins = _earliest(sides, new.where("title_key IS NOT NULL").select("item_id", "at", F.col("title_key").alias("key"), F.lit(1.0).alias("confidence")), width)
+    settled = checkpoint(linked.unionByName(twins))
+    rest = checkpoint(new.join(settled.select("item_id").distinct(), "item_id", "left_anti"))
+    every = reduce(DataFrame.union, [d.select("title_key") for d in sides.values()])
+    similar = checkpoint(similar_sets(different_sets(rest, "title_key"), different_sets(every, "title_key"), TITLE_CUT).where("left_key <> right_key"))
+    asks = rest.join(similar, F.col("title_key") == F.col("left_key")).select("item_id", "at", F.col("right_key").alias("key"), F.round(F.greatest(F.lit(.9), "jaccard"), _PLACES).alias("confidence"))
+    found = [settled, _earliest(sides, asks, width), _by_vector(rest, sides, similar, width, cut), _without_vector(rest, sides, width, cut)]
+    first = F.struct("confidence", ~F.col("new"), -F.col("at"), -F.col("found"), F.struct("confidence", "new", "at", "found").alias("match"))
+    return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.max(first)["match"].alias("match")).select("item_id", "match.*")
+
+
+def assign(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+    """item_id, cluster_id, match (the followed item; null for a seed), confidence for each row of `new`; old rows carry their cluster_id and keep it.
+
+    Matches point to stored rows or backwards in time, so roots are found by pointer doubling: about log2 of the longest chain joins.
     """
-    label = checkpoint(items.select("item_id").join(best_earlier(items, cut), "item_id", "left")
-                       .select("item_id", F.coalesce("parent", "item_id").alias("cluster_id")))
+    best = checkpoint(new.select("item_id").join(best_matches(new, old, cut, checkpoint).select("item_id", "confidence", "found", F.col("new").alias("inside")), "item_id", "left"))
+    label = best.where("coalesce(inside, true)").select("item_id", F.coalesce("found", "item_id").alias("cluster_id"))
+    if old is not None:
+        stored = best.where("NOT inside").join(old.select(F.col("item_id").alias("found"), "cluster_id"), "found").select("item_id", "cluster_id")
+        label = label.unionByName(stored)
+    label = checkpoint(label)
     while True:
         up = label.select(F.col("item_id").alias("via"), F.col("cluster_id").alias("root"))
-        step = checkpoint(label.join(up, label.cluster_id == up.via).select("item_id", F.col("root").alias("cluster_id"), (F.col("root") != F.col("cluster_id")).alias("moved")))
+        step = checkpoint(label.join(up, label.cluster_id == up.via, "left").select(
+            "item_id", F.coalesce("root", "cluster_id").alias("cluster_id"), (F.coalesce("root", "cluster_id") != F.col("cluster_id")).alias("moved")))
         label = step.select("item_id", "cluster_id")
         if step.where("moved").isEmpty():
-            return label
+            return label.join(best.select("item_id", F.col("found").alias("match"), "confidence"), "item_id")
+
+
+def clusters(items: DataFrame, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+    """item_id, cluster_id: each item joins the cluster of its best earlier match, else seeds one."""
+    return assign(checkpoint(keyed(prepare(items))), None, cut, checkpoint).select("item_id", "cluster_id")
+
+
+def members(items: DataFrame, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+    """One row per item as a cluster's list of members holds it: item_id, cluster_id, match, and the signals that joined them with the perspective distance (1 for a seed)."""
+    ready = checkpoint(keyed(prepare(items)))
+    placed = assign(ready, None, cut, checkpoint).drop("confidence")
+    side = lambda p: ready.select(F.struct(*prepare(items).columns).alias(p))
+    joined = placed.where("match IS NOT NULL").join(side("a"), F.col("a.item_id") == F.col("item_id")).join(side("b"), F.col("b.item_id") == F.col("match"))
+    told = signals(joined).select("item_id", "cluster_id", "match", "title", "similarity", "hours", "confidence", "perspective")
+    seeds = placed.where("match IS NULL").select("item_id", "cluster_id", "match", F.lit(1.0).alias("confidence"), F.lit(1.0).alias("perspective"))
+    return told.unionByName(seeds, allowMissingColumns=True)

@@ -315,9 +315,6 @@ def r23(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), F.round("confidence", 6).alias("confidence"), F.round("perspective", 6).alias("perspective"))
 
 
-@query("r26_clusters")
-def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.clusters(_stories(spark, sf_dir), checkpoint=park)
 
 
 FEEDS = [{"feed": "essential", "cap": 8, "minutes": 45, "category_cap": 3, "min_score": .72, "protected": 0}, {"feed": "games", "cap": 8, "minutes": 40, "category_cap": 8, "min_score": .52, "protected": 0},

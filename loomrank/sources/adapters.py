@@ -68,6 +68,23 @@ _VIEWS = {
              ((doc_id * 13) % 100) / 1e2 AS source_prior, CASE doc_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'essay' ELSE 'unknown' END AS content_type,
              CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 3 = 0 END AS would_have_published, ((doc_id * 29) % 1000) / 1e3 AS audit_score
       FROM documents WHERE doc_id % 4 = 1 OR doc_id % 6 = 0""",
+    "entries": """
+      SELECT e.event_id AS entry_id, CASE e.event_id % 4 WHEN 0 THEN d.title WHEN 1 THEN regexp_replace(d.title, ' [^ ]*$', '') WHEN 2 THEN 'Reader: ' || d.title ELSE 'Nothing like any title here' END AS title,
+             CASE e.event_id % 5 WHEN 0 THEN 'https://r.example.org/open/' || lpad(CAST(d.doc_id AS STRING), 8, '0') WHEN 1 THEN p.url END AS link
+      FROM events e JOIN (SELECT doc_id, split_part(split_part(text, chr(10), 1), '. ', 1) AS title FROM documents) d ON d.doc_id = e.event_id % 1000
+      LEFT JOIN pages p ON p.page_id = d.doc_id WHERE e.event_type IN ('signup', 'error')""",
+    "shelf": f"""
+      SELECT d.doc_id AS item_id, n % 4 = 2 AS is_podcast, CASE WHEN n % 4 = 2 THEN 'The Desk ' || CAST(n % 3 AS STRING) || ' Podcast' ELSE 'Desk ' || CAST(n % 3 AS STRING) || ' Daily' END AS source_name,
+             split_part(split_part(d.text, chr(10), 1), '. ', 1) AS title, d.text || CASE WHEN d.doc_id % 3 = 0 THEN ' Read it at ' || coalesce(m.url, 'home') ELSE '' END AS description, p.url AS page_url,
+             CASE WHEN d.doc_id % 37 = 0 THEN NULL ELSE {NOW} - ((d.doc_id * 7919) % 480) * {HOUR} END AS publication_time, {NOW} - ((d.doc_id * 7919) % 480) * {HOUR} + {HOUR} AS first_seen_at,
+             CASE WHEN d.doc_id % 7 = 0 THEN 'https://cdn.example.org/' || CAST(d.doc_id AS STRING) || '.mp3' END AS enclosure_url, CASE WHEN d.doc_id % 14 = 0 THEN 'audio/mpeg' WHEN d.doc_id % 7 = 0 THEN 'image/png' END AS enclosure_type,
+             CAST(5 + d.doc_id % 50 AS DOUBLE) AS minutes, d.doc_id % 10 >= 6 AS surfaced
+      FROM (SELECT *, CAST(substr(source, 4) AS INT) AS n FROM documents WHERE source IS NOT NULL) d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN pages m ON m.page_id = d.doc_id - d.doc_id % 10 + 8""",
+    "page_links": """
+      SELECT page_id AS item_id, 0 AS place, split_part(split_part(url, '?', 1), '#', 1) || '/listen.mp3' AS url, CASE page_id % 3 WHEN 0 THEN 'audio_tag' WHEN 1 THEN 'structured_data' ELSE 'embed' END AS kind, CAST(NULL AS STRING) AS title,
+             CAST(NULL AS STRING) AS publisher, CAST(page_id % 40 AS DOUBLE) AS minutes FROM pages
+      UNION ALL SELECT page_id, 1, 'https://www.youtube.com/embed/' || CAST(page_id AS STRING), 'embed', 'A film', NULL, NULL FROM pages
+      UNION ALL SELECT page_id, 2, split_part(split_part(url, '?', 1), '#', 1) || '/transcript', 'structured_data', NULL, 'Desk', NULL FROM pages""",
     "vectors": "SELECT vec_id AS item_id, embedding, label FROM embeddings",
     "anchors": """
       SELECT v.label AS anchor_id, v.embedding AS anchor, v.label >= 3 AS avoid
