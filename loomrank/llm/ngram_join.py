@@ -220,7 +220,7 @@ def _neighbours(least: int):
 
 
 def candidates(reps: DataFrame, trees: int, max_depth: int, least: int) -> DataFrame:
-    """Parked (a, b, lcp) of neighbours in the sorted tries of reps(node, sig), lcp being the longest shared prefix of the pair."""
+    """Parked (a, b, lcp, tree) of neighbours in the sorted tries of reps(node, sig), lcp being the longest shared prefix of the pair, tree the first in which it met."""
     parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = (reps.where("sig is not null").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
             .select("tree", F.substring("sig", F.col("tree") * (4 * max_depth) + 1, F.lit(4 * max_depth)).alias("path"), "node"))
@@ -229,7 +229,24 @@ def candidates(reps: DataFrame, trees: int, max_depth: int, least: int) -> DataF
     # the ends of the ranges, two a partition, meet each other as neighbours too
     ends = near.where("lcp = -1").select("tree", "path", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "path", "node")
     between = ends.mapInPandas(_neighbours(least), "a long, b long, lcp int, tree int, path binary")
-    return park(near.unionByName(between).where("lcp >= 0 and a <> b").groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
+    return park(near.unionByName(between).where("lcp >= 0 and a <> b").groupBy("a", "b").agg(F.max("lcp").alias("lcp"), F.min("tree").alias("tree")))
+
+
+def linked_components(edges: DataFrame, first: int, broadcast_rows: int = 100_000) -> DataFrame:
+    """(id, comp) as components() gives them, from edges(a, b, tree): the first trees' links come first, and of the others only what they left apart.
+
+    Texts of one group are neighbours in most trees, so a few trees join nearly all of a large group, and the rounds that follow a chain never carry
+    the links that say the same again: those are looked at once.
+    """
+    label = components(edges.where(F.col("tree") < first).select("a", "b"))
+    of = lambda end: label.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp"))
+    ends = (edges.where(F.col("tree") >= first).join(of("a"), "a", "left").join(of("b"), "b", "left")
+            .select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b").distinct())
+    above = components(ends)
+    higher = above.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    # many texts of a large component look up its one new number
+    moved = label.join(F.broadcast(higher) if higher.count() <= broadcast_rows else higher, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    return park(moved.unionByName(above.join(label.select("id"), "id", "left_anti")))
 
 
 def _equal_values(batches):
@@ -253,7 +270,7 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
     met = (pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
            .select("x", "y", "lcp").mapInPandas(_equal_values, "same int, lcp int").groupBy("same", "lcp").agg(F.count("*").alias("n")).collect())
     depth = search_depth([tuple(r) for r in met], trees * max_depth, trees, least, max_depth, threshold, recall)
-    label = components(pairs.where(F.col("lcp") >= depth).select("a", "b"))
+    label = linked_components(pairs.where(F.col("lcp") >= depth), max(1, trees // 5))
     placed = label.join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag", "size"), "id")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
     members = park(placed.join(sizes, "comp").withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / block_shingles)).cast("int"))
