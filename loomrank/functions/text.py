@@ -124,6 +124,31 @@ def excerpt(s: Column, most: int) -> Column:
         F.rtrim(F.substring(s, 1, head)), F.lit("\n[…]\n"), F.ltrim(F.substring(s, F.length(s) - (most - head) + 1, F.lit(most - head)))))
 
 
+# Fixed value: what stands for the part that an excerpt leaves out.
+OMITTED = "\n\n[... middle of the article omitted ...]\n\n"
+
+
+def structural_excerpt(body: Column, most: int, head_share: float = 0.6) -> Column:
+    """Struct (text, excerpted, omitted): opening and closing of a text longer than `most`, each cut at a paragraph break unless that loses too much of it."""
+    room = max(0, most - len(OMITTED))
+    head_room = int(room * head_share)
+    tail_room = room - head_room
+
+    def joined(parts: Column) -> Column:
+        head, tail = parts["head"], parts["tail"]
+        # places from 0; -1 where there is no break
+        last = F.when(F.instr(F.reverse(head), "\n\n") > 0, F.length(head) - F.instr(F.reverse(head), "\n\n") - 1).otherwise(-1)
+        first = F.instr(tail, "\n\n") - 1
+        begin = F.when(last > head_room * 0.6, F.substring(head, F.lit(1), last)).otherwise(head)
+        end = F.when((first >= 0) & (first < tail_room * 0.4), F.substring(tail, first + 3, F.length(tail))).otherwise(tail)
+        return once(F.struct(begin.alias("b"), end.alias("e")), lambda x: F.struct(
+            F.concat(x["b"], F.lit(OMITTED), x["e"]).alias("text"), F.lit(True).alias("excerpted"), (F.length(body) - F.length(x["b"]) - F.length(x["e"])).alias("omitted")))
+
+    whole = F.struct(F.coalesce(body, F.lit("")).alias("text"), F.lit(False).alias("excerpted"), F.lit(0).alias("omitted"))
+    parts = F.struct(F.substring(body, 1, head_room).alias("head"), F.when(F.lit(tail_room) > 0, F.right(body, F.lit(tail_room))).otherwise("").alias("tail"))
+    return F.when(F.length(body) > most, once(parts, joined)).otherwise(whole)
+
+
 def contains_word(s: Column, word: str) -> Column:
     safe = "".join("\\" + c if c in r".*+?^${}()|[]\/" else c for c in word)
     return s.rlike(f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)")

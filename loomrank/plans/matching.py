@@ -161,8 +161,8 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same items in three deliveries, each clustered by a streaming run against what the runs before have stored: the clusters are those of a single run."""
     base = f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}"
     items = park(_linked_stories(spark, sf_dir))
-    for after, before in ((None, 320), (320, 160), (160, None)):
-        part = items.where(" AND ".join([f"at >= {NOW - after * HOUR}"] * (after is not None) + [f"at < {NOW - before * HOUR}"] * (before is not None)))
+    age = (F.lit(NOW) - F.col("at")) / HOUR
+    for part in (items.where(age > 320), items.where((age > 160) & (age <= 320)), items.where(age <= 160)):
         part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(items.schema).parquet(f"{base}/in")
         clusters.cluster_stream(stream, f"{base}/out", f"{base}/checkpoint", park).awaitTermination()
