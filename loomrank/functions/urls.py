@@ -33,7 +33,7 @@ def canonical(url: Column) -> Column:
     kept = F.array_join(F.transform(F.array_sort(placed), lambda x: x["pair"]), "&")
     path = F.regexp_replace(F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path), "/{2,}", "/")
     return F.when((scheme != "") & (host != ""), F.concat(
-        F.lit("https://"), host, F.when((port != "") & (port != "443"), F.concat(F.lit(":"), port)).otherwise(""),
+        F.lit("https://"), host, F.when((port != "") & (port != "443") & ~((F.lower(scheme) == "http") & (port == "80")), F.concat(F.lit(":"), port)).otherwise(""),
         F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""),
         F.when(fragment.startswith("!"), F.concat(F.lit("#"), fragment)).otherwise("")))
 

@@ -221,12 +221,13 @@ def opportunity(d: DataFrame) -> DataFrame:
     return d.withColumn("opportunity", N.clamp(raw * F.when(F.col("feed_need") <= 0.01, .55).otherwise(1.0)))
 
 
-def quality_mean(dims: tuple[str, ...]) -> Column:
-    """Mean over the dimensions a feed declares; those that an item lacks count as 0."""
-    return sum((F.coalesce(F.col(k), F.lit(0.0)) for k in dims), F.lit(0.0)) / len(dims)
+def quality_mean(weights: dict[str, float]) -> Column:
+    """Weighted mean over the dimensions a feed declares; those that an item lacks don't count, and without any the mean is 0."""
+    total = sum((F.when(F.col(k).isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+    return F.when(total > 0, sum((F.coalesce(w * F.col(k), F.lit(0.0)) for k, w in weights.items()), F.lit(0.0)) / total).otherwise(0.0)
 
 
-def feed_verdict(weights: dict[str, float], limits: dict[str, float], least: float, serendipity_of: tuple[str, ...] | None = None) -> dict[str, Column]:
+def feed_verdict(weights: dict[str, float], limits: dict[str, float], least: float, serendipity_of: dict[str, float] | None = None) -> dict[str, Column]:
     """Columns v (the feed's score: weighted, or quality x novelty x distance in serendipity mode), admitted and reason. Gates come before the smallest score."""
     if serendipity_of:
         score = serendipity(quality_mean(serendipity_of), F.col("novelty"), F.lit(0.0), F.col("anchor_distance"))

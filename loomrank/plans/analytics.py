@@ -102,8 +102,14 @@ _URLSQL = rf"""(SELECT page_id, url, 'https://' || h || CASE WHEN coalesce(p2, '
       SELECT *, {_PATHSQL} AS p2 FROM (
       SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '^www\.', '') AS h,
         regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p,
-        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_|ref=|source=|src=)')) AS q FROM pages)))"""
+        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(({"|".join(U.TRACKING)})(=|$)|{"|".join(U.TRACKING_PREFIX)})')) AS q FROM pages)))"""
 _cols("u1_canonical_url", lambda t, s, u: {"canon": U.canonical(u)}, f"SELECT page_id, canon FROM {_URLSQL}", "pages", "page_id")
+# ports, parameters of all tracking names and prefixes, and two that stay
+_NAMES = [*U.TRACKING, *(p + "x" for p in U.TRACKING_PREFIX)]
+_cols("u1_spellings", lambda t, s, u: {"canon": U.canonical(F.concat(
+    F.when(F.col("page_id") % 2 == 0, "http://WWW.h").otherwise("https://h"), (F.col("page_id") % 9).cast("string"), F.element_at(F.array(*map(F.lit, (".org:80", ".org:443", ".org:8080", ".org."))), (F.floor(F.col("page_id") / 2) % 4 + 1).cast("int")),
+    F.lit("/a//b/?b=2&"), F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("page_id") % len(_NAMES) + 1).cast("int")), F.lit("=x&a=1#top")))},
+      "SELECT page_id, 'https://h' || page_id % 9 || '.org' || CASE page_id // 2 % 4 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN '' ELSE ':80' END WHEN 2 THEN ':8080' ELSE '' END || '/a/b?a=1&b=2' AS canon FROM pages", "pages", "page_id")
 _cols("u2_host", lambda t, s, u: {"host": U.host(u)}, f"SELECT page_id, h AS host FROM {_URLSQL}", "pages", "page_id")
 _cols("u3_domain", lambda t, s, u: {"domain": U.domain(u)}, f"SELECT page_id, split_part(h, '.', -2) || '.' || split_part(h, '.', -1) AS domain FROM {_URLSQL}", "pages", "page_id")
 _cols("u5_same_article", lambda t, s, u: {"same": U.same_article(u, F.concat(u, F.lit("?utm_x=1")))}, None, "pages", "page_id")
@@ -184,10 +190,13 @@ _GATESQL = "CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN novelty < 0.4e0
 _cols("r14_feed_score", lambda t, s, u: scoring.feed_verdict(_FEED, _GATES, .35), f"""
     SELECT item_id, v, gate IS NULL AND v >= 0.35e0 AS admitted, CASE WHEN gate IS NOT NULL THEN 'gate:' || gate WHEN v < 0.35e0 THEN 'below_min_score' ELSE 'ok' END AS reason FROM (
       SELECT item_id, {_GATESQL} AS gate, round((0.5e0 * expected_attention_value + 0.3e0 * novelty - 0.4e0 * ragebait) / 0.8e0, 6) AS v FROM deep)""", "deep")
-_cols("r14b_serendipity_feed", lambda t, s, u: scoring.feed_verdict(_FEED, {"max_ragebait": .35, "min_distance": .3}, .2, serendipity_of=("expected_attention_value", "novelty")), """
+_cols("r14b_serendipity_feed", lambda t, s, u: scoring.feed_verdict(_FEED, {"max_ragebait": .35, "min_distance": .3}, .2, serendipity_of={"expected_attention_value": 1.0, "novelty": 1.0}), """
     SELECT item_id, v, gate IS NULL AND v >= 0.2e0 AS admitted, CASE WHEN gate IS NOT NULL THEN 'gate:' || gate WHEN v < 0.2e0 THEN 'below_min_score' ELSE 'ok' END AS reason FROM (
       SELECT item_id, CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN anchor_distance < 0.3e0 THEN 'min_distance' END AS gate,
         round((expected_attention_value + novelty) / 2e0 * novelty * anchor_distance, 6) AS v FROM deep)""", "deep")
+_cols("m11_quality_mean", lambda t, s, u: {"q": F.round(scoring.quality_mean({"a": .5, "b": .3, "c": .2}), 6)}, """
+    SELECT item_id, round(CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 0 ELSE (coalesce(0.5e0 * a, 0) + coalesce(0.3e0 * b, 0) + coalesce(0.2e0 * c, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 0.5e0 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3e0 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2e0 END) END, 6) AS q
+    FROM declared""", "declared")
 _cols("f12_gates", lambda t, s, u: {"gate": scoring.gates({"max_ragebait": .35, "min_novelty": .4, "max_duplicate_information": .6})},
       "SELECT item_id, CASE WHEN ragebait > 0.35e0 THEN 'max_ragebait' WHEN novelty < 0.4e0 THEN 'min_novelty' WHEN duplicate_information > 0.6e0 THEN 'max_duplicate_information' END AS gate FROM deep", "deep")
 _cols("f13_admission", lambda t, s, u: {"ok": F.col("category").isin("games", "culture") | F.array_contains(F.array(F.when(F.col("item_id") % 7 == 0, "mine").otherwise("x")), "mine")},

@@ -120,19 +120,6 @@ SQL: dict[str, str] = {
     "a9_nested_aggregate": "SELECT CAST(sum(n - 1) AS BIGINT) AS extra FROM (SELECT title, count(*) AS n FROM items GROUP BY title HAVING count(*) > 1) t",
     "a10_max_per_group": """
         SELECT p.item_id, i.title, max(p.final_score) AS best FROM published p JOIN items i ON i.item_id = p.item_id GROUP BY p.item_id, i.title""",
-    "a12_bucket_counts": """
-        SELECT dimension, bucket, count(*) AS n, CAST(sum(CASE WHEN audit_result = 'KEEP' THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM (
-          SELECT 'band' AS dimension, band AS bucket, audit_result FROM audits UNION ALL
-          SELECT 'length', CASE WHEN word_count < 300 THEN 'short' WHEN word_count < 1500 THEN 'medium' ELSE 'long' END, audit_result FROM audits UNION ALL
-          SELECT 'prior', CASE WHEN source_prior < 0.4e0 THEN 'low' WHEN source_prior < 0.7e0 THEN 'mid' ELSE 'high' END, audit_result FROM audits UNION ALL
-          SELECT 'interest', CASE WHEN semantic_interest < 0.3e0 THEN 'far' WHEN semantic_interest < 0.6e0 THEN 'near' ELSE 'close' END, audit_result FROM audits UNION ALL
-          SELECT 'serendipity', CASE WHEN is_serendipity THEN 'yes' ELSE 'no' END, audit_result FROM audits UNION ALL
-          SELECT 'content_type', content_type, audit_result FROM audits UNION ALL
-          SELECT 'source', source_id, audit_result FROM audits UNION ALL SELECT 'boundary', boundary, audit_result FROM audits) t
-        WHERE audit_result IS NOT NULL GROUP BY dimension, bucket""",
-    "a13_upper_median": """
-        SELECT boundary, max(CASE WHEN rn = (n - n % 2) / 2 + 1 THEN audit_score END) AS median FROM
-        (SELECT boundary, audit_score, row_number() OVER (PARTITION BY boundary ORDER BY audit_score, item_id) AS rn, count(*) OVER (PARTITION BY boundary) AS n FROM audits) t GROUP BY boundary""",
     "a15_smoothing": """
         SELECT source_id, n, round((raw * n + 0.5e0 * 8) / (n + 8), 6) AS uniqueness FROM
         (SELECT source_id, count(*) AS n, avg(CASE WHEN lo = hi THEN 1e0 ELSE 0e0 END) AS raw FROM
@@ -182,7 +169,6 @@ SQL: dict[str, str] = {
         SELECT c.category, coalesce(n, 0) AS n FROM (SELECT 'ai_product' AS category UNION ALL SELECT 'games' UNION ALL SELECT 'culture' UNION ALL SELECT 'travel') c
         LEFT JOIN (SELECT category, count(*) AS n FROM items WHERE status = 'published' GROUP BY category) i ON i.category = c.category ORDER BY n, category""",
     # windows
-    "w1_rank_in_source": "SELECT item_id, source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY free_score DESC, first_seen_at DESC, item_id) AS BIGINT) AS rank_in_run FROM items",
     "w2_best_in_cluster": "SELECT item_id, max(free_score) OVER (PARTITION BY cluster_id) > free_score AS redundant FROM items",
     "w4_capped_hash_sample": """
         SELECT item_id FROM items WHERE free_score < 0.299e0 AND ((item_id * 2654435761) % 100000) / 1e5 < 0.2e0 ORDER BY free_score DESC, item_id LIMIT 20""",
@@ -203,9 +189,6 @@ SQL: dict[str, str] = {
     "w12_degradation_ladder": """
         SELECT d.day, round(d.frac, 6) AS frac, max_by(l.stage, l.trig) AS stage FROM (SELECT event_id % 20 AS day, sum(cost) / 3e0 AS frac FROM usage_ledger GROUP BY 1) d
         JOIN (SELECT 'normal' AS stage, 0e0 AS trig UNION ALL SELECT 'careful', 0.70e0 UNION ALL SELECT 'tight', 1.00e0 UNION ALL SELECT 'minimal', 1.35e0) l ON l.trig <= d.frac GROUP BY d.day, d.frac""",
-    "w13_stratified_sample": """
-        SELECT band, item_id FROM (SELECT band, item_id, rn, greatest(1, floor(n / 10e0)) AS step FROM (SELECT band, item_id, row_number() OVER (PARTITION BY band ORDER BY audit_score, item_id) AS rn,
-        count(*) OVER (PARTITION BY band) AS n FROM audits) a) t WHERE (rn - 1) % step = 0 AND (rn - 1) / step < 10""",
     # sorting and top-k
     "s1_order_by_expression": "SELECT item_id, coalesce(publication_time, first_seen_at) AS t FROM items ORDER BY coalesce(publication_time, first_seen_at) DESC, item_id LIMIT 100",
     "s2_top_k": "SELECT item_id, expected_attention_value FROM deep ORDER BY expected_attention_value DESC, item_id LIMIT 25",

@@ -35,3 +35,10 @@ def ranked(df: DataFrame, *order) -> DataFrame:
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranges.join(F.broadcast(before), "_part").withColumn("rn", F.col("_before") + inside).drop("_part", "_before")
+
+
+def ranked_within(df: DataFrame, group: str, *order) -> DataFrame:
+    """df with rn, its place within its group (from 1), and n, the group's rows: ranked() over all rows, less what lies before the group. A group may hold any share of the rows."""
+    r = park(ranked(df, group, *order))
+    first = r.groupBy(F.col(group).alias("_group")).agg(F.min("rn").alias("_first"), F.count("*").alias("n"))
+    return r.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("rn", F.col("rn") - F.col("_first") + 1).drop("_group", "_first")

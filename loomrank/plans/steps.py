@@ -14,7 +14,7 @@ from loomrank.functions import text as X
 from loomrank.functions import urls as U
 from loomrank.operators import scoring
 from loomrank.plans.analytics import _TOK, _URLSQL
-from loomrank.plans.shared import ranked, shared_dir
+from loomrank.plans.shared import ranked, ranked_within, shared_dir
 from loomrank.sources import adapters
 from loomrank.sources.adapters import NOW, WITH
 
@@ -240,3 +240,51 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.sum(1 - F.col("episode")).over(Window.partitionBy("language", "hour").orderBy("at", "episode").rowsBetween(Window.unboundedPreceding, 0))
     counted = moments.withColumn("inside", inside).where("episode = 1").join(before, ["language", "hour"])
     return counted.select(F.col("item_id").alias("episode"), (F.col("before") + F.col("inside")).alias("articles")).where("articles > 0")
+
+
+@query("a12_bucket_counts", """
+        SELECT dimension, bucket, count(*) AS n, CAST(sum(CASE WHEN audit_result = 'KEEP' THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM (
+          SELECT 'band' AS dimension, band AS bucket, audit_result FROM audits UNION ALL
+          SELECT 'length', CASE WHEN word_count < 300 THEN 'short' WHEN word_count < 1500 THEN 'medium' ELSE 'long' END, audit_result FROM audits UNION ALL
+          SELECT 'prior', CASE WHEN source_prior < 0.4e0 THEN 'low' WHEN source_prior < 0.7e0 THEN 'mid' ELSE 'high' END, audit_result FROM audits UNION ALL
+          SELECT 'interest', CASE WHEN semantic_interest < 0.3e0 THEN 'far' WHEN semantic_interest < 0.6e0 THEN 'near' ELSE 'close' END, audit_result FROM audits UNION ALL
+          SELECT 'serendipity', CASE WHEN is_serendipity THEN 'yes' ELSE 'no' END, audit_result FROM audits UNION ALL
+          SELECT 'content_type', content_type, audit_result FROM audits UNION ALL
+          SELECT 'source', source_id, audit_result FROM audits UNION ALL SELECT 'boundary', boundary, audit_result FROM audits) t
+        WHERE audit_result IS NOT NULL GROUP BY dimension, bucket""")
+def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits by eight groupings in one pass."""
+    c = F.col
+    buckets = {
+        "band": c("band"), "length": F.when(c("word_count") < 300, "short").when(c("word_count") < 1500, "medium").otherwise("long"), "prior": F.when(c("source_prior") < .4, "low").when(c("source_prior") < .7, "mid").otherwise("high"),
+        "interest": F.when(c("semantic_interest") < .3, "far").when(c("semantic_interest") < .6, "near").otherwise("close"), "serendipity": F.when(c("is_serendipity"), "yes").otherwise("no"), "content_type": c("content_type"),
+        "source": c("source_id"), "boundary": c("boundary")}
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("bucket")) for k, v in buckets.items()]))
+    known = _view(spark, sf_dir, "audits").where("audit_result IS NOT NULL").select(one.alias("d"), "audit_result")
+    return known.groupBy("d.dimension", "d.bucket").agg(F.count("*").alias("n"), F.count_if(c("audit_result") == "KEEP").alias("misses"))
+
+
+@query("a13_upper_median", """
+        SELECT boundary, max(CASE WHEN rn = (n - n % 2) / 2 + 1 THEN audit_score END) AS median FROM
+        (SELECT boundary, audit_score, row_number() OVER (PARTITION BY boundary ORDER BY audit_score, item_id) AS rn, count(*) OVER (PARTITION BY boundary) AS n FROM audits) t GROUP BY boundary""")
+def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median score of each boundary, the upper of two, without sorting a boundary in one task."""
+    r = ranked_within(_view(spark, sf_dir, "audits").select("boundary", "audit_score", "item_id"), "boundary", "audit_score", "item_id")
+    return r.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("boundary", F.col("audit_score").alias("median"))
+
+
+@query("w1_rank_in_source", """SELECT item_id, source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY free_score DESC, first_seen_at DESC, item_id) AS BIGINT) AS rank_in_run FROM items""")
+def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each item among its source's, best first; a source that holds a third of all items is spread over tasks."""
+    items = _view(spark, sf_dir, "items").select("item_id", "source_id", "free_score", "first_seen_at")
+    return ranked_within(items, "source_id", F.desc("free_score"), F.desc("first_seen_at"), "item_id").select("item_id", "source_id", F.col("rn").alias("rank_in_run"))
+
+
+@query("w13_stratified_sample", """
+        SELECT band, item_id FROM (SELECT band, item_id, rn, greatest(1, floor(n / 10e0)) AS step FROM (SELECT band, item_id, row_number() OVER (PARTITION BY band ORDER BY audit_score, item_id) AS rn,
+        count(*) OVER (PARTITION BY band) AS n FROM audits) a) t WHERE (rn - 1) % step = 0 AND (rn - 1) / step < 10""")
+def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten evenly spaced audits of each band, in score order."""
+    r = ranked_within(_view(spark, sf_dir, "audits").select("band", "audit_score", "item_id"), "band", "audit_score", "item_id")
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    return r.where(((F.col("rn") - 1) % step == 0) & (F.floor((F.col("rn") - 1) / step) < 10)).select("band", "item_id")

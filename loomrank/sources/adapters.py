@@ -85,6 +85,8 @@ _VIEWS = {
              CAST(NULL AS STRING) AS publisher, CAST(page_id % 40 AS DOUBLE) AS minutes FROM pages
       UNION ALL SELECT page_id, 1, 'https://www.youtube.com/embed/' || CAST(page_id AS STRING), 'embed', 'A film', NULL, NULL FROM pages
       UNION ALL SELECT page_id, 2, split_part(split_part(url, '?', 1), '#', 1) || '/transcript', 'structured_data', NULL, 'Desk', NULL FROM pages""",
+    "declared": """
+      SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN ((doc_id * 32452843 + 11) % 1000) / 1e3 END AS a, CASE WHEN doc_id % 3 = 0 THEN ((doc_id * 49979687 + 5) % 1000) / 1e3 END AS b, CASE WHEN doc_id % 5 > 0 THEN ((doc_id * 67867967) % 1000) / 1e3 END AS c FROM documents""",
     "vectors": "SELECT vec_id AS item_id, embedding, label FROM embeddings",
     "anchors": """
       SELECT v.label AS anchor_id, v.embedding AS anchor, v.label >= 3 AS avoid

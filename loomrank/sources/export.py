@@ -35,7 +35,7 @@ def export_static(docs: DataFrame, folder: str, manifest: str = "manifest") -> N
 
 def exported(spark: SparkSession, folder: str, manifest: str = "manifest") -> DataFrame:
     """name, body, bytes, sha256: the files in a folder beside what its manifest says of them."""
-    files = spark.read.option("wholetext", "true").schema("value string, file string").text(folder)
+    files = spark.read.schema("value string, file string").text(folder, wholetext=True)
     listed = spark.read.parquet(f"{folder.rstrip('/')}/_{manifest}")
     # the writer ends a file with a line feed
     return listed.join(files.select(F.col("file").alias("name"), F.regexp_replace("value", r"\n$", "").alias("body")), "name", "full")
