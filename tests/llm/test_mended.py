@@ -92,25 +92,3 @@ def test_join_blocks_by_shingles(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     keep = lambda **k: sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(d, **k).collect())
     assert keep(block_shingles=700) == keep()
-
-
-def test_linked_components_in_two_steps(spark):
-    import random
-
-    rng = random.Random(9)
-    edges = [(rng.randrange(300), rng.randrange(300), rng.randrange(10)) for _ in range(170)] + [(500 + i, 501 + i, 0) for i in range(60)] + [(700 + i, 701 + i, 9) for i in range(20)] + [(510, 705, 5), (299, 540, 7)]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b, _ in edges:
-        if a != b:
-            lo, hi = sorted((find(a), find(b)))
-            root[hi] = lo
-    d = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long, tree int")
-    for first in (0, 2, 10):
-        for limit in (0, 1000):
-            assert {r["id"]: r["comp"] for r in ngram_join.linked_components(d, first, limit).collect()} == {x: find(x) for x in root}
