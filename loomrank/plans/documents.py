@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from loomrank.functions import net
 from loomrank.functions import text as X
+from loomrank.operators import profiles
 from loomrank.plans import sources_and_sinks
 from loomrank.plans.shared import shared_dir
 from loomrank.sources import adapters, export, jsonld, messages, sinks, xmlfeeds
@@ -249,3 +250,53 @@ def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
         journal.record_errors(job.observe(short, "found"))
     rows = F.coalesce(F.get_json_object("stats", "$.copied.rows"), F.get_json_object("stats", "$.found.rows")).cast("long")
     return journal.jobs().select("kind", "status", rows.alias("rows"), F.round(F.get_json_object("stats", "$.copied.cost").cast("double"), 4).alias("cost"), "error")
+
+
+_TURNS = """
+      SELECT conv_id, turn, role, 't' || CAST(turn % 6 AS STRING) AS id, trim(substr(replace(text, chr(10), ' '), 1, 18)) AS label, CASE turn % 5 WHEN 0 THEN 'core' WHEN 1 THEN 'unwanted' WHEN 2 THEN 'low' WHEN 3 THEN 'core' ELSE 'very_strong' END AS tier,
+             (length(text) % 100) / 1e2 AS confidence, CAST(length(text) % 11 AS DOUBLE) AS priority, turn % 3 = 0 AS conditional, turn % 4 = 1 AS avoiding, CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'unknown' ELSE 'low' END AS tolerance,
+             turn % 7 = 3 AS elsewhere, CASE turn % 5 WHEN 0 THEN 'strong_positive' WHEN 1 THEN 'mild_negative' WHEN 2 THEN 'hard_filter' WHEN 3 THEN 'mild_positive' ELSE 'neutral' END AS effect,
+             CASE turn % 5 WHEN 0 THEN 'known_favorite' WHEN 1 THEN 'known_dislike' WHEN 2 THEN 'style_reference' WHEN 3 THEN 'noisy_but_useful' ELSE 'heard_of' END AS relationship FROM conversations WHERE text IS NOT NULL"""
+
+
+@query("r46_profiles", rf"""
+    , t AS (SELECT *, CASE WHEN conditional THEN 'when new' END AS cond FROM ({_TURNS})),
+    avoided AS (SELECT conv_id, string_agg(id || '=' || text || '/' || strength, ' | ' ORDER BY first) AS avoid_anchors FROM (
+      SELECT conv_id, id, min(place) AS first, max_by(text, place) AS text, max_by(strength, place) AS strength FROM (
+        SELECT conv_id, turn AS place, id, 'no ' || label AS text, 'strong' AS strength FROM t WHERE avoiding
+        UNION ALL SELECT conv_id, 1000000 + turn, id, label || ': ' || role || coalesce('; ' || cond, ''), 'moderate' FROM t WHERE tier = 'unwanted'
+        UNION ALL SELECT conv_id, 2000000 + turn, 'source_' || regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), label || ': on ' || role, 'moderate' FROM t WHERE relationship = 'known_dislike') GROUP BY conv_id, id) GROUP BY conv_id)
+    SELECT conv_id, trim(regexp_replace('Reads ' || max(CASE WHEN turn = 0 THEN label ELSE '' END) || '  and   more', '\s+', ' ', 'g')) AS about_me,
+      coalesce(string_agg(label, ' | ' ORDER BY turn) FILTER (tier = 'core' AND confidence >= 0.55e0), '') AS strong_interests,
+      string_agg(id || '=' || (floor((5 + (priority - 5) * confidence) * 100 + 0.5) / 100)::DECIMAL(9,2) || ' ' || replace(tier, '_', ' ') || ' interest. Prefer ' || role || '.' || CASE WHEN avoiding THEN ' Avoid noise, ads.' ELSE '' END || CASE WHEN conditional THEN ' Conditions: when new.' ELSE '' END
+        || CASE WHEN turn % 8 = 0 THEN ' Not daily.' WHEN tolerance <> 'unknown' THEN ' Repeat tolerance: ' || tolerance || '.' ELSE '' END || CASE WHEN elsewhere THEN ' Text must clear a higher quality bar because another medium is usually preferred.' ELSE '' END, ' | ' ORDER BY turn) AS topic_priorities,
+      coalesce(string_agg(replace(effect, '_positive', '') || ': ' || label || ' — ' || role, ' | ' ORDER BY turn) FILTER (effect LIKE '%positive' AND confidence >= 0.35e0), '') AS positive_traits,
+      coalesce(string_agg(CASE effect WHEN 'hard_filter' THEN 'hard filter' ELSE replace(effect, '_negative', '') END || ': ' || label || ' — ' || role, ' | ' ORDER BY turn) FILTER ((effect LIKE '%negative' OR effect = 'hard_filter') AND confidence >= 0.35e0), '') AS negative_traits,
+      coalesce(CASE WHEN conv_id % 2 = 0 THEN string_agg('a' || turn || '=' || label, ' | ' ORDER BY turn) FILTER (turn % 2 = 0) ELSE string_agg(id || '=' || label || ': ' || role || coalesce('; ' || cond, ''), ' | ' ORDER BY turn) FILTER (tier NOT IN ('low', 'unwanted')) END, '') AS interest_anchors,
+      coalesce(max(avoid_anchors), '') AS avoid_anchors,
+      coalesce(string_agg(label || ':' || CASE relationship WHEN 'known_favorite' THEN 'known_favorite/direct_follow' WHEN 'known_dislike' THEN 'avoid/direct_follow' ELSE 'exploratory/discovery_only' END, ' | ' ORDER BY turn) FILTER (relationship IN ('known_favorite', 'known_dislike', 'noisy_but_useful')), '') AS source_preferences,
+      coalesce(string_agg(label, ' | ' ORDER BY turn) FILTER (relationship = 'style_reference'), '') AS style_references
+    FROM t LEFT JOIN avoided USING (conv_id) GROUP BY conv_id""")
+def r46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile for each conversation, read as what a reader says of their interests, turn by turn."""
+    adapters.register(spark, sf_dir)
+    c, none = F.col, F.array().cast("array<string>")
+    own = F.array("role")
+    fits = lambda flag, *values: F.when(c(flag), F.array(*map(F.lit, values))).otherwise(none)
+    interest = F.struct("id", "label", "tier", "confidence", "priority", own.alias("preferred_coverage"), fits("avoiding", "noise", "ads").alias("avoid_coverage"), fits("conditional", "when new").alias("conditions"),
+                        F.when(c("turn") % 8 == 0, "Not daily.").alias("saturation_guidance"), c("tolerance").alias("repeat_tolerance"), F.when(c("elsewhere"), "stronger_elsewhere").alias("medium_fit"))
+    row = F.struct("turn", interest.alias("interest"), F.struct(c("label").alias("signal"), "effect", c("role").alias("why"), "confidence").alias("signal"), F.struct(F.concat(F.lit("a"), "turn").alias("id"), c("label").alias("description")).alias("anchor"),
+                   F.struct("id", F.concat(F.lit("no "), "label").alias("description"), F.lit("strong").alias("strength")).alias("avoid"), c("avoiding"),
+                   F.struct(c("label").alias("name"), "relationship", F.concat(F.lit("on "), "role").alias("scope"), c("role").alias("reason"), "confidence").alias("source"))
+    said = spark.sql(_TURNS).groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    of = lambda name, rows="rows": F.transform(rows, lambda r: r[name])
+    dossiers = said.select(
+        "conv_id", F.concat(F.lit(" Reads "), F.coalesce(F.get(F.filter("rows", lambda r: r["turn"] == 0), 0)["interest"]["label"], F.lit(""))).alias("reading_goal"), F.lit(" and   more ").alias("summary"), of("interest").alias("interests"), of("signal").alias("signals"),
+        F.transform(F.filter("rows", lambda r: (c("conv_id") % 2 == 0) & (r["turn"] % 2 == 0)), lambda r: r["anchor"]).alias("anchors"), F.transform(F.filter("rows", lambda r: r["avoiding"]), lambda r: r["avoid"]).alias("avoids"), of("source").alias("sources"))
+    profile = profiles.compile_profiles(dossiers, "conv_id")
+    shown = lambda name, *parts: F.array_join(F.transform(name, lambda e: F.concat(*[F.lit(p) if isinstance(p, str) else p(e) for p in parts])), " | ").alias(name)
+    return profile.select(
+        "conv_id", "about_me", F.array_join("strong_interests", " | ").alias("strong_interests"), shown("topic_priorities", lambda e: e["id"], "=", lambda e: e["priority"].cast("decimal(9,2)").cast("string"), " ", lambda e: e["guidance"]),
+        F.array_join("positive_traits", " | ").alias("positive_traits"), F.array_join("negative_traits", " | ").alias("negative_traits"), shown("interest_anchors", lambda e: e["id"], "=", lambda e: e["text"]),
+        shown("avoid_anchors", lambda e: e["id"], "=", lambda e: e["text"], "/", lambda e: e["strength"]), shown("source_preferences", lambda e: e["name"], ":", lambda e: e["disposition"], "/", lambda e: e["role"]),
+        F.array_join(F.transform("style_references", lambda e: e["name"]), " | ").alias("style_references"))
