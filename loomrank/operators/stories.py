@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 from loomrank.operators.setjoin import different_sets, first_from, last_until, set_key, similar_sets
+from loomrank.plans.shared import park
 
 # Window, title cut, cosine floor and confidence of one story; weights of the signals.
 WINDOW_HOURS, TITLE_CUT, FLOOR, CUT = 96, .62, .45, .42
@@ -236,7 +237,7 @@ def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int,
                                 F.col("ask.new").alias("new"), F.col("found_at").alias("at"), "found"), width).where(F.col("confidence") >= cut)
 
 
-def best_matches(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+def best_matches(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=park) -> DataFrame:
     """item_id, confidence, new, at, found: for each row of `new` the row that its story follows, if any reaches the cut.
 
     Both tables as keyed(prepare()). What is stored (`old`) comes first, then new rows by time and id; of equal confidences the first counts. An equal url
@@ -265,7 +266,7 @@ def best_matches(new: DataFrame, old: DataFrame | None = None, cut: float = CUT,
     return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.max(first)["match"].alias("match")).select("item_id", "match.*")
 
 
-def assign(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+def assign(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, checkpoint=park) -> DataFrame:
     """item_id, cluster_id, match (the followed item; null for a seed), confidence for each row of `new`; old rows carry their cluster_id and keep it.
 
     Matches point to stored rows or backwards in time, so roots are found by pointer doubling: about log2 of the longest chain joins.
@@ -285,12 +286,12 @@ def assign(new: DataFrame, old: DataFrame | None = None, cut: float = CUT, check
             return label.join(best.select("item_id", F.col("found").alias("match"), "confidence"), "item_id")
 
 
-def clusters(items: DataFrame, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+def clusters(items: DataFrame, cut: float = CUT, checkpoint=park) -> DataFrame:
     """item_id, cluster_id: each item joins the cluster of its best earlier match, else seeds one."""
     return assign(checkpoint(keyed(prepare(items))), None, cut, checkpoint).select("item_id", "cluster_id")
 
 
-def members(items: DataFrame, cut: float = CUT, checkpoint=lambda df: df) -> DataFrame:
+def members(items: DataFrame, cut: float = CUT, checkpoint=park) -> DataFrame:
     """One row per item as a cluster's list of members holds it: item_id, cluster_id, match, and the signals that joined them with the perspective distance (1 for a seed)."""
     ready = checkpoint(keyed(prepare(items)))
     placed = assign(ready, None, cut, checkpoint).drop("confidence")

@@ -14,6 +14,17 @@ from loomrank.streaming import events as ev
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_PICTURED = """
+      SELECT page_id, replace(html, '<article>', '<article>' || '<img src="https://i.example.org/' || CAST(page_id AS STRING) || '.jpg" alt="One" width=640 height="480"><IMG class=x data-src=' || chr(39) || 'http://i.example.org/lazy.png' || chr(39) || '><img src="/relative.png">'
+        || CASE page_id % 4 WHEN 0 THEN '<img src="https://i.example.org/small.gif" width="32">' WHEN 1 THEN '<img src="https://i.example.org/pixel.gif"><img alt="big" srcset="https://i.example.org/a.jpg 1x, https://i.example.org/b.jpg 2x">'
+           WHEN 2 THEN '<img src="https://i.example.org/site-logo.png"><img src="https://i.example.org/logos.png" height="33">' ELSE '<img src="https://i.example.org/' || CAST(page_id AS STRING) || '.jpg" alt="again">' END) AS html FROM pages"""
+_PATHS = r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages"
+_ROBOTS = f"""
+      SELECT DISTINCT host, pattern, allow, kind FROM (SELECT host, length(host) % 4 AS kind FROM ({_PATHS}) p) h JOIN
+        (SELECT 0 AS k, '/en/' AS pattern, false AS allow UNION ALL SELECT 0, '/en/*1', true UNION ALL SELECT 0, '/fr/*.html', false UNION ALL SELECT 1, '/', false UNION ALL SELECT 1, '/*/*$', true UNION ALL SELECT 1, '/*.html$', false
+         UNION ALL SELECT 2, '', false UNION ALL SELECT 2, '/de/', false UNION ALL SELECT 2, '/de/', true) r ON r.k = h.kind"""
+
+
 def _feed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One RSS document per source from its ten newest items."""
     items = adapters.view(spark, sf_dir, "items").select(F.col("source_id").alias("feed"), "item_id", "title", F.concat(F.lit("https://example.org/"), "item_id").alias("url"), F.col("first_seen_at").alias("published_at"))
@@ -30,7 +41,17 @@ def src4_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src7_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(feeds.images(F.col("html"))).alias("n"))
+    """Pictures of the pages, which get some of all kinds, and of small and tracking ones."""
+    adapters.register(spark, sf_dir)
+    return (spark.sql(_PICTURED).select("page_id", F.posexplode(feeds.images(F.col("html"))).alias("place", "i"))
+            .select("page_id", "place", "i.*"))
+
+
+def src14_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable text of each page; where the page has too little, what the feed said."""
+    adapters.register(spark, sf_dir)
+    d = spark.sql("SELECT p.page_id, CASE WHEN p.page_id % 3 = 0 THEN regexp_replace(p.html, '<article>', '<article>Hm.</article><div>') ELSE p.html END AS html, d.text FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id + 1 AND p.page_id % 2 = 0")
+    return d.select("page_id", feeds.readable(F.col("html"), F.col("text")).alias("r")).select("page_id", "r.method", F.when(F.col("r.method") == "rss", F.col("r.text")).alias("text"))
 
 
 def src14_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +59,9 @@ def src14_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src15_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("*").alias("host"), F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1).alias("path")).distinct()
-    rules = spark.createDataFrame([("*", "/en/", False), ("*", "/en/*1", True), ("*", "/fr/*.html", False), ("*", "/", True)], "host string, pattern string, allow boolean")
-    return feeds.robots_allowed(rules, paths)
+    """May a page be fetched, by its host's own rules; hosts differ in what their robots files say."""
+    adapters.register(spark, sf_dir)
+    return feeds.robots_allowed(spark.sql(f"SELECT host, pattern, allow FROM ({_ROBOTS})"), spark.sql(f"SELECT DISTINCT host, path FROM ({_PATHS})"))
 
 
 def n2_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +138,7 @@ def st7_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    src3_feed_items, src4_salvage, src7_images, src14_articles, src15_robots, n2_json_object, n7_accessible, u4_resolve, n12_batch_lines, k6_push_set, k9_weights_snapshot,
+    src3_feed_items, src4_salvage, src7_images, src14_articles, src14_fallback, src15_robots, n2_json_object, n7_accessible, u4_resolve, n12_batch_lines, k6_push_set, k9_weights_snapshot,
     st1_pull, st2_known_only, st3_once_a_day, st7_unchanged)} | {"k1_atom": _docs("atom"), "k2_rss": _docs("rss"), "k3_json_feed": _docs("json")}
 
 _ESC = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')"""
@@ -126,6 +147,16 @@ _TOP = """(SELECT p.feed, p.item_id, i.title, p.published_at, 'https://example.o
 ORACLE: dict[str, str] = {
     "src3_feed_items": "SELECT source_id, item_id, 'https://example.org/' || item_id AS link FROM (SELECT source_id, item_id, row_number() OVER (PARTITION BY source_id ORDER BY first_seen_at DESC, item_id) AS rn FROM items) WHERE rn <= 10",
     "src4_salvage": "SELECT source_id, least(10, count(*)) - 1 AS n FROM items GROUP BY source_id",
+    "src7_images": """
+    SELECT page_id, 0 AS place, 'https://i.example.org/' || page_id || '.jpg' AS url, 'One' AS alt, 640e0 AS width, 480e0 AS height FROM pages WHERE contains(html, '<article>') UNION ALL SELECT page_id, 1, 'http://i.example.org/lazy.png', NULL, NULL, NULL FROM pages WHERE contains(html, '<article>')
+    UNION ALL SELECT page_id, 2, 'https://i.example.org/b.jpg', 'big', NULL, NULL FROM pages WHERE page_id % 4 = 1 AND contains(html, '<article>') UNION ALL SELECT page_id, 2, 'https://i.example.org/logos.png', NULL, NULL, 33e0 FROM pages WHERE page_id % 4 = 2 AND contains(html, '<article>')""",
+    "src14_fallback": """
+    SELECT p.page_id, CASE WHEN p.page_id % 3 > 0 AND long THEN 'page' WHEN length(trim(d.text)) > n THEN 'rss' ELSE 'page_short' END AS method, CASE WHEN NOT (p.page_id % 3 > 0 AND long) AND length(trim(d.text)) > n THEN trim(d.text) END AS text
+    FROM (SELECT *, n >= 200 AS long FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 3 ELSE length(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) END AS n FROM pages)) p
+    LEFT JOIN documents d ON d.doc_id = p.page_id + 1 AND p.page_id % 2 = 0""",
+    "src15_robots": f"""
+    SELECT host, path, coalesce(allow, true) AS allowed FROM (SELECT p.host, p.path, r.allow, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.pattern) DESC, r.allow DESC) AS rn FROM (SELECT DISTINCT host, path FROM ({_PATHS})) p
+      LEFT JOIN (SELECT DISTINCT host, pattern, allow FROM ({_ROBOTS}) WHERE pattern <> '') r ON r.host = p.host AND regexp_matches(p.path, CASE r.pattern WHEN '/en/*1' THEN '^/en/.*1' WHEN '/fr/*.html' THEN '^/fr/.*[.]html' WHEN '/*/*$' THEN '^/.*/.*$' WHEN '/*.html$' THEN '^/.*[.]html$' ELSE '^' || r.pattern END)) WHERE rn = 1""",
     "n2_json_object": "SELECT event_id, props FROM events",
     "n7_accessible": "SELECT page_id, page_id % 2 <> 0 AS free FROM pages",
     "u4_resolve": "SELECT page_id, 'https://example.org/c/' || page_id AS url FROM pages",

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomrank.functions import text as X
+
 ITEM = "guid string, title string, link string, summary string, published string, author string, enclosure_url string, enclosure_type string, categories array<string>"
 
 
@@ -74,25 +76,56 @@ def article(html: Column) -> Column:
     return F.trim(F.regexp_replace(body, r"\s+", " "))
 
 
+def readable(html: Column, summary: Column, least: int = 200) -> Column:
+    """Struct (text, method): the page's article if it has `least` characters, else the feed's summary, else whatever the page gave."""
+    return X.once(article(html), lambda a: F.when(F.length(a) >= least, F.struct(a.alias("text"), F.lit("page").alias("method")))
+                  .when(F.length(F.trim(F.coalesce(summary, F.lit("")))) > F.coalesce(F.length(a), F.lit(0)), F.struct(F.trim(summary).alias("text"), F.lit("rss").alias("method")))
+                  .otherwise(F.struct(F.coalesce(a, F.lit("")).alias("text"), F.lit("page_short").alias("method"))))
+
+
 def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+# Fixed value: words in the address of an image that is no picture.
+NO_PICTURE = r"(?i)(?:^|[/_\-.])(tracking|tracker|pixel|beacon|spacer|avatar|author|logo|icon)(?:[/_\-.]|$)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, quoted in either way or bare; null where it is absent or empty."""
+    form = rf"""(?i)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    value = F.concat(*[F.regexp_extract(tag, form, k) for k in (1, 2, 3)])
+    return F.when(value != "", value)
+
+
 def images(html: Column, most: int = 8) -> Column:
-    """Sources of images, trackers and logos left out, each once, at most `most`."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<img[^>]+src=[\"']([^\"']+)[\"']"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(found, lambda x: ~x.rlike("(?i)(pixel|tracker|logo|spacer)"))), 1, most)
+    """Structs url, alt, width, height of a page's images, each address once, at most `most`.
+
+    The address is src, else one of the lazy forms, else the last of a srcset; only http(s) counts. Images of 32 pixels or less either way, trackers, logos and the like are left out.
+    """
+    def image(tag: Column) -> Column:
+        last = F.regexp_extract(F.coalesce(_attribute(tag, "srcset"), _attribute(tag, "data-srcset")), r"(?:^|,)\s*([^,\s]+)[^,]*$", 1)
+        side = lambda name: F.when(_attribute(tag, name).try_cast("double") > 0, _attribute(tag, name).try_cast("double"))
+        return F.struct(F.coalesce(_attribute(tag, "src"), _attribute(tag, "data-src"), _attribute(tag, "data-original"), last).alias("url"), _attribute(tag, "alt").alias("alt"), side("width").alias("width"), side("height").alias("height"))
+
+    found = F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<img\b[^>]*>"), F.lit(0)), image)
+    small = lambda x: (F.coalesce(x["width"], F.lit(33.0)) <= 32) | (F.coalesce(x["height"], F.lit(33.0)) <= 32)
+    good = F.filter(found, lambda x: x["url"].rlike("(?i)^https?://") & ~x["url"].rlike(NO_PICTURE) & ~small(x))
+    # the first of an address stays
+    return X.once(good, lambda g: F.slice(F.transform(F.array_distinct(F.transform(g, lambda x: x["url"])), lambda u: F.get(F.filter(g, lambda x: x["url"] == u), 0)), 1, most))
 
 
 def robots_allowed(rules: DataFrame, paths: DataFrame) -> DataFrame:
     """paths(host, path) with allowed: the longest matching pattern decides, Allow wins ties, no match allows.
 
-    rules(host, pattern, allow): `*` is any run of characters, `$` the end.
+    rules(host, pattern, allow): `*` is any run of characters, `$` at the end the end; an empty pattern matches nothing. A host's rules are put in order
+    once, as one array (a robots file), so each path meets one row and stops at the first rule that fits.
     """
-    pattern = F.regexp_replace(F.regexp_replace("pattern", r"([.+?^(){}|\[\]\\])", r"\\$1"), r"\*", ".*")
-    ready = rules.select(F.col("host").alias("h"), F.concat(F.lit("^"), pattern).alias("re"), F.length("pattern").alias("n"), "allow")
-    hit = paths.join(ready, (F.col("host") == F.col("h")) & F.expr("path rlike re"), "left")
-    return hit.groupBy("host", "path").agg(F.coalesce(F.max(F.struct("n", "allow"))["allow"], F.lit(True)).alias("allowed"))
+    pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+?^(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\$(?=.)", r"\\\$")
+    rule = F.struct((-F.length("pattern")).alias("by"), (~F.col("allow")).alias("later"), F.concat(F.lit("^"), pattern).alias("re"), "allow")
+    files = rules.where("pattern <> ''").groupBy(F.col("host").alias("h")).agg(F.array_sort(F.collect_set(rule)).alias("rules"))
+    first = F.get(F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["re"])), 0)["allow"]
+    return paths.join(files, F.col("host") == F.col("h"), "left").select("host", "path", F.coalesce(first, F.lit(True)).alias("allowed"))
 
 
 def first_object(text: str | None) -> str | None:
