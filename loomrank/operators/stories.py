@@ -124,6 +124,8 @@ def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = 1024) -> D
             .groupBy("item_id").agg(F.greatest(F.lit(0.0), F.max("nearest")).alias("nearest")))
 
 
+#: Entities this much alike are searched by entities, pairs below by titles; it divides the work between two searches and changes no result.
+ENTITY_FLOOR = .25
 #: Decimal places at which confidences count as equal.
 _PLACES = 12
 FOUND = "item_id long, confidence double, new boolean, at long, found long"
@@ -207,15 +209,16 @@ def _by_vector(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFra
 def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int, cut: float) -> DataFrame:
     """The best candidate where either side has no vector: entities and titles decide, and of equal profiles the one nearest in time.
 
-    Profiles (title, entities, vector or not) meet, not rows, and only those of which titles or entities alone are similar enough to reach the cut.
+    Profiles (title, entities, vector or not) meet, not rows: those whose entities are alike by ENTITY_FLOOR, and those whose titles are alike by what
+    the cut needs beside entities just below it. No other pair can reach the cut.
     """
-    floor = (cut - TIME) / (ENTITY_WEIGHT + TITLE_WEIGHT)
+    floors = {"entity_key": ENTITY_FLOOR, "title_key": (cut - TIME - ENTITY_WEIGHT * ENTITY_FLOOR) / TITLE_WEIGHT}
     profile = [F.col("title_key"), F.col("entity_key"), F.col("embedding").isNull().alias("bare")]
     mine = asking.select(*profile).distinct()
     theirs = reduce(DataFrame.union, [d.select(*profile) for d in sides.values()]).distinct()
     mine, theirs = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p, d in (("a", mine), ("b", theirs)))
     met = []
-    for key in ("title_key", "entity_key"):
+    for key, floor in floors.items():
         near = similar_sets(different_sets(mine, f"a_{key}"), different_sets(theirs, f"b_{key}"), floor)
         if key == "title_key":
             near = near.where(F.col("jaccard") < TITLE_CUT)

@@ -82,10 +82,15 @@ _cols("x2_strip_html", lambda t, s, u: {"out": X.strip_html(F.col("html"))}, Non
 _cols("x4_truncate", lambda t, s, u: {"out": X.truncate(s, 120)}, """
     SELECT item_id, CASE WHEN length(summary) <= 120 THEN summary ELSE rtrim(CASE WHEN sp > 72 THEN substr(cut, 1, sp) ELSE cut END) || '…' END AS out FROM (
       SELECT *, CASE WHEN instr(cut, ' ') > 0 THEN 120 - instr(reverse(cut), ' ') ELSE -1 END AS sp FROM (SELECT item_id, summary, substr(summary, 1, 120) AS cut FROM items))""")
-_cols("x8_named_entities", lambda t, s, u: {"n": F.size(X.named_entities(s)), "first": F.get(F.array_sort(X.named_entities(s)), 0)}, None)
+_cols("x8_named_entities", lambda t, s, u: {"n": F.size(X.named_entities(s)), "first": F.get(F.array_sort(X.named_entities(s)), 0)}, rf"""
+    SELECT item_id, len(e)::INT AS n, list_sort(e)[1] AS first FROM (SELECT item_id, list_distinct(list_transform(list_concat(
+      list_filter(regexp_extract_all(substr(summary, 1, 4000), '\b([A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*){{0,3}})\b', 1), lambda p: length(p) >= 3 AND (contains(p, ' ') OR (length(p) >= 4 AND NOT list_contains({_LIST(X.STOP_WORDS)}, lower(p))))),
+      regexp_extract_all(substr(summary, 1, 4000), '\b([A-Z]{{2,6}})\b', 1)), lambda x: lower(x))) AS e FROM items)""")
 _cols("x10_excerpt", lambda t, s, u: {"out": X.excerpt(s, 200)}, """
     SELECT item_id, CASE WHEN length(summary) <= 200 THEN summary ELSE rtrim(substr(summary, 1, 120)) || chr(10) || '[…]' || chr(10) || ltrim(substr(summary, length(summary) - 79, 80)) END AS out FROM items""")
-_cols("x12_clean_body", lambda t, s, u: {"n": F.length(X.clean_body(s)), "out": X.clean_body(s)}, None)
+_cols("x12_clean_body", lambda t, s, u: {"n": F.length(X.clean_body(s)), "out": X.clean_body(s)}, """
+    SELECT item_id, length(out)::INT AS n, out FROM (SELECT item_id, array_to_string(list_filter(l, lambda x, i: length(x) >= 80 OR list_position(l, x) = i), chr(10) || chr(10)) AS out FROM (
+      SELECT item_id, list_filter(list_transform(string_split(coalesce(summary, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT (length(x) < 40 AND regexp_matches(lower(x), '^(advertisement|share|subscribe|sign up|read more|cookie)'))) AS l FROM items))""")
 _cols("x15_language", lambda t, s, u: {"v": X.language_verdict(F.concat_ws(" ", "title", "summary"), F.lit(None).cast("string"))["verdict"]},
       "SELECT item_id, verdict AS v FROM " + _VERDICT.replace("{rel}", "(SELECT item_id, title || ' ' || summary AS txt, NULL::VARCHAR AS declared FROM items)"))
 _cols("x1_entities", lambda t, s, u: {"out": X.decode_entities(F.concat(F.lit("&#"), F.ascii(t), F.lit(";&amp;#65;&#x"), F.hex(F.ascii(t)), F.lit(";&#38;lt;&eacute;&#1114112;"), t))},
