@@ -151,11 +151,11 @@ def r29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r45_audit_sampling", """
     SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY triage_score DESC, item_id) AS rn FROM cheap
-      WHERE NOT passed AND (list_reduce(list_transform(string_split('luna:' || item_id, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) % 100000) / 1e5 < 0.1e0)
+      WHERE NOT passed AND (list_reduce(list_transform(string_split('turned:' || item_id, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) % 100000) / 1e5 < 0.1e0)
     WHERE rn <= 25""")
 def r45(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capped audit of what triage turned down: a tenth by hash, the best 25 of it."""
-    turned = _view(spark, sf_dir, "cheap").where(~F.col("passed") & (N.hash_unit(F.concat(F.lit("luna:"), F.col("item_id"))) < .1))
+    turned = _view(spark, sf_dir, "cheap").where(~F.col("passed") & (N.hash_unit(F.concat(F.lit("turned:"), F.col("item_id"))) < .1))
     return turned.orderBy(F.desc("triage_score"), "item_id").limit(25).select("item_id")
 
 
