@@ -10,7 +10,9 @@ similarity as the whole signatures estimate it, say how many such pairs prefixes
 (the chance of meeting at depth d is 1 - (1 - s^d)^trees), and the worst band of similarities decides. They are never shortened below the
 length at which even pairs at the threshold reach the target.
 
-Candidates are never listed pair by pair. The links' connected components are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
+Candidates are never listed pair by pair. The same neighbours meet in many tries, so links are first contracted where they lie: ranges of
+(first signature value, text) hold most links of a group, and each gives back a forest that joins what its links join, one
+link fewer than it has texts, with at most nine at a text. The forests' connected components are those of all links. They are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
 component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
 not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
 group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
@@ -36,6 +38,8 @@ from loomrank.llm.common import SPACES, components, ids_of, park, small_batches,
 BROADCAST_ROWS = 500_000
 #: At most this many word sequences count as hot, with so many copies that their rows are not gathered by digest but meet a broadcast.
 HOT_DIGESTS = 100_000
+#: Links that one task contracts (16 bytes each), and that it holds at once.
+LINKS_A_TASK = 200_000
 _BLANK = str.maketrans(dict.fromkeys(SPACES, " "))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,6 +160,56 @@ def _roots(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
+def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row number of each row's group under the links a[i]-b[i]: roots are hooked to smaller ones and paths halved, so long chains take few rounds."""
+    low = np.arange(n)
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            return low
+        least = np.minimum(x, y)
+        np.minimum.at(low, x, least)
+        np.minimum.at(low, y, least)
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def forest(a: np.ndarray, b: np.ndarray, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smaller id) that join the same ids as the links a[i]-b[i]: a tree a group, each id with at most `fan` children, the smallest at the root."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = _groups(len(ids), at[:len(a)], at[len(a):])
+    order = np.argsort(low, kind="stable")  # by group, ids ascending
+    new = np.diff(low[order], prepend=-1) != 0
+    start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+    parent = start + (np.arange(len(ids)) - start - 1) // fan
+    return ids[order][~new], ids[order][parent[~new]]
+
+
+def _contract(held: int = LINKS_A_TASK):
+    """Forests of a partition's links (a, b); at most `held` links are in memory, what then still is more than half of it goes out."""
+    def run(batches):
+        kept, n = [], 0
+        for pdf in batches:
+            kept.append((pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)))
+            n += len(pdf)
+            if n >= held:
+                kept = [forest(*map(np.concatenate, zip(*kept, strict=True)))]
+                n = len(kept[0][0])
+                if n > held // 2:
+                    yield pd.DataFrame(dict(zip("ab", kept[0], strict=True)))
+                    kept, n = [], 0
+        if n:
+            yield pd.DataFrame(dict(zip("ab", forest(*map(np.concatenate, zip(*kept, strict=True))), strict=True)))
+
+    return run
+
+
+def contracted(pairs: DataFrame, links: int) -> DataFrame:
+    """Fewer links (a, b) with the components of pairs(a, b, home); `links` is their number."""
+    return (pairs.repartitionByRange(max(8, -(-links // LINKS_A_TASK)), "home", "a").select("a", "b")
+            .mapInPandas(_contract(), "a long, b long"))
+
+
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -196,40 +250,41 @@ def signatures(docs: DataFrame, values: int) -> DataFrame:
 
 
 def _neighbours(least: int):
-    """(a, b, lcp) of rows (tree, path, node) that follow each other in a tree and share `least` values or more; the partition's first and last row with lcp -1."""
+    """(a, b, lcp, home of a) of rows (tree, path, node, home) that follow each other in a tree and share `least` values or more; the partition's first and last row with lcp -1."""
     def run(batches):
         last = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            tree, node = pdf["tree"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+            tree, node, home = (pdf[c].to_numpy(np.int64) for c in ("tree", "node", "home"))
             path = np.frombuffer(b"".join(pdf["path"]), ">u4").reshape(len(pdf), -1)
             if last is None:
-                yield pd.DataFrame({"a": [node[0]], "b": [node[0]], "lcp": [-1], "tree": [tree[0]], "path": [path[0].tobytes()]})
+                yield pd.DataFrame({"a": [node[0]], "b": [node[0]], "lcp": [-1], "home": [home[0]], "tree": [tree[0]], "path": [path[0].tobytes()]})
             else:
-                tree, node, path = np.append(last[0], tree), np.append(last[1], node), np.vstack([last[2], path])
-            last = tree[-1:], node[-1:], path[-1:]
+                tree, node, home, path = np.append(last[0], tree), np.append(last[1], node), np.append(last[2], home), np.vstack([last[3], path])
+            last = tree[-1:], node[-1:], home[-1:], path[-1:]
             lcp = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
             lcp[tree[1:] != tree[:-1]] = 0
             k = np.nonzero(lcp >= least)[0]
-            yield pd.DataFrame({"a": node[k], "b": node[k + 1], "lcp": lcp[k], "tree": tree[k], "path": [None] * len(k)})
+            yield pd.DataFrame({"a": node[k], "b": node[k + 1], "lcp": lcp[k], "home": home[k], "tree": tree[k], "path": [None] * len(k)})
         if last is not None:
-            yield pd.DataFrame({"a": last[1], "b": last[1], "lcp": [-1], "tree": last[0], "path": [last[2][0].tobytes()]})
+            yield pd.DataFrame({"a": last[1], "b": last[1], "lcp": [-1], "home": last[2], "tree": last[0], "path": [last[3][0].tobytes()]})
 
     return run
 
 
 def candidates(reps: DataFrame, trees: int, max_depth: int, least: int) -> DataFrame:
-    """Parked (a, b, lcp) of neighbours in the sorted tries of reps(node, sig), lcp being the longest shared prefix of the pair."""
+    """Parked (a, b, lcp, home) of neighbours in the sorted tries of reps(node, sig), lcp being the longest shared prefix of the pair, home the first value of a's signature."""
     parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = (reps.where("sig is not null").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-            .select("tree", F.substring("sig", F.col("tree") * (4 * max_depth) + 1, F.lit(4 * max_depth)).alias("path"), "node"))
-    near = park(rows.repartitionByRange(parts, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-                .mapInPandas(_neighbours(least), "a long, b long, lcp int, tree int, path binary"))
+    rows = (reps.where("sig is not null")
+            .select("node", "sig", F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long").alias("home"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+            .select("tree", F.substring("sig", F.col("tree") * (4 * max_depth) + 1, F.lit(4 * max_depth)).alias("path"), "node", "home"))
+    shape = "a long, b long, lcp int, home long, tree int, path binary"
+    near = park(rows.repartitionByRange(parts, "tree", "path", "node").sortWithinPartitions("tree", "path", "node").mapInPandas(_neighbours(least), shape))
     # the ends of the ranges, two a partition, meet each other as neighbours too
-    ends = near.where("lcp = -1").select("tree", "path", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "path", "node")
-    between = ends.mapInPandas(_neighbours(least), "a long, b long, lcp int, tree int, path binary")
-    return park(near.unionByName(between).where("lcp >= 0 and a <> b").groupBy("a", "b").agg(F.max("lcp").alias("lcp")))
+    ends = near.where("lcp = -1").select("tree", "path", F.col("a").alias("node"), "home").distinct().coalesce(1).sortWithinPartitions("tree", "path", "node")
+    between = ends.mapInPandas(_neighbours(least), shape)
+    return park(near.unionByName(between).where("lcp >= 0 and a <> b").groupBy("a", "b").agg(F.max("lcp").alias("lcp"), F.min("home").alias("home")))
 
 
 def _equal_values(batches):
@@ -253,7 +308,7 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
     met = (pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
            .select("x", "y", "lcp").mapInPandas(_equal_values, "same int, lcp int").groupBy("same", "lcp").agg(F.count("*").alias("n")).collect())
     depth = search_depth([tuple(r) for r in met], trees * max_depth, trees, least, max_depth, threshold, recall)
-    label = components(pairs.where(F.col("lcp") >= depth).select("a", "b"))
+    label = components(contracted(pairs.where(F.col("lcp") >= depth), sum(n for _, _, n in met)))
     placed = label.join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag", "size"), "id")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
     members = park(placed.join(sizes, "comp").withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / block_shingles)).cast("int"))

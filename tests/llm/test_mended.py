@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomrank.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, toxicity, url_filter
@@ -85,6 +87,29 @@ def test_templates_cover_terms_that_no_text_names(spark):
     assert sum(1 for p in pairs for _ in p) >= len(toxicity.TEMPLATES) * sum(len(k) for k in toxicity.IDENTITY) * 2
 
 
+def test_contracted_links_join_the_same_texts():
+    rng = np.random.default_rng(5)
+    chain = np.arange(3000)
+    for a, b in ((chain[:-1], chain[1:]), (np.zeros(500, int), np.arange(1, 501)), (rng.integers(0, 400, 300), rng.integers(0, 400, 300)), (np.array([7]), np.array([-3]))):
+        for held in (50, 10_000):
+            links = pd.concat(ngram_join._contract(held)(pd.DataFrame({"a": a[k:k + 20], "b": b[k:k + 20]}) for k in range(0, len(a), 20)))
+            assert (links["a"] > links["b"]).all()
+            want, got = ({frozenset(g) for g in _joined(np.concatenate([a, b]), x, y)} for x, y in ((a, b), (links["a"], links["b"])))
+            assert got == want
+    one, other = ngram_join.forest(chain[:-1], chain[1:])
+    assert len(one) == 2999 and np.bincount(other).max() == 8 and not list(ngram_join._contract()(iter(())))
+
+
+def _joined(ids, a, b):
+    group = {i: {i} for i in ids.tolist()}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if group[x] is not group[y]:
+            group[x] |= group[y]
+            for i in group[y]:
+                group[i] = group[x]
+    return group.values()
+
+
 def test_join_blocks_by_shingles(spark):
     """A component of long near-copies is cut by what its texts hold; no link is lost."""
     words = [f"w{i}" for i in range(400)]
