@@ -12,7 +12,7 @@ length at which even pairs at the threshold reach the target.
 
 Candidates are never listed pair by pair. The same neighbours meet in many tries, so links are first contracted where they lie: ranges of
 (first signature value, text) hold most links of a group, and each gives back a forest that joins what its links join, one
-link fewer than it has texts, with at most nine at a text. The forests' connected components are those of all links. They are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
+link fewer than it has texts, with at most nine at a text; forests are merged like that again while it pays. Their connected components are those of all links. They are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
 component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
 not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
 group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
@@ -174,40 +174,53 @@ def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low = low[low]
 
 
-def forest(a: np.ndarray, b: np.ndarray, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, smaller id) that join the same ids as the links a[i]-b[i]: a tree a group, each id with at most `fan` children, the smallest at the root."""
+def forest(a: np.ndarray, b: np.ndarray, fan: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (id, smaller id, smallest of the group) that join the same ids as the links a[i]-b[i]: a tree a group, each id with at most `fan` children, the smallest at the root."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     low = _groups(len(ids), at[:len(a)], at[len(a):])
     order = np.argsort(low, kind="stable")  # by group, ids ascending
     new = np.diff(low[order], prepend=-1) != 0
     start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
     parent = start + (np.arange(len(ids)) - start - 1) // fan
-    return ids[order][~new], ids[order][parent[~new]]
+    return ids[order][~new], ids[order][parent[~new]], ids[order][start[~new]]
 
 
 def _contract(held: int = LINKS_A_TASK):
-    """Forests of a partition's links (a, b); at most `held` links are in memory, what then still is more than half of it goes out."""
+    """Forests of a partition's links (a, b), with the root as home; about `held` links are in memory, what then still is more than half of it goes out."""
+    def out(kept):
+        found = forest(*map(np.concatenate, zip(*kept, strict=True)))
+        return pd.DataFrame(dict(zip(("a", "b", "home"), found, strict=True)))
+
     def run(batches):
         kept, n = [], 0
         for pdf in batches:
             kept.append((pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)))
             n += len(pdf)
             if n >= held:
-                kept = [forest(*map(np.concatenate, zip(*kept, strict=True)))]
-                n = len(kept[0][0])
+                done = out(kept)
+                kept, n = [(done["a"].to_numpy(), done["b"].to_numpy())], len(done)
                 if n > held // 2:
-                    yield pd.DataFrame(dict(zip("ab", kept[0], strict=True)))
+                    yield done
                     kept, n = [], 0
         if n:
-            yield pd.DataFrame(dict(zip("ab", forest(*map(np.concatenate, zip(*kept, strict=True))), strict=True)))
+            yield out(kept)
 
     return run
 
 
-def contracted(pairs: DataFrame, links: int) -> DataFrame:
-    """Fewer links (a, b) with the components of pairs(a, b, home); `links` is their number."""
-    return (pairs.repartitionByRange(max(8, -(-links // LINKS_A_TASK)), "home", "a").select("a", "b")
-            .mapInPandas(_contract(), "a long, b long"))
+def contracted(pairs: DataFrame, links: int, a_task: int = LINKS_A_TASK) -> DataFrame:
+    """Parked links (a, b), fewer than pairs(a, b, home) but with the same components; `links` is the number of pairs.
+
+    Tasks of `a_task` links leave their forests, which meet again, by root, in as many fewer tasks as they then fill. That ends when it wouldn't halve the tasks:
+    a group too large for one task keeps some links more than it has texts.
+    """
+    tasks = max(8, -(-links // a_task))
+    while True:
+        pairs = park(pairs.repartitionByRange(tasks, "home", "a").select("a", "b").mapInPandas(_contract(a_task), "a long, b long, home long"))
+        fewer = max(1, -(-pairs.count() // a_task))
+        if 2 * fewer > tasks:
+            return pairs.select("a", "b")
+        tasks = fewer
 
 
 def _verify(threshold: float):
@@ -308,7 +321,7 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
     met = (pairs.join(known.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
            .select("x", "y", "lcp").mapInPandas(_equal_values, "same int, lcp int").groupBy("same", "lcp").agg(F.count("*").alias("n")).collect())
     depth = search_depth([tuple(r) for r in met], trees * max_depth, trees, least, max_depth, threshold, recall)
-    label = components(contracted(pairs.where(F.col("lcp") >= depth), sum(n for _, _, n in met)))
+    label = components(contracted(pairs.where(F.col("lcp") >= depth), sum(n for _, lcp, n in met if lcp >= depth)))
     placed = label.join(reps.select(F.col("node").alias("id"), "rep_id", "rep_tag", "size"), "id")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
     members = park(placed.join(sizes, "comp").withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("weight") / block_shingles)).cast("int"))

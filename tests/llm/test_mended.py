@@ -96,10 +96,24 @@ def test_contracted_links_join_the_same_texts():
             assert (links["a"] > links["b"]).all()
             want, got = ({frozenset(g) for g in _joined(np.concatenate([a, b]), x, y)} for x, y in ((a, b), (links["a"], links["b"])))
             assert got == want
-    one, other = ngram_join.forest(chain[:-1], chain[1:])
+    one, other, root = ngram_join.forest(chain[:-1], chain[1:])
+    assert set(root) == {0}
     assert len(one) == 2999 and np.bincount(other).max() == 8 and not list(ngram_join._contract()(iter(())))
 
 
+def test_forests_are_merged_while_that_pays(spark):
+    """A dense group that is dealt over all tasks, beside small ones: in the end one link fewer than texts a group."""
+    rng = np.random.default_rng(6)
+    a = np.concatenate([np.arange(1, 400).repeat(12), np.arange(1000, 1100, 2)])
+    b = np.concatenate([rng.integers(0, 400, 399 * 12), np.arange(1001, 1101, 2)])
+    b[:399 * 12:12] = np.arange(399)
+    pairs = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "home": a % 7}).query("a != b"))
+    for a_task, most in ((10_000, 399 + 50), (100, 399 * 12 + 50)):
+        got = ngram_join.contracted(pairs, pairs.count(), a_task).toPandas()
+        assert 399 + 50 <= len(got) <= most
+        assert {frozenset(g) for g in _joined(np.concatenate([a, b]), got["a"], got["b"])} == {frozenset(g) for g in _joined(np.concatenate([a, b]), a, b)}
+
+
 def _joined(ids, a, b):
     group = {i: {i} for i in ids.tolist()}
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
