@@ -15,7 +15,7 @@ Candidates are never listed pair by pair. The same neighbours meet in many tries
 link fewer than it has texts, with at most nine at a text; forests are merged like that again while it pays. Their connected components are those of all links. They are cut into blocks of about `block` texts and `block_shingles` shingles at most, and every pair of blocks of a
 component is verified in one task: exact intersections of whole shingle sets (64-bit shingle hashes), pairs within it counted,
 not emitted. A task returns one row per text: its number of links there and the next smaller id of its linked
-group. Components of those rows are the classes. So copies cost nothing, a near-copy group that holds a third of all
+group. Those links are contracted in the same way, and their components are the classes. So copies cost nothing, a near-copy group that holds a third of all
 texts is spread over block pairs, and no link between different texts inside a component is lost.
 
 Defined results: texts with equal word sequences are copies: one class, not counted as links; texts of fewer than
@@ -236,8 +236,8 @@ def _verify(threshold: float):
             a, b = np.nonzero(yes)
             count = yes.sum(1) if split is None else np.concatenate([yes.sum(1), yes.sum(0)])
             low = _roots(ids, a, b + (split or 0))
-            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": _chain(ids, low)})[count > 0])
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "n_links": [], "peer": []}, dtype="int64")
+            out.append(pd.DataFrame({"id": ids, "n_links": count, "peer": _chain(ids, low), "comp": g["comp"].iat[0]})[count > 0])
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "n_links": [], "peer": [], "comp": []}, dtype="int64")
 
     return run
 
@@ -341,9 +341,10 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, trees: int = 20, max_dep
              .withColumn("task", F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(parts))))
                          .otherwise(F.concat_ws("/", "comp", "i", "j"))))
     found = park(tasks.select("task", "id", "comp", "block", "i", "j", "text").groupBy("task")
-                 .applyInPandas(_verify(threshold), "id long, n_links long, peer long"))
+                 .applyInPandas(_verify(threshold), "id long, n_links long, peer long, comp long"))
     links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
+    # a text has a row for each block that its own meets: those of a component are contracted too
+    classes = components(contracted(found.select(F.col("id").alias("a"), F.col("peer").alias("b"), F.col("comp").alias("home")), found.count()))
     first = (classes.join(reps.select(F.col("node").alias("id"), "rep_id"), "id").groupBy("comp").agg(F.min("rep_id").alias("class_id")))
     classes = classes.join(first, "comp").select(F.col("id").alias("node"), "comp", "class_id")
     table_of = (reps.select("digest", "node", "rep_id", "n_copies")
