@@ -27,6 +27,9 @@ DUTCH = (
 ).split()
 OTHER = "le la les un une et ou mais dans des du pour avec sans est sont pas que qui sur en el los las una y o pero del por con sin es son no der die das ein eine und oder aber von zu mit ist sind nicht im auf für".split()
 
+#: Unicode's space separators (category Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -35,6 +38,11 @@ def strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, dict.fromkeys(words)))
 
 
+def trimmed(s: Column) -> Column:
+    """Without Unicode's space separators at both ends, as SQL's trim has it. The characters are named: inside a lambda, Spark's trim without them takes the last character off some strings."""
+    return F.trim(s, F.lit(SPACES))
+
+
 def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[ \t\n\r\f\x0B]+", " "))
 
@@ -156,7 +164,7 @@ def contains_word(s: Column, word: str) -> Column:
 
 def clean_body(s: Column) -> Column:
     """Lines trimmed; short junk lines and repeats of short lines go; the rest is joined by blank lines."""
-    lines = F.transform(F.split(F.coalesce(s, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(s, F.lit("")), "\n"), trimmed)
     junk = lambda x: (F.length(x) < 40) & F.lower(x).rlike("^(advertisement|share|subscribe|sign up|read more|cookie)")
     seen = F.filter(lines, lambda x: (x != "") & ~junk(x))
     firsts = F.filter(F.transform(seen, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),

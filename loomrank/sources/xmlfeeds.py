@@ -71,7 +71,7 @@ def link() -> Column:
     alternate = F.filter(links, lambda x: (x["@href"] != "") & (rel(x) == "alternate") & (F.coalesce(x["@type"], F.lit("")).isin("") | F.coalesce(x["@type"], F.lit("")).contains("html")))
     other = F.filter(links, lambda x: (x["@href"] != "") & ~rel(x).isin("self", "enclosure") | (x["@href"].isNull() & (x["_VALUE"] != "")))
     atom = F.coalesce(F.get(alternate, 0)["@href"], F.coalesce(F.get(other, 0)["@href"], F.get(other, 0)["_VALUE"]))
-    said = F.coalesce(F.get(F.filter(links, lambda x: F.trim(x["_VALUE"]) != ""), 0)["_VALUE"], _first(("guid", "feedburner:origLink", "id")))
+    said = F.coalesce(F.get(F.filter(links, lambda x: X.trimmed(x["_VALUE"]) != ""), 0)["_VALUE"], _first(("guid", "feedburner:origLink", "id")))
     said = F.trim(said)
     return F.when(F.col("atom"), atom).otherwise(F.when(said.rlike("(?i)^https?://"), said).otherwise(_first(("feedburner:origLink",))))
 
@@ -93,7 +93,7 @@ def categories() -> Column:
     """Terms, labels and texts of categories and subjects, each once, 25 at most."""
     own = F.coalesce(F.col("node.category"), F.array().cast("array<struct<_VALUE:string,`@term`:string,`@label`:string>>"))
     every = F.concat(F.flatten(F.transform(own, lambda x: F.array(x["@term"], x["@label"], x["_VALUE"]))), F.coalesce(F.col("node").getField("dc:subject"), F.array().cast("array<string>")))
-    return F.slice(F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x != "")), 1, 25)
+    return F.slice(F.array_distinct(F.filter(F.transform(every, X.trimmed), lambda x: x != "")), 1, 25)
 
 
 def items(docs: DataFrame) -> DataFrame:

@@ -73,6 +73,12 @@ def test_feed_documents(spark):
     assert xmlfeeds.nodes(d).where("node._corrupt IS NOT NULL").count() == 1
 
 
+def test_clean_body_keeps_last_characters(spark):
+    lines = ["Ontion in tishha orwh onaton reing reesst ndennt thheing whou. 4072374829496490", "\u3000 wide and narrow\u00a0 ", "\ttab stays"]
+    got = spark.createDataFrame([("\n".join(lines),), (lines[0],), (" \u2003 \n",)], "t string").select(X.clean_body(F.col("t"))).collect()
+    assert [r[0] for r in got] == [f"{lines[0]}\n\nwide and narrow\n\n{lines[2]}", lines[0], ""]
+
+
 def test_structural_excerpt(spark):
     most = len(X.OMITTED) + 100
     texts = ["a" * 50 + "\n\n" + "b" * 200 + "\n\n" + "c" * 30, "x" * 300, "short", None, "", "a" * 20 + "\n\n" + "b" * 400]
