@@ -49,15 +49,17 @@ def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: flo
          missed: list | None = None) -> list[tuple]:
     """(item_id, place, value) of the picks from rows (value order; ties to the earliest): the greedy argmax under all caps.
 
-    Rows with `cut` set are the last of a group that has more; missed gets those whose unseen successors could have been picked.
+    A row that is too long for the minutes left can't be picked any more, so only rows that fit are compared: each pick is one pass.
+    Rows with `cut` set are the last of a group that has more, and `least` is the shortest of that group; missed gets those whose unseen successors could have been picked.
     """
     ends = [r for r in rows if getattr(r, "cut", False)]
     sources, topics, stories = Counter(), Counter(), Counter()
-    spent, explored, picked, left = 0.0, 0, [], [r for r in rows if used[r.item_id] < max_feeds]
+    spent, explored, picked, left, room = 0.0, 0, [], [r for r in rows if used[r.item_id] < max_feeds], minutes + overflow
     while left and len(picked) < cap:
         free = cap - len(picked)
         only_exploring = max(0, protected - explored) >= free
         best, value = None, min_score
+        left = [r for r in left if not spent + r.minutes > room]
         for r in left:
             if (sources[r.source_id] >= SOURCE_CAP or topics[r.category] >= category_cap or only_exploring and not r.exploratory
                     or stories[r.cluster_id] and r.duplicate_information > MAX_DUPLICATE or r.score < value):
@@ -67,14 +69,12 @@ def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: flo
                 best, value = r, v
         if missed is not None:
             for r in ends:
-                open_ = sources[r.source_id] < SOURCE_CAP and topics[r.category] < category_cap
+                open_ = sources[r.source_id] < SOURCE_CAP and topics[r.category] < category_cap and not spent + getattr(r, "least", 0) > room
                 if open_ and r.score * _at(SOURCE_DECAY, SOURCE_TAIL, sources[r.source_id]) * _at(TOPIC_DECAY, TOPIC_TAIL, topics[r.category]) >= value:
                     missed.append(r.item_id)
         if best is None:
             break
-        left.remove(best)
-        if spent + best.minutes > minutes + overflow:
-            continue
+        left = [r for r in left if r is not best]
         picked.append((best.item_id, len(picked) + 1, float(value)))
         spent += best.minutes
         explored += bool(best.exploratory)
@@ -86,12 +86,14 @@ def fill(rows: list, cap: int, minutes: float, category_cap: int, min_score: flo
 
 
 def editions(candidates: DataFrame, feeds: list[dict], overlap: dict[str, list[tuple[str, float]]] | None = None, keep=lambda df: df) -> DataFrame:
-    """feed, item_id, place, value; keep writes the few picks down so that they are not worked out twice. candidates: feed, item_id, source_id, cluster_id, category, score, duplicate_information, minutes, exploratory.
+    """feed, item_id, place, value; keep writes the candidates over the bar and the few picks down so that they are not worked out twice. candidates: feed, item_id, source_id, cluster_id, category, score, duplicate_information, minutes, exploratory.
 
     feeds, in priority order: feed, cap, minutes, category_cap, min_score, protected. They share the limit of feeds per item, so one task fills all of them.
     """
     bars = F.create_map(*[F.lit(x) for f in feeds for x in (f["feed"], float(f["min_score"]))])
-    able = candidates.where(F.col("score") >= bars[F.col("feed")])
+    able = keep(candidates.where(F.col("score") >= bars[F.col("feed")]))
+    least = able.groupBy("feed", "source_id", "category").agg(F.min("minutes").alias("least")).select(*[F.col(c).alias(f"_{c}") for c in ("feed", "source_id", "category")], "least")
+    same = (F.col("feed") == F.col("_feed")) & F.col("source_id").eqNullSafe(F.col("_source_id")) & F.col("category").eqNullSafe(F.col("_category"))
     group = Window.partitionBy("feed", "source_id", "category").orderBy(F.desc("score"), "item_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +107,7 @@ def editions(candidates: DataFrame, feeds: list[dict], overlap: dict[str, list[t
     while True:
         # one row more than the bound tells whether a group has more; ranks are limited before the shuffle
         ranked = able.withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= bound + 1)
-        handed = ranked.withColumn("cut", (F.col("_r") == bound) & (F.lead("_r").over(group).isNotNull())).where(F.col("_r") <= bound).drop("_r")
+        handed = ranked.withColumn("cut", (F.col("_r") == bound) & (F.lead("_r").over(group).isNotNull())).where(F.col("_r") <= bound).drop("_r").join(least, same, "left").drop("_feed", "_source_id", "_category")
         picks = keep(handed.withColumn("run", F.lit("edition")).groupBy("run").applyInPandas(run, "feed string, item_id long, place long, value double"))
         if picks.where("place < 0").isEmpty():
             return picks

@@ -103,6 +103,34 @@ def test_edition_caps():
     assert any(p[0] == 9 for p in selection.fill([candidate(i, exploratory=i == 9) for i in range(10)], 3, 100, 9, .1, 1, {}, Counter()))
 
 
+def test_edition_whose_minutes_are_spent_ends(monkeypatch):
+    """Rows that no longer fit are never picked: the picks are those of taking them off one by one, without a pass over all rows for each of them."""
+    rng = random.Random(9)
+    calls, plain = [], selection.multiplier
+    monkeypatch.setattr(selection, "multiplier", lambda *a: calls.append(1) or plain(*a))
+    for n in (60, 1500):
+        rows = sorted((SimpleNamespace(item_id=i, source_id=f"s{rng.randrange(5)}", cluster_id=i // 3, category=f"c{rng.randrange(4)}", score=rng.randrange(20) / 20, duplicate_information=rng.random(),
+                                       minutes=3.0 + i % 12, exploratory=rng.random() < .2) for i in range(n)), key=lambda r: (-r.score, r.item_id))
+        calls.clear()
+        got = selection.fill(rows, 8, 30, 3, .1, 1, {}, Counter())
+        assert len(calls) <= 9 * n
+        want, left, out = [], list(rows), set()
+        while left:  # one by one: the first pick without those known not to fit
+            one = selection.fill([r for r in left if r.item_id not in out], 8, 1e9, 3, .1, 1, {}, Counter())
+            spent, late = 0.0, None
+            for item, _, _ in one:
+                r = next(r for r in left if r.item_id == item)
+                if spent + r.minutes > 40:
+                    late = item
+                    break
+                spent += r.minutes
+            want = [i for i, _, _ in one]
+            if late is None:
+                break
+            out.add(late)
+        assert [i for i, _, _ in got] == want
+
+
 def test_pruned_edition_equals_whole(spark):
     rng = random.Random(5)
     rows = [("f", i, f"s{rng.randrange(4)}", i % 40, f"c{rng.randrange(3)}", rng.random(), rng.random(), 5.0, rng.random() < .2) for i in range(300)]
