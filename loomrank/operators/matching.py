@@ -77,21 +77,43 @@ def _cosine(a: str, b: str) -> Column:
     return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), N.cosine(F.col(a), F.col(b)))
 
 
+def _alike(a: DataFrame, e: DataFrame) -> DataFrame:
+    """item_id, episode_id, jaccard of the pairs of a(item_id, a_key, a_at, a_vector) and e(episode_id, e_key, e_at, e_vector) with similar titles, like vectors, and at most EPISODE_HOURS or an unknown time between them.
+
+    Rows meet by title and slot of time, as wide as the window; rows without a time have a slot that meets all others.
+    """
+    width = EPISODE_HOURS * N.HOUR
+    slot = lambda c, k=0: F.floor(F.col(c) / width).cast("long") + k
+    named = lambda *slots: F.array(*[x.cast("string") for x in slots])
+    a = a.where("a_key IS NOT NULL AND a_vector IS NOT NULL").withColumns(
+        {"a_size": N.norm(F.col("a_vector")), "slot": F.when(F.col("a_at").isNull(), named(F.lit("any"))).otherwise(named(slot("a_at", -1), slot("a_at"), slot("a_at", 1), F.lit("none")))})
+    e = e.where("e_key IS NOT NULL AND e_vector IS NOT NULL").withColumns({"e_size": N.norm(F.col("e_vector")), "slot": named(F.coalesce(slot("e_at").cast("string"), F.lit("none")), F.lit("any"))})
+    near = similar_sets(different_sets(a, "a_key"), different_sets(e, "e_key"), EPISODE_TITLE)
+    asked = near.join(a, near["left_key"] == a["a_key"]).withColumn("slot", F.explode("slot")).drop("left_key", "a_key")
+    met = asked.join(e.withColumn("slot", F.explode("slot")).withColumnRenamed("e_key", "right_key"), ["right_key", "slot"])
+    size = F.col("a_size") * F.col("e_size")
+    like = F.when(size > 0, N.dot(F.col("a_vector"), F.col("e_vector")) / size) >= EPISODE_COSINE
+    return met.where(F.coalesce(F.abs(F.col("a_at") - F.col("e_at")) <= width, F.lit(True)) & like).select("item_id", "episode_id", "jaccard")
+
+
 def match_episodes(articles: DataFrame, episodes: DataFrame, least: float = CONFIDENT) -> DataFrame:
     """Matches of articles(item_id, source_name, title, url, at, first_seen_at, embedding) with episodes(item_id, source_name, title, description, at, embedding)
     of at least this confidence: item_id, episode_id, the five signals, confidence.
 
     A pair gets over the bar only with a mention of the url or similar titles (publisher, vector and date together give .65), so those two joins
-    find all candidates, and only those are scored.
+    find all candidates, and only those are scored. Without a mention, a title also needs like vectors (title, publisher and date give .65 too)
+    and a date that isn't too far, so copies of a title meet only within these.
     """
-    if least <= PUBLISHER + SEMANTIC + NEAR:
-        raise ValueError(f"a bar of {least} can be reached without a mention or a title; it must be over {PUBLISHER + SEMANTIC + NEAR}")
-    told = url_mentions(articles.select("item_id", "url"), episodes.select(F.col("item_id").alias("text_id"), F.col("description").alias("text")))
-    a = articles.select("item_id", title_set(F.col("title")).alias("a_key"))
-    e = episodes.select(F.col("item_id").alias("episode_id"), title_set(F.col("title")).alias("e_key"))
-    near = similar_sets(different_sets(a, "a_key"), different_sets(e, "e_key"), EPISODE_TITLE)
-    titled = near.join(a, near["left_key"] == a["a_key"]).join(e, near["right_key"] == e["e_key"]).select("item_id", "episode_id", F.col("jaccard"), F.lit(False).alias("told"))
-    pairs = (told.select("item_id", F.col("text_id").alias("episode_id"), F.lit(None).cast("double").alias("jaccard"), F.lit(True).alias("told")).unionByName(titled)
+    most = max(PUBLISHER + SEMANTIC + NEAR, TITLE + PUBLISHER + NEAR, TITLE + PUBLISHER + SEMANTIC + TOO_FAR)
+    if least <= most:
+        raise ValueError(f"a bar of {least} can be reached without a mention, or a title and like vectors; it must be over {most}")
+    told = url_mentions(articles.select("item_id", "url"), episodes.select(F.col("item_id").alias("text_id"), F.col("description").alias("text"))).select("item_id", F.col("text_id").alias("episode_id"))
+    a = articles.select("item_id", title_set(F.col("title")).alias("a_key"), F.coalesce("at", "first_seen_at").alias("a_at"), F.col("embedding").alias("a_vector"))
+    e = episodes.select(F.col("item_id").alias("episode_id"), title_set(F.col("title")).alias("e_key"), F.col("at").alias("e_at"), F.col("embedding").alias("e_vector"))
+    sets = lambda c: F.coalesce(F.split(c, "\x1f"), F.array().cast("array<string>"))
+    mentioned = (told.join(a.select("item_id", "a_key"), "item_id").join(e.select("episode_id", "e_key"), "episode_id").withColumn("j", X.jaccard(sets("a_key"), sets("e_key")))
+                 .select("item_id", "episode_id", F.when(F.col("j") >= EPISODE_TITLE, F.col("j")).alias("jaccard"), F.lit(True).alias("told")))
+    pairs = (mentioned.unionByName(_alike(a, e).withColumn("told", F.lit(False)))
              .groupBy("item_id", "episode_id").agg(F.max("jaccard").alias("jaccard"), F.max("told").alias("told")))
     side = lambda d, p, when: d.select(F.col("item_id").alias(f"{p}_id"), X.publisher_key(F.col("source_name")).alias(f"{p}_publisher"), when.alias(f"{p}_at"), F.col("embedding").alias(f"{p}_vector"))
     wide = (pairs.join(side(articles, "a", F.coalesce("at", "first_seen_at")), F.col("item_id") == F.col("a_id"))

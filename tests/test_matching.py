@@ -69,6 +69,21 @@ ARTICLE = "item_id long, source_name string, title string, url string, at long,
 EPISODE = "item_id long, source_name string, title string, description string, at long, embedding array<double>, url string, minutes double"
 
 
+def test_copies_of_a_title_meet_by_vector_and_time(spark):
+    """Copies of a title on both sides: only pairs with like vectors and no known distance over the window are made, and all of those."""
+    rng = random.Random(11)
+    rows = lambda n: [(i, "a\x1fb" if i % 5 else "x\x1fy\x1fz", rng.choice([None, rng.randrange(-300, 300) * H]), rng.choice([None, [1.0, 0.0], [.9, .3], [0.0, 1.0], [0.0, 0.0]])) for i in range(n)]
+    a, e = rows(120), rows(90)
+    got = matching._alike(spark.createDataFrame(a, "item_id long, a_key string, a_at long, a_vector array<float>"), spark.createDataFrame(e, "episode_id long, e_key string, e_at long, e_vector array<float>"))
+
+    def like(u, v):
+        size = (sum(x * x for x in u) * sum(x * x for x in v)) ** .5
+        return size > 0 and sum(x * y for x, y in zip(u, v, strict=True)) / size >= .8
+
+    want = sorted((i, k, 1.0) for i, s, t, u in a for k, z, w, v in e if s == z and u and v and like(u, v) and (t is None or w is None or abs(t - w) <= 96 * H))
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < 120 * 90 / 4
+
+
 def test_episode_signals_and_alternates(spark):
     a = spark.createDataFrame([
         (1, "The Desk", "Seven rivers under one bridge", "https://d.org/seven", 100 * H, 0, [1.0, 0.0], "https://d.org/s.mp3", "audio/mpeg", 5.0),
