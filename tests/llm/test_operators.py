@@ -355,3 +355,18 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["comp"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_components_join_little_more_than_their_vertices(spark, monkeypatch):
+    """A forest, as contracted links are, and a chain of mixed ids: joined rows stay near the number of vertices, whatever the number of rounds."""
+    n = 1000
+    mixed = [(i * 719) % n for i in range(n)]
+    for edges, limit in ([(i, (i - 1) // 8) for i in range(1, n)], 100_000), (list(zip(mixed, mixed[1:], strict=False)), 10):
+        rows = []
+        written = common.park
+        monkeypatch.setattr(common, "park", lambda df, rows=rows: rows.append(p := written(df)) or p)
+        got = common.components(spark.createDataFrame(edges, "a long, b long"), broadcast_rows=limit).collect()
+        assert {r["comp"] for r in got} == {0} and len(got) == n
+        # rows that have met labels
+        assert 0 < sum(p.count() for p in rows if "was" in p.columns) <= 10 * n
+        monkeypatch.setattr(common, "park", written)
