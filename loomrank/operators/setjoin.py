@@ -10,6 +10,8 @@ from loomrank.functions.numbers import HOUR
 
 #: So many of the most frequent tokens are put last in a set's order; they are broadcast (about 40 bytes each). The order changes the work, never a result.
 FREQUENT = 10_000
+#: Bits that stand for a set while it is compared; more of them let fewer pairs through that aren't similar.
+BITS = 256
 _SEPARATOR = "\x1f"
 
 
@@ -32,28 +34,36 @@ def similar_sets(left: DataFrame, right: DataFrame, cut: float) -> DataFrame:
     """left_key, right_key, jaccard of all pairs of left(key, tokens) and right(key, tokens) with Jaccard >= cut; keys must be unique on each side.
 
     Tokens are put in one order, frequent ones last. Two sets that are similar enough share a token among their first n - ceil(cut n) + 1, so
-    only those meet; the token they meet on must be the first they have in common, so a pair comes up once and nothing needs
-    to be made distinct. Lengths and the places of the token bound the overlap before it is counted. A frequent token leads only sets that
-    hold nothing rarer; what is left of skew is split by the adaptive join.
+    only those meet. What meets is narrow: hashes of key and token, lengths, the token's place and 256 bits of the set. Lengths and places bound the
+    overlap, and so do the bits: each bit that differs is a token of one set alone. Only pairs that may still be similar are made distinct and meet their
+    tokens, which decide. So equal hashes add work, never a row. A frequent token leads only sets that hold nothing rarer; what is left of skew
+    is split by the adaptive join.
     """
     sides = [d.select("key", "tokens") for d in (left, right)]
     frequent = (sides[0].union(sides[1]).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
                 .where("n > 1").orderBy(F.desc("n"), "t").limit(FREQUENT))
+    words = range(BITS // 64)
 
     def ready(d: DataFrame, p: str) -> DataFrame:
-        placed = (d.select("key", F.explode("tokens").alias("t")).join(F.broadcast(frequent), "t", "left")
-                  .groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))), lambda x: x["t"]).alias("s")))
+        token = F.xxhash64("t")
+        bits = [F.bit_or(F.when(F.pmod(F.shiftright(token, 6), F.lit(len(words))) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(token, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"{p}_bits{w}") for w in words]
+        placed = (d.select(F.xxhash64("key").alias(f"{p}_id"), "key", F.explode("tokens").alias("t")).join(F.broadcast(frequent), "t", "left")
+                  .groupBy("key", f"{p}_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("t")))).alias("s"), *bits))
         size = F.size("s")
         first = F.slice("s", 1, F.greatest(F.lit(0), size - _least(cut * size) + 1))
-        return placed.select(F.col("key").alias(f"{p}_key"), F.col("s").alias(f"{p}_set"), size.alias(f"{p}_n"), F.posexplode(first).alias(f"{p}_at", "t"))
+        return (placed.select(f"{p}_id", size.alias(f"{p}_n"), *[f"{p}_bits{w}" for w in words], F.posexplode(first).alias(f"{p}_at", "x"))
+                .withColumn("t", F.xxhash64("x.t")).drop("x"))
 
-    met = ready(sides[0], "left").join(ready(sides[1], "right"), "t")
     n, m = F.col("left_n"), F.col("right_n")
     rest = F.least(n - F.col("left_at"), m - F.col("right_at"))
-    met = met.where((m >= cut * n - 1e-9) & (n >= cut * m - 1e-9) & (rest >= _least(cut / (1 + cut) * (n + m))))
-    common = F.array_intersect("left_set", "right_set")
-    met = met.withColumn("common", common).where(F.get("common", 0) == F.col("t")).withColumn("o", F.size("common"))
-    return met.select("left_key", "right_key", (F.col("o") / (n + m - F.col("o"))).alias("jaccard")).where(F.col("jaccard") >= cut)
+    need = _least(cut / (1 + cut) * (n + m))
+    apart = sum((F.bit_count(F.col(f"left_bits{w}").bitwiseXOR(F.col(f"right_bits{w}"))) for w in words), F.lit(0))
+    met = (ready(sides[0], "left").join(ready(sides[1], "right"), "t")
+           .where((m >= cut * n - 1e-9) & (n >= cut * m - 1e-9) & (rest >= need) & (apart <= n + m - 2 * need)).select("left_id", "right_id").distinct())
+    told = lambda d, p: d.select(F.xxhash64("key").alias(f"{p}_id"), F.col("key").alias(f"{p}_key"), F.col("tokens").alias(f"{p}_set"))
+    both = met.join(told(sides[0], "left"), "left_id").join(told(sides[1], "right"), "right_id").withColumn("o", F.size(F.array_intersect("left_set", "right_set")))
+    return (both.select("left_key", "right_key", F.when(F.col("o") > 0, F.col("o") / (F.size("left_set") + F.size("right_set") - F.col("o"))).otherwise(0.0).alias("jaccard"))
+            .where(F.col("jaccard") >= cut))
 
 
 def first_from(asks: DataFrame, events: DataFrame, hours: int = 6) -> DataFrame:

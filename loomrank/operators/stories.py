@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from loomrank.functions import text as X
 from loomrank.operators.setjoin import different_sets, first_from, last_until, set_key, similar_sets
 from loomrank.plans.shared import park
 
+# The functions that tasks run travel with them, so executors need no copy of this library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Window, title cut, cosine floor and confidence of one story; weights of the signals.
 WINDOW_HOURS, TITLE_CUT, FLOOR, CUT = 96, .62, .45, .42
 WEIGHT, TIME, SAME_SOURCE, ENTITY_WEIGHT, TITLE_WEIGHT = .83, .17, -.17, .55, .30
@@ -79,36 +84,79 @@ def signals(pairs: DataFrame) -> DataFrame:
     return s.withColumn("confidence", confidence).withColumn("perspective", apart)
 
 
+#: Rows and columns of a tile of a matrix product inside a task.
+_ROWS, _COLUMNS = 512, 4096
+#: Vectors a block: blocks meet pair by pair in tasks, so a vector is sent once for each block that it may meet.
+BLOCK = 16384
+
+
+def _unit(rows: pd.Series, dims: int) -> np.ndarray:
+    """Vectors of length 1, filled up by 0; those without length or with values that aren't finite are 0."""
+    if all(len(v) == dims for v in rows):
+        e = np.array(list(rows), dtype=float).reshape(len(rows), dims)
+    else:
+        e = np.zeros((len(rows), dims))
+        for i, v in enumerate(rows):
+            e[i, :len(v)] = v
+    e[~np.isfinite(e).all(axis=1)] = 0.0
+    size = np.linalg.norm(e, axis=1)
+    return e / np.where(size > 0, size, 1.0)[:, None]
+
+
+def _tiles(at: np.ndarray, others: np.ndarray, before: int, after: int):
+    """(rows, columns, whole) of both sides, each by time: tiles that hold all pairs of which the other comes at most `before` earlier and `after` later; whole if they hold no others."""
+    for i in range(0, len(at), _ROWS):
+        low, high = at[i], at[min(i + _ROWS, len(at)) - 1]
+        begin, end = np.searchsorted(others, low - before), np.searchsorted(others, high + after, "right")
+        for j in range(begin, end, _COLUMNS):
+            k = min(j + _COLUMNS, end)
+            yield slice(i, min(i + _ROWS, len(at))), slice(j, k), others[j] >= high - before and others[k - 1] <= low + after
+
+
+def _equal_ids(ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal ids on both sides, in the first side's order."""
+    met = pd.DataFrame({"id": ids, "i": np.arange(len(ids))}).merge(pd.DataFrame({"id": others, "j": np.arange(len(others))}), on="id").sort_values("i")
+    return met["i"].to_numpy(), met["j"].to_numpy()
+
+
 def _largest_cosines(hours: int):
     width = hours * N.HOUR
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["own", "item_id"], kind="stable")
-        dims = max(map(len, pdf["embedding"]))
-        e = np.zeros((len(pdf), dims))
-        for i, v in enumerate(pdf["embedding"]):
-            e[i, :len(v)] = v
-        size = np.linalg.norm(e, axis=1)
-        e /= np.where(size > 0, size, 1.0)[:, None]
-        ids, at, own = (pdf[c].to_numpy() for c in ("item_id", "at", "own"))
+        pdf = pdf.sort_values(["at", "item_id"], kind="stable")
+        first = (pdf["own"] == pdf["own"].min()).to_numpy()
         # two blocks meet crosswise, one meets itself
-        first = own == own[0]
-        left, right = (np.nonzero(first)[0], np.nonzero(~first)[0]) if not first.all() else (np.arange(len(pdf)),) * 2
-        if pdf["key"].iat[0].count(own[0]) < 2 and first.all():
+        left, right = (pdf[first], pdf[~first]) if not first.all() else (pdf, pdf)
+        if first.all() and pdf["key"].iat[0].count(pdf["own"].iat[0]) < 2:
             return pd.DataFrame({"item_id": [], "nearest": []}).astype({"item_id": "int64", "nearest": "float64"})
-        c = e[left] @ e[right].T
-        c[(np.abs(at[left][:, None] - at[right][None, :]) > width) | (ids[left][:, None] == ids[right][None, :])] = -np.inf
-        found = pd.DataFrame({"item_id": np.append(ids[left], ids[right]), "nearest": np.append(c.max(1), c.max(0))})
+        dims = max(map(len, pdf["embedding"]))
+        a, b = _unit(left["embedding"], dims), _unit(right["embedding"], dims)
+        at, others = left["at"].to_numpy(), right["at"].to_numpy()
+        same_i, same_j = _equal_ids(left["item_id"].to_numpy(), right["item_id"].to_numpy())
+        best, back = np.full(len(left), -np.inf), np.full(len(right), -np.inf)
+        for r, k, whole in _tiles(at, others, width, width):
+            c = a[r] @ b[k].T
+            if not whole:
+                c[np.abs(at[r][:, None] - others[k][None, :]) > width] = -np.inf
+            i, j = (x[np.searchsorted(same_i, r.start):np.searchsorted(same_i, r.stop)] for x in (same_i, same_j))
+            inside = (j >= k.start) & (j < k.stop)
+            c[i[inside] - r.start, j[inside] - k.start] = -np.inf
+            best[r] = np.maximum(best[r], c.max(1))
+            if left is not right:
+                back[k] = np.maximum(back[k], c.max(0))
+        found = pd.DataFrame({"item_id": left["item_id"].to_numpy(), "nearest": best})
+        if left is not right:
+            found = pd.concat([found, pd.DataFrame({"item_id": right["item_id"].to_numpy(), "nearest": back})])
         return found[found["nearest"] > -np.inf]
 
     return run
 
 
-def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = 1024) -> DataFrame:
+def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = BLOCK) -> DataFrame:
     """item_id, nearest: the largest cosine to an item with a vector in the window, 0 at least.
 
-    Time buckets as wide as the window are cut into blocks of about `block` items; a block meets itself and the blocks of its own and the two adjacent
-    buckets, pair by pair, as one matrix product each. So a busy week is spread over many tasks, no vector travels with a pair, and nothing is approximate.
+    Time buckets as wide as the window are cut into blocks of about `block` items; a block meets itself and the blocks of its own and the adjacent
+    buckets, pair by pair, tile by tile of a matrix product, by time. So a busy week is spread over many tasks, no vector travels with a pair, and nothing is approximate.
     """
     known = (items.where("embedding IS NOT NULL").select("item_id", "at", "embedding")
              .withColumn("bucket", F.floor(F.col("at") / (hours * N.HOUR)).cast("long")))
@@ -125,7 +173,7 @@ def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = 1024) -> D
 
 
 #: Entities this much alike are searched by entities, pairs below by titles; it divides the work between two searches and changes no result.
-ENTITY_FLOOR = .25
+ENTITY_FLOOR = .3
 #: Decimal places at which confidences count as equal.
 _PLACES = 12
 FOUND = "item_id long, confidence double, new boolean, at long, found long"
@@ -150,43 +198,67 @@ def _before(found: DataFrame, width: int) -> DataFrame:
     return found.where((F.abs(F.col("at") - F.col("own")) <= width) & earlier).select("item_id", "confidence", "new", "at", "found")
 
 
-def _vector_best(width: int, cut: float):
-    """Per task: one block of items that ask against one block of candidates, as one matrix product."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["asks"]].reset_index(drop=True)
-        b = pdf[~pdf["asks"]].sort_values(["new", "at", "item_id"], kind="stable").reset_index(drop=True)
+def _vector_pairs(pdf: pd.DataFrame, width: int, cut: float):
+    """asking rows, candidates, and by tile the places and confidences of their pairs that reach the cut and whose titles don't decide by themselves."""
+    a, b = (pdf[pdf["asks"] == asks].sort_values(["at", "item_id"], kind="stable").reset_index(drop=True) for asks in (True, False))
+
+    def pairs():
         if not len(a) or not len(b):
-            return pd.DataFrame({"item_id": [], "confidence": [], "new": [], "at": [], "found": []})
+            return
         dims = max(max(map(len, a["embedding"])), max(map(len, b["embedding"])))
+        mine, theirs = _unit(a["embedding"], dims), _unit(b["embedding"], dims)
+        at, others, ids, other_ids, new = a["at"].to_numpy(), b["at"].to_numpy(), a["item_id"].to_numpy(), b["item_id"].to_numpy(), b["new"].to_numpy(dtype=bool)
+        sources = pd.factorize(pd.concat([a["source_id"], b["source_id"]]))[0]
+        source, their_source = sources[:len(a)], sources[len(a):]
+        # titles that are similar decide by themselves, elsewhere
+        titles, title = np.unique(b["title"].fillna(0).to_numpy(dtype="int64"), return_inverse=True)
+        skipped = [(i, t) for i, skip in enumerate(a["skip"]) if skip is not None for t in skip]
+        skip = np.array(skipped, dtype="int64").reshape(-1, 2)
+        place = np.minimum(np.searchsorted(titles, skip[:, 1]), len(titles) - 1)
+        known = titles[place] == skip[:, 1]
+        skip = skip[known, 0] * len(titles) + place[known]
+        # what cosine the cut needs at the same time
+        least = FLOOR + (cut - TIME) / WEIGHT * (1 - FLOOR) - 1e-9 if cut > TIME else -np.inf
+        for r, k, _ in _tiles(at, others, width, 0 if new.all() else width):
+            s = mine[r] @ theirs[k].T
+            i, j = np.nonzero(s >= least)
+            s, i, j = s[i, j], i + r.start, j + k.start
+            gap = np.abs(at[i] - others[j])
+            later = (others[j] > at[i]) | ((others[j] == at[i]) & (other_ids[j] >= ids[i]))
+            c = WEIGHT * np.maximum(0.0, (s - FLOOR) / (1 - FLOOR)) + TIME * (1 - gap / width)
+            c = np.round(np.clip(c + np.where((source[i] == their_source[j]) & (source[i] >= 0), SAME_SOURCE, 0.0), 0.0, 1.0), _PLACES)
+            keep = (gap <= width) & ~(later & new[j]) & (c >= cut)
+            i, j, c = i[keep], j[keep], c[keep]
+            keep = ~np.isin(i * len(titles) + title[j], skip)
+            yield i[keep], j[keep], c[keep]
+
+    return a, b, pairs()
 
-        def unit(rows):
-            e = np.zeros((len(rows), dims))
-            for i, v in enumerate(rows):
-                e[i, :len(v)] = v
-            size = np.linalg.norm(e, axis=1)
-            return e / np.where(size > 0, size, 1.0)[:, None]
-
-        hours = np.abs(a["at"].to_numpy()[:, None] - b["at"].to_numpy()[None, :])
-        c = WEIGHT * np.maximum(0.0, (unit(a["embedding"]) @ unit(b["embedding"]).T - FLOOR) / (1 - FLOOR)) + TIME * (1 - hours / width)
-        c += np.where((a["source_id"].to_numpy()[:, None] == b["source_id"].to_numpy()[None, :]) & a["source_id"].notna().to_numpy()[:, None], SAME_SOURCE, 0.0)
-        later = (b["at"].to_numpy()[None, :] > a["at"].to_numpy()[:, None]) | ((b["at"].to_numpy()[None, :] == a["at"].to_numpy()[:, None]) & (b["item_id"].to_numpy()[None, :] >= a["item_id"].to_numpy()[:, None]))
-        c[(hours > width) | (later & b["new"].to_numpy()[None, :])] = -1.0
-        title = b["title"].to_numpy()
-        # similar titles decide by themselves, elsewhere
-        for i, skip in enumerate(a["skip"]):
-            if skip is not None and len(skip):
-                c[i, np.isin(title, skip)] = -1.0
-        c = np.round(np.clip(c, -1.0, 1.0), _PLACES)
-        best = c.argmax(1)
-        top = c[np.arange(len(a)), best]
-        k = np.nonzero(top >= cut)[0]
+
+def _vector_best(width: int, cut: float):
+    """Per task: one block of items that ask against one block of candidates, tile by tile of a matrix product."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, pairs = _vector_pairs(pdf, width, cut)
+        best, top = np.full(len(a), -1), np.full(len(a), -1.0)
+        # what is stored comes first, then by time and id
+        place = np.lexsort((b["item_id"], b["at"], b["new"]))
+        rank = np.empty(len(b), dtype="int64")
+        rank[place] = np.arange(len(b))
+        for i, j, c in pairs:
+            order = np.lexsort((rank[j], -c, i))
+            i, j, c = i[order], j[order], c[order]
+            first = np.append(True, i[1:] != i[:-1])[:len(i)]
+            i, j, c = i[first], j[first], c[first]
+            better = (c > top[i]) | ((c == top[i]) & (rank[j] < rank[best[i]]))
+            best[i[better]], top[i[better]] = j[better], c[better]
+        k = np.nonzero(best >= 0)[0]
         return pd.DataFrame({"item_id": a["item_id"].to_numpy()[k], "confidence": top[k], "new": b["new"].to_numpy()[best[k]], "at": b["at"].to_numpy()[best[k]], "found": b["item_id"].to_numpy()[best[k]]})
 
     return run
 
 
-def _by_vector(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFrame, width: int, cut: float, block: int = 1024) -> DataFrame:
-    """The best candidate with a vector for each asking item with one. Blocks of a window meet; an item leaves a block with one row at most."""
+def _vector_blocks(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+    """Rows with vectors, once for each block of the other side that they may meet, by key. The blocks of a window meet."""
     bucket = F.floor(F.col("at") / width).cast("long").alias("bucket")
     skip = similar.groupBy("left_key").agg(F.collect_set(F.xxhash64("right_key")).alias("skip"))
     columns = ["item_id", "source_id", "at", "embedding", F.xxhash64("title_key").alias("title")]
@@ -194,16 +266,21 @@ def _by_vector(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFra
     b = reduce(DataFrame.unionByName, [d.where("embedding IS NOT NULL").select(*columns, F.lit(None).cast("array<bigint>").alias("skip"), F.lit(new).alias("new"), F.lit(False).alias("asks"), bucket) for new, d in sides.items()])
     blocks = lambda d: d.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     a_blocks, b_blocks = blocks(a), blocks(b)
-    around = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)]))
 
-    def placed(d, own, others, key):
-        d = d.join(own.toDF("bucket", "mine"), "bucket").withColumn("no", F.pmod(F.xxhash64("item_id"), F.col("mine"))).withColumn("there", around)
+    def placed(d, own, others, around, key):
+        d = d.join(own.toDF("bucket", "mine"), "bucket").withColumn("no", F.pmod(F.xxhash64("item_id"), F.col("mine"))).withColumn("there", F.explode(F.array(*[F.col("bucket") + k for k in around])))
         d = d.join(others.toDF("there", "theirs"), "there").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
         return d.select("item_id", "source_id", "at", "embedding", "title", "skip", "new", "asks", F.concat_ws("/", *key).alias("key"))
 
-    met = (placed(a, a_blocks, b_blocks, ("bucket", "no", "there", "other"))
-           .unionByName(placed(b, b_blocks, a_blocks, ("there", "other", "bucket", "no"))))
-    return met.groupBy("key").applyInPandas(_vector_best(width, cut), FOUND)
+    # new rows follow earlier ones only, stored ones lie on both sides
+    around = (-1, 0) if False not in sides else (-1, 0, 1)
+    return (placed(a, a_blocks, b_blocks, around, ("bucket", "no", "there", "other"))
+            .unionByName(placed(b, b_blocks, a_blocks, [-k for k in around], ("there", "other", "bucket", "no"))))
+
+
+def _by_vector(asking: DataFrame, sides: dict[bool, DataFrame], similar: DataFrame, width: int, cut: float) -> DataFrame:
+    """The best candidate with a vector for each asking item with one. An item leaves a block with one row at most."""
+    return _vector_blocks(asking, sides, similar, width).groupBy("key").applyInPandas(_vector_best(width, cut), FOUND)
 
 
 def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int, cut: float) -> DataFrame:

@@ -80,6 +80,14 @@ def test_nearest_equals_brute_force(spark, block):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_nearest_beside_broken_vectors(spark):
+    """A vector with a value that isn't a number is like none; the others of its block keep their neighbours."""
+    nan = float("nan")
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 1.0]), (3, 0, [nan, 1.0]), (4, 0, [0.0, 1.0])]
+    got = {r["item_id"]: round(r["nearest"], 9) for r in stories.nearest(spark.createDataFrame(rows, "item_id long, at long, embedding array<double>")).collect()}
+    assert got == {1: round(.5 ** .5, 9), 2: round(.5 ** .5, 9), 3: 0.0, 4: round(.5 ** .5, 9)}
+
+
 def test_clusters_equal_brute_force(spark):
     rng, names = random.Random(3), ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     items = [(rng.randrange(200) * 3_600_000, i, frozenset(rng.sample(names, rng.randint(1, 4)))) for i in range(60)]
