@@ -173,6 +173,10 @@ def test_clusters_equal_sequential_comparison(spark, seed):
     assert {r["item_id"]: r["cluster_id"] for r in state.collect()} == sequential(batches)
 
 
+def test_link_counts_equal_sql(spark, sf_dir):
+    same(spark, QUERIES["r23_same_story"], ORACLE["r23_same_story"], sf_dir)
+
+
 def test_cluster_batches_are_idempotent(spark):
     folder = f"{shared_dir(spark)}/stories-{uuid.uuid4().hex}"
     items = [(1, "a", "Harbour lights keep burning tonight", "", None, 0, [1.0, 0.0]), (2, "b", "Harbour lights keep burning tonight", "", None, 5 * H, None), (3, "a", "Unrelated matter altogether", "", None, 6 * H, [0.0, 1.0])]
