@@ -259,17 +259,17 @@ def _profile() -> list[Column]:
     return [F.col("title_key"), F.col("entity_key"), F.col("embedding").isNull().alias("bare")]
 
 
-def _profile_pairs(mine: DataFrame, theirs: DataFrame, cut: float) -> DataFrame:
+def _profile_pairs(mine: DataFrame, theirs: DataFrame, cut: float, checkpoint) -> DataFrame:
     """a_ and b_ title_key, entity_key, bare, with base: pairs of profiles, one of them without vector, that can reach the cut without similar titles.
 
     Those meet whose entities are alike by ENTITY_FLOOR, and those whose titles are alike by what the cut needs beside entities just below it. No other
     pair can reach the cut.
     """
     floors = {"entity_key": ENTITY_FLOOR, "title_key": (cut - TIME - ENTITY_WEIGHT * ENTITY_FLOOR) / TITLE_WEIGHT}
-    mine, theirs = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p, d in (("a", mine), ("b", theirs)))
+    mine, theirs = (checkpoint(d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])) for p, d in (("a", mine), ("b", theirs)))
     met = []
     for key, floor in floors.items():
-        near = similar_sets(different_sets(mine, f"a_{key}"), different_sets(theirs, f"b_{key}"), floor)
+        near = checkpoint(similar_sets(different_sets(mine, f"a_{key}"), different_sets(theirs, f"b_{key}"), floor))
         if key == "title_key":
             near = near.where(F.col("jaccard") < TITLE_CUT)
         met.append(mine.join(near, F.col(f"a_{key}") == F.col("left_key")).join(theirs, F.col(f"b_{key}") == F.col("right_key")).where("a_bare OR b_bare").select(*mine.columns, *theirs.columns))
@@ -279,17 +279,17 @@ def _profile_pairs(mine: DataFrame, theirs: DataFrame, cut: float) -> DataFrame:
             .where((F.col("title") < TITLE_CUT) & (F.col("base") + TIME >= cut - 1e-9)))
 
 
-def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int, cut: float) -> DataFrame:
+def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int, cut: float, checkpoint) -> DataFrame:
     """The best candidate where either side has no vector: entities and titles decide, and of equal profiles the one nearest in time.
 
-    Profiles (title, entities, vector or not) meet, not rows.
+    Profiles (title, entities, vector or not) meet, not rows. What three as-of joins ask is written down first: the plan would hold its searches six times.
     """
     profile = _profile()
-    pairs = _profile_pairs(asking.select(*profile).distinct(), reduce(DataFrame.union, [d.select(*profile) for d in sides.values()]).distinct(), cut)
+    pairs = _profile_pairs(asking.select(*profile).distinct(), reduce(DataFrame.union, [d.select(*profile) for d in sides.values()]).distinct(), cut, checkpoint)
     own = asking.select("item_id", "at", *profile)
     asks = own.join(pairs, F.col("title_key").eqNullSafe(F.col("a_title_key")) & F.col("entity_key").eqNullSafe(F.col("a_entity_key")) & (F.col("bare") == F.col("a_bare")))
     their = F.struct(*[F.col(f"b_{c}").alias(c) for c in ("title_key", "entity_key", "bare")])
-    asked = reduce(DataFrame.union, [asks.select(F.struct("item_id", "at", "base", F.lit(new).alias("new")).alias("ask"), F.to_json(F.struct(F.lit(new).alias("new"), their.alias("p"))).alias("key"), "at") for new in sides])
+    asked = checkpoint(reduce(DataFrame.union, [asks.select(F.struct("item_id", "at", "base", F.lit(new).alias("new")).alias("ask"), F.to_json(F.struct(F.lit(new).alias("new"), their.alias("p"))).alias("key"), "at") for new in sides]))
     events = reduce(DataFrame.union, [d.select(F.to_json(F.struct(F.lit(new).alias("new"), F.struct(*profile).alias("p"))).alias("key"), "at", F.col("item_id").alias("id")) for new, d in sides.items()])
     # the item itself may be the last at its own time: then the one before it counts
     around = [last_until(asked, events), last_until(asked.where("ask.new").withColumn("at", F.col("at") - 1), events), first_from(asked.where("NOT ask.new"), events)]
@@ -299,7 +299,7 @@ def _without_vector(asking: DataFrame, sides: dict[bool, DataFrame], width: int,
                                 F.col("ask.new").alias("new"), F.col("found_at").alias("at"), "found"), width).where(F.col("confidence") >= cut)
 
 
-def _rows_around(asks: DataFrame, rows: DataFrame) -> DataFrame:
+def _rows_around(asks: DataFrame, rows: DataFrame, checkpoint) -> DataFrame:
     """ask, n: for asks(ask, key, at, reach) the number of rows(key, at) of these keys at most `reach` away, added up by ask.
 
     A key's rows are counted up by time, and two as-of joins give what lies between; rows of one key and time are one.
@@ -307,8 +307,8 @@ def _rows_around(asks: DataFrame, rows: DataFrame) -> DataFrame:
     upwards = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     events = rows.groupBy("key", "at").agg(F.count("*").alias("n")).select("key", "at", F.sum("n").over(upwards).alias("id"))
     ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("at") + F.col("reach")).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("at") - F.col("reach") - 1).alias("at"))))
-    asked = asks.select("ask", "key", ends.alias("end")).select(F.struct("ask", "end.sign").alias("ask"), "key", "end.at")
-    return last_until(asked, events).groupBy("ask.ask").agg(F.sum(F.col("ask.sign") * F.coalesce("found", F.lit(0))).alias("n"))
+    asked = checkpoint(asks.select("ask", "key", ends.alias("end")).select(F.struct("ask", "end.sign").alias("ask"), "key", "end.at"))
+    return checkpoint(last_until(asked, events).groupBy("ask.ask").agg(F.sum(F.col("ask.sign") * F.coalesce("found", F.lit(0))).alias("n")))
 
 
 def _vector_links(width: int, cut: float):
@@ -335,18 +335,18 @@ def link_counts(items: DataFrame, cut: float = CUT, checkpoint=park) -> DataFram
     similar = checkpoint(similar_sets(titles, titles, TITLE_CUT))
     asks = ready.select("title_key", "at").distinct().join(similar, F.col("title_key") == F.col("left_key"))
     by_title = _rows_around(asks.select(F.struct("title_key", "at").alias("ask"), F.col("right_key").alias("key"), "at", F.lit(width).alias("reach")),
-                            ready.where("title_key IS NOT NULL").select(F.col("title_key").alias("key"), "at"))
+                            ready.where("title_key IS NOT NULL").select(F.col("title_key").alias("key"), "at"), checkpoint)
     profile = F.to_json(F.struct("title_key", "entity_key", "bare"))
     theirs = lambda p: F.to_json(F.struct(*[F.col(f"{p}_{c}").alias(c) for c in ("title_key", "entity_key", "bare")]))
     profiles = ready.select(*_profile()).distinct()
     reach = F.least(F.lit(width), F.floor(width * (1 - (cut - F.col("base")) / TIME))).cast("long")
-    pairs = checkpoint(_profile_pairs(profiles, profiles, cut).where(reach >= 0).select(theirs("a").alias("mine"), theirs("b").alias("key"), reach.alias("reach")))
+    pairs = checkpoint(_profile_pairs(profiles, profiles, cut, checkpoint).where(reach >= 0).select(theirs("a").alias("mine"), theirs("b").alias("key"), reach.alias("reach")))
     rows = checkpoint(ready.withColumn("bare", F.col("embedding").isNull()).select(
         "item_id", "title_key", "at", profile.alias("profile"), (F.col("title_key").isNotNull() | (F.col("entity_key").isNotNull() & F.col("bare"))).cast("int").alias("itself"),
         F.sha2(F.to_json(F.struct("title_key", "entity_key", "embedding")), 256).alias("copy")))
     by_profile = _rows_around(rows.select("profile", "at").distinct().join(pairs, F.col("profile") == F.col("mine")).select(F.struct("profile", "at").alias("ask"), "key", "at", "reach"),
-                              rows.select(F.col("profile").alias("key"), "at"))
-    by_vector = _vector_blocks(ready, sides, similar, width, every=True).groupBy("key").applyInPandas(_vector_links(width, cut), "item_id long, n long").groupBy("item_id").agg(F.sum("n").alias("vectors"))
+                              rows.select(F.col("profile").alias("key"), "at"), checkpoint)
+    by_vector = checkpoint(_vector_blocks(ready, sides, similar, width, every=True).groupBy("key").applyInPandas(_vector_links(width, cut), "item_id long, n long").groupBy("item_id").agg(F.sum("n").alias("vectors")))
     classes = rows.groupBy("copy").agg(F.min("item_id").alias("class_id"))
     return (rows.join(by_title.select("ask.*", F.col("n").alias("titles")), ["title_key", "at"], "left").join(by_profile.select("ask.*", F.col("n").alias("profiles")), ["profile", "at"], "left")
             .join(by_vector, "item_id", "left").join(classes, "copy")
@@ -372,12 +372,13 @@ def best_matches(new: DataFrame, old: DataFrame | None = None, cut: float = CUT,
               .select("item_id", "own", F.lit(1.0).alias("confidence"), "new", F.col("first.at").alias("at"), F.col("first.found").alias("found"))
               .where(~F.col("new") | (F.struct("at", "found") < F.struct("own", "item_id"))).drop("own"))
     twins = _earliest(sides, new.where("title_key IS NOT NULL").select("item_id", "at", F.col("title_key").alias("key"), F.lit(1.0).alias("confidence")), width)
-    settled = checkpoint(linked.unionByName(twins))
+    # each search has a plan of its own: together they fill the driver
+    settled = checkpoint(linked).unionByName(checkpoint(twins))
     rest = checkpoint(new.join(settled.select("item_id").distinct(), "item_id", "left_anti"))
     every = reduce(DataFrame.union, [d.select("title_key") for d in sides.values()])
     similar = checkpoint(similar_sets(different_sets(rest, "title_key"), different_sets(every, "title_key"), TITLE_CUT).where("left_key <> right_key"))
     asks = rest.join(similar, F.col("title_key") == F.col("left_key")).select("item_id", "at", F.col("right_key").alias("key"), F.round(F.greatest(F.lit(.9), "jaccard"), _PLACES).alias("confidence"))
-    found = [settled, _earliest(sides, asks, width), _by_vector(rest, sides, similar, width, cut), _without_vector(rest, sides, width, cut)]
+    found = [settled, checkpoint(_earliest(sides, asks, width)), checkpoint(_by_vector(rest, sides, similar, width, cut)), checkpoint(_without_vector(rest, sides, width, cut, checkpoint))]
     first = F.struct("confidence", ~F.col("new"), -F.col("at"), -F.col("found"), F.struct("confidence", "new", "at", "found").alias("match"))
     return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.max(first)["match"].alias("match")).select("item_id", "match.*")
 

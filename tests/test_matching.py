@@ -177,6 +177,18 @@ def test_link_counts_equal_sql(spark, sf_dir):
     same(spark, QUERIES["r23_same_story"], ORACLE["r23_same_story"], sf_dir)
 
 
+def test_no_search_of_a_batch_has_a_plan_that_fills_the_driver(spark):
+    new = stories.keyed(spark.createDataFrame(story_rows(random.Random(1), 12), PREPARED))
+    largest = []
+
+    def counted(df):
+        largest.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return park(df)
+
+    stories.best_matches(park(new), park(new.where("false")), checkpoint=counted)
+    assert max(largest) < 100
+
+
 def test_cluster_batches_are_idempotent(spark):
     folder = f"{shared_dir(spark)}/stories-{uuid.uuid4().hex}"
     items = [(1, "a", "Harbour lights keep burning tonight", "", None, 0, [1.0, 0.0]), (2, "b", "Harbour lights keep burning tonight", "", None, 5 * H, None), (3, "a", "Unrelated matter altogether", "", None, 6 * H, [0.0, 1.0])]
