@@ -159,7 +159,8 @@ def structural_excerpt(body: Column, most: int, head_share: float = 0.6) -> Colu
 
 def contains_word(s: Column, word: str) -> Column:
     safe = "".join("\\" + c if c in r".*+?^${}()|[]\/" else c for c in word)
-    return s.rlike(f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)")
+    # a plain search rules out most texts
+    return s.contains(word) & s.rlike(f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)")
 
 
 def clean_body(s: Column) -> Column:

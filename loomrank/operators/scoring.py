@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,11 +45,22 @@ WEIGHTS = {"quality": .12, "category": .06, "keyword": .09, "semantic": .38, "fr
 PENALTIES = {"volume": .15, "redundancy": .20, "clickbait": .20, "negative": .25}
 VOLUME_DECAY, VOLUME_TAIL = [1.0, .92, .82, .68, .50, .36, .25], .18
 BANDS = ((.396, "A"), (.299, "B"), (.242, "C"))
+#: From this cosine on an item is a near copy of another.
+NEAR_COPY = .94
 
 
 def matches(s: Column, patterns: list[str]) -> Column:
-    """Whether any pattern matches, without regard to case; one pass over s."""
-    return s.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any pattern matches, without regard to case; one pass over s, in which patterns that begin with a word's first letter are tried there only, by that letter."""
+    parts, starts = [], {}
+    for p in patterns:
+        # an alternative outside groups would leave the start behind
+        if re.match(r"\\b[A-Za-z](?![?*+{])", p) and "|" not in re.sub(r"(?<!\\)\([^()\[\]\\]*\)", "", p):
+            starts.setdefault(p[2].lower(), []).append(p[3:])
+        else:
+            parts.append(f"(?:{p})")
+    if starts:
+        parts.append(r"\b(?:" + "|".join(f"{c}(?:{'|'.join(rests)})" for c, rests in starts.items()) + ")")
+    return s.rlike("(?i)" + "|".join(parts))
 
 
 def first_match(s: Column, patterns: list[str]) -> Column:
@@ -69,11 +83,20 @@ def lookup(key: Column, table: dict, default) -> Column:
     return out
 
 
+def text_type(title: Column, summary: Column) -> Column:
+    """The first type, in order, with a matching pattern; else null. Most texts match none, which one pass tells."""
+    hay = F.concat_ws(" ", title, F.lit(""), F.substring(F.coalesce(summary, F.lit("")), 1, 400))
+    typed = F.coalesce(*[F.when(matches(hay, ps), F.lit(t)) for t, ps in TYPE_PATTERNS.items()])
+    return F.when(matches(hay, [p for ps in TYPE_PATTERNS.values() for p in ps]), typed)
+
+
 def editorial_type(title: Column, summary: Column, feed_type: Column) -> Column:
     """The first type, in order, with a matching pattern; a link blog's items are linkblog; else unknown."""
-    hay = F.concat_ws(" ", title, F.lit(""), F.substring(F.coalesce(summary, F.lit("")), 1, 400))
-    typed = [F.when(matches(hay, ps), F.lit(t)) for t, ps in TYPE_PATTERNS.items()]
-    return F.coalesce(*typed, F.when(feed_type == "linkblog", F.lit("linkblog")), F.lit("unknown"))
+    return known_type(text_type(title, summary), feed_type)
+
+
+def known_type(typed: Column, feed_type: Column) -> Column:
+    return F.coalesce(typed, F.when(feed_type == "linkblog", F.lit("linkblog")), F.lit("unknown"))
 
 
 def expired(published: Column, kind: Column, now: int) -> Column:
@@ -109,13 +132,19 @@ def rule_filter(items: DataFrame, now: int, allowed: tuple[str, ...] = ("en",),
 def keyword_interest(title: Column, body: Column, interests: list[str], saturation: int = 3, title_weight: float = 2.0,
                      body_weight: float = 1.0, partial: float = 0.6) -> Column:
     """Words count 2 in the title, else 1 in the body; phrases as such, or at 0.6 where all their words stand apart."""
-    title, body, total = F.lower(title), F.lower(body), F.lit(0.0)
+    return _lower_interest(F.lower(title), F.lower(body), interests, saturation, title_weight, body_weight, partial)
+
+
+def _lower_interest(title: Column, body: Column, interests: list[str], saturation: int = 3, title_weight: float = 2.0,
+                    body_weight: float = 1.0, partial: float = 0.6) -> Column:
+    """keyword_interest() of texts in lower case."""
+    total = F.lit(0.0)
     for interest in map(str.lower, interests):
         words = [w for w in interest.split() if len(w) > 1]
         if " " not in interest:
             total = total + F.when(X.contains_word(title, interest), title_weight).when(X.contains_word(body, interest), body_weight).otherwise(0.0)
             continue
-        every = lambda s: F.forall(F.array(*[X.contains_word(s, w) for w in words]), lambda b: b)  # noqa: B023, E731
+        every = lambda s: reduce(Column.__and__, [X.contains_word(s, w) for w in words], F.lit(True))  # noqa: B023, E731
         total = total + (F.when(title.contains(interest), title_weight).when(body.contains(interest), body_weight)
                          .when(every(title), title_weight * partial).when(every(body), body_weight * partial).otherwise(0.0))
     return F.least(F.lit(1.0), total / (saturation * title_weight))
@@ -132,7 +161,7 @@ def volume_penalty(rank: Column, budget: Column) -> Column:
 
 
 def redundancy(nearest: Column, redundant: Column, uniqueness: Column) -> Column:
-    return F.when(nearest >= 0.94, F.lit(1.0)).when(redundant, 0.45 * (1 - 0.5 * uniqueness)).otherwise(0.0)
+    return F.when(nearest >= NEAR_COPY, F.lit(1.0)).when(redundant, 0.45 * (1 - 0.5 * uniqueness)).otherwise(0.0)
 
 
 def exploring_quality(prior: Column, seen: Column, floor: Column) -> Column:
@@ -147,26 +176,33 @@ def band(score: Column) -> Column:
     return out
 
 
+def text_parts(items: DataFrame, interests: list[str]) -> DataFrame:
+    """items with text_type, c_keyword and p_clickbait in place of title and summary: all that the free score takes from the texts, so that they needn't travel through its joins and ranks."""
+    lower = items.withColumns({"_title": F.lower("title"), "_body": F.lower("summary")})
+    return lower.withColumns({"text_type": text_type(F.col("title"), F.col("summary")), "c_keyword": _lower_interest(F.col("_title"), F.col("_body"), interests),
+                              "p_clickbait": clickbait(F.col("title"))}).drop("title", "summary", "_title", "_body")
+
+
 def free_score(items: DataFrame, now: int, interests: list[str]) -> DataFrame:
     """items with the components, free_score and band.
 
-    Ranks need a provisional score: the positive part without the penalties that ranks decide.
+    Ranks need a provisional score: the positive part without the penalties that ranks decide. Items that text_parts() has read keep its columns.
     items: item_id, source_id, cluster_id, title, summary, publication_time, first_seen_at, feed_type, quality_prior, exploration_floor,
     volume_budget, category_prior, anchor_mean, avoid, nearest, uniqueness, discovery, items_seen; anchor_mean null without a vector.
     """
     age = (F.lit(now) - F.coalesce("publication_time", "first_seen_at")) / F.lit(float(N.DAY))
-    typed = items.withColumn("editorial_type", editorial_type(F.col("title"), F.col("summary"), F.col("feed_type")))
+    if "text_type" not in items.columns:
+        items = text_parts(items, interests)
+    typed = items.withColumn("editorial_type", known_type(F.col("text_type"), F.col("feed_type"))).drop("text_type")
     half = lookup(F.col("editorial_type"), {k: c[0] for k, c in CURVES.items()}, 14.0)
     floor = lookup(F.col("editorial_type"), {k: c[2] for k, c in CURVES.items()}, .30)
     parts = typed.withColumns({
         "c_quality": exploring_quality(F.col("quality_prior"), F.col("items_seen"), F.col("exploration_floor")),
         "c_category": F.coalesce("category_prior", F.lit(0.45)),
-        "c_keyword": keyword_interest(F.col("title"), F.col("summary"), interests),
         "c_semantic": F.when(F.col("anchor_mean").isNotNull(), N.rescale(F.col("anchor_mean"), .10, .55)).otherwise(0.0),
         "c_freshness": N.half_life(age, half, floor),
         "c_type": lookup(F.col("editorial_type"), TYPE_SCORES, .55),
         "c_discovery": N.clamp(F.coalesce("discovery", F.lit(0.5))),
-        "p_clickbait": clickbait(F.col("title")),
         "p_negative": F.when(F.col("anchor_mean").isNotNull(), N.rescale(F.col("avoid"), .15, .50)).otherwise(0.0),
     })
     known = F.when(F.col("anchor_mean").isNotNull(), sum(WEIGHTS.values())).otherwise(sum(WEIGHTS.values()) - WEIGHTS["semantic"])

@@ -60,6 +60,8 @@ def signals(pairs: DataFrame) -> DataFrame:
 _ROWS, _COLUMNS = 512, 4096
 #: Vectors a block: blocks meet pair by pair in tasks, so a vector is sent once for each block that it may meet.
 BLOCK = 16384
+#: The same where only near copies are sought, components that are compared first, and the share of a tile (one in so many) from which its product is taken whole.
+COPY_BLOCK, LEAD, _DENSE = 65536, 16, 64
 
 
 def _unit(rows: pd.Series, dims: int) -> np.ndarray:
@@ -124,11 +126,10 @@ def _largest_cosines(hours: int):
     return run
 
 
-def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = BLOCK) -> DataFrame:
-    """item_id, nearest: the largest cosine to an item with a vector in the window, 0 at least.
+def _met(items: DataFrame, hours: int, block: int) -> DataFrame:
+    """Rows with vectors, once for each pair of blocks (key) in which they meet others of the window; `own` is a row's block.
 
-    Time buckets as wide as the window are cut into blocks of about `block` items; a block meets itself and the blocks of its own and the adjacent
-    buckets, pair by pair, tile by tile of a matrix product, by time. So a busy week is spread over many tasks, no vector travels with a pair, and nothing is approximate.
+    Time buckets as wide as the window are cut into blocks of about `block` items; a block meets itself and the blocks of its own and the adjacent buckets.
     """
     known = (items.where("embedding IS NOT NULL").select("item_id", "at", "embedding")
              .withColumn("bucket", F.floor(F.col("at") / (hours * N.HOUR)).cast("long")))
@@ -137,13 +138,79 @@ def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = BLOCK) ->
     meets = around[0].unionByName(around[1]).unionByName(around[2])
     name = lambda bucket, no: F.concat(F.lit("<"), bucket.cast("string"), F.lit(":"), no.cast("string"), F.lit(">"))
     placed = known.join(sizes, "bucket").withColumn("own", name(F.col("bucket"), F.pmod(F.xxhash64("item_id"), F.col("blocks"))))
-    spread = (placed.join(meets, "bucket").withColumn("no", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
-              .withColumn("other", name(F.col("bucket") + F.col("k"), F.col("no")))
-              .select("item_id", "at", "embedding", "own", F.concat(F.least("own", "other"), F.greatest("own", "other")).alias("key")))
-    return (spread.groupBy("key").applyInPandas(_largest_cosines(hours), "item_id long, nearest double")
+    return (placed.join(meets, "bucket").withColumn("no", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+            .withColumn("other", name(F.col("bucket") + F.col("k"), F.col("no")))
+            .select("item_id", "at", "embedding", "own", F.concat(F.least("own", "other"), F.greatest("own", "other")).alias("key")))
+
+
+def nearest(items: DataFrame, hours: int = WINDOW_HOURS, block: int = BLOCK) -> DataFrame:
+    """item_id, nearest: the largest cosine to an item with a vector in the window, 0 at least.
+
+    Blocks meet pair by pair, tile by tile of a matrix product, by time. So a busy week is spread over many tasks, no vector travels with a pair, and nothing is approximate.
+    """
+    return (_met(items, hours, block).groupBy("key").applyInPandas(_largest_cosines(hours), "item_id long, nearest double")
             .groupBy("item_id").agg(F.greatest(F.lit(0.0), F.max("nearest")).alias("nearest")))
 
 
+def _near_copies(hours: int, cut: float):
+    width = hours * N.HOUR
+
+    def leads(e: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """A few turned components and the length of the rest: the product of two such rows is no smaller than that of the vectors."""
+        lead = e @ turn
+        rest = np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", e, e) - np.einsum("ij,ij->i", lead, lead)))
+        return np.column_stack([lead, rest]).astype("float32")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "item_id"], kind="stable")
+        first = (pdf["own"] == pdf["own"].min()).to_numpy()
+        left, right = (pdf[first], pdf[~first]) if not first.all() else (pdf, pdf)
+        if first.all() and pdf["key"].iat[0].count(pdf["own"].iat[0]) < 2:
+            return pd.DataFrame({"item_id": [], "nearest": []}).astype({"item_id": "int64", "nearest": "float64"})
+        dims = max(map(len, pdf["embedding"]))
+        a = _unit(left["embedding"], dims)
+        b = a if left is right else _unit(right["embedding"], dims)
+        turn = np.linalg.qr(np.random.default_rng(0).standard_normal((dims, dims)))[0][:, :LEAD]
+        mine, theirs = leads(a, turn), leads(b, turn)
+        at, others, ids, other_ids = left["at"].to_numpy(), right["at"].to_numpy(), left["item_id"].to_numpy(), right["item_id"].to_numpy()
+        best = np.full(len(left), -np.inf)
+        back = best if left is right else np.full(len(right), -np.inf)
+        for r, k, _ in _tiles(at, others, width, width):
+            # a block that meets itself has its pairs on one side of the diagonal
+            if left is right and k.stop <= r.start:
+                continue
+            open_i, open_j = best[r] < cut, back[k] < cut
+            if not open_i.any() and not open_j.any():
+                continue
+            i, j = np.nonzero(mine[r] @ theirs[k].T >= cut - 1e-4)
+            keep = open_i[i] | open_j[j]
+            i, j = i[keep] + r.start, j[keep] + k.start
+            keep = (np.abs(at[i] - others[j]) <= width) & (ids[i] != other_ids[j])
+            i, j = i[keep], j[keep]
+            # many candidates: one product of the tile costs less than theirs one by one
+            whole = a[r] @ b[k].T if len(i) * _DENSE > (r.stop - r.start) * (k.stop - k.start) else None
+            c = np.einsum("ij,ij->i", a[i], b[j]) if whole is None else whole[i - r.start, j - k.start]
+            i, j, c = i[c >= cut], j[c >= cut], c[c >= cut]
+            np.maximum.at(best, i, c)
+            np.maximum.at(back, j, c)
+        found = pd.DataFrame({"item_id": ids, "nearest": best})
+        if left is not right:
+            found = pd.concat([found, pd.DataFrame({"item_id": other_ids, "nearest": back})])
+        return found[found["nearest"] > -np.inf]
+
+    return run
+
+
+def near_copies(items: DataFrame, cut: float, hours: int = WINDOW_HOURS, block: int = COPY_BLOCK) -> DataFrame:
+    """item_id, nearest: a cosine of `cut` (above 0) or more to another item in the window, for each item that has one; not always the largest.
+
+    As nearest(), but all pairs meet only with a few components and the length of the rest, whose product is an upper bound; vectors are multiplied where it reaches the cut, and
+    not for pairs of items that both have a copy already. Nothing is approximate.
+    """
+    return (_met(items, hours, block).groupBy("key").applyInPandas(_near_copies(hours, cut), "item_id long, nearest double")
+            .groupBy("item_id").agg(F.max("nearest").alias("nearest")))
+
+
 #: Entities this much alike are searched by entities, pairs below by titles; it divides the work between two searches and changes no result.
 ENTITY_FLOOR = .3
 #: Decimal places at which confidences count as equal.

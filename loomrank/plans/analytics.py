@@ -236,6 +236,9 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rule_filter(items, NOW).select("item_id", "thin", "keep", "matched_rule")
 
 
+INTERESTS = ["the", "of", "in the"]
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, src = _items(spark, sf_dir), adapters.view(spark, sf_dir, "sources")
     anchors = adapters.view(spark, sf_dir, "anchors").where(~F.col("avoid"))
@@ -249,8 +252,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = items.groupBy("cluster_id").agg(F.min("source_id").alias("lo"), F.max("source_id").alias("hi"))
     own = (items.join(spread, "cluster_id").groupBy("source_id")
            .agg(((F.sum(F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(0.0)) + 4.0) / (F.count("*") + 8)).alias("uniqueness")))
-    nearest = park(stories.nearest(_stories(spark, sf_dir)))
-    return (items.drop("free_score").join(src, "source_id", "left").join(sims, "item_id", "left").join(seen, "source_id").join(own, "source_id")
+    # of the nearest neighbour the score asks only whether it is a near copy
+    nearest = park(stories.near_copies(_stories(spark, sf_dir), scoring.NEAR_COPY))
+    told = scoring.text_parts(items.drop("free_score"), INTERESTS)
+    return (told.join(src, "source_id", "left").join(sims, "item_id", "left").join(seen, "source_id").join(own, "source_id")
             .join(nearest, "item_id", "left")
             .withColumns({"nearest": F.coalesce("nearest", F.lit(0.0)), "category_prior": F.lit(None).cast("double"),
                           "discovery": F.when(F.col("feed_type") == "discovery", F.col("quality_prior"))}))
@@ -258,13 +263,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r9_free_score")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.free_score(_scored(spark, sf_dir), NOW, ["the", "of", "in the"]).select("item_id", F.round("free_score", 6).alias("free_score"), "band", "editorial_type", "rank_in_run")
+    return scoring.free_score(_scored(spark, sf_dir), NOW, INTERESTS).select("item_id", F.round("free_score", 6).alias("free_score"), "band", "editorial_type", "rank_in_run")
 
 
 @query("r12_free_ranker")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item: bands A and B share the slots in score order; of the rest a hash sample is audited, up to a cap, in score order."""
-    ranked = park(scoring.free_score(_scored(spark, sf_dir), NOW, ["the", "of", "in the"]).select("item_id", "free_score", "band"))
+    ranked = park(scoring.free_score(_scored(spark, sf_dir), NOW, INTERESTS).select("item_id", "free_score", "band"))
     return scoring.slots_and_audits(ranked, slots=140, audit_cap=20).select("item_id", F.round("free_score", 6).alias("free_score"), "band", "selected", "audit", "reason")
 
 

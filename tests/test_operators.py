@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import reduce
 from types import SimpleNamespace
 
 import pytest
@@ -9,6 +10,7 @@ from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 from loomrank.functions import urls as U
 from loomrank.operators import scoring, selection, stories
+from loomrank.plans import analytics
 from loomrank.sources import feeds
 
 
@@ -88,6 +90,49 @@ def test_nearest_beside_broken_vectors(spark):
     assert got == {1: round(.5 ** .5, 9), 2: round(.5 ** .5, 9), 3: 0.0, 4: round(.5 ** .5, 9)}
 
 
+@pytest.mark.parametrize(("block", "copies"), [(65536, 3), (65536, 60), (7, 20)])
+def test_near_copies_equal_brute_force(spark, block, copies):
+    """Copies and near copies of one vector, some out of the window, among unlike, broken and empty ones; more components than are compared first."""
+    rng, hour, dims = random.Random(4), 3_600_000, 24
+    draw = lambda: [rng.gauss(0, 1) for _ in range(dims)]
+    base, other = draw(), draw()
+    rows = [(i, rng.randrange(600) * hour, draw()) for i in range(80)]
+    rows += [(100 + i, rng.randrange(0, 900, 7) * hour, [x + rng.gauss(0, .35) if i % 3 else x for x in base]) for i in range(copies)]
+    rows += [(500, 0, other), (501, 96 * hour, [2 * x for x in other]), (502, 193 * hour, other), (503, 0, [0.0] * dims), (504, 0, [0.0] * dims), (505, 0, [float("nan")] * dims), (506, 0, None)]
+    norm = lambda v: sum(x * x for x in v) ** .5
+    known = [r for r in rows if r[2] and norm(r[2]) > 0]
+    want = {}
+    for i, at, v in known:
+        near = [sum(a * b for a, b in zip(v, w, strict=True)) / (norm(v) * norm(w)) for j, bt, w in known if i != j and abs(at - bt) <= 96 * hour]
+        if max(near, default=0) >= .94:
+            want[i] = max(near)
+    got = {r["item_id"]: r["nearest"] for r in stories.near_copies(spark.createDataFrame(rows, "item_id long, at long, embedding array<double>"), .94, block=block).collect()}
+    assert got.keys() == want.keys() and {500, 501} <= got.keys() and 502 not in got
+    assert all(.94 <= got[i] <= want[i] + 1e-9 for i in want)
+
+
+def test_patterns_match_as_one_by_one(spark):
+    """Patterns that begin with a letter are tried together, by that letter; what they match stays the same."""
+    words = ["in", "1999", "part", "7", "a", "conversation", "with", "Q&A", "what", "gets", "right", "hands-on", "top", "10", "10 ways", "INTRODUCING", "unveiled", "raises", "$5", "xreport", "report", "é", "interviewé", "shocking", "?!", "\n"]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(300)] + [None, ""]
+    odd = {"odd": [r"\bab|cd", r"\bx?y", r"\be\(f|g\)", r"\b(k|l)m"]}
+    for ps in (scoring.TYPE_PATTERNS | {"click": scoring.CLICKBAIT, "title": scoring.TITLE_PATTERNS} | odd).values():
+        some = texts + ["cd", "xcd", "y", "g)", "zg)", "e(f", "km", "xkm"]
+        each = reduce(lambda a, b: a | b, [F.col("t").rlike("(?i)" + p) for p in ps])
+        d = spark.createDataFrame([(t,) for t in some], "t string").select("t", scoring.matches(F.col("t"), ps).alias("got"), each.alias("want"))
+        assert [r for r in d.collect() if r["got"] != r["want"]] == []
+
+
+def test_scores_travel_without_texts(spark, sf_dir):
+    """What the free score takes from texts is read off before joins and ranks; either way gives the same score."""
+    scored = analytics._scored(spark, sf_dir)
+    assert not {"title", "summary"} & set(scored.columns)
+    whole = scored.drop("text_type", "c_keyword", "p_clickbait").join(analytics._items(spark, sf_dir).select("item_id", "title", "summary"), "item_id")
+    a, b = (sorted(scoring.free_score(d, analytics.NOW, analytics.INTERESTS).select("item_id", "free_score", "band", "editorial_type").collect()) for d in (scored, whole))
+    assert a == b and len(a) > 0
+
+
 def test_clusters_equal_brute_force(spark):
     rng, names = random.Random(3), ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     items = [(rng.randrange(200) * 3_600_000, i, frozenset(rng.sample(names, rng.randint(1, 4)))) for i in range(60)]
