@@ -48,25 +48,25 @@ def collapse(s: Column) -> Column:
 
 
 def decode_entities(s: Column) -> Column:
-    """Numeric entities (decimal and hexadecimal; those outside Unicode stay as they are) and named ones; `&amp;` last, so nothing decodes twice."""
+    """Numeric entities (decimal and hexadecimal; those outside Unicode stay as they are) and named ones, in one pass: what an entity gives never becomes part of another."""
     def char(code: Column, raw: Column) -> Column:
         # code points beyond 255 are spelled in UTF-16, whose two halves make one character above 65535
         high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
         wide = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
-        return (F.when(code == 38, "&amp;").when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(wide), "UTF-16BE"))
-                .otherwise(F.concat(F.lit("&#"), raw, F.lit(";"))))
+        return (F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(wide), "UTF-16BE"))
+                .otherwise(F.concat(F.lit("&"), raw, F.lit(";"))))
+
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(part: Column) -> Column:
-        code = F.when(part.rlike("^[xX]"), F.conv(F.substring(part, 2, 12), 16, 10)).otherwise(part).cast("decimal(20,0)")
-        return char(F.least(code, F.lit(0x110000)).cast("int"), part)
-
-    parts = F.split(s, r"&#(?=(?:[0-9]{1,18}|[xX][0-9a-fA-F]{1,12});)")
-    tail = lambda p: F.concat(decoded(F.regexp_extract(p, "^([0-9a-fA-FxX]+);", 1)), F.regexp_replace(p, "^[0-9a-fA-FxX]+;", ""))
-    s = F.when(s.contains("&#"), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), tail), ""))).otherwise(s)
-    for name, c in ENTITIES.items():
-        if name != "amp":
-            s = F.regexp_replace(s, f"(?i)&{name};", F.lit(c.replace("\\", "\\\\").replace("$", "\\$")))
-    return F.regexp_replace(s, "(?i)&amp;", "&")
+        body = F.substring_index(part, ";", 1)
+        digits = F.substring(body, 2, 18)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 12), 16, 10)).otherwise(digits).cast("decimal(20,0)")
+        return F.when(body.startswith("#"), char(F.least(code, F.lit(0x110000)).cast("int"), body)).otherwise(F.element_at(named, F.lower(body)))
+
+    parts = F.split(s, rf"&(?=(?:#[0-9]{{1,18}}|#[xX][0-9a-fA-F]{{1,12}}|(?i:{'|'.join(ENTITIES)}));)")
+    tail = lambda p: F.concat(decoded(p), F.substring(p, F.instr(p, ";") + 1, F.length(p)))
+    return F.when(s.contains("&"), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), tail), ""))).otherwise(s)
 
 
 def strip_html(s: Column) -> Column:

@@ -1,8 +1,10 @@
+import os
 import random
 from collections import Counter
 from functools import reduce
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from loomrank.functions import numbers as N
 from loomrank.functions import text as X
 from loomrank.functions import urls as U
 from loomrank.operators import scoring, selection, stories
-from loomrank.plans import analytics
+from loomrank.plans import analytics, registry
 from loomrank.sources import feeds
 
+from .oracle import TABLES, same
+
 
 def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()], F.lit(0).alias("_")).select(column).first()[0]
@@ -215,6 +219,23 @@ def test_entities_and_parameter_order(spark):
     assert got["t"] == "AA&lt; &#65; é \U0001F600 &#1114112; &#xD800; &#0;" and got["u"] == "https://e.org/a?a=1&a=&b=2&b=1"
 
 
+def test_entities_decode_in_one_pass(spark):
+    row = spark.createDataFrame([("&lt&#59; &#38amp; &&#108;t; &AMP;lt; &unknown; &#x; &#; &", None, "")], "a string, b string, c string")
+    assert tuple(row.select(*[X.decode_entities(F.col(c)) for c in "abc"]).first()) == ("&lt; &#38amp; &lt; &lt; &unknown; &#x; &#; &", None, "")
+
+
+def test_entity_query_on_odd_titles(spark, sf_dir, tmp_path):
+    for t in TABLES:
+        if t != "documents":
+            os.symlink(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+    texts = ["", None, "\n", ". x", "\0 nul", "\U0001F600 smile", "e\u0301 comb", "a &lt;b&gt; c", "&#65; x", "x &amp;amp; &AMP; y", "&lt&#59; z", "&", "&#x41;", "$1 \\ x", "\u0080", "\U0010ffff"]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE d AS SELECT * FROM '{sf_dir}/documents.parquet' LIMIT 3")
+    con.executemany("INSERT INTO d SELECT ?, ?, 'en', 'src1', 1", [(900000 + i, x) for i, x in enumerate(texts)])
+    con.execute(f"COPY d TO '{tmp_path}/documents.parquet'")
+    same(spark, registry.queries()["x1_entities"], registry.oracle_sql()["x1_entities"], str(tmp_path))
+
+
 def test_hash_embedding_has_length_one(spark):
     toks = spark.createDataFrame([(1, "one"), (1, "two"), (1, "one"), (2, "x")], "k long, tok string")
     got = N.hash_embedding(toks, "k", "tok").groupBy("k").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
