@@ -177,6 +177,24 @@ def test_link_counts_equal_sql(spark, sf_dir):
     same(spark, QUERIES["r23_same_story"], ORACLE["r23_same_story"], sf_dir)
 
 
+def test_profiles_meet_only_in_reach_of_their_times(spark):
+    """Half-alike entities, and one short title: pairs that no time brings to the cut are written nowhere, those that one does are counted."""
+    items = [(i, "a", f"Harbour {'Lights' if i % 2 else 'Boats'}", f"Then Alpha{i} met Great Mountain.", None, i * 30 * H, None) for i in range(40)]
+    items += [(100 + i, "b", f"Harbour {'Lights' if i % 2 else 'Boats'}", f"Then Alpha{i} met Great Mountain.", None, i * 30 * H + H, None) for i in range(0, 40, 4)]
+    largest = []
+
+    def counted(df):
+        done = park(df)
+        largest.append(done.count())
+        return done
+
+    df = spark.createDataFrame(items, "item_id long, source_id string, title string, summary string, url string, at long, embedding array<double>")
+    got = {r["item_id"]: r["links"] for r in stories.link_counts(df, checkpoint=counted).collect()}
+    rows = [r.asDict() for r in stories.prepare(df).collect()]
+    assert got == {a["item_id"]: sum(confidence(a, b) >= .42 - 1e-9 for b in rows if a["item_id"] != b["item_id"]) for a in rows}
+    assert max(largest) < 8 * len(items)
+
+
 def test_no_search_of_a_batch_has_a_plan_that_fills_the_driver(spark):
     new = stories.keyed(spark.createDataFrame(story_rows(random.Random(1), 12), PREPARED))
     largest = []
