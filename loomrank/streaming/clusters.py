@@ -31,12 +31,16 @@ def cluster_batch(items: DataFrame, folder: str, batch: int, checkpoint, cut: fl
     """
     spark = items.sparkSession
     state = stored(spark, folder, batch)
+    # a first delivery has no stored side, so no search plans for one
+    known = None if state.isEmpty() else state
     if late_hours is not None:
         newest = items.agg(F.max("at")).first()[0]
         items = items.where(F.col("at") >= (newest or 0) - late_hours * HOUR)
-    fresh = items.dropDuplicates(["item_id"]).join(state.select("item_id"), "item_id", "left_anti")
+    fresh = items.dropDuplicates(["item_id"])
+    if known is not None:
+        fresh = fresh.join(known.select("item_id"), "item_id", "left_anti")
     new = checkpoint(stories.keyed(stories.prepare(fresh)).withColumn("embedding", F.col("embedding").cast("array<float>")))
-    found = stories.assign(new, state, cut, checkpoint)
+    found = stories.assign(new, known, cut, checkpoint)
     new.join(found, "item_id").select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
 
 

@@ -220,6 +220,15 @@ def test_cluster_batches_are_idempotent(spark):
     assert clusters.stored(spark, folder).where(F.col("cluster_id").isNull()).count() == 0
 
 
+def test_a_first_delivery_has_no_stored_side(spark, monkeypatch):
+    folder, sides, assign = f"{shared_dir(spark)}/stories-{uuid.uuid4().hex}", [], stories.assign
+    monkeypatch.setattr(stories, "assign", lambda new, old, *rest: sides.append(old is not None) or assign(new, old, *rest))
+    schema = "item_id long, source_id string, title string, summary string, url string, at long, embedding array<double>"
+    for batch in (0, 1):
+        clusters.cluster_batch(spark.createDataFrame([(batch, "a", "Harbour lights keep burning tonight", "", None, batch * H, None)], schema), folder, batch, park)
+    assert sides == [False, True] and {r["item_id"]: r["match"] for r in clusters.stored(spark, folder).collect()} == {0: None, 1: 0}
+
+
 def test_feedback_links_that_several_pages_share(spark, sf_dir, tmp_path):
     for t in TABLES:
         if t != "pages":
